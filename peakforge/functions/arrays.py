@@ -57,10 +57,6 @@ def pick(values, positions) -> Column:
     return bind(values, lambda v: F.transform(positions, lambda i: F.get(v, i)))
 
 
-def lerp(a, b, share) -> Column:
-    """Point on the line from ``a`` to ``b``; ``share`` 0 gives a, 1 gives b."""
-    return F.zip_with(a, b, lambda x, y: x + share * (y - x))
-
 
 def tof_to_mz(ml1, ml2, ml3, tof) -> Column:
     """Mass calibration of a time of flight: a plain square when the quadratic term is absent, else the root."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from peakforge.functions import kernels
 from peakforge.operators.spectra import MASS_TABLE
+from peakforge.schema import DOUBLES
 from peakforge.session import array_lit
 
 AGGREGATES = {
@@ -81,7 +82,7 @@ def bin_points_table(points: DataFrame, edges=None) -> DataFrame:
 
 def densify(bins: DataFrame, n: int) -> DataFrame:
     """One dense array of ``n`` values per spectrum (at most ``n`` rows meet per spectrum)."""
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(DOUBLES)
     def scatter(at: pa.Array, value: pa.Array) -> pa.Array:
         flat_at, offsets = kernels.split_lists(at)
         flat_v, _ = kernels.split_lists(value)

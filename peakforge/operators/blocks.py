@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakforge.functions import distances, kernels
+from peakforge.schema import DOUBLES
 from peakforge.session import BROADCAST_BYTES, cut_lineage, require_small
 
 BLOCK_BYTES = 1024 * 1024
@@ -63,7 +64,7 @@ def pick_pivots(df: DataFrame, metric: str) -> np.ndarray:
 def with_pivot_distances(df: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(pivots)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(DOUBLES)
     def run(vectors: pa.Array) -> pa.Array:
         p, x = shared.value, kernels.to_matrix(vectors)
         out = np.empty((len(x), len(p)))

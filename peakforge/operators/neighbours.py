@@ -53,7 +53,9 @@ def _by_broadcast(left: DataFrame, right: DataFrame, k: int, metric: str, exclud
         if exclude_self:
             rows, cols, dist = _without_self(rows, cols, dist, np.array(own.to_pylist(), dtype=object), ids, k)
         return _lists(len(q), rows, ids[cols], dist, labels[cols])
-    return left.withColumn("nn", run(F.col("sample_id").cast("string"), F.col("features").cast("array<double>")))
+    # Marked non-deterministic so that the optimizer keeps one evaluation however often ``nn`` is used.
+    once = run.asNondeterministic()
+    return left.withColumn("nn", once(F.col("sample_id").cast("string"), F.col("features").cast("array<double>")))
 
 
 def _few_copies(right: DataFrame, need: int) -> DataFrame:

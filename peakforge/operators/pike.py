@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from peakforge.functions import kernels
 from peakforge.operators import blocks as B
+from peakforge.schema import DOUBLES
 from peakforge.session import array_lit
 
 
@@ -41,7 +42,7 @@ def pike_project(df: DataFrame, mz_x, mz_y=None, t: float = 1.0, cut: float = 1e
     mz_y = mz_x if mz_y is None else np.asarray(mz_y, dtype=np.float64)
     diagonals = band(mz_x, mz_y, t, cut)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(DOUBLES)
     def run(features: pa.Array) -> pa.Array:
         x = kernels.to_matrix(features)
         z = np.zeros((len(x), len(mz_y)))
@@ -72,7 +73,7 @@ def pike_kernel(x: DataFrame, y: DataFrame | None, mz, t: float = 1.0, cut: floa
         ids, vectors, _, _ = B.collect_matrix(y)
         shared = x.sparkSession.sparkContext.broadcast(vectors)
 
-        @F.arrow_udf("array<double>")
+        @F.arrow_udf(DOUBLES)
         def run(features: pa.Array) -> pa.Array:
             q = kernels.to_matrix(features)
             return kernels.from_matrix(q @ shared.value.T if len(q) else np.zeros((0, 0)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from peakforge.functions import arrays, kernels
 from peakforge.functions.scalars import hash_uniform
+from peakforge.schema import DOUBLES, SPECTRUM
 from peakforge.session import bind
 
 Step = Callable[[DataFrame], DataFrame]
@@ -103,7 +104,7 @@ def scale_by_min(df: DataFrame) -> DataFrame:
 # ---- stencils and solvers -------------------------------------------------------------------------------------------
 
 def _on_intensity(kernel) -> Step:
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(DOUBLES)
     def run(y: pa.Array) -> pa.Array:
         return kernels.by_length(y, kernel)
     return lambda df: df.withColumn("intensity", run("intensity"))
@@ -123,7 +124,7 @@ def baseline(method: str = "snip", iterations: int = 10, lam: float = 1e8, p: fl
 
 
 def persistence(keep_zero: bool = True) -> Step:
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(DOUBLES)
     def run(y: pa.Array) -> pa.Array:
         return kernels.by_length(y, lambda block: [kernels.persistence(row) for row in block])
 
@@ -145,7 +146,7 @@ def _rows(mz: pa.Array, y: pa.Array):
 
 def _pairwise(kernel) -> Step:
     """Step whose kernel maps one (mz, intensity) to a new pair."""
-    @F.arrow_udf("struct<mz:array<double>,intensity:array<double>>")
+    @F.arrow_udf(SPECTRUM)
     def run(mz: pa.Array, y: pa.Array) -> pa.Array:
         done = [kernel(a, b) if len(a) else (a, b) for a, b in _rows(mz, y)]
         return pa.StructArray.from_arrays(
@@ -211,7 +212,7 @@ def standard_chain(binned: bool = True) -> Step:
     centres = edges[:-1] + 1.5
     stages = [fn for _, fn in _stage_kernels()]
 
-    @F.arrow_udf("struct<mz:array<double>,intensity:array<double>>")
+    @F.arrow_udf(SPECTRUM)
     def run(mz: pa.Array, y: pa.Array) -> pa.Array:
         def prepare(block):
             for fn in stages:

@@ -2,6 +2,10 @@
 
 from pyspark.sql import types as T
 
+DOUBLES = T.ArrayType(T.DoubleType())
+
+SPECTRUM = T.StructType([T.StructField("mz", DOUBLES), T.StructField("intensity", DOUBLES)])
+
 SPECTRA = T.StructType([
     T.StructField("spectrum_id", T.StringType()),
     T.StructField("mz", T.ArrayType(T.DoubleType())),

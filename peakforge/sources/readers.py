@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from peakforge.functions import arrays, kernels
 from peakforge.operators.amr import MARK
-from peakforge.schema import YEARLY_LABELS
+from peakforge.schema import DOUBLES, YEARLY_LABELS
 from peakforge.session import bind
 
 TREE = r"([^/]+)/([^/]+)/([^/]+)/([^/]+)/([^/]+)/1SLin/(acqu|fid)$"
@@ -64,7 +64,7 @@ def parse_header(df: DataFrame) -> DataFrame:
         for name, (key, kind) in kinds.items()})
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(DOUBLES)
 def _samples(fid: pa.Array, big_endian: pa.Array) -> pa.Array:
     rows = []
     for blob, big in zip(fid, big_endian):
