@@ -1,12 +1,15 @@
-"""Array column expressions that stay in the JVM."""
+"""Array column expressions that stay in the JVM.
+
+A lambda here refers to its own element and to plain columns, never to the variable of an outer lambda: Spark fails to
+plan an Arrow function whose argument holds such an expression. A column read inside a lambda is also read outside of it
+or twice, so the optimizer keeps it as a column instead of evaluating it again for every element.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from peakforge.session import bind
-
 STABILISERS = {"sqrt": F.sqrt, "log": F.ln, "log2": F.log2, "log10": F.log10}
 
 
@@ -21,41 +24,31 @@ def stabilise(y, method: str = "sqrt") -> Column:
     return F.transform(y, lambda v: F.when(v > 0, fn(v)).when(v == 0, float("-inf")).otherwise(float("nan")))
 
 
-def tic(y, to: float = 1.0) -> Column:
-    """Scale to a total of ``to``; an all-zero signal gives NaN in every position."""
-    return bind(
-        F.struct(F.col(y).alias("y") if isinstance(y, str) else y.alias("y"), total(y).alias("s")),
-        lambda r: F.transform(r["y"], lambda v: F.when(r["s"] != 0, v / r["s"] * to).otherwise(F.lit(float("nan")))),
-    )
-
-
-def inside(mz, values, lo: float, hi: float) -> Column:
-    """Elements of ``values`` whose m/z lies strictly between ``lo`` and ``hi``."""
-    mz = F.col(mz) if isinstance(mz, str) else mz
-    return bind(mz, lambda m: F.filter(values, lambda v, i: (F.get(m, i) > lo) & (F.get(m, i) < hi)))
-
-
-def at_least(guide, values, low: float) -> Column:
-    """Elements of ``values`` where ``guide`` reaches ``low``."""
-    guide = F.col(guide) if isinstance(guide, str) else guide
-    return bind(guide, lambda g: F.filter(values, lambda v, i: F.get(g, i) >= low))
+def scaled(y, by: str, to: float = 1.0) -> Column:
+    """Elements divided by the column ``by`` and multiplied by ``to``; NaN where the divisor is 0."""
+    return F.transform(y, lambda v: F.when(F.col(by) != 0, v / F.col(by) * to).otherwise(F.lit(float("nan"))))
 
 
 def binarise(y, threshold: float) -> Column:
     return F.transform(y, lambda v: F.when(v > threshold, 1.0).otherwise(0.0))
 
 
-def highest(y, n: int) -> Column:
-    """Positions (ascending) of the ``n`` largest values; ties go to the earlier position."""
-    ranked = F.array_sort(F.transform(y, lambda v, i: F.struct((-v).alias("v"), i.alias("i"))))
-    return F.array_sort(F.transform(F.slice(ranked, 1, n), lambda r: r["i"]))
+def peaks(mz: str, y: str) -> Column:
+    """The two arrays of a spectrum as one array of (mz, y)."""
+    return F.arrays_zip(F.col(mz).alias("mz"), F.col(y).alias("y"))
+
 
+def inside(pairs: Column, lo: float, hi: float) -> Column:
+    """Pairs whose m/z lies strictly between ``lo`` and ``hi``."""
+    return F.filter(pairs, lambda p: (p["mz"] > lo) & (p["mz"] < hi))
 
-def pick(values, positions) -> Column:
-    """Elements of ``values`` at 0-based ``positions``."""
-    values = F.col(values) if isinstance(values, str) else values
-    return bind(values, lambda v: F.transform(positions, lambda i: F.get(v, i)))
 
+def highest(pairs: Column, n: int) -> Column:
+    """The ``n`` most intense pairs in their original order; ties go to the earlier position."""
+    ranked = F.array_sort(F.transform(pairs, lambda p, i: F.struct(
+        (-p["y"]).alias("down"), i.alias("i"), p["mz"].alias("mz"), p["y"].alias("y"))))
+    return F.array_sort(F.transform(F.slice(ranked, 1, n), lambda r: F.struct(
+        r["i"].alias("i"), r["mz"].alias("mz"), r["y"].alias("y"))))
 
 
 def tof_to_mz(ml1, ml2, ml3, tof) -> Column:

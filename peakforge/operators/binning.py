@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from peakforge.functions import kernels
 from peakforge.operators.spectra import MASS_TABLE
 from peakforge.schema import DOUBLES
-from peakforge.session import array_lit
+from peakforge.session import array_lit, once
 
 AGGREGATES = {
     "sum": F.sum, "mean": F.avg, "std": F.stddev_pop, "median": F.median, "min": F.min, "max": F.max,
@@ -91,4 +91,4 @@ def densify(bins: DataFrame, n: int) -> DataFrame:
         out[row, flat_at[offsets[0]:offsets[-1]].astype(np.int64)] = flat_v[offsets[0]:offsets[-1]]
         return kernels.from_matrix(out)
     packed = bins.groupBy("spectrum_id").agg(F.collect_list(F.struct("bin", "value")).alias("b"))
-    return packed.select("spectrum_id", scatter(F.col("b.bin"), F.col("b.value")).alias("features"))
+    return packed.select("spectrum_id", once(scatter)(F.col("b.bin"), F.col("b.value")).alias("features"))

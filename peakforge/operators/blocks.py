@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from peakforge.functions import distances, kernels
 from peakforge.schema import DOUBLES
-from peakforge.session import BROADCAST_BYTES, cut_lineage, require_small
+from peakforge.session import BROADCAST_BYTES, cut_lineage, once, require_small
 
 BLOCK_BYTES = 1024 * 1024
 PIVOTS = 16
@@ -72,7 +72,7 @@ def with_pivot_distances(df: DataFrame, pivots: np.ndarray, metric: str) -> Data
             gap = x[part, None, :] - p[None, :, :]
             out[part] = np.sqrt((gap * gap).sum(2)) if metric == "euclidean" else np.abs(gap).sum(2)
         return kernels.from_matrix(out)
-    return df.withColumn("_p", run("features"))
+    return df.withColumn("_p", once(run)("features"))
 
 
 def pack(df: DataFrame, pivots: np.ndarray, metric: str = "euclidean", block_bytes: int | None = None) -> DataFrame:

@@ -7,13 +7,12 @@ all partitions. Selection happens on the small per-feature table; wide rows are
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakforge.functions import arrays
 from peakforge.session import array_lit, require_small
 
 SALTS = 64
@@ -88,7 +87,10 @@ def select_correlation(stats: DataFrame, threshold: float) -> list[int]:
 
 
 def take_features(df: DataFrame, positions: list[int]) -> DataFrame:
-    return df.withColumn("features", arrays.pick("features", array_lit(positions, "int")))
+    """Vectors reduced to the given positions, in the given order."""
+    cut = VectorSlicer(inputCol="_v", outputCol="_cut", indices=[int(i) for i in positions])
+    ready = df.withColumn("_v", array_to_vector(F.col("features").cast("array<double>")))
+    return cut.transform(ready).withColumn("features", vector_to_array("_cut")).drop("_v", "_cut")
 
 
 def _affine(x: Column, shift, scale) -> Column:

@@ -25,7 +25,7 @@ from peakforge.operators.features import feature_moments
 from peakforge.operators.neighbours import knn_classify
 from peakforge.operators.resample import class_sizes
 from peakforge.schema import DOUBLES
-from peakforge.session import cut_lineage, require_small
+from peakforge.session import cut_lineage, once, require_small
 
 VECTOR = "_v"
 
@@ -168,7 +168,7 @@ def cosine_map(width: int, gamma: float, size: int = 500, seed: int = 42):
     def run(features: pa.Array) -> pa.Array:
         x = kernels.to_matrix(features)
         return kernels.from_matrix(np.sqrt(2.0 / size) * np.cos(x @ w + b) if len(x) else np.zeros((0, size)))
-    return lambda df: df.withColumn("features", run(F.col("features").cast("array<double>")))
+    return lambda df: df.withColumn("features", once(run)(F.col("features").cast("array<double>")))
 
 
 def svm(train: DataFrame, kernel: str = "rbf", C: float = 3.0, gamma: float | str = 0.1, size: int = 500,

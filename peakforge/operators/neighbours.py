@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from peakforge.functions import distances, kernels
 from peakforge.operators import blocks as B
-from peakforge.session import BROADCAST_BYTES, cut_lineage
+from peakforge.session import BROADCAST_BYTES, cut_lineage, once
 
 NN = "array<struct<id:string,dist:double,label:double>>"
 ROWS = "lblock long, sample_id string, id string, dist double, label double"
@@ -53,9 +53,7 @@ def _by_broadcast(left: DataFrame, right: DataFrame, k: int, metric: str, exclud
         if exclude_self:
             rows, cols, dist = _without_self(rows, cols, dist, np.array(own.to_pylist(), dtype=object), ids, k)
         return _lists(len(q), rows, ids[cols], dist, labels[cols])
-    # Marked non-deterministic so that the optimizer keeps one evaluation however often ``nn`` is used.
-    once = run.asNondeterministic()
-    return left.withColumn("nn", once(F.col("sample_id").cast("string"), F.col("features").cast("array<double>")))
+    return left.withColumn("nn", once(run)(F.col("sample_id").cast("string"), F.col("features").cast("array<double>")))
 
 
 def _few_copies(right: DataFrame, need: int) -> DataFrame:
@@ -103,7 +101,8 @@ def _first_pairs(left: DataFrame, table: dict, need: int) -> DataFrame:
             enough = int(np.searchsorted(np.cumsum(t["n"][order]), need)) + 1
             picked.append(t["block"][order[:enough]])
         return _id_lists(picked)
-    return left.select(F.col("block").alias("lblock"), F.explode(run("lo", "hi")).alias("rblock"))
+    return (left.select(F.col("block").alias("lblock"), once(run)("lo", "hi").alias("_r"))
+            .select("lblock", F.explode("_r").alias("rblock")))
 
 
 def _close_pairs(left: DataFrame, table: dict) -> DataFrame:
@@ -115,7 +114,8 @@ def _close_pairs(left: DataFrame, table: dict) -> DataFrame:
         bound = _bounds(lo, hi, shared.value)
         limit = reach.to_numpy(zero_copy_only=False)
         return _id_lists([shared.value["block"][bound[i] <= limit[i] * (1 + 1e-9) + 1e-12] for i in range(len(bound))])
-    return left.select(F.col("block").alias("lblock"), F.explode(run("lo", "hi", "reach")).alias("rblock"))
+    return (left.select(F.col("block").alias("lblock"), once(run)("lo", "hi", "reach").alias("_r"))
+            .select("lblock", F.explode("_r").alias("rblock")))
 
 
 def _by_blocks(left: DataFrame, right: DataFrame, k: int, metric: str, exclude_self: bool,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from peakforge.functions import kernels
 from peakforge.operators import blocks as B
 from peakforge.schema import DOUBLES
-from peakforge.session import array_lit
+from peakforge.session import array_lit, once
 
 
 def band(mz_x: np.ndarray, mz_y: np.ndarray, t: float = 1.0, cut: float = 1e-6):
@@ -51,7 +51,7 @@ def pike_project(df: DataFrame, mz_x, mz_y=None, t: float = 1.0, cut: float = 1e
                 rows = slice(first, first + len(w))
                 z[:, first + offset:first + offset + len(w)] += x[:, rows] * w
         return kernels.from_matrix(z / (4.0 * np.pi * t))
-    return df.withColumn("projected", run(F.col("features").cast("array<double>")))
+    return df.withColumn("projected", once(run)(F.col("features").cast("array<double>")))
 
 
 def pike_pairs(pairs: DataFrame, x: DataFrame, y: DataFrame, mz, t: float = 1.0, cut: float = 1e-6) -> DataFrame:
@@ -78,7 +78,7 @@ def pike_kernel(x: DataFrame, y: DataFrame | None, mz, t: float = 1.0, cut: floa
             q = kernels.to_matrix(features)
             return kernels.from_matrix(q @ shared.value.T if len(q) else np.zeros((0, 0)))
         names = F.from_json(F.lit(_json(ids)), "array<string>")
-        return z.select(F.col("sample_id").alias("id_x"), names.alias("ids_y"), run("features").alias("k"))
+        return z.select(F.col("sample_id").alias("id_x"), names.alias("ids_y"), once(run)("features").alias("k"))
 
     pivots = B.pick_pivots(y, "euclidean")
     lblocks = B.pack(z, pivots, "euclidean", block_bytes)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from peakforge.functions import distances, kernels
 from peakforge.operators import blocks as B
 from peakforge.schema import DOUBLES
-from peakforge.session import array_lit
+from peakforge.session import array_lit, once
 
 
 def _weighted(df: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def distance_sums(df: DataFrame, classes, metric: str = "euclidean", strategy: s
         @F.arrow_udf(DOUBLES)
         def run(features: pa.Array) -> pa.Array:
             return kernels.from_matrix(_class_sums(kernels.to_matrix(features), *shared.value, classes, metric))
-        return df.select("sample_id", "label", run.asNondeterministic()("features").alias("sums"))
+        return df.select("sample_id", "label", once(run)("features").alias("sums"))
 
     pivots = B.pick_pivots(right, metric)
     lblocks, rblocks = B.pack(df, pivots, metric, block_bytes), B.pack(right, pivots, metric, block_bytes)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from peakforge.functions import arrays, kernels
 from peakforge.functions.scalars import hash_uniform
 from peakforge.schema import DOUBLES, SPECTRUM
-from peakforge.session import bind
+from peakforge.session import once
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -46,14 +46,19 @@ def stabilise(method: str = "sqrt") -> Step:
 
 
 def tic(total: float = 1.0) -> Step:
-    return lambda df: df.withColumn("intensity", arrays.tic("intensity", total))
+    """Scale every spectrum to a total of ``total``; an all-zero signal gives NaN in every position."""
+    return lambda df: (df.withColumn("_sum", arrays.total("intensity"))
+                       .withColumn("intensity", arrays.scaled("intensity", "_sum", total)).drop("_sum"))
+
+
+def _from_pairs(df: DataFrame, pairs) -> DataFrame:
+    """Replace mz and intensity by an array of (mz, y)."""
+    return (df.withColumn("_pairs", pairs)
+            .withColumns({"mz": F.col("_pairs.mz"), "intensity": F.col("_pairs.y")}).drop("_pairs"))
 
 
 def trim(lo: float = 2000, hi: float = 20000) -> Step:
-    return lambda df: df.withColumns({
-        "intensity": arrays.inside("mz", "intensity", lo, hi),
-        "mz": arrays.inside("mz", "mz", lo, hi),
-    })
+    return lambda df: _from_pairs(df, arrays.inside(arrays.peaks("mz", "intensity"), lo, hi))
 
 
 def binarise(threshold: float) -> Step:
@@ -63,16 +68,12 @@ def binarise(threshold: float) -> Step:
 def filter_peaks(top: int | None = None, min_intensity: float | None = None) -> Step:
     """Keep the ``top`` most intense points, then those of at least ``min_intensity``; original order stays."""
     def run(df: DataFrame) -> DataFrame:
+        pairs = arrays.peaks("mz", "intensity")
         if top is not None:
-            df = df.withColumn("_at", arrays.highest("intensity", top))
-            df = df.withColumns({"mz": arrays.pick("mz", F.col("_at")),
-                                 "intensity": arrays.pick("intensity", F.col("_at"))}).drop("_at")
+            pairs = arrays.highest(pairs, top)
         if min_intensity is not None:
-            df = df.withColumns({
-                "mz": arrays.at_least("intensity", "mz", min_intensity),
-                "intensity": arrays.at_least("intensity", "intensity", min_intensity),
-            })
-        return df
+            pairs = F.filter(pairs, lambda p: p["y"] >= min_intensity)
+        return _from_pairs(df, pairs)
     return run
 
 
@@ -96,8 +97,8 @@ def scale_by_min(df: DataFrame) -> DataFrame:
     """Scale all intensities so that the smallest non-zero value of the whole set becomes 1."""
     low = df.agg(F.min(F.array_min(F.filter("intensity", lambda v: v != 0))).alias("low"))
     return (df.withColumn("_low", low.scalar())
-            .withColumn("intensity", bind(F.struct("intensity", "_low"),
-                                          lambda r: F.transform(r["intensity"], lambda v: v * (1.0 / r["_low"]))))
+            .withColumn("intensity", F.transform("intensity", lambda v: F.when(
+                F.col("_low").isNotNull(), v * (1.0 / F.col("_low"))).otherwise(v)))
             .drop("_low"))
 
 
@@ -107,7 +108,7 @@ def _on_intensity(kernel) -> Step:
     @F.arrow_udf(DOUBLES)
     def run(y: pa.Array) -> pa.Array:
         return kernels.by_length(y, kernel)
-    return lambda df: df.withColumn("intensity", run("intensity"))
+    return lambda df: df.withColumn("intensity", once(run)("intensity"))
 
 
 def smooth(halfwindow: int = 10, order: int = 3) -> Step:
@@ -129,11 +130,10 @@ def persistence(keep_zero: bool = True) -> Step:
         return kernels.by_length(y, lambda block: [kernels.persistence(row) for row in block])
 
     def step(df: DataFrame) -> DataFrame:
-        df = df.withColumn("intensity", run("intensity"))
+        df = df.withColumn("intensity", once(run)("intensity"))
         if keep_zero:
             return df
-        return df.withColumns({"mz": F.filter("mz", lambda v, i: F.get(F.col("intensity"), i) != 0),
-                               "intensity": F.filter("intensity", lambda v: v != 0)})
+        return _from_pairs(df, F.filter(arrays.peaks("mz", "intensity"), lambda p: p["y"] != 0))
     return step
 
 
@@ -153,7 +153,7 @@ def _pairwise(kernel) -> Step:
             [kernels.from_rows([d[0] for d in done]), kernels.from_rows([d[1] for d in done])], ["mz", "intensity"])
 
     def step(df: DataFrame) -> DataFrame:
-        return (df.withColumn("_s", run("mz", "intensity"))
+        return (df.withColumn("_s", once(run)("mz", "intensity"))
                 .withColumns({"mz": F.col("_s.mz"), "intensity": F.col("_s.intensity")}).drop("_s"))
     return step
 
@@ -232,7 +232,7 @@ def standard_chain(binned: bool = True) -> Step:
             out_y.append(b)
         return pa.StructArray.from_arrays([kernels.from_rows(out_mz), kernels.from_rows(out_y)], ["mz", "intensity"])
 
-    return lambda df: (df.withColumn("_s", run("mz", "intensity"))
+    return lambda df: (df.withColumn("_s", once(run)("mz", "intensity"))
                        .withColumns({"mz": F.col("_s.mz"), "intensity": F.col("_s.intensity")}).drop("_s"))
 
 
@@ -273,7 +273,7 @@ def trace_steps(df: DataFrame) -> DataFrame:
             [pa.array(number, pa.int32()), pa.array(names, pa.string()), kernels.from_rows(xs), kernels.from_rows(ys)],
             ["step_no", "step", "mz", "intensity"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), items)
-    return (df.select("spectrum_id", F.explode(run("mz", "intensity")).alias("r"))
+    return (df.select("spectrum_id", once(run)("mz", "intensity").alias("_s")).select("spectrum_id", F.explode("_s").alias("r"))
             .select("spectrum_id", "r.step_no", "r.step", "r.mz", "r.intensity"))
 
 

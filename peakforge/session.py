@@ -43,13 +43,17 @@ def require_small(n_values: int, what: str, limit: int = BROADCAST_BYTES) -> Non
         raise ValueError(f"{what}: {n_values * 8} bytes exceed the {limit} bytes allowed on the driver")
 
 
+def once(udf):
+    """Arrow function that the optimizer neither merges nor repeats: its result column is computed once per row.
+
+    Spark otherwise copies the call into every place that reads the column, and cannot always join the copies again when
+    an argument holds a higher-order function.
+    """
+    return udf.asNondeterministic()
+
+
 def array_lit(values, kind: str = "double") -> Column:
     """A (size-checked) Python sequence as one foldable array literal."""
     values = [None if v is None else (int(v) if kind != "double" else float(v)) for v in values]
     require_small(len(values), "array literal")
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>", {"allowNonNumericNumbers": "true"})
-
-
-def bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and use it inside ``body``; a plain reference would be re-evaluated per element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from peakforge.functions import arrays, kernels
 from peakforge.operators.amr import MARK
 from peakforge.schema import DOUBLES, YEARLY_LABELS
-from peakforge.session import bind
+from peakforge.session import once
 
 TREE = r"([^/]+)/([^/]+)/([^/]+)/([^/]+)/([^/]+)/1SLin/(acqu|fid)$"
 
@@ -76,16 +76,14 @@ def _samples(fid: pa.Array, big_endian: pa.Array) -> pa.Array:
 
 def decode_acquisition(df: DataFrame) -> DataFrame:
     """(acqu, fid) to (mz, intensity): int32 samples, at most TD of them, negatives set to 0, calibrated masses."""
-    df = parse_header(df).withColumn("_raw", _samples("fid", F.col("bytorda") == 1))
-    n = F.least(F.col("td"), F.size("_raw"))
-    calibration = F.struct("ml1", "ml2", "ml3", "delay", "dw")
-    mz = bind(calibration, lambda c: F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: arrays.tof_to_mz(c["ml1"], c["ml2"], c["ml3"], c["delay"] + i * c["dw"])))
+    df = parse_header(df).withColumn("_raw", once(_samples)("fid", F.col("bytorda") == 1))
+    df = df.withColumn("_n", F.greatest(F.least(F.col("td"), F.size("_raw")), F.lit(0)))
+    at = F.filter(F.sequence(F.lit(0), F.col("_n")), lambda i: i < F.col("_n"))
     out = df.withColumns({
-        "mz": F.when(n > 0, mz).otherwise(F.array().cast("array<double>")),
-        "intensity": F.transform(F.slice("_raw", 1, F.greatest(n, F.lit(0))), lambda v: F.greatest(v, F.lit(0.0))),
-    })
+        "mz": F.transform(at, lambda i: arrays.tof_to_mz(F.col("ml1"), F.col("ml2"), F.col("ml3"),
+                                                         F.col("delay") + i * F.col("dw"))),
+        "intensity": F.transform(F.slice("_raw", 1, F.col("_n")), lambda v: F.greatest(v, F.lit(0.0))),
+    }).drop("_n")
     return out.drop("_raw", "acqu", "fid", "td", "delay", "dw", "ml1", "ml2", "ml3", "bytorda")
 
 

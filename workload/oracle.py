@@ -469,9 +469,9 @@ ORACLE = {
     "bin_points_mean": points_stat("avg(y)"), "bin_points_std": points_stat("stddev_pop(y)"),
     "bin_points_median": points_stat("median(y)"), "bin_points_min": points_stat("min(y)"),
     "bin_points_max": points_stat("max(y)"), "bin_points_count": points_stat("count(y)"),
-    "densify": f"""WITH {POINTS}, {log_edges_cte(100)}, s AS ({log_binned('points')}), ids AS (SELECT DISTINCT spectrum_id FROM s)
-        SELECT ids.spectrum_id, CAST(i AS BIGINT) AS bin, coalesce(value, 0) AS value FROM ids CROSS JOIN range(100) r(i)
-        LEFT JOIN s ON s.spectrum_id = ids.spectrum_id AND s.bin = i""",
+    "densify": f"""WITH {POINTS}, {log_edges_cte(100)}, s AS ({log_binned('points')})
+        SELECT spectrum_id, CAST(100 AS BIGINT) AS width, round(sum(value) OVER (PARTITION BY spectrum_id), 6) AS total, bin, value
+        FROM s WHERE value <> 0""",
     "feature_stats": f"""WITH {ROWS}, {CELLS} SELECT CAST(feature AS BIGINT) AS feature, count(*) AS n, round(avg(v), 6) AS mean,
         round(min(v), 6) AS min, round(max(v), 6) AS max, round(var_pop(v), 6) AS var_pop,
         round(corr(v, CASE WHEN label = 0 THEN 1 ELSE 0 END), 6) AS corr FROM cells GROUP BY feature""",

@@ -340,9 +340,13 @@ def sequential_steps(spark, sf):
 
 
 def densify(spark, sf):
+    """Dense vectors of all spectra: their width, total and the values that are not 0."""
     dense = binning.densify(binning.bin_points_log(V.points(spark, sf)), 100)
-    return dense.select("spectrum_id", F.posexplode("features").alias("bin", "v")).select(
-        "spectrum_id", F.col("bin").cast("bigint").alias("bin"), _r("v").alias("value"))
+    total = _r(F.aggregate("features", F.lit(0.0), lambda a, v: a + v))
+    filled = F.filter(F.transform("features", lambda v, i: F.struct(i.cast("bigint").alias("bin"), v.alias("v"))),
+                      lambda e: e["v"] != 0)
+    return dense.select("spectrum_id", F.size("features").cast("bigint").alias("width"), total.alias("total"),
+                        F.explode(filled).alias("e")).select("spectrum_id", "width", "total", "e.bin", _r("e.v").alias("value"))
 
 
 def _points_stat(agg):
