@@ -369,14 +369,18 @@ def instance_hardness(df: DataFrame, seed: int = SEED, folds: int = 5, trees: in
 
 
 def _centroids_by_join(rows: DataFrame, k: int, seed: int, rounds: int) -> DataFrame:
-    """Lloyd rounds with the centres kept as a table: assign by neighbour join, average per position."""
+    """Lloyd rounds with the centres kept as a table: assign by neighbour join, average per position.
+
+    A centre without rows (a copy of another one) stays where it is.
+    """
     centres = cut_lineage(smallest(rows.select("sample_id", "features"), [_draw("centre", seed), "sample_id"], k))
     for _ in range(rounds):
         near = knn_lists(rows.select("sample_id", "features"), centres, 1, exclude_self=False)
         each = near.select(F.get("nn", F.lit(0))["id"].alias("sample_id"), F.posexplode("features").alias("i", "v"))
         mean = each.groupBy("sample_id", "i").agg(F.avg("v").alias("v")).groupBy("sample_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("features"))
-        centres = cut_lineage(mean)
+            F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("_mean"))
+        centres = cut_lineage(centres.join(mean, "sample_id", "left")
+                              .select("sample_id", F.coalesce("_mean", "features").alias("features")))
     return centres
 
 
