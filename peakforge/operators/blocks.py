@@ -1,9 +1,9 @@
 """Vectors packed into bounded blocks, and joins of block pairs.
 
-A block is one row with at most ``BLOCK_BYTES`` of vectors. Rows are range-partitioned by where they lie (nearest pivot,
-distance to it, id) and packed partition by partition, so a crowded region is cut into many blocks and no group is ever
-collected. Each block carries the interval of its distances to every pivot; by the triangle inequality these intervals
-bound the distance between any two blocks.
+A block is one row with at most ``BLOCK_BYTES`` of vectors. Rows are range-partitioned by where they lie (nearest pivots
+in order, distance to the first, id) and packed partition by partition, so a crowded region is cut into many blocks and no group is ever
+collected. Each block carries its rows' distances to every pivot and their intervals; by the triangle inequality these
+bound the distance between a row and a block and between any two blocks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from peakforge.functions import distances, kernels
 from peakforge.schema import DOUBLES
@@ -20,9 +20,13 @@ from peakforge.session import BROADCAST_BYTES, cut_lineage, once, require_small
 
 BLOCK_BYTES = 1024 * 1024
 PIVOTS = 16
+PIVOT_SAMPLE = 1024
+# How many nearest pivots, in order, name the cell of a row.
+CELL_DEPTH = 3
+PLACE = T.StructType([T.StructField("p", DOUBLES), T.StructField("c", T.ArrayType(T.IntegerType()))])
 
 BLOCK_SCHEMA = ("block long, n int, ids array<string>, labels array<double>, weights array<double>, data binary, "
-                "lo array<double>, hi array<double>")
+                "places binary, lo array<double>, hi array<double>")
 
 
 def shape(df: DataFrame) -> tuple[int, int]:
@@ -55,31 +59,41 @@ def _columns(df: DataFrame):
 
 
 def pick_pivots(df: DataFrame, metric: str) -> np.ndarray:
-    """A fixed number of vectors in hash order, so the choice does not depend on partitioning."""
-    rows = (df.select("features").orderBy(F.xxhash64("features")).limit(PIVOTS).toArrow())
-    vectors = kernels.to_matrix(rows["features"].combine_chunks())
-    return np.unique(vectors, axis=0)
+    """A fixed number of far-apart vectors out of a bounded sample in hash order, independent of partitioning."""
+    width = shape(df.limit(1))[1]
+    sample = max(PIVOTS, min(PIVOT_SAMPLE, BROADCAST_BYTES // (8 * max(1, width))))
+    rows = df.select(F.col("features").cast("array<double>").alias("features")).orderBy(F.xxhash64("features")).limit(sample)
+    vectors = np.unique(kernels.to_matrix(rows.toArrow()["features"].combine_chunks()), axis=0)
+    chosen, gap = [0], np.full(len(vectors), np.inf)
+    while len(chosen) < min(PIVOTS, len(vectors)):
+        gap = np.minimum(gap, distances.exact(vectors, vectors[chosen[-1]], metric))
+        chosen.append(int(gap.argmax()))
+    return vectors[chosen]
 
 
 def with_pivot_distances(df: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
+    """Add ``_p``, the distance to every pivot, and ``_c``, the numbers of the nearest pivots in order."""
     shared = df.sparkSession.sparkContext.broadcast(pivots)
 
-    @F.arrow_udf(DOUBLES)
+    @F.arrow_udf(PLACE)
     def run(vectors: pa.Array) -> pa.Array:
         p, x = shared.value, kernels.to_matrix(vectors)
         out = np.empty((len(x), len(p)))
         for part in distances.chunks(len(x), len(p), x.shape[1] if len(x) else 1):
             gap = x[part, None, :] - p[None, :, :]
             out[part] = np.sqrt((gap * gap).sum(2)) if metric == "euclidean" else np.abs(gap).sum(2)
-        return kernels.from_matrix(out)
-    return df.withColumn("_p", once(run)("features"))
+        order = np.argsort(out, axis=1, kind="stable")[:, :CELL_DEPTH].astype(np.int32)
+        cells = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel()))
+        return pa.StructArray.from_arrays([kernels.from_matrix(out), cells], ["p", "c"])
+    return (df.withColumn("_at", once(run)("features"))
+            .withColumns({"_p": F.col("_at.p"), "_c": F.col("_at.c")}).drop("_at"))
 
 
 def pack(df: DataFrame, pivots: np.ndarray, metric: str = "euclidean", block_bytes: int | None = None) -> DataFrame:
     """Blocks of (sample_id, features[, label, weight]) as checkpointed rows of ``BLOCK_SCHEMA``."""
     block_bytes = block_bytes or BLOCK_BYTES
     placed = with_pivot_distances(df.select(*_columns(df)), pivots, metric)
-    placed = placed.withColumns({"_d": F.array_min("_p"), "_c": F.array_position("_p", F.array_min("_p"))})
+    placed = placed.withColumn("_d", F.array_min("_p"))
     ordered = placed.repartitionByRange("_c", "_d", "sample_id").sortWithinPartitions("_c", "_d", "sample_id")
 
     def packing(batches):
@@ -94,8 +108,9 @@ def pack(df: DataFrame, pivots: np.ndarray, metric: str = "euclidean", block_byt
                       ("weight", pa.list_(pa.float64())))]
             block = pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([size], pa.int32()), *lists, pa.array([x.tobytes()], pa.binary()),
+                 pa.array([p.tobytes()], pa.binary()),
                  pa.array([p.min(0)], pa.list_(pa.float64())), pa.array([p.max(0)], pa.list_(pa.float64()))],
-                ["block", "n", "ids", "labels", "weights", "data", "lo", "hi"])
+                ["block", "n", "ids", "labels", "weights", "data", "places", "lo", "hi"])
             return block, t.slice(size).to_batches()
 
         for batch in batches:

@@ -39,9 +39,21 @@ def _without_self(rows, cols, dist, own, other, k):
     return rows[first], cols[first], dist[first]
 
 
+def _limit_copies(ids, vectors, labels, need: int):
+    """The first ``need`` rows of every distinct vector, in id order."""
+    if not len(ids):
+        return ids, vectors, labels
+    rows = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel()
+    _, group = np.unique(rows, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    rank = np.arange(len(order)) - np.searchsorted(group[order], group[order], side="left")
+    keep = np.sort(order[rank < need])
+    return ids[keep], vectors[keep], labels[keep]
+
+
 def _by_broadcast(left: DataFrame, right: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
     ids, vectors, labels, _ = B.collect_matrix(right)
-    shared = left.sparkSession.sparkContext.broadcast((ids, vectors, labels))
+    shared = left.sparkSession.sparkContext.broadcast(_limit_copies(ids, vectors, labels, k + exclude_self))
 
     @F.arrow_udf(NN)
     def run(own: pa.Array, features: pa.Array) -> pa.Array:
@@ -106,15 +118,34 @@ def _first_pairs(left: DataFrame, table: dict, need: int) -> DataFrame:
 
 
 def _close_pairs(left: DataFrame, table: dict) -> DataFrame:
-    """Block pairs whose distance bound does not exceed the left block's ``reach``."""
+    """Pairs of a left block with every right block that may hold a neighbour of at least one of its rows.
+
+    A row needs a block only if its distance bound does not exceed ``reach``, the k-th distance the row has found so far.
+    The intervals of whole blocks are compared first, the rows only with the blocks that are left.
+    """
     shared = left.sparkSession.sparkContext.broadcast(table)
 
     @F.arrow_udf("array<long>")
-    def run(lo: pa.Array, hi: pa.Array, reach: pa.Array) -> pa.Array:
-        bound = _bounds(lo, hi, shared.value)
-        limit = reach.to_numpy(zero_copy_only=False)
-        return _id_lists([shared.value["block"][bound[i] <= limit[i] * (1 + 1e-9) + 1e-12] for i in range(len(bound))])
-    return (left.select(F.col("block").alias("lblock"), once(run)("lo", "hi", "reach").alias("_r"))
+    def run(lo: pa.Array, hi: pa.Array, places: pa.Array, reach: pa.Array) -> pa.Array:
+        t = shared.value
+        bound = _bounds(lo, hi, t)
+        flat, offsets = kernels.split_lists(reach)
+        picked = []
+        for i in range(len(bound)):
+            limit = flat[offsets[i]:offsets[i + 1]] * (1 + 1e-9) + 1e-12
+            near = np.flatnonzero(bound[i] <= limit.max())
+            p = B.vectors_of(places[i], len(limit))
+            keep = np.zeros(len(near), dtype=bool)
+            for part in distances.chunks(len(near), len(limit)):
+                some = near[part]
+                gap = np.zeros((len(some), len(limit)))
+                for j in range(p.shape[1]):
+                    np.maximum(gap, p[None, :, j] - t["hi"][some, j, None], out=gap)
+                    np.maximum(gap, t["lo"][some, j, None] - p[None, :, j], out=gap)
+                keep[part] = (gap <= limit[None, :]).any(1)
+            picked.append(t["block"][near[keep]])
+        return _id_lists(picked)
+    return (left.select(F.col("block").alias("lblock"), once(run)("lo", "hi", "places", "reach").alias("_r"))
             .select("lblock", F.explode("_r").alias("rblock")))
 
 
@@ -148,8 +179,11 @@ def _by_blocks(left: DataFrame, right: DataFrame, k: int, metric: str, exclude_s
     near = cut_lineage(B.join_pairs(first, lblocks, rblocks, ROWS, evaluate))
     kth = (near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= need)
            .groupBy("lblock", "sample_id").agg(F.max("dist").alias("d"), F.count(F.lit(1)).alias("c"))
-           .groupBy("lblock").agg(F.max(F.when(F.col("c") < need, float("inf")).otherwise(F.col("d"))).alias("reach")))
-    reached = cut_lineage(lblocks.select("block", "lo", "hi").join(kth, F.col("block") == F.col("lblock")).drop("lblock"))
+           .withColumn("d", F.when(F.col("c") < need, float("inf")).otherwise(F.col("d")))
+           .groupBy(F.col("lblock").alias("block"))
+           .agg(F.array_sort(F.collect_list(F.struct("sample_id", "d"))).alias("_rows"))
+           .select("block", F.col("_rows.d").alias("reach")))
+    reached = cut_lineage(lblocks.select("block", "lo", "hi", "places").join(kth, "block"))
     more = None
     for i in range(parts):
         pairs = _close_pairs(reached, start if i == 0 else table(i))
