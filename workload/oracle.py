@@ -118,9 +118,6 @@ pts AS MATERIALIZED (
          CASE WHEN label < 3 THEN 0 ELSE 1 END AS label FROM embeddings)
 """
 
-# The numeric value of an id is used for shorter text only where order does not matter; ties are broken on the text.
-
-
 def spectrum_rows(body: str, source: str = "done", digits: int = 6) -> str:
     return f"""WITH {SPECTRA}, {body}
     SELECT spectrum_id, CAST(pos AS BIGINT) AS pos, round(mz, 6) AS mz, round(y, {digits}) AS intensity
@@ -269,11 +266,6 @@ def edited(target: str, source: str, k: int = 3, everything: bool = False) -> st
 IDS = "SELECT sample_id, CAST(label AS INTEGER) AS label FROM "
 
 
-def vector_rows(source: str, extra: str = "", digits: int = 6) -> str:
-    return f"""SELECT sample_id, {extra} CAST(pos AS BIGINT) AS pos, round(v, {digits}) AS value
-      FROM (SELECT sample_id, {extra} unnest(range(len(f))) AS pos, unnest(f) AS v FROM {source})"""
-
-
 CELLS = "cells AS (SELECT sample_id, label, unnest(range(len(f))) AS feature, unnest(f) AS v FROM pts)"
 
 SMOTE = ROWS + f""",
@@ -292,6 +284,24 @@ made AS MATERIALIZED (
 smoted AS MATERIALIZED (SELECT sample_id, f, label FROM pts UNION ALL SELECT sample_id, f, label FROM made)
 """
 
+# A point's persistence on a line is its height above the higher of the two lowest points on the way to a higher one.
+PROMINENCE = """
+p AS MATERIALIZED (SELECT spectrum_id, unnest(range(64)) AS i, unnest(mz) AS mz, unnest(y) AS y FROM spectra),
+higher AS (SELECT a.spectrum_id, a.i, max(b.i) FILTER (b.i < a.i) AS l, min(b.i) FILTER (b.i > a.i) AS r
+  FROM p a LEFT JOIN p b ON a.spectrum_id = b.spectrum_id AND b.y > a.y GROUP BY ALL),
+saddle AS (SELECT a.spectrum_id, a.i, any_value(a.mz) AS mz, any_value(a.y) AS y, any_value(l) AS l, any_value(r) AS r,
+  min(b.y) FILTER (b.i BETWEEN l AND a.i) AS lo_l, min(b.y) FILTER (b.i BETWEEN a.i AND r) AS lo_r, min(b.y) AS lowest
+  FROM p a JOIN higher USING (spectrum_id, i) JOIN p b ON a.spectrum_id = b.spectrum_id GROUP BY a.spectrum_id, a.i),
+peaks AS (SELECT spectrum_id, i, mz, y - CASE WHEN l IS NULL AND r IS NULL THEN lowest WHEN l IS NULL THEN lo_r
+  WHEN r IS NULL THEN lo_l ELSE greatest(lo_l, lo_r) END AS p FROM saddle)
+"""
+
+
+def labelled_vectors(source: str) -> str:
+    return f"""SELECT sample_id, CAST(label AS INTEGER) AS label, CAST(pos AS BIGINT) AS pos, round(v, 6) AS value
+      FROM (SELECT sample_id, label, unnest(range(len(f))) AS pos, unnest(f) AS v FROM {source})"""
+
+
 HASH_SIDE = u("sample_id", "'split'", "'42'")
 
 SILHOUETTE = ROWS + f""",
@@ -522,9 +532,8 @@ ORACLE = {
         n AS (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM pts),
         d AS (SELECT i, CAST(floor({u("CAST(i AS VARCHAR)", "'over0'", "'seed'", "'42'")} * n0) AS BIGINT) AS rank FROM n, range((SELECT n1 - n0 FROM n)) r(i)),
         o AS (SELECT sample_id, label, f FROM pts UNION ALL SELECT 'over:0:' || i, label, f FROM d JOIN low USING (rank))
-        {vector_rows('o', 'CAST(label AS INTEGER) AS label,').replace('SELECT sample_id, CAST(label AS INTEGER) AS label, CAST(pos', 'SELECT sample_id, label, CAST(pos')}""",
-    "smote": f"WITH {SMOTE} " + vector_rows("smoted", "CAST(label AS INTEGER) AS label,").replace(
-        "SELECT sample_id, CAST(label AS INTEGER) AS label, CAST(pos", "SELECT sample_id, label, CAST(pos"),
+        {labelled_vectors('o')}""",
+    "smote": f"WITH {SMOTE} " + labelled_vectors("smoted"),
     "edited": f"WITH {ROWS}, {edited('e', 'pts')} {IDS} e",
     "all_knn": f"WITH {ROWS}, {edited('e1', 'pts', 1)}, {edited('e2', 'e1', 2)}, {edited('e3', 'e2', 3)} {IDS} " + """(
         SELECT * FROM e3 WHERE (SELECT count(*) FROM e1 WHERE label = 1) >= (SELECT count(*) FROM pts WHERE label = 0)
@@ -543,4 +552,54 @@ ORACLE = {
         {near('nn', 'hi', 'lo', 3, other=False)}, m AS (SELECT src, avg(dist) AS d FROM nn GROUP BY src),
         k AS (SELECT src FROM m QUALIFY row_number() OVER (ORDER BY d, src) <= (SELECT count(*) FROM lo))
         {IDS} pts WHERE label = 0 OR sample_id IN (SELECT src FROM k)""",
+    "decode_signals": """WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS path, hex(encode(text)) AS h FROM documents),
+        n AS (SELECT *, least(20000, length(h) // 8) AS points FROM b),
+        s AS (SELECT path, points, [CAST('0x' || w[7:8] || w[5:6] || w[3:4] || w[1:2] AS UBIGINT)
+              FOR w IN regexp_extract_all(h, '.{8}')[1:20000]] AS v FROM n),
+        q AS (SELECT sqrt(1e12::DOUBLE / 2.5e6) AS b, 100.0::DOUBLE - 19000 AS c, 0.001::DOUBLE AS a)
+        SELECT path, CAST(points AS BIGINT) AS points,
+          round(coalesce(list_sum([CASE WHEN x >= 2147483648 THEN 0.0::DOUBLE ELSE CAST(x AS DOUBLE) END FOR x IN v]), 0), 0) AS total,
+          CASE WHEN points > 0 THEN round(pow((-b + sqrt(b * b - 4 * a * c)) / (2 * a), 2), 4) END AS first_mz FROM s, q""",
+    "persistence": spectrum_rows(PROMINENCE + """,
+        done AS (SELECT spectrum_id, list(mz ORDER BY i) AS mz, list(p ORDER BY i) AS y FROM peaks GROUP BY spectrum_id)"""),
+    "persistence_peaks": spectrum_rows(PROMINENCE + """,
+        done AS (SELECT spectrum_id, list(mz ORDER BY i) AS mz, list(p ORDER BY i) AS y FROM peaks WHERE p <> 0 GROUP BY spectrum_id)"""),
+    "adasyn": f"""WITH {ROWS}, low AS (SELECT * FROM pts WHERE label = 0), {near('around', 'low', 'pts', 5)}, {near('nn', 'low', 'low', 5)},
+        ratio AS (SELECT src, avg(CASE WHEN dst_label <> label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r FROM around GROUP BY src),
+        n AS (SELECT count(*) FILTER (label = 1) - count(*) FILTER (label = 0) AS n FROM pts),
+        g AS (SELECT src, CAST(round_even(r / (SELECT sum(r) FROM ratio) * (SELECT n FROM n), 0) AS BIGINT) AS g FROM ratio),
+        d AS (SELECT src, unnest(range(1, g + 1)) AS i FROM g WHERE g > 0),
+        e AS (SELECT src, i, CAST(floor({u('src', 'CAST(i AS VARCHAR)', "'nn'", "'42'")} * 5) AS BIGINT) + 1 AS k,
+              {u('src', 'CAST(i AS VARCHAR)', "'gap'", "'42'")} AS gap FROM d),
+        made AS (SELECT 'adasyn:0:' || e.src || '.' || i AS sample_id, [a.f[j] + gap * (b.f[j] - a.f[j]) FOR j IN range(1, 65)] AS f, 0 AS label
+          FROM e JOIN low a ON a.sample_id = e.src JOIN nn ON nn.src = e.src AND nn.rank = k JOIN low b ON b.sample_id = nn.dst),
+        o AS (SELECT sample_id, f, label FROM pts UNION ALL SELECT sample_id, f, label FROM made) {labelled_vectors('o')}""",
+    "borderline_smote": f"""WITH {ROWS}, low AS (SELECT * FROM pts WHERE label = 0), {near('around', 'low', 'pts', 10)},
+        edge AS (SELECT src FROM around GROUP BY src HAVING count(*) FILTER (dst_label = 1) >= 5 AND count(*) FILTER (dst_label = 1) < 10),
+        seeds AS (SELECT low.*, row_number() OVER (ORDER BY sample_id) - 1 AS rank FROM low JOIN edge ON src = sample_id),
+        {near('nn', 'seeds', 'low', 5)}, n AS (SELECT count(*) FILTER (label = 1) - count(*) FILTER (label = 0) AS n FROM pts),
+        m AS (SELECT count(*) AS m FROM seeds),
+        draws AS (SELECT i, CAST(floor({u("CAST(i AS VARCHAR)", "'border0'", "'seed'", "'42'")} * m) AS BIGINT) AS rank,
+          CAST(floor({u("CAST(i AS VARCHAR)", "'border0'", "'nn'", "'42'")} * 5) AS BIGINT) + 1 AS k,
+          {u("CAST(i AS VARCHAR)", "'border0'", "'gap'", "'42'")} AS gap FROM m, range((SELECT n FROM n)) r(i)),
+        made AS (SELECT 'border:0:' || i AS sample_id, [a.f[j] + gap * (b.f[j] - a.f[j]) FOR j IN range(1, 65)] AS f, 0 AS label
+          FROM draws JOIN seeds a ON draws.rank = a.rank JOIN nn ON nn.src = a.sample_id AND nn.rank = k JOIN low b ON b.sample_id = nn.dst),
+        o AS (SELECT sample_id, f, label FROM pts UNION ALL SELECT sample_id, f, label FROM made) {labelled_vectors('o')}""",
+    "one_sided": f"""WITH {ROWS}, pick AS (SELECT sample_id FROM pts WHERE label = 1 ORDER BY {u('sample_id', "'store'", "'42'")}, sample_id LIMIT 1),
+        store AS MATERIALIZED (SELECT * FROM pts WHERE label = 0 OR sample_id IN (SELECT sample_id FROM pick)),
+        rest AS MATERIALIZED (SELECT * FROM pts WHERE sample_id NOT IN (SELECT sample_id FROM store)),
+        {near('judge', 'rest', 'store', 1, other=False)},
+        kept AS MATERIALIZED (SELECT * FROM store UNION ALL SELECT * FROM rest WHERE sample_id IN (SELECT src FROM judge WHERE label <> dst_label)),
+        {near('nn', 'kept', 'kept', 1)}, gone AS (SELECT a.src FROM nn a JOIN nn b ON a.dst = b.src AND b.dst = a.src
+          WHERE a.label <> a.dst_label AND a.label = 1) {IDS} kept WHERE sample_id NOT IN (SELECT src FROM gone)""",
+    "model_knn": f"""WITH {ROWS}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {HASH_SIDE}, sample_id) - 1 AS rank,
+          count(*) OVER (PARTITION BY label) AS n FROM pts),
+        te AS MATERIALIZED (SELECT sample_id, f, label FROM r WHERE rank < floor(n * 0.35::DOUBLE + 0.5)),
+        tr AS MATERIALIZED (SELECT sample_id, f, label FROM r WHERE rank >= floor(n * 0.35::DOUBLE + 0.5)),
+        {near('nn', 'te', 'tr', 5, other=False)},
+        v AS (SELECT src, label AS l, CASE WHEN coalesce(sum(1 / dist) FILTER (dst_label = 1), 0) > coalesce(sum(1 / dist) FILTER (dst_label = 0), 0)
+          THEN 1 ELSE 0 END AS p FROM nn GROUP BY ALL), c AS (SELECT l, p, count(*) AS n FROM v GROUP BY ALL),
+        {SCORES.split("FROM labels GROUP BY ALL),")[1].strip()}
+        SELECT (SELECT sum(n) FILTER (l = p) / sum(n) FROM c) AS accuracy,
+        {', '.join(f"max({e}) FILTER (cls = {i}) AS {n}_{c}" for i, c in ((0, 'R'), (1, 'S')) for e, n in (('pr', 'precision'), ('re', 'recall'), ('f1', 'f1')))} FROM m""",
 }
