@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakforge.session import cut_lineage
+
 MEMBER = r"^(.*)/([^/]+)/0_([^/]+)/(.*)$"
 
 
@@ -119,7 +121,11 @@ def drop_empty(blobs: DataFrame) -> DataFrame:
 
 
 def duplicate_report(prints: DataFrame) -> DataFrame:
-    """Paths whose content was seen before, each with the first path of that content (paths in ascending order)."""
+    """Paths whose content was seen before, each with the first path of that content (paths in ascending order).
+
+    Paths and hashes are stored once, so the contents are read a single time.
+    """
+    prints = cut_lineage(prints.select("path", "hash"))
     first = (prints.groupBy("hash").agg(F.min("path").alias("first_path"), F.count(F.lit(1)).alias("n"))
              .filter(F.col("n") > 1).drop("n"))
     return (prints.join(first, "hash").filter(F.col("path") != F.col("first_path"))

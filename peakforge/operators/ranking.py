@@ -6,7 +6,7 @@ them. A class that holds most of the rows is therefore spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakforge.session import cut_lineage
@@ -48,6 +48,26 @@ def smallest(df: DataFrame, order: list, n: int) -> DataFrame:
     return ranked(df, order).filter(F.col("rank") < n).drop("rank")
 
 
+def lowest(df: DataFrame, draw: Column, counts: dict, by: str = "label", id_column: str = "sample_id") -> Column:
+    """Condition that holds for exactly ``counts[c]`` rows of every class c: those with the lowest (draw, id).
+
+    Only ids and draws are sorted and stored. The rows themselves are neither shuffled nor copied: they are compared with one
+    boundary per class.
+    """
+    slim = df.select(id_column, by, draw.alias("_u"))
+    placed = ranked(slim, ["_u", id_column], by=by)
+    wanted = F.lit(False)
+    for c, n in counts.items():
+        wanted = wanted | ((F.col(by) == c) & (F.col("rank") == n))
+    edges = {r[by]: r for r in placed.filter(wanted).collect()}
+    out = None
+    for c in counts:
+        below = F.lit(counts[c] > 0) if c not in edges else (draw < edges[c]["_u"]) | (
+            (draw == edges[c]["_u"]) & (F.col(id_column) < edges[c][id_column]))
+        out = (F.when if out is None else out.when)(F.col(by) == c, below)
+    return out.otherwise(False)
+
+
 def quantile(df: DataFrame, column: str, q: float, n: int, id_column: str = "sample_id") -> float:
     """Exact linearly interpolated quantile of one column over ``n`` rows."""
     at = (n - 1) * q

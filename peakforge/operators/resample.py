@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from peakforge.functions.scalars import hash_uniform
 from peakforge.operators import blocks as B
 from peakforge.operators.neighbours import knn_lists
-from peakforge.operators.ranking import quantile, ranked, smallest
+from peakforge.operators.ranking import lowest, quantile, ranked, smallest
 from peakforge.session import cut_lineage
 
 COLUMNS = ["sample_id", "features", "label"]
@@ -47,12 +47,9 @@ def split(df: DataFrame, test: float = 0.35, seed: int = SEED, stratify: bool =
     if not stratify:
         u = _draw("split", seed)
         return df.filter(u >= test), df.filter(u < test)
-    sizes = class_sizes(df)
-    cut = None
-    for c, n in sizes.items():
-        cut = (F.when if cut is None else cut.when)(F.col("label") == c, F.lit(int(n * test + 0.5)))
-    placed = ranked(df, [_draw("split", seed), "sample_id"], by="label")
-    return placed.filter(F.col("rank") >= cut).drop("rank"), placed.filter(F.col("rank") < cut).drop("rank")
+    counts = {c: int(n * test + 0.5) for c, n in class_sizes(df).items()}
+    held = lowest(df, _draw("split", seed), counts)
+    return df.filter(~held), df.filter(held)
 
 
 # ---- random sampling ------------------------------------------------------------------------------------------------
@@ -63,8 +60,8 @@ def none(df: DataFrame, seed: int = SEED) -> DataFrame:
 
 def random_under(df: DataFrame, seed: int = SEED) -> DataFrame:
     """Every class cut to the smallest one, without replacement."""
-    n = min(class_sizes(df).values())
-    return ranked(df, [_draw("under", seed), "sample_id"], by="label").filter(F.col("rank") < n).select(*COLUMNS)
+    sizes = class_sizes(df)
+    return df.filter(lowest(df, _draw("under", seed), dict.fromkeys(sizes, min(sizes.values())))).select(*COLUMNS)
 
 
 def _draws(df: DataFrame, n: int, tag: str, seed: int, n_seeds: int) -> DataFrame:
@@ -83,8 +80,9 @@ def random_over(df: DataFrame, seed: int = SEED) -> DataFrame:
     for c, n in sizes.items():
         if n == top:
             continue
-        pool = ranked(df.filter(F.col("label") == c).select(*COLUMNS), ["sample_id"])
-        drawn = _draws(df, top - n, f"over{c}", seed, n).join(pool, "rank")
+        rows = df.filter(F.col("label") == c).select(*COLUMNS)
+        drawn = (_draws(df, top - n, f"over{c}", seed, n).join(ranked(rows.select("sample_id"), ["sample_id"]), "rank")
+                 .join(rows, "sample_id"))
         out = out.unionByName(drawn.select(F.concat(F.lit(f"over:{c}:"), F.col("draw")).alias("sample_id"),
                                            "features", "label"))
     return out
@@ -93,24 +91,28 @@ def random_over(df: DataFrame, seed: int = SEED) -> DataFrame:
 # ---- synthetic rows -------------------------------------------------------------------------------------------------
 
 def _synthesise(draws: DataFrame, pool: DataFrame, tag: str, label) -> DataFrame:
-    """Rows (draw, features, nn, share, gap) to points between the row and its drawn neighbour."""
+    """Rows (draw, sample_id, nn, share, gap) to points between the row and its drawn neighbour."""
     at = F.floor(F.col("share") * F.size("nn")).cast("int")
-    picked = draws.select("draw", "features", "gap", F.get("nn", at)["id"].alias("_other"))
+    picked = draws.select("draw", "sample_id", "gap", F.get("nn", at)["id"].alias("_other"))
+    start = pool.select("sample_id", F.col("features").alias("_from"))
     other = pool.select(F.col("sample_id").alias("_other"), F.col("features").alias("_to"))
-    point = F.zip_with("features", "_to", lambda a, b: a + F.col("gap") * (b - a))
-    return picked.join(other, "_other").select(
+    point = F.zip_with("_from", "_to", lambda a, b: a + F.col("gap") * (b - a))
+    return picked.join(start, "sample_id").join(other, "_other").select(
         F.concat(F.lit(f"{tag}:{label}:"), F.col("draw")).alias("sample_id"), point.alias("features"),
         F.lit(label).alias("label"))
 
 
 def _from_seeds(df: DataFrame, seeds: DataFrame, pool: DataFrame, n: int, tag: str, label, seed: int,
                 stretch: float = 1.0) -> DataFrame:
-    """``n`` synthetic rows whose starting rows are drawn uniformly from ``seeds`` (with neighbour lists ``nn``)."""
-    placed = cut_lineage(ranked(seeds.select("sample_id", "features", "nn"), ["sample_id"]))
+    """``n`` synthetic rows whose starting rows are drawn uniformly from ``seeds`` (with neighbour lists ``nn``).
+
+    Ids and neighbour lists are ranked and stored; vectors are joined to the draws afterwards.
+    """
+    placed = ranked(seeds.select("sample_id", "nn"), ["sample_id"])
     count = placed.count()
     if count == 0 or n <= 0:
         return df.select(*COLUMNS).limit(0)
-    drawn = (_draws(df, n, f"{tag}{label}", seed, count).join(placed.drop("sample_id"), "rank")
+    drawn = (_draws(df, n, f"{tag}{label}", seed, count).join(placed, "rank")
              .withColumn("gap", F.col("gap") * stretch))
     return _synthesise(drawn, pool, tag, label)
 
@@ -152,8 +154,8 @@ def adasyn(df: DataFrame, seed: int = SEED, k: int = 5) -> DataFrame:
             raise ValueError("no row of the class has a neighbour of another class")
         each = hard.select("sample_id", F.rint(F.col("ratio") / total * n).cast("int").alias("g")).filter("g > 0")
         lists = knn_lists(rows, rows, k).join(each, "sample_id")
-        drawn = lists.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("g")))).select(
-            F.concat_ws(".", "sample_id", "i").alias("draw"), "features", "nn",
+        drawn = lists.select("sample_id", "nn", F.explode(F.sequence(F.lit(1), F.col("g"))).alias("i")).select(
+            F.concat_ws(".", "sample_id", "i").alias("draw"), "sample_id", "nn",
             hash_uniform(F.col("sample_id"), F.col("i"), F.lit("nn"), F.lit(seed)).alias("share"),
             hash_uniform(F.col("sample_id"), F.col("i"), F.lit("gap"), F.lit(seed)).alias("gap"))
         out = out.unionByName(_typed(_synthesise(drawn, rows, "adasyn", c), df))
@@ -338,8 +340,8 @@ def near_miss(df: DataFrame, seed: int = SEED, k: int = 3) -> DataFrame:
             continue
         near = knn_lists(df.filter(F.col("label") == c).select(*COLUMNS), small, k, exclude_self=False)
         mean = F.aggregate("nn", F.lit(0.0), lambda a, x: a + x["dist"]) / F.size("nn")
-        out = out.unionByName(smallest(near.withColumn("_mean", mean), ["_mean", "sample_id"], sizes[low])
-                              .select(*COLUMNS))
+        kept = smallest(near.select("sample_id", mean.alias("_mean")), ["_mean", "sample_id"], sizes[low])
+        out = out.unionByName(df.select(*COLUMNS).join(kept, "sample_id", "left_semi"))
     return out
 
 
@@ -349,23 +351,23 @@ def instance_hardness(df: DataFrame, seed: int = SEED, folds: int = 5, trees: in
     sizes = class_sizes(df)
     low, codes = minority(sizes), sorted(sizes)
     code = F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("label")) - 1
-    ready = cut_lineage(df.select(*COLUMNS).withColumns({
+    ready = df.select(*COLUMNS).withColumns({
         "_v": array_to_vector("features"), "_y": code.cast("double"),
-        "_fold": F.floor(_draw("fold", seed) * folds).cast("int")}))
+        "_fold": F.floor(_draw("fold", seed) * folds).cast("int")})
     scored = None
     for i in range(folds):
         model = RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=trees, seed=seed).fit(
             ready.filter(F.col("_fold") != i))
         part = model.transform(ready.filter(F.col("_fold") == i)).select(
-            *COLUMNS, F.get(vector_to_array("probability"), F.col("_y").cast("int")).alias("_p"))
+            "sample_id", "label", F.get(vector_to_array("probability"), F.col("_y").cast("int")).alias("_p"))
         scored = part if scored is None else scored.unionByName(part)
     scored = cut_lineage(scored)
-    out = scored.filter(F.col("label") == low).select(*COLUMNS)
+    keep = F.col("label") == low
     for c, n in sizes.items():
         if c != low:
             rows = scored.filter(F.col("label") == c)
-            out = out.unionByName(rows.filter(F.col("_p") >= quantile(rows, "_p", 1 - sizes[low] / n, n)).select(*COLUMNS))
-    return out
+            keep = keep | ((F.col("label") == c) & (F.col("_p") >= quantile(rows, "_p", 1 - sizes[low] / n, n)))
+    return df.select(*COLUMNS).join(scored.filter(keep), "sample_id", "left_semi")
 
 
 def _centroids_by_join(rows: DataFrame, k: int, seed: int, rounds: int) -> DataFrame:
