@@ -135,27 +135,32 @@ def vectors_of(data: pa.Scalar, n: int) -> np.ndarray:
     return np.frombuffer(data.as_buffer(), dtype=np.float64).reshape(n, -1)
 
 
-def join_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, schema: str, evaluate) -> DataFrame:
-    """Evaluate ``evaluate(left_block, right_block) -> RecordBatch`` for every (lblock, rblock) row of ``pairs``.
+def numbers_of(values: pa.Scalar) -> np.ndarray:
+    """A list of numbers as an array, NULL as NaN."""
+    return values.values.to_numpy(zero_copy_only=False).astype(np.float64)
 
-    The pairs meet their blocks in two equi-joins, so the work spreads over the pairs and not over the points.
-    """
-    def side(blocks, letter):
-        return blocks.select(*[F.col(c).alias(f"{letter}{c}") for c in ("block", "n", "ids", "labels", "weights", "data")])
 
-    def unpack(row, letter):
-        n = row[f"{letter}n"].as_py()
-        return (row[f"{letter}block"].as_py(), np.array(row[f"{letter}ids"].as_py(), dtype=object),
-                vectors_of(row[f"{letter}data"], n),
-                np.array([np.nan if v is None else v for v in row[f"{letter}labels"].as_py()]),
-                np.array([np.nan if v is None else v for v in row[f"{letter}weights"].as_py()]))
+def join_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, schema: str, evaluate, left_columns,
+               right_columns) -> DataFrame:
+    """Evaluate ``evaluate(row) -> RecordBatch`` for every (lblock, rblock) row of ``pairs``.
+
+    ``row`` maps the wanted columns, with the prefix l or r, to Arrow scalars. The pairs meet their blocks in two
+    equi-joins, so the work spreads over the pairs and not over the points.
+    """
+    def side(blocks, letter, columns):
+        return blocks.select(*[F.col(c).alias(f"{letter}{c}") for c in ("block", "n", *columns)])
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names
             for i in range(batch.num_rows):
-                row = {c: batch.column(j)[i] for j, c in enumerate(names)}
-                yield evaluate(unpack(row, "l"), unpack(row, "r"))
+                yield evaluate({c: batch.column(j)[i] for j, c in enumerate(names)})
 
-    joined = (pairs.select("lblock", "rblock").join(side(left, "l"), "lblock").join(side(right, "r"), "rblock"))
+    joined = (pairs.select("lblock", "rblock").join(side(left, "l", left_columns), "lblock")
+              .join(side(right, "r", right_columns), "rblock"))
     return joined.mapInArrow(run, schema)
+
+
+def vectors(row: dict, letter: str, column: str = "data") -> np.ndarray:
+    """The matrix a block of a joined row holds."""
+    return vectors_of(row[f"{letter}{column}"], row[f"{letter}n"].as_py())

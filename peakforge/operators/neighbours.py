@@ -164,32 +164,45 @@ def _by_blocks(left: DataFrame, right: DataFrame, k: int, metric: str, exclude_s
     def table(i):
         return _block_table(rblocks.filter(F.pmod(F.xxhash64("block"), F.lit(parts)) == i))
 
-    def evaluate(lhs, rhs):
-        block, own, q, _, _ = lhs
-        _, ids, s, labels, _ = rhs
-        rows, cols, dist = distances.nearest(q, s, need, metric)
+    def evaluate(row):
+        q, s = B.vectors(row, "l"), B.vectors(row, "r")
+        at, limit = np.arange(len(q)), None
+        if "lreach" in row:
+            # Only rows that this block may improve, and of those only what is no farther than they have found.
+            limit = B.numbers_of(row["lreach"]) * (1 + 1e-9) + 1e-12
+            p = B.vectors(row, "l", "places")
+            gap = np.maximum(p - B.numbers_of(row["rhi"]), B.numbers_of(row["rlo"]) - p).max(1)
+            at = np.flatnonzero(gap <= limit)
+        rows, cols, dist = distances.nearest(q[at], s, need, metric)
+        rows = at[rows]
+        if limit is not None:
+            keep = dist <= limit[rows]
+            rows, cols, dist = rows[keep], cols[keep], dist[keep]
+        rows, cols = pa.array(rows, pa.int64()), pa.array(cols, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(rows), block)), pa.array(own[rows], pa.string()), pa.array(ids[cols], pa.string()),
-             pa.array(dist), pa.array(labels[cols], pa.float64(), from_pandas=True)],
+            [pa.array(np.full(len(dist), row["lblock"].as_py(), dtype=np.int64)), row["lids"].values.take(rows),
+             row["rids"].values.take(cols), pa.array(dist, pa.float64()), row["rlabels"].values.take(cols)],
             ["lblock", "sample_id", "id", "dist", "label"])
 
     order = Window.partitionBy("sample_id").orderBy("dist", "id")
     start = table(0)
     first = cut_lineage(_first_pairs(lblocks, start, need))
-    near = cut_lineage(B.join_pairs(first, lblocks, rblocks, ROWS, evaluate))
+    right_columns = ["ids", "labels", "data", "lo", "hi"]
+    near = cut_lineage(B.join_pairs(first, lblocks, rblocks, ROWS, evaluate, ["ids", "data"], right_columns))
     kth = (near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= need)
            .groupBy("lblock", "sample_id").agg(F.max("dist").alias("d"), F.count(F.lit(1)).alias("c"))
            .withColumn("d", F.when(F.col("c") < need, float("inf")).otherwise(F.col("d")))
            .groupBy(F.col("lblock").alias("block"))
            .agg(F.array_sort(F.collect_list(F.struct("sample_id", "d"))).alias("_rows"))
            .select("block", F.col("_rows.d").alias("reach")))
-    reached = cut_lineage(lblocks.select("block", "lo", "hi", "places").join(kth, "block"))
+    reached = lblocks.join(cut_lineage(kth), "block")
     more = None
     for i in range(parts):
         pairs = _close_pairs(reached, start if i == 0 else table(i))
         more = pairs if more is None else more.unionByName(pairs)
     more = more.join(first, ["lblock", "rblock"], "left_anti")
-    found = near.unionByName(B.join_pairs(more, lblocks, rblocks, ROWS, evaluate))
+    found = near.unionByName(B.join_pairs(more, reached, rblocks, ROWS, evaluate, ["ids", "data", "places", "reach"],
+                                          right_columns))
     if exclude_self:
         found = found.filter(F.col("id") != F.col("sample_id"))
     best = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k)

@@ -86,12 +86,12 @@ def pike_kernel(x: DataFrame, y: DataFrame | None, mz, t: float = 1.0, cut: floa
     others = array_lit([r[0] for r in rblocks.select("block").collect()], "long")
     pairs = lblocks.select(F.col("block").alias("lblock"), F.explode(others).alias("rblock"))
 
-    def evaluate(lhs, rhs):
-        k = lhs[2] @ rhs[2].T
-        names = pa.array([list(rhs[1])] * len(lhs[1]), pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays([pa.array(lhs[1], pa.string()), names, kernels.from_matrix(k)],
-                                          ["id_x", "ids_y", "k"])
-    return B.join_pairs(pairs, lblocks, rblocks, "id_x string, ids_y array<string>, k array<double>", evaluate)
+    def evaluate(row):
+        k = B.vectors(row, "l") @ B.vectors(row, "r").T
+        names = pa.array([row["rids"].values.to_pylist()] * len(k), pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([row["lids"].values, names, kernels.from_matrix(k)], ["id_x", "ids_y", "k"])
+    return B.join_pairs(pairs, lblocks, rblocks, "id_x string, ids_y array<string>, k array<double>", evaluate,
+                        ["ids", "data"], ["ids", "data"])
 
 
 def _json(ids) -> str:

@@ -54,11 +54,13 @@ def distance_sums(df: DataFrame, classes, metric: str = "euclidean", strategy: s
     others = array_lit([r[0] for r in rblocks.select("block").collect()], "long")
     pairs = lblocks.select(F.col("block").alias("lblock"), F.explode(others).alias("rblock"))
 
-    def evaluate(lhs, rhs):
-        sums = _class_sums(lhs[2], rhs[2], rhs[3], rhs[4], classes, metric)
-        return pa.RecordBatch.from_arrays([pa.array(lhs[1], pa.string()), pa.array(lhs[3]), kernels.from_matrix(sums)],
+    def evaluate(row):
+        sums = _class_sums(B.vectors(row, "l"), B.vectors(row, "r"), B.numbers_of(row["rlabels"]),
+                           B.numbers_of(row["rweights"]), classes, metric)
+        return pa.RecordBatch.from_arrays([row["lids"].values, row["llabels"].values, kernels.from_matrix(sums)],
                                           ["sample_id", "label", "sums"])
-    parts = B.join_pairs(pairs, lblocks, rblocks, "sample_id string, label double, sums array<double>", evaluate)
+    parts = B.join_pairs(pairs, lblocks, rblocks, "sample_id string, label double, sums array<double>", evaluate,
+                         ["ids", "labels", "data"], ["labels", "weights", "data"])
     summed = parts.groupBy("sample_id", "label").agg(
         *[F.sum(F.get("sums", F.lit(i))).alias(f"_s{i}") for i in range(len(classes))])
     return summed.select("sample_id", "label", F.array(*[f"_s{i}" for i in range(len(classes))]).alias("sums"))
