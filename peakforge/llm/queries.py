@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from peakforge.llm.block_names import exact_duplicates
+from peakforge.llm.bpe import fingerprints
 from peakforge.llm.common import table
 
+RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("level", "name")
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
+
+
+QUERIES = {
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
+}
 
 ORACLE = {
     "op8_exact_dedup": r"""
