@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from peakforge.llm.block_names import exact_duplicates
 from peakforge.llm.bpe import fingerprints
 from peakforge.llm.common import table
+from peakforge.llm.language_bits import predict_languages
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("level", "name")
 
@@ -21,6 +26,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
 }
