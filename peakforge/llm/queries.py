@@ -10,6 +10,7 @@ from peakforge.llm.block_names import exact_duplicates
 from peakforge.llm.bpe import fingerprints
 from peakforge.llm.common import table
 from peakforge.llm.language_bits import predict_languages
+from peakforge.llm.signature_join import near_duplicates
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -30,14 +31,34 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE = {
+    "op10_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS words FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS s
+                 FROM w),
+        n AS (SELECT doc_id, len(s) AS n FROM sets),
+        one AS (SELECT doc_id, unnest(s) AS s FROM sets),
+        links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM one x JOIN one y ON x.s = y.s AND x.doc_id <> y.doc_id
+                  JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+                  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 75 * (max(nx.n) + max(ny.n) - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT n.doc_id, n.n AS n_shingles, min(b) AS component_id, min(b) = n.doc_id AS kept
+        FROM n JOIN reach ON n.doc_id = reach.a GROUP BY n.doc_id, n.n""",
     "op8_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS points,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
