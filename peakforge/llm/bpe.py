@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from array import array
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 NONE = 1 << 62
 PLACE = (1 << 32) - 1
-# Pieces whose ids a worker remembers; at the bound the memory starts anew.
-REMEMBERED = 200_000
+# Pieces whose ids a worker remembers, twice: at the bound the older half goes.
+REMEMBERED = 400_000
 # Longer texts are cut for memory where no piece of the pattern can run across.
 LONG = 1 << 20
 SAFE_CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
@@ -37,10 +38,11 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n == 1:
         return [ranks[piece]]
+    get = ranks.get
     leaves = 1 << (n - 1).bit_length()
     tree = [NONE] * (2 * leaves)
     for i in range(n - 1):
-        rank = ranks.get(piece[i:i + 2])
+        rank = get(piece[i:i + 2])
         if rank is not None:
             tree[leaves + i] = rank << 32 | i
     for i in range(leaves - 1, 0, -1):
@@ -49,35 +51,34 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     end = list(range(1, n + 1))  # end of the live token that starts here
     before = list(range(-1, n - 1))  # start of the live token before
 
-    def put(i: int, value: int) -> None:
-        i += leaves
-        tree[i] = value
-        while i > 1:
-            other = tree[i ^ 1]
-            if other < value:
-                value = other
-            i >>= 1
-            if tree[i] == value:
-                return
-            tree[i] = value
-
-    def pair(i: int) -> int:
-        middle = end[i]
-        if middle >= n:
-            return NONE
-        rank = ranks.get(piece[i:end[middle]])
-        return NONE if rank is None else rank << 32 | i
-
     while tree[1] < NONE:
         i = tree[1] & PLACE
         gone = end[i]
-        end[i] = end[gone]
-        if end[i] < n:
-            before[end[i]] = i
-        put(gone, NONE)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        stop = end[i] = end[gone]
+        grown = NONE
+        if stop < n:
+            before[stop] = i
+            rank = get(piece[i:end[stop]])
+            if rank is not None:
+                grown = rank << 32 | i
+        changes = [(gone, NONE), (i, grown)]
+        last = before[i]
+        if last >= 0:
+            rank = get(piece[last:stop])
+            changes.append((last, NONE if rank is None else rank << 32 | last))
+        for leaf, value in changes:
+            at = leaves + leaf
+            if tree[at] == value:
+                continue
+            tree[at] = value
+            while at > 1:
+                other = tree[at ^ 1]
+                if other < value:
+                    value = other
+                at >>= 1
+                if tree[at] == value:
+                    break
+                tree[at] = value
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i:end[i]]])
@@ -93,7 +94,8 @@ class Codec:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict = {}
+        self.older: dict = {}
 
     def piece_ids(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -117,22 +119,18 @@ class Codec:
 
     def parts(self, text: str, make):
         """``make(ids)`` of every piece, remembered per piece."""
-        known = self.known
         for found in self.pieces(text):
-            try:
-                yield [known[p] for p in found]
-                continue
-            except KeyError:
-                pass
-            out = []
-            for p in found:
-                part = known.get(p)
-                if part is None:
-                    part = make(self.piece_ids(p))
-                    if len(known) >= self.remembered:
-                        known.clear()
-                    known[p] = part
-                out.append(part)
+            known = self.known
+            out = list(map(known.get, found))
+            if None in out:
+                for i, part in enumerate(out):
+                    if part is None:
+                        piece = found[i]
+                        part = known.get(piece) or self.older.get(piece) or make(self.piece_ids(piece))
+                        if len(known) >= self.remembered:
+                            self.older, self.known = known, {}
+                            known = self.known
+                        known[piece] = out[i] = part
             yield out
 
     def encode(self, text: str) -> array:
@@ -157,10 +155,22 @@ class Codec:
         return n, ids.hexdigest(), back.hexdigest()
 
 
+#: The codec of this Python worker, by what it is used for: later tasks find the pieces that earlier ones met.
+_CODECS: dict[str, Codec] = {}
+
+
+def _worker_codec(name: str, shared, pattern: str, remembered: int) -> Codec:
+    if name not in _CODECS:
+        _CODECS.clear()
+        _CODECS[name] = Codec(shared.value, pattern, remembered)
+    return _CODECS[name]
+
+
 def _codec_of(df: DataFrame, path: str, pattern: str, remembered: int):
-    """A codec per task; the rank file (under a megabyte, the same at every input size) is read once, by the driver."""
+    """Gives the worker's codec; the rank file (under a megabyte, the same at every input size) is read once, by the driver."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(path))
-    return lambda: Codec(shared.value, pattern, remembered)
+    name = uuid.uuid4().hex
+    return lambda: _worker_codec(name, shared, pattern, remembered)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids",
@@ -188,9 +198,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     @F.udf("binary", useArrow=True)
     def back(values):
-        if not hasattr(back, "codec"):
-            back.codec = codec_of()
-        return None if values is None else back.codec.decode(values)
+        return None if values is None else codec_of().decode(values)
     return df.withColumn(out, back(F.col(ids)))
 
 
