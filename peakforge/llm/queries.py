@@ -12,6 +12,7 @@ from peakforge.llm.bpe import fingerprints
 from peakforge.llm.common import table
 from peakforge.llm.language_bits import predict_languages
 from peakforge.llm.signature_join import near_duplicates
+from peakforge.llm.simhash_leaks import leaks
 from peakforge.llm.window_removal import remove_repeated
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,6 +27,11 @@ def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +51,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op5_window_dedup": op5_window_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
@@ -67,6 +74,28 @@ ORACLE = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
         SELECT n.doc_id, n.n AS n_shingles, min(b) AS component_id, min(b) = n.doc_id AS kept
         FROM n JOIN reach ON n.doc_id = reach.a GROUP BY n.doc_id, n.n""",
+    "op6_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+        item AS (SELECT item_id, w, len(w) AS size, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+        ks AS (SELECT DISTINCT k FROM item),
+        ish AS (SELECT item_id, size, k, unnest(range(0, size - k + 1)) AS o,
+                       unnest(list_transform(range(1, size - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' '))) AS h FROM item),
+        dsh AS (SELECT doc_id, len(w) AS n, k, unnest(range(0, len(w) - k + 1)) AS p,
+                       unnest(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' '))) AS h
+                FROM d, ks WHERE len(w) >= k),
+        win AS (SELECT DISTINCT doc_id, size, ish.k, greatest(0, least(p - o + s, n - size)) AS first
+                FROM dsh JOIN ish ON dsh.h = ish.h AND dsh.k = ish.k, (SELECT unnest(range(-2, 3)) AS s)),
+        wsh AS (SELECT win.*, h, row_number() OVER (PARTITION BY win.doc_id, size, first, h ORDER BY p) AS turn
+                FROM win JOIN dsh ON dsh.doc_id = win.doc_id AND dsh.k = win.k AND p BETWEEN first AND first + size - win.k),
+        ino AS (SELECT *, row_number() OVER (PARTITION BY item_id, h ORDER BY o) AS turn FROM ish),
+        total AS (SELECT doc_id, size, first, count(*) AS n FROM wsh GROUP BY ALL),
+        hit AS (SELECT doc_id, item_id, wsh.size, first, count(*) AS c, max(wsh.size - wsh.k + 1) AS m
+                FROM wsh JOIN ino ON wsh.size = ino.size AND wsh.h = ino.h AND wsh.turn = ino.turn GROUP BY ALL),
+        sim AS (SELECT doc_id, item_id, size, first, c / (n + m - c) AS s FROM hit JOIN total USING (doc_id, size, first)
+                WHERE 100 * c >= 75 * (n + m - c)),
+        best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, first) AS r FROM sim)
+        SELECT doc_id, item_id, round(s, 6) AS similarity, first::INT AS first_word, size::INT AS n_words FROM best WHERE r = 1""",
     "op8_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS points,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
