@@ -28,7 +28,7 @@ from peakforge.llm.shingles import shingle_sets
 COORDINATES = 64
 MATCHES = 30
 SHORT = 48  # keys with at most so many members are searched as pairs
-BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1 << 18
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
 STAR_ROUNDS = 2
 
 _DRAWS = np.random.Generator(np.random.PCG64(10))
@@ -109,13 +109,16 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
 
 
 def _tile(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links of two blocks of one key that join different components, as a spanning forest."""
+    """Links of two blocks of one key, within and between them, that join different components, as a spanning forest."""
     frame = frame.sort_values("c").drop_duplicates("c")
-    c, comp, left = frame["c"].to_numpy(), frame["label"].to_numpy(), frame["side"].to_numpy()
+    c, comp = frame["c"].to_numpy(), frame["label"].to_numpy()
     sets = list(frame["members"])
     n = np.array([len(s) for s in sets])
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), n)
+    both = times[at] > 1  # a shingle of one text only is common to no pair
+    values, at = np.unique(at[both], return_inverse=True)
+    row = row[both]
     common = np.zeros((len(sets), len(sets)), np.float64)
     order = np.argsort(at, kind="stable")
     at, row = at[order], row[order]
@@ -155,9 +158,9 @@ def _searched(live: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK_TEXTS, F.col("total") / BLOCK_SHINGLES)).cast("int")
     placed = (sized.filter(F.col("size") > SHORT).withColumn("blocks", blocks)
               .withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("key", "c", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                      F.lit(0).alias("side")))
+              .withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1),
+                                                      lambda x: (x != F.col("own")) | (F.col("blocks") == 1))))
+              .select("key", "c", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
     tiles = placed.join(sets.select("c", "members"), "c")
     return links.unionByName(tiles.groupBy("key", "i", "j").applyInPandas(lambda f: _tile(f, percent), "a long, b long"))
 
