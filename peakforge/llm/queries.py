@@ -11,6 +11,7 @@ from peakforge.llm.block_names import exact_duplicates
 from peakforge.llm.bpe import fingerprints
 from peakforge.llm.common import table
 from peakforge.llm.language_bits import predict_languages
+from peakforge.llm.line_spread import without_spread_lines
 from peakforge.llm.signature_join import near_duplicates
 from peakforge.llm.simhash_leaks import leaks
 from peakforge.llm.window_removal import remove_repeated
@@ -22,6 +23,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_spread_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_cut").alias("n_cut"),
+                      F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -50,6 +57,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op5_window_dedup": op5_window_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
@@ -74,6 +82,20 @@ ORACLE = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
         SELECT n.doc_id, n.n AS n_shingles, min(b) AS component_id, min(b) = n.doc_id AS kept
         FROM n JOIN reach ON n.doc_id = reach.a GROUP BY n.doc_id, n.n""",
+    "op3_line_dedup": r"""
+        WITH l AS (SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS raw,
+                          unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+        t AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+        wide AS (SELECT line FROM t WHERE regexp_matches(line, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]')
+                 GROUP BY line HAVING count(DISTINCT site) >= 10),
+        m AS (SELECT t.*, wide.line IS NOT NULL AS cut FROM t LEFT JOIN wide USING (line)),
+        d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (cut) AS n_cut,
+                     coalesce(2 * sum(length(line)) FILTER (cut) < sum(length(line)), false) AS yes,
+                     string_agg(raw, chr(10) ORDER BY pos) AS whole, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT cut) AS rest
+              FROM m GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_lines, 0)::INT AS n_lines, CASE WHEN yes THEN n_cut ELSE 0 END::INT AS n_cut,
+               sha256(coalesce(CASE WHEN yes THEN rest ELSE whole END, '')) AS kept_sha256
+        FROM documents LEFT JOIN d USING (doc_id)""",
     "op6_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
         i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
