@@ -14,11 +14,16 @@ from peakforge.llm.language_bits import predict_languages
 from peakforge.llm.line_spread import without_spread_lines
 from peakforge.llm.signature_join import near_duplicates
 from peakforge.llm.simhash_leaks import leaks
+from peakforge.llm.template_slots import main_text
 from peakforge.llm.window_removal import remove_repeated
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op5_window_dedup": op5_window_dedup,
