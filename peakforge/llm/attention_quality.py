@@ -199,6 +199,21 @@ def score(docs: DataFrame, model: dict | None, id_column: str = "doc_id", text:
     return docs.select(id_column, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{id_column}` {kind}, score double")
 
 
+def accepted(docs: DataFrame, model: dict | None, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text scores ``threshold`` or more; all rows without a model."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for first, after, x, starts in _bags(batch.column(batch.num_columns - 1)):
+                good[first:after] = _forward(shared.value, x, starts)["p"] >= threshold
+            yield batch.filter(pa.array(good)).select(range(batch.num_columns - 1))
+    return docs.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality",
              threshold: float = 0.7, **learning) -> DataFrame:
     """Learn from labels of rows that are not held out, score all: id, ``held_out``, ``score``, ``predicted``."""

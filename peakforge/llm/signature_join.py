@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakforge.llm.common import keep, maybe_broadcast, mix
+from peakforge.llm.common import WHITE, keep, maybe_broadcast, mix
 from peakforge.llm.components import components
 from peakforge.llm.shingles import shingle_sets
 
@@ -165,15 +165,8 @@ def _searched(live: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     return links.unionByName(tiles.groupBy("key", "i", "j").applyInPandas(lambda f: _tile(f, percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5,
-                    percent: int = 75) -> DataFrame:
-    """Components of texts linked by ``100 * |intersection| >= percent * |union|`` of their shingle sets.
-
-    One row per row of ``docs``: id, ``n_shingles``, ``component_id`` (the smallest id reachable), ``kept`` (that id is the row's own).
-    Null, empty and white texts have no shingles and are their own component; so is a row without an id among such, kept with
-    a null ``component_id``. Repeated rows share a component; equal ids with different texts are different texts. Other
-    columns are not read.
-    """
+def _labelled(docs: DataFrame, id_column: str, text: str, size: int, percent: int) -> DataFrame:
+    """(``_id``, ``th`` the hash of the text, ``n``, ``label`` of the component, ``component_id``); no label for an empty set."""
     rows = keep(_signed(docs, id_column, text, size))
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "th")).alias("first")
     classes = keep(rows.filter("n > 0").groupBy("mark").agg(first, F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -210,8 +203,43 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     of = (classes.select("c", "mark", "_id").join(labels.withColumnRenamed("node", "c"), "c", "left")
           .withColumn("label", F.coalesce("label", "c")))
     low = of.groupBy("label").agg(F.min("_id").alias("component_id"))
-    of = keep(of.join(low, "label").select("mark", "component_id"))
-    out = rows.select("_id", "n", "mark").join(of, "mark", "left")
+    of = keep(of.join(low, "label").select("mark", "label", "component_id"))
+    out = rows.select("_id", "th", "n", "mark").join(of, "mark", "left")
     component = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("_id").eqNullSafe(component).alias("kept"))
+    return out.select("_id", "th", "n", "label", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5,
+                    percent: int = 75) -> DataFrame:
+    """Components of texts linked by ``100 * |intersection| >= percent * |union|`` of their shingle sets.
+
+    One row per row of ``docs``: id, ``n_shingles``, ``component_id`` (the smallest id reachable), ``kept`` (that id is the row's own).
+    Null, empty and white texts have no shingles and are their own component; so is a row without an id among such, kept with
+    a null ``component_id``. Repeated rows share a component; equal ids with different texts are different texts. Other
+    columns are not read.
+    """
+    found = _labelled(docs, id_column, text, size, percent)
+    return found.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), "component_id",
+                        F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """One row of every component, all columns: that with the smallest id (rows without an id come last).
+
+    Texts without shingles are no copies of anything and all stay. Of rows that repeat an id and text one stays.
+    """
+    found = _labelled(docs, id_column, text, size, percent)
+    best = F.min(F.struct(F.col("_id").isNull(), "_id", "th")).alias("best")
+    chosen = keep(found.filter("n > 0").groupBy("label").agg(best).select("best._id", "best.th"))
+    body = F.col(text).cast("string")
+    keyed = docs.withColumn("_th", F.xxhash64(body))
+    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th"))
+    out = keyed.join(maybe_broadcast(chosen, 24), same, "left_semi")
+    empty = F.coalesce(F.length(F.btrim(body, F.lit(WHITE))), F.lit(0)) == 0
+    repeated = keep(keyed.filter(~empty).groupBy(F.col(id_column).alias("_r"), F.col("_th").alias("_rh")).count().filter("count > 1"))
+    if not repeated.isEmpty():
+        again = F.col(id_column).eqNullSafe(F.col("_r")) & (F.col("_th") == F.col("_rh"))
+        copies = maybe_broadcast(repeated, 24)
+        out = out.join(copies, again, "left_anti").unionByName(
+            out.join(copies, again, "left_semi").dropDuplicates([id_column, "_th"]))
+    return out.unionByName(keyed.filter(empty)).drop("_th")
