@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakforge.llm import signature_join
-from peakforge.llm.signature_join import near_duplicates
+from peakforge.llm.signature_join import first_of_each, near_duplicates
 
 
 def plain_set(text):
@@ -80,3 +80,18 @@ def test_nothing_in_common(spark):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(c), "id") for c in "abcdefgh"]).alias("text"))
     rows = near_duplicates(docs).collect()
     assert len(rows) == 50 and all(r.kept and r.n_shingles == 4 for r in rows)
+
+
+def test_first_of_each(spark):
+    texts = corpus(5, 6, 0.02)
+    rows = [*enumerate(texts), (3, texts[3]), (500, texts[7]), (600, None), (601, ""), (601, ""), (None, texts[1]), (None, "alone here")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, th string").repartition(3)
+    out = first_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    groups = {}
+    for d, n, component, _ in brute(rows):
+        groups.setdefault(component, n)
+    want = [(d, t) for d, t in dict.fromkeys(rows) if plain_set(t) and (d, True) in {(x[0], x[3]) for x in brute(rows)}]
+    want += [(600, None), (601, ""), (601, "")]
+    assert got == sorted([(d, t) for d, t in want if d is not None] + [(None, "alone here")], key=repr)
