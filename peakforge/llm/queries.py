@@ -12,6 +12,7 @@ from peakforge.llm.bpe import fingerprints
 from peakforge.llm.common import table
 from peakforge.llm.language_bits import predict_languages
 from peakforge.llm.line_spread import without_spread_lines
+from peakforge.llm.prefix_intervals import remove_repeated_bytes
 from peakforge.llm.signature_join import near_duplicates
 from peakforge.llm.simhash_leaks import leaks
 from peakforge.llm.template_slots import main_text
@@ -34,6 +35,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -64,6 +72,7 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
+    "op4_suffix_array": op4_suffix_array,
     "op5_window_dedup": op5_window_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
