@@ -29,7 +29,7 @@ def pad8(c) -> Column:
 def canonical_id(c) -> Column:
     """Numeric text such as ``18117816.0`` to an eight-digit id; NULL when it is not a number."""
     c = _col(c).cast("string")
-    return pad8(F.when(c.rlike(NUMBER), F.trim(c).try_cast("double").cast("long").cast("string")))
+    return pad8(F.when(c.rlike(NUMBER), F.trim(c).try_cast("double").try_cast("long").cast("string")))
 
 
 def capitalise(c) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakforge.functions.scalars import canonical_id, class_code, pad8, recode
@@ -61,12 +61,18 @@ def sir_counts(amr: DataFrame) -> DataFrame:
 
 
 def labelled(features: DataFrame, amr: DataFrame, antibiotic: str | None = None, classes=("R", "S")) -> DataFrame:
-    """Features joined with the letters of one antibiotic on the padded id, many-to-many, with integer labels."""
+    """Features joined with the letters of one antibiotic on the padded id, many-to-many, with integer labels.
+
+    A spectrum with several letters is several rows. ``row_id`` tells them apart: the sample id, and a number among its rows.
+    Rebalancing needs it as its ``sample_id``.
+    """
     if antibiotic is not None:
         amr = amr.filter(F.col("antibiotic") == antibiotic)
     letters = amr.filter(F.col("sir").isin(*classes)).select(
         pad8("extern_id").alias("extern_id"), *[c for c in amr.columns if c != "extern_id"])
+    number = F.row_number().over(Window.partitionBy("sample_id").orderBy(*letters.columns))
     return (features.filter(F.col("features").isNotNull())
             .withColumn("extern_id", pad8("extern_id"))
             .join(letters, "extern_id", "inner")
-            .withColumn("label", class_code("sir", classes)))
+            .withColumn("label", class_code("sir", classes))
+            .withColumn("row_id", F.concat_ws("#", F.col("sample_id").cast("string"), number)))

@@ -90,8 +90,10 @@ def run_summary(df: DataFrame, score: str = "score") -> DataFrame:
 # ---- confidence -----------------------------------------------------------------------------------------------------
 
 def confidence(predictions: DataFrame, probability: str = "probability") -> DataFrame:
-    """Largest class probability of every row."""
-    return predictions.withColumn("confidence", F.array_max(vector_to_array(probability)))
+    """Largest class probability of every row, of an array or a vector column."""
+    kind = predictions.schema[probability].dataType.typeName()
+    values = F.col(probability) if kind == "array" else vector_to_array(probability)
+    return predictions.withColumn("confidence", F.array_max(values))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:

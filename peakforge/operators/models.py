@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import (
@@ -16,7 +18,7 @@ from pyspark.ml.classification import (
     OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakforge.functions import kernels
@@ -76,10 +78,9 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", w)
 
 
-def random_forest(train: DataFrame, trees: int = 200, max_depth: int = 15, min_split: int = 10, weighted: bool = True,
-                  seed: int = 42, **_) -> Fitted:
-    est = RandomForestClassifier(**_cols(numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt",
-                                         minInstancesPerNode=max(1, min_split // 10), seed=seed))
+def random_forest(train: DataFrame, trees: int = 200, max_depth: int = 15, weighted: bool = True, seed: int = 42, **_) -> Fitted:
+    """The built-in forest has no least size of a node to split; leaves of one row are allowed."""
+    est = RandomForestClassifier(**_cols(numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed))
     if weighted:
         return _ml("random_forest", est.setWeightCol("weight"), balanced(train), weight="weight")
     return _ml("random_forest", est, train)
@@ -90,43 +91,60 @@ def knn(train: DataFrame, k: int = 5, weights: str = "distance", **_) -> Fitted:
     return Fitted("knn", lambda df: knn_classify(df, train, k, classes, weights).drop("features"))
 
 
-def adaboost(train: DataFrame, rounds: int = 100, rate: float = 0.1, seed: int = 42, **_) -> Fitted:
-    """Multi-class boosting of depth-one trees: the vote of a stump is its log odds of being right, times the rate."""
+def _tree_class(model) -> Column:
+    """The class a fitted tree predicts, as a column expression over the features array."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in model.toDebugString.splitlines()[1:] if x.strip()]
+
+    def read(at: int) -> tuple[Column, int]:
+        indent, text = lines[at]
+        if text.startswith("Predict:"):
+            return F.lit(float(text.split()[1])), at + 1
+        feature, cut = re.match(r"If \(feature (\d+) <= (\S+)\)", text).groups()
+        left, after = read(at + 1)
+        right, end = read(after + 1)  # the line between them is the tree's "Else"
+        return F.when(F.get("features", F.lit(int(feature))) <= float(cut), left).otherwise(right), end
+    return read(0)[0]
+
+
+def adaboost(train: DataFrame, rounds: int = 100, rate: float = 0.1, depth: int = 1, seed: int = 42, **_) -> Fitted:
+    """Multi-class boosting of trees of ``depth``: the vote of a tree is its log odds of being right, times the rate.
+
+    A fitted tree is a column expression, so neither the rounds nor ``predict`` stack model transforms.
+    """
     classes = sorted(class_sizes(train))
     k = len(classes)
-    state = cut_lineage(with_vector(train).select(VECTOR, F.col("label").cast("double").alias("label"),
-                                                  F.lit(1.0).alias("weight")))
-    stumps = []
+    state = cut_lineage(train.select(F.col("features").cast("array<double>").alias("features"),
+                                     F.col("label").cast("double").alias("label"), F.lit(1.0).alias("weight")))
+    trees = []
     for i in range(rounds):
-        model = DecisionTreeClassifier(**_cols(maxDepth=1, weightCol="weight", seed=seed)).fit(state)
-        miss = (F.col("prediction") != F.col("label")).cast("double")
-        judged = model.transform(state)
-        wrong, total = judged.agg(F.sum(miss * F.col("weight")), F.sum("weight")).first()
+        guess = _tree_class(DecisionTreeClassifier(**_cols(maxDepth=depth, weightCol="weight", seed=seed)).fit(
+            with_vector(state).select(VECTOR, "label", "weight")))
+        miss = (guess != F.col("label")).cast("double")
+        wrong, total = state.agg(F.sum(miss * F.col("weight")), F.sum("weight")).first()
         error = wrong / total
         if error >= 1 - 1 / k:
             break
         if error <= 0:
-            stumps.append((model, 1.0))
+            trees.append((guess, 1.0))
             break
         alpha = rate * (float(np.log((1 - error) / error)) + float(np.log(k - 1)))
-        stumps.append((model, alpha))
+        trees.append((guess, alpha))
         # Weights are kept near 1 on average, so they neither vanish nor overflow.
-        state = judged.select(VECTOR, "label", (F.col("weight") * F.exp(miss * alpha) / F.lit(
-            float((total - wrong + wrong * np.exp(alpha)) / total))).alias("weight"))
-        if i % 10 == 9:
+        state = state.withColumn("weight", F.col("weight") * F.exp(miss * alpha) / F.lit(
+            float((total - wrong + wrong * np.exp(alpha)) / total)))
+        if i % 5 == 4:
             state = cut_lineage(state)
 
     def predict(df: DataFrame) -> DataFrame:
-        out = with_vector(df).drop("prediction", "probability")
         kept = [F.col(c) for c in df.columns if c not in ("features", "prediction", "probability")]
-        votes = [F.lit(0.0)] * k
-        for i, (model, alpha) in enumerate(stumps):
-            out = model.setPredictionCol(f"_p{i}").setProbabilityCol("").setRawPredictionCol("").transform(out)
-            votes = [v + F.when(F.col(f"_p{i}") == c, alpha).otherwise(0.0) for v, c in zip(votes, classes)]
-        out = out.withColumn("_votes", F.array(*votes))
+        votes = F.array(*[F.struct(guess.alias("c"), F.lit(alpha).alias("w")) for guess, alpha in trees])
+        def of(c):
+            return F.aggregate("_cast", F.lit(0.0), lambda s, v: s + F.when(v["c"] == float(c), v["w"]).otherwise(0.0))
+        sums = F.array(*[of(c) for c in classes])
         best = F.array_position("_votes", F.array_max("_votes")).cast("int")
+        out = df.withColumn("_cast", votes if trees else F.array().cast("array<struct<c: double, w: double>>")).withColumn("_votes", sums)
         return out.select(*kept, F.get(F.array(*[F.lit(float(c)) for c in classes]), best - 1).alias("prediction"))
-    return Fitted("adaboost", predict, stumps)
+    return Fitted("adaboost", predict, trees)
 
 
 def _boosted(name: str, train: DataFrame, trees: int, depth: int, rate: float, subsample: float, columns: str,

@@ -6,8 +6,6 @@ product with Y is one matrix product per block of Y, so each X row leaves a task
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +17,9 @@ from peakforge.schema import DOUBLES
 from peakforge.session import array_lit, once
 
 
+ENTRIES = "id_x string, id_y string, k double"
+
+
 def band(mz_x: np.ndarray, mz_y: np.ndarray, t: float = 1.0, cut: float = 1e-6):
     """Non-zero diagonals of W as (offset, first row, weights)."""
     below = np.flatnonzero(np.exp(-((mz_x[0] - mz_y) ** 2) / (4.0 * t)) < cut)
@@ -64,21 +65,28 @@ def pike_pairs(pairs: DataFrame, x: DataFrame, y: DataFrame, mz, t: float = 1.0,
 
 def pike_kernel(x: DataFrame, y: DataFrame | None, mz, t: float = 1.0, cut: float = 1e-6, strategy: str = "auto",
                 block_bytes: int | None = None) -> DataFrame:
-    """One row per X spectrum and Y block: (id_x, ids_y, k). The kernel matrix is the result, so it has |X| x |Y| values."""
+    """The kernel matrix, one row per entry: (id_x, id_y, k).
+
+    A Y side that fits is broadcast; beyond that, blocks of both sides meet. Both ways give the same rows. ``pike_pairs``
+    evaluates listed pairs only.
+    """
     y = x if y is None else y
     z = pike_project(x, mz, t=t, cut=cut).select("sample_id", F.col("projected").alias("features"))
     if strategy == "auto":
         strategy = "broadcast" if B.fits(*B.shape(y)) else "blocks"
     if strategy == "broadcast":
         ids, vectors, _, _ = B.collect_matrix(y)
-        shared = x.sparkSession.sparkContext.broadcast(vectors)
-
-        @F.arrow_udf(DOUBLES)
-        def run(features: pa.Array) -> pa.Array:
-            q = kernels.to_matrix(features)
-            return kernels.from_matrix(q @ shared.value.T if len(q) else np.zeros((0, 0)))
-        names = F.from_json(F.lit(_json(ids)), "array<string>")
-        return z.select(F.col("sample_id").alias("id_x"), names.alias("ids_y"), once(run)("features").alias("k"))
+        shared = x.sparkSession.sparkContext.broadcast(([str(i) for i in ids], vectors))
+
+        def rows(batches):
+            names, columns = shared.value
+            for batch in batches:
+                q = kernels.to_matrix(batch.column(1))
+                for i, row in zip(batch.column(0).to_pylist(), q):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(columns @ row)],
+                        ["id_x", "id_y", "k"])
+        return z.select(F.col("sample_id").cast("string"), "features").mapInArrow(rows, ENTRIES)
 
     pivots = B.pick_pivots(y, "euclidean")
     lblocks = B.pack(z, pivots, "euclidean", block_bytes)
@@ -88,11 +96,7 @@ def pike_kernel(x: DataFrame, y: DataFrame | None, mz, t: float = 1.0, cut: floa
 
     def evaluate(row):
         k = B.vectors(row, "l") @ B.vectors(row, "r").T
-        names = pa.array([row["rids"].values.to_pylist()] * len(k), pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays([row["lids"].values, names, kernels.from_matrix(k)], ["id_x", "ids_y", "k"])
-    return B.join_pairs(pairs, lblocks, rblocks, "id_x string, ids_y array<string>, k array<double>", evaluate,
-                        ["ids", "data"], ["ids", "data"])
-
-
-def _json(ids) -> str:
-    return json.dumps([str(i) for i in ids])
+        left, right = row["lids"].values.to_pylist(), row["rids"].values.to_pylist()
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(left, object), len(right)), pa.string()),
+                                           pa.array(right * len(left), pa.string()), pa.array(k.ravel())], ["id_x", "id_y", "k"])
+    return B.join_pairs(pairs, lblocks, rblocks, ENTRIES, evaluate, ["ids", "data"], ["ids", "data"])

@@ -7,8 +7,9 @@ methods stand on the exact neighbour join; loops cut their lineage every round.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -230,7 +231,7 @@ def _shrunk(before: dict, after: dict) -> bool:
     return len(after) < len(before) or any(n < before[low] for c, n in after.items() if c != low)
 
 
-def repeated_edited(df: DataFrame, seed: int = SEED, k: int = 3, rounds: int = 100) -> DataFrame:
+def repeated_edited(df: DataFrame, seed: int = SEED, k: int = 3) -> DataFrame:
     """``edited`` until nothing changes, a class vanishes or another class becomes the smallest."""
     start, out = class_sizes(df), df.select(*COLUMNS)
     sizes = start
@@ -288,13 +289,14 @@ def _first_store(df: DataFrame, seed: int):
     return flagged
 
 
-def condensed(df: DataFrame, seed: int = SEED, rounds: int = 100) -> DataFrame:
+def condensed(df: DataFrame, seed: int = SEED) -> DataFrame:
     """Grow a store until its nearest row judges every left-over row right.
 
-    Each round adds a drawn half of the misjudged rows at once instead of one row after the other.
+    Each round adds a drawn half of the misjudged rows at once instead of one row after the other, and at least one, so the
+    rounds end.
     """
     state = _first_store(df, seed)
-    for i in range(rounds):
+    for i in itertools.count():
         wrong = cut_lineage(_misjudged(state.filter("not stored"), state.filter("stored"))
                             .select("sample_id", _draw(f"add{i}", seed).alias("u")))
         low = wrong.agg(F.min("u")).first()[0]
@@ -370,56 +372,49 @@ def instance_hardness(df: DataFrame, seed: int = SEED, folds: int = 5, trees: in
     return df.select(*COLUMNS).join(scored.filter(keep), "sample_id", "left_semi")
 
 
-def _centroids_by_join(rows: DataFrame, k: int, seed: int, rounds: int) -> DataFrame:
-    """Lloyd rounds with the centres kept as a table: assign by neighbour join, average per position.
+def _centroids(rows: DataFrame, k: int, seed: int, moved: float) -> DataFrame:
+    """Lloyd rounds with the centres kept as a table: assign by neighbour join, average per position, until no centre moves
+    by more than ``moved``.
 
-    A centre without rows (a copy of another one) stays where it is.
+    The first centres are the rows with the lowest draws. A centre without rows (a copy of another one) stays where it is.
+    The sum of squares falls in every round that moves a centre, so the rounds end.
     """
     centres = cut_lineage(smallest(rows.select("sample_id", "features"), [_draw("centre", seed), "sample_id"], k))
-    for _ in range(rounds):
+    while True:
         near = knn_lists(rows.select("sample_id", "features"), centres, 1, exclude_self=False)
         each = near.select(F.get("nn", F.lit(0))["id"].alias("sample_id"), F.posexplode("features").alias("i", "v"))
         mean = each.groupBy("sample_id", "i").agg(F.avg("v").alias("v")).groupBy("sample_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("_mean"))
-        centres = cut_lineage(centres.join(mean, "sample_id", "left")
-                              .select("sample_id", F.coalesce("_mean", "features").alias("features")))
-    return centres
+        step = F.aggregate(F.zip_with("features", "_mean", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, v: F.greatest(a, v))
+        new = cut_lineage(centres.join(mean, "sample_id", "left")
+                          .withColumn("_step", F.coalesce(step, F.lit(0.0)))
+                          .select("sample_id", F.coalesce("_mean", "features").alias("features"), "_step"))
+        centres = new.drop("_step")
+        if new.filter(F.col("_step") > moved).isEmpty():
+            return centres
 
 
-def cluster_centroids(df: DataFrame, seed: int = SEED, rounds: int = 20, strategy: str = "auto") -> DataFrame:
+def cluster_centroids(df: DataFrame, seed: int = SEED, moved: float = 1e-9) -> DataFrame:
     """Replace every larger class by as many k-means centres as the smallest class has rows.
 
-    Centres that the driver may hold are fitted by the built-in k-means; more of them stay a distributed table.
+    One algorithm at every size: the centres are a distributed table. Centres are numbered in the order of the rows they
+    started from.
     """
     sizes = class_sizes(df)
     low = minority(sizes)
-    k, width = sizes[low], B.shape(df)[1]
     out = df.filter(F.col("label") == low).select(*COLUMNS)
     for c in sizes:
         if c == low:
             continue
-        rows = df.filter(F.col("label") == c).select(*COLUMNS)
-        if strategy == "builtin" or (strategy == "auto" and B.fits(k, width)):
-            model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="_v").fit(
-                rows.select(array_to_vector("features").alias("_v")))
-            centres = df.sparkSession.createDataFrame(
-                [(str(i), [float(v) for v in x]) for i, x in enumerate(model.clusterCenters())],
-                "sample_id string, features array<double>")
-        else:
-            centres = _centroids_by_join(rows, k, seed, rounds)
+        centres = _centroids(df.filter(F.col("label") == c).select(*COLUMNS), sizes[low], seed, moved)
         out = out.unionByName(_typed(centres.select(F.concat(F.lit(f"centre:{c}:"), "sample_id").alias("sample_id"),
                                                     "features", F.lit(c).alias("label")), df))
     return out
 
 
-METHODS = {
-    "Original": none, "SMOTE": smote, "Undersampling": random_under, "SMOTEENN": smote_edited,
-    "Oversampling": random_over, "ADASYN": adasyn, "SVMSmote": svm_smote, "BorderlineSmote": borderline_smote,
-    "ClusterCentroids": cluster_centroids, "CondensedNearestNeighbours": condensed, "EditedNearestNeighbours": edited,
-    "RepeatedEditedNearestNeighbours": repeated_edited, "AllKNN": all_knn,
-    "InstanceHardnessThreshold": instance_hardness, "NearMiss": near_miss,
-    "NeighbourhoodCleaningRule": neighbourhood_cleaning, "OneSidedSelection": one_sided, "TomekLinks": tomek,
-}
+METHODS = {method.__name__: method for method in (
+    adasyn, all_knn, borderline_smote, cluster_centroids, condensed, edited, instance_hardness, near_miss,
+    neighbourhood_cleaning, none, one_sided, random_over, random_under, repeated_edited, smote, smote_edited, svm_smote, tomek)}
 
 
 def resample(train: DataFrame, method: str, seed: int = SEED, **params) -> DataFrame:

@@ -194,10 +194,10 @@ def _stage_kernels():
         s = y.sum(axis=1, keepdims=True)
         return np.where(s != 0, y / np.where(s == 0, 1.0, s), np.nan)
     return [
-        ("Variance Stabilized", np.sqrt),
-        ("Smoothed", lambda y: kernels.smooth(y, 10, 3)),
-        ("Baseline Corrected", lambda y: y - kernels.snip_baseline(y, 10)),
-        ("Normalized", normalise),
+        ("sqrt", np.sqrt),
+        ("smooth", lambda y: kernels.smooth(y, 10, 3)),
+        ("snip", lambda y: y - kernels.snip_baseline(y, 10)),
+        ("tic", normalise),
     ]
 
 
@@ -255,14 +255,14 @@ def trace_steps(df: DataFrame) -> DataFrame:
     def run(mz: pa.Array, y: pa.Array) -> pa.Array:
         names, xs, ys, sizes = [], [], [], []
         for a, b in _rows(mz, y):
-            steps = [("Original Spectrum", a, b)]
+            steps = [("raw", a, b)]
             for name, fn in _stage_kernels():
                 done = fn(steps[-1][2][None, :])
                 if done is None:
                     break
                 steps.append((name, a, done[0]))
             else:
-                steps.append(("Trimmed", *_trimmed(a, steps[-1][2])))
+                steps.append(("trim", *_trimmed(a, steps[-1][2])))
             sizes.append(len(steps))
             for name, u, v in steps:
                 names.append(name)

@@ -89,7 +89,7 @@ def rfecv(df: DataFrame, step: float = 0.1, folds: int = 5, min_features: int =
     return eliminate(data, best), scores
 
 
-def train_and_evaluate(train: DataFrame, test: DataFrame, model: str, method: str = "Original", names=None,
+def train_and_evaluate(train: DataFrame, test: DataFrame, model: str, method: str = "none", names=None,
                        seed: int = 42, **params) -> DataFrame:
     """One result row: rebalance the training side, fit, score the untouched test side."""
     fitted = fit(model, cut_lineage(resample(train, method, seed)), **params)
@@ -97,7 +97,7 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, model: str, method: st
         F.lit(method).alias("method"), F.lit(model).alias("model"), "*")
 
 
-def compare(train: DataFrame, test: DataFrame, models: dict, methods=("Original",), names=None, seed: int = 42) -> DataFrame:
+def compare(train: DataFrame, test: DataFrame, models: dict, methods=("none",), names=None, seed: int = 42) -> DataFrame:
     """Result rows of every method and model; ``models`` maps a model name to its parameters."""
     rows = []
     for method in methods:

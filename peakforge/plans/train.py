@@ -13,10 +13,10 @@ from peakforge.operators.resample import split
 from peakforge.session import cut_lineage
 
 
-def train_and_compare(features: DataFrame, amr: DataFrame, antibiotic: str, models: dict, methods=("Original",),
+def train_and_compare(features: DataFrame, amr: DataFrame, antibiotic: str, models: dict, methods=("none",),
                       test: float = 0.35, seed: int = 42) -> DataFrame:
     """Result row per method and model for one antibiotic (R against S)."""
-    rows = labelled(features, amr, antibiotic).select("sample_id", "features", "label")
+    rows = labelled(features, amr, antibiotic).select(F.col("row_id").alias("sample_id"), "features", "label")
     train, held = split(cut_lineage(rows), test, seed)
     return tuning.compare(train, held, models, methods, seed=seed)
 
@@ -29,7 +29,6 @@ def line_up(train: DataFrame, test: DataFrame, models: dict, **elimination) -> D
 
 def confidence_report(train: DataFrame, test: DataFrame, thresholds=(0.75,), bins: int = 30, **params):
     """(scores, histogram of the confidence, reject rates) of the logistic model."""
-    scored = cut_lineage(fit("logistic", train, **params).predict(test)
-                         .withColumn("confidence", F.array_max("probability")))
+    scored = cut_lineage(metrics.confidence(fit("logistic", train, **params).predict(test)))
     return (metrics.evaluate(scored), metrics.histogram(scored, "confidence", bins),
             metrics.reject_curve(scored, thresholds))

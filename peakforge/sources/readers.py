@@ -50,7 +50,7 @@ def scan_spectra(spark: SparkSession, root: str, years=None, species=None) -> Da
         files = files.filter(F.col("year").isin(list(years)))
     if species is not None:
         files = files.filter(F.concat_ws(" ", "genus", "species").isin(list(species)))
-    acqu = files.filter(F.col("part") == "acqu").select("path", F.decode("content", "UTF-8").alias("acqu"))
+    acqu = files.filter(F.col("part") == "acqu").select("path", F.decode("content", "ISO-8859-1").alias("acqu"))
     fid = files.filter(F.col("part") == "fid").drop("part").withColumnRenamed("content", "fid")
     return (acqu.join(fid, "path", "inner")
             .withColumn("label", F.concat_ws("_", "genus", "species", "extern_id")))

@@ -55,9 +55,9 @@ def column(spark, values, expression):
 
 
 def test_ids(spark):
-    raw = ["1", "12345678", "123456789", "18117816.0", "abc", None, " 7 ", "1e3", "nan", "5d"]
+    raw = ["1", "12345678", "123456789", "18117816.0", "abc", None, " 7 ", "1e3", "nan", "5d", "1e30"]
     assert column(spark, raw, canonical_id("v")) == ["00000001", "12345678", "123456789", "18117816", None, None, "00000007",
-                                                     "00001000", None, None]
+                                                     "00001000", None, None, None]
     assert column(spark, ["1", "123456789"], pad8("v")) == ["00000001", "123456789"]
 
 

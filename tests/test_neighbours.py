@@ -104,11 +104,11 @@ def test_peak_kernel(points, strategy):
     data = sorted(rows(points))
     want = kernel(np.array([r[1] for r in data]), mz, 1.5)
     at = {r[0]: i for i, r in enumerate(data)}
-    n = 0
-    for r in pike.pike_kernel(points, None, mz, t=1.5, strategy=strategy, block_bytes=16 * 48).collect():
-        assert np.allclose(r["k"], want[at[r["id_x"]], [at[j] for j in r["ids_y"]]])
-        n += len(r["k"])
-    assert n == want.size
+    out = pike.pike_kernel(points, None, mz, t=1.5, strategy=strategy, block_bytes=16 * 48)
+    assert out.columns == ["id_x", "id_y", "k"]
+    entries = {(r["id_x"], r["id_y"]): r["k"] for r in out.collect()}
+    assert len(entries) == want.size
+    assert all(np.isclose(k, want[at[i], at[j]]) for (i, j), k in entries.items())
     assert np.abs(want - want.T).max() < 1e-4
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from peakforge.operators.spectra import MASS_TABLE, MASS_TABLE_LITERAL
+
 SEED = 42
 
 
@@ -203,9 +205,7 @@ def unnested(source: str) -> str:
     return f"(SELECT spectrum_id, unnest(mz) AS mz, unnest(y) AS y FROM {source})"
 
 
-EDGES = [2000, 2050, 2100, 2250, 2300] + list(range(2500, 6501, 250)) + [7000, 7250, 7500] + list(range(8000, 10001, 250)) + [
-    10500, 11000, 11500, 12000] + list(range(12250, 19751, 250))
-EDGES_LITERAL = [1250 if e == 12250 else e for e in EDGES]
+EDGES, EDGES_LITERAL = MASS_TABLE, MASS_TABLE_LITERAL
 
 
 def ranges_cte(edges) -> str:
@@ -412,6 +412,10 @@ ORACLE = {
     "labelled": f"""WITH {AMR} SELECT CAST(vec_id AS VARCHAR) AS sample_id, extern_id, o_orderkey, sir,
         CASE sir WHEN 'R' THEN 0 ELSE 1 END AS label, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]), 6) AS total
         FROM embeddings JOIN amr ON extern_id = {pad8('vec_id')} WHERE antibiotic = '1-URGENT' AND sir IN ('R', 'S')""",
+    **{f"joined_{m}_sizes": f"""WITH {AMR}, s AS (SELECT CASE sir WHEN 'R' THEN 0 ELSE 1 END AS label, count(*) AS n
+        FROM embeddings JOIN amr ON extern_id = {pad8('vec_id')} WHERE sir IN ('R', 'S') GROUP BY 1)
+        SELECT label, (SELECT {f}(n) FROM s) AS n, (SELECT {f}(n) FROM s) AS n_ids FROM s"""
+       for m, f in (("random_over", "max"), ("random_under", "min"), ("smote", "max"))},
     "class_distribution": f"WITH {AMR} SELECT sir, count(*) AS count FROM amr GROUP BY sir",
     "evaluate": f"""WITH {SCORES} SELECT round((SELECT sum(n) FILTER (l = p) / sum(n) FROM c), 6) AS accuracy,
         {', '.join(f"round(max({e}) FILTER (cls = {i}), 6) AS {n}_{c}" for i, c in ((0, 'R'), (1, 'S')) for e, n in (('pr', 'precision'), ('re', 'recall'), ('f1', 'f1')))} FROM m""",
@@ -449,7 +453,7 @@ ORACLE = {
     "jitter_uniform": spectrum_rows(f"""p AS (SELECT spectrum_id, unnest(range(64)) AS i, unnest(mz) AS mz, unnest(y) AS y FROM spectra),
         done AS (SELECT spectrum_id, list(mz + 1.5 * (2 * {u('spectrum_id', 'CAST(i AS VARCHAR)', "'42'")} - 1) ORDER BY i) AS mz,
                  list(y ORDER BY i) AS y FROM p GROUP BY spectrum_id)"""),
-    "resample_grid": spectrum_rows(regrid("spectra", "done", 100)),
+    "resample_grid": spectrum_rows(regrid("spectra", "done", 1000)),
     "bin_equal": as_filled(binned(unnested("spectra"), EQUAL, 6000, where="mz <= 20000"), SPECTRA),
     "bin_log": as_filled(log_binned(unnested("spectra")), f"{SPECTRA}, {log_edges_cte(100)}"),
     "bin_table": as_filled(table_binned(unnested("spectra")), f"{SPECTRA}, {ranges_cte(EDGES)}"),
@@ -458,16 +462,16 @@ ORACLE = {
         SELECT spectrum_id AS sample_id, CAST({EQUAL} AS BIGINT) AS pos, round(sum(y), 8) AS value
         FROM {unnested('t5')} GROUP BY ALL) WHERE value <> 0""",
     "resampled_chain": spectrum_rows(", ".join([
-        root("spectra", "a0"), regrid("a0", "a1", 100), TAPS_CTE, smooth("a1", "b0"), regrid("b0", "b1", 100),
-        snip("b1", "c0"), regrid("c0", "c1", 100), tic("c1", "d0"), regrid("d0", "d1", 100), trim("d1", "e0"),
-        regrid("e0", "done", 100)]), digits=8),
-    "trace_steps": f"""WITH {SPECTRA}, {STANDARD}, steps AS ({' UNION ALL '.join(f"SELECT spectrum_id, CAST({i} AS INTEGER) AS step_no, '{n}' AS step, mz, y FROM {t}" for i, (n, t) in enumerate([('Original Spectrum', 'spectra'), ('Variance Stabilized', 't1'), ('Smoothed', 't2'), ('Baseline Corrected', 't3'), ('Normalized', 't4'), ('Trimmed', 't5')]))})
+        root("spectra", "a0"), regrid("a0", "a1", 1000), TAPS_CTE, smooth("a1", "b0"), regrid("b0", "b1", 1000),
+        snip("b1", "c0"), regrid("c0", "c1", 1000), tic("c1", "d0"), regrid("d0", "d1", 1000), trim("d1", "e0"),
+        regrid("e0", "done", 1000)]), digits=8),
+    "trace_steps": f"""WITH {SPECTRA}, {STANDARD}, steps AS ({' UNION ALL '.join(f"SELECT spectrum_id, CAST({i} AS INTEGER) AS step_no, '{n}' AS step, mz, y FROM {t}" for i, (n, t) in enumerate([('raw', 'spectra'), ('sqrt', 't1'), ('smooth', 't2'), ('snip', 't3'), ('tic', 't4'), ('trim', 't5')]))})
         SELECT spectrum_id, step_no, step, CAST(pos AS BIGINT) AS pos, round(mz, 6) AS mz, round(y, 6) AS intensity FROM (
         SELECT spectrum_id, step_no, step, unnest(range(len(mz))) AS pos, unnest(mz) AS mz, unnest(y) AS y FROM steps)""",
-    "before_after": f"""WITH {SPECTRA}, {STANDARD}, {regrid('spectra', 'raw', 100)}, {regrid('t5', 'ready', 100)},
+    "before_after": f"""WITH {SPECTRA}, {STANDARD}, {regrid('spectra', 'raw', 1000)}, {regrid('t5', 'ready', 1000)},
         both_stages AS (SELECT spectrum_id, 'raw' AS stage, y FROM raw UNION ALL SELECT spectrum_id, 'preprocessed', y FROM ready)
         SELECT spectrum_id, stage, CAST(pos AS BIGINT) AS pos, round(v, 6) AS intensity FROM (
-        SELECT spectrum_id, stage, unnest(range(100)) AS pos, unnest(y) AS v FROM both_stages)""",
+        SELECT spectrum_id, stage, unnest(range(1000)) AS pos, unnest(y) AS v FROM both_stages)""",
     "sequential_steps": spectrum_rows(", ".join([root("spectra", "a1"), snip("a1", "a2"), tic("a2", "a3"), trim("a3", "a4", 3000, 19000),
         """p AS (SELECT spectrum_id, unnest(range(len(mz))) AS i, unnest(mz) AS mz, unnest(y) AS y FROM a4),
         q AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY y DESC, i) AS n FROM p),

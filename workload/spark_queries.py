@@ -242,6 +242,17 @@ def labelled(spark, sf):
                        _r(F.aggregate("features", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
 
+def _joined_sizes(method):
+    """Class sizes after rebalancing the rows of a join in which samples have several letters."""
+    def run(spark, sf):
+        rows = amr.labelled(V.features(spark, sf).drop("label", "group"), V.amr(spark, sf))
+        rows = cut_lineage(rows.select(F.col("row_id").alias("sample_id"), "features", "label"))
+        out = resample.resample(rows, method)
+        return out.groupBy(F.col("label").cast("int").alias("label")).agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("n_ids"))
+    return run
+
+
 def class_distribution(spark, sf):
     return metrics.class_distribution(V.amr(spark, sf), "sir")
 
@@ -286,7 +297,7 @@ def reject_curve(spark, sf):
 
 def append_results(spark, sf):
     """Score rows of two prediction sets in one table with a column only one of them has."""
-    a = evaluate(spark, sf).withColumn("method", F.lit("Original"))
+    a = evaluate(spark, sf).withColumn("method", F.lit("none"))
     b = macro_f1(spark, sf).withColumn("method", F.lit("Macro"))
     return metrics.append_results(a.select("method", "accuracy"), b)
 
@@ -318,7 +329,7 @@ def standard_features(spark, sf):
 
 
 def resampled_chain(spark, sf):
-    return _long(V.spectra(spark, sf).transform(S.resampled_chain(100)), 8)
+    return _long(V.spectra(spark, sf).transform(S.resampled_chain(1000)), 8)
 
 
 def trace_steps(spark, sf):
@@ -329,7 +340,7 @@ def trace_steps(spark, sf):
 
 
 def before_after(spark, sf):
-    rows = S.before_after(V.spectra(spark, sf), 100)
+    rows = S.before_after(V.spectra(spark, sf), 1000)
     return rows.select("spectrum_id", "stage", F.posexplode("intensity").alias("pos", "v")).select(
         "spectrum_id", "stage", F.col("pos").cast("bigint").alias("pos"), _r("v").alias("intensity"))
 
@@ -440,8 +451,7 @@ def pike_kernel(spark, sf):
             .groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("features"))
             .select(F.concat(F.lit("g"), F.col("group")).alias("sample_id"), "features"))
     out = pike.pike_kernel(rows, mean, [2000 + 281.25 * i for i in range(64)], t=1e4)
-    return out.select("id_x", F.explode(F.arrays_zip("ids_y", "k")).alias("p")).select(
-        "id_x", F.col("p.ids_y").alias("id_y"), _r("p.k", 9).alias("k"))
+    return out.select("id_x", "id_y", _r("k", 9).alias("k"))
 
 
 # ---- split and rebalancing ------------------------------------------------------------------------------------------
@@ -475,12 +485,12 @@ def grid_search_three_classes(spark, sf):
 def compare_methods(spark, sf):
     train_side, test_side = _split(spark, sf)
     return tuning.compare(train_side, test_side, {"logistic": {}, "knn": {}},
-                          ("Original", "SMOTE", "Undersampling", "TomekLinks"))
+                          ("none", "smote", "random_under", "tomek"))
 
 
 def rfecv_scores(spark, sf):
     train_side, _ = _split(spark, sf)
-    return tuning.rfecv(train_side, step=0.3, folds=2, min_features=16, trees=10)[1]
+    return tuning.rfecv(train_side, min_features=16)[1]
 
 
 def line_up(spark, sf):
@@ -527,6 +537,7 @@ QUERIES = {
     "canonical_ids": canonical_ids, "recode_letters": recode_letters, "amr_long": amr_long,
     "amr_long_by_origin": amr_long_by_origin, "complete_cases": complete_cases, "sir_counts": sir_counts,
     "labelled": labelled, "class_distribution": class_distribution,
+    **{f"joined_{m}_sizes": _joined_sizes(m) for m in ("random_over", "random_under", "smote")},
     # scores
     "evaluate": evaluate, "per_class": per_class, "macro_f1": macro_f1, "prediction_dump": prediction_dump,
     "run_summary": run_summary, "histogram": histogram, "reject_curve": reject_curve, "append_results": append_results,
@@ -541,7 +552,7 @@ QUERIES = {
     "filter_peaks": _spectrum_query(S.filter_peaks(top=8, min_intensity=700.0)),
     "jitter_normal": _spectrum_query(S.jitter_normal()), "jitter_uniform": _spectrum_query(S.jitter_uniform()),
     "persistence": _spectrum_query(S.persistence()), "persistence_peaks": _spectrum_query(S.persistence(False)),
-    "resample_grid": _spectrum_query(S.resample_grid(100)),
+    "resample_grid": _spectrum_query(S.resample_grid(1000)),
     "bin_equal": lambda spark, sf: _filled(spark, sf, S.bin_equal()),
     "bin_log": lambda spark, sf: _filled(spark, sf, S.bin_log()),
     "bin_table": lambda spark, sf: _filled(spark, sf, S.bin_table()),
@@ -563,24 +574,24 @@ QUERIES = {
     "mean_silhouette": mean_silhouette, "squared_silhouette": squared_silhouette, "pike_kernel": pike_kernel,
     # split and rebalancing
     "split_stratified": split_stratified, "split_plain": split_plain,
-    "resample_none": _resampled("Original"), "random_under": _resampled("Undersampling"),
-    "random_over": _resampled_vectors("Oversampling"), "smote": _resampled_vectors("SMOTE"),
-    "adasyn": _resampled_vectors("ADASYN"), "borderline_smote": _resampled_vectors("BorderlineSmote"),
-    "svm_smote": _resampled_vectors("SVMSmote"), "edited": _resampled("EditedNearestNeighbours"),
-    "repeated_edited": _resampled("RepeatedEditedNearestNeighbours"), "all_knn": _resampled("AllKNN"),
-    "smote_edited": _resampled("SMOTEENN"), "tomek": _resampled("TomekLinks"),
-    "condensed": _resampled("CondensedNearestNeighbours"), "one_sided": _resampled("OneSidedSelection"),
-    "neighbourhood_cleaning": _resampled("NeighbourhoodCleaningRule"), "near_miss": _resampled("NearMiss"),
-    "instance_hardness": _resampled("InstanceHardnessThreshold", trees=20),
-    "cluster_centroids": _resampled("ClusterCentroids"),
+    "resample_none": _resampled("none"), "random_under": _resampled("random_under"),
+    "random_over": _resampled_vectors("random_over"), "smote": _resampled_vectors("smote"),
+    "adasyn": _resampled_vectors("adasyn"), "borderline_smote": _resampled_vectors("borderline_smote"),
+    "svm_smote": _resampled_vectors("svm_smote"), "edited": _resampled("edited"),
+    "repeated_edited": _resampled("repeated_edited"), "all_knn": _resampled("all_knn"),
+    "smote_edited": _resampled("smote_edited"), "tomek": _resampled("tomek"),
+    "condensed": _resampled("condensed"), "one_sided": _resampled("one_sided"),
+    "neighbourhood_cleaning": _resampled("neighbourhood_cleaning"), "near_miss": _resampled("near_miss"),
+    "instance_hardness": _resampled("instance_hardness"),
+    "cluster_centroids": _resampled_vectors("cluster_centroids"),
     # models
-    "model_logistic": _model("logistic"), "model_random_forest": _model("random_forest", trees=20),
-    "model_knn": _model("knn"), "model_adaboost": _model("adaboost", rounds=5),
-    "model_gradient_boosting": _model("gradient_boosting", trees=10),
+    "model_logistic": _model("logistic"), "model_random_forest": _model("random_forest"),
+    "model_knn": _model("knn"), "model_adaboost": _model("adaboost"),
+    "model_gradient_boosting": _model("gradient_boosting"),
     "model_xgboost_like": _model("xgboost_like", trees=10, subsample=0.8, columns="0.8"),
-    "model_lightgbm_like": _model("lightgbm_like", trees=5), "model_extra_trees": _model("extra_trees", trees=20, max_depth=10),
+    "model_lightgbm_like": _model("lightgbm_like", trees=5), "model_extra_trees": _model("extra_trees"),
     "model_svm_rbf": _model("svm"), "model_svm_linear": _model("svm", kernel="linear", C=1.0),
-    "model_gaussian_bayes": _model("gaussian_bayes"), "model_decision_tree": _model("decision_tree", max_depth=10),
+    "model_gaussian_bayes": _model("gaussian_bayes"), "model_decision_tree": _model("decision_tree"),
     "model_neural_net": _model("neural_net"),
     "grid_search": grid_search, "grid_search_three_classes": grid_search_three_classes, "compare_methods": compare_methods,
     "rfecv_scores": rfecv_scores, "line_up": line_up, "confidence_report": confidence_report,
