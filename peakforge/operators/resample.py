@@ -232,26 +232,33 @@ def _shrunk(before: dict, after: dict) -> bool:
 
 
 def repeated_edited(df: DataFrame, seed: int = SEED, k: int = 3) -> DataFrame:
-    """``edited`` until nothing changes, a class vanishes or another class becomes the smallest."""
-    start, out = class_sizes(df), df.select(*COLUMNS)
-    sizes = start
-    for _ in range(rounds):
-        out = cut_lineage(edited(out, k=k))
-        new = class_sizes(out)
-        done = sum(new.values()) == sum(sizes.values()) or _shrunk(start, new)
+    """``edited`` until nothing changes, or until the next round would lose a class or make another class the smallest.
+
+    That round is not taken: the rows of the round before it are returned. Every round but the last drops a row.
+    """
+    out = cut_lineage(df.select(*COLUMNS))
+    start = sizes = class_sizes(out)
+    while True:
+        after = cut_lineage(edited(out, k=k))
+        new = class_sizes(after)
+        if _shrunk(start, new):
+            return out
+        out = after
+        if new == sizes:
+            return out
         sizes = new
-        if done:
-            break
-    return out
 
 
 def all_knn(df: DataFrame, seed: int = SEED, k: int = 3) -> DataFrame:
-    """``edited`` with 1, 2, ... k neighbours in turn, same stop rules."""
-    start, out = class_sizes(df), df.select(*COLUMNS)
+    """``edited`` with 1, 2, ... k neighbours in turn; a round that would lose a class or make another class the smallest is
+    not taken and ends the rounds."""
+    out = cut_lineage(df.select(*COLUMNS))
+    start = class_sizes(out)
     for i in range(1, k + 1):
-        out = cut_lineage(edited(out, k=i))
-        if _shrunk(start, class_sizes(out)):
+        after = cut_lineage(edited(out, k=i))
+        if _shrunk(start, class_sizes(after)):
             break
+        out = after
     return out
 
 

@@ -266,6 +266,18 @@ def edited(target: str, source: str, k: int = 3, everything: bool = False) -> st
 IDS = "SELECT sample_id, CAST(label AS INTEGER) AS label FROM "
 
 
+def rounds_of_editing(rows: str, ks) -> str:
+    """The last round in which the larger class (1) is not below the smaller one (0); rounds after stability change nothing."""
+    names = ["pts"] + [f"e{i}" for i in range(1, len(ks) + 1)]
+    steps = ", ".join(edited(names[i + 1], names[i], k) for i, k in enumerate(ks))
+
+    def size(name, label):
+        return f"(SELECT count(*) FROM {name} WHERE label = {label})"
+    parts = [f"SELECT * FROM {n} WHERE {size(n, 1)} >= {size('pts', 0)}"
+             + (f" AND {size(names[i + 1], 1)} < {size('pts', 0)}" if i < len(ks) else "") for i, n in enumerate(names)]
+    return f"WITH {rows}, {steps} {IDS} ({' UNION ALL '.join(parts)})"
+
+
 CELLS = "cells AS (SELECT sample_id, label, unnest(range(len(f))) AS feature, unnest(f) AS v FROM pts)"
 
 SMOTE = ROWS + f""",
@@ -539,12 +551,8 @@ ORACLE = {
         {labelled_vectors('o')}""",
     "smote": f"WITH {SMOTE} " + labelled_vectors("smoted"),
     "edited": f"WITH {ROWS}, {edited('e', 'pts')} {IDS} e",
-    "all_knn": f"WITH {ROWS}, {edited('e1', 'pts', 1)}, {edited('e2', 'e1', 2)}, {edited('e3', 'e2', 3)} {IDS} " + """(
-        SELECT * FROM e3 WHERE (SELECT count(*) FROM e1 WHERE label = 1) >= (SELECT count(*) FROM pts WHERE label = 0)
-          AND (SELECT count(*) FROM e2 WHERE label = 1) >= (SELECT count(*) FROM pts WHERE label = 0)
-        UNION ALL SELECT * FROM e2 WHERE (SELECT count(*) FROM e1 WHERE label = 1) >= (SELECT count(*) FROM pts WHERE label = 0)
-          AND (SELECT count(*) FROM e2 WHERE label = 1) < (SELECT count(*) FROM pts WHERE label = 0)
-        UNION ALL SELECT * FROM e1 WHERE (SELECT count(*) FROM e1 WHERE label = 1) < (SELECT count(*) FROM pts WHERE label = 0))""",
+    **{f"{name}{rare}": rounds_of_editing(ROWS.replace("label < 3", "label < 1") if rare else ROWS, ks)
+       for rare in ("", "_rare") for name, ks in (("all_knn", (1, 2, 3)), ("repeated_edited", (3,) * 12))},
     "smote_edited": f"WITH {SMOTE}, {edited('e', 'smoted', 3, True)} {IDS} e",
     "tomek": f"""WITH {ROWS}, {near('nn', 'pts', 'pts', 1)}, gone AS (SELECT a.src FROM nn a JOIN nn b ON a.dst = b.src AND b.dst = a.src
         WHERE a.label <> a.dst_label AND a.label = 1) {IDS} pts WHERE sample_id NOT IN (SELECT src FROM gone)""",

@@ -242,6 +242,14 @@ def labelled(spark, sf):
                        _r(F.aggregate("features", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
 
+def _rare(method):
+    """Rebalancing of one group against all others, on which several rounds run before a stop rule ends them."""
+    def run(spark, sf):
+        rows = V.features(spark, sf).select("sample_id", "features", F.when(F.col("group") < 1, 0).otherwise(1).alias("label"))
+        return _ids(resample.resample(rows, method))
+    return run
+
+
 def _joined_sizes(method):
     """Class sizes after rebalancing the rows of a join in which samples have several letters."""
     def run(spark, sf):
@@ -579,6 +587,7 @@ QUERIES = {
     "adasyn": _resampled_vectors("adasyn"), "borderline_smote": _resampled_vectors("borderline_smote"),
     "svm_smote": _resampled_vectors("svm_smote"), "edited": _resampled("edited"),
     "repeated_edited": _resampled("repeated_edited"), "all_knn": _resampled("all_knn"),
+    "repeated_edited_rare": _rare("repeated_edited"), "all_knn_rare": _rare("all_knn"),
     "smote_edited": _resampled("smote_edited"), "tomek": _resampled("tomek"),
     "condensed": _resampled("condensed"), "one_sided": _resampled("one_sided"),
     "neighbourhood_cleaning": _resampled("neighbourhood_cleaning"), "near_miss": _resampled("near_miss"),
