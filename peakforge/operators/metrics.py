@@ -7,7 +7,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakforge.session import cut_lineage
 
 
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
@@ -129,8 +128,3 @@ def append_results(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     return out
-
-
-def settle(table: DataFrame) -> DataFrame:
-    """Fix a small result table so that a later union does not fit its models again."""
-    return cut_lineage(table)

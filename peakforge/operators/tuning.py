@@ -13,13 +13,19 @@ from peakforge.functions.scalars import hash_uniform
 from peakforge.operators import metrics
 from peakforge.operators.features import take_features
 from peakforge.operators.models import Fitted, VECTOR, fit, with_vector
+from peakforge.operators.ranking import ranked
 from peakforge.operators.resample import resample
 from peakforge.session import cut_lineage
 
 
 def with_folds(df: DataFrame, folds: int, seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", F.floor(
-        hash_uniform(F.col("sample_id"), F.lit("cv"), F.lit(seed)) * folds).cast("int"))
+    """Add ``fold``: the rows of every class, in the order of their draws, dealt to the folds in turn.
+
+    So every fold has its share of every class, within one row. ``sample_id`` must be unique.
+    """
+    draw = hash_uniform(F.col("sample_id"), F.lit("cv"), F.lit(seed))
+    dealt = ranked(df.select("sample_id", "label", draw.alias("_u")), ["_u", "sample_id"], by="label")
+    return df.join(dealt.select("sample_id", (F.col("rank") % folds).cast("int").alias("fold")), "sample_id")
 
 
 def expand(grid: dict) -> list[dict]:
@@ -28,7 +34,7 @@ def expand(grid: dict) -> list[dict]:
 
 
 def grid_search(train: DataFrame, model: str, grid: dict, folds: int = 3, seed: int = 42) -> tuple[DataFrame, dict, Fitted]:
-    """(scores, best parameters, model refitted on all rows) by mean macro F1 over hash folds.
+    """(scores, best parameters, model refitted on all rows) by mean macro F1 over stratified folds.
 
     ``scores`` has a row per parameter set and fold. The folds of a parameter set are scored on the cluster; the grid is
     walked by the driver, as the learners themselves are distributed.

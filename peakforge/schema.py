@@ -6,52 +6,10 @@ DOUBLES = T.ArrayType(T.DoubleType())
 
 SPECTRUM = T.StructType([T.StructField("mz", DOUBLES), T.StructField("intensity", DOUBLES)])
 
-SPECTRA = T.StructType([
-    T.StructField("spectrum_id", T.StringType()),
-    T.StructField("mz", T.ArrayType(T.DoubleType())),
-    T.StructField("intensity", T.ArrayType(T.DoubleType())),
-])
-
-MATCHES = T.ArrayType(T.StructType([
-    T.StructField("pattern", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-]))
-
-ANALYTES = T.StructType([
-    T.StructField("extern_id", T.StringType()),
-    T.StructField("target_position", T.StringType()),
-    T.StructField("matches", MATCHES),
-])
-
-CATALOG = T.StructType([
-    T.StructField("dataset", T.StringType()),
-    T.StructField("year", T.IntegerType()),
-    T.StructField("genus", T.StringType()),
-    T.StructField("species", T.StringType()),
-    T.StructField("extern_id", T.StringType()),
-    T.StructField("messung", T.StringType()),
-    T.StructField("target_position", T.StringType()),
-    T.StructField("replicate", T.StringType()),
-    T.StructField("path", T.StringType()),
-])
-
 YEARLY_LABELS = T.StructType([
     T.StructField("code", T.StringType()),
     T.StructField("species", T.StringType()),
 ])
 
-AMR_LONG = T.StructType([
-    T.StructField("extern_id", T.StringType()),
-    T.StructField("origin", T.StringType()),
-    T.StructField("antibiotic", T.StringType()),
-    T.StructField("sir", T.StringType()),
-])
-
-FEATURES = T.StructType([
-    T.StructField("sample_id", T.StringType()),
-    T.StructField("extern_id", T.StringType()),
-    T.StructField("features", T.ArrayType(T.DoubleType())),
-])
-
 # Class codes of the susceptibility letters.
 CLASS_CODES = {"R": 0, "S": 1, "I": 2}

@@ -554,6 +554,8 @@ ORACLE = {
     **{f"{name}{rare}": rounds_of_editing(ROWS.replace("label < 3", "label < 1") if rare else ROWS, ks)
        for rare in ("", "_rare") for name, ks in (("all_knn", (1, 2, 3)), ("repeated_edited", (3,) * 12))},
     "smote_edited": f"WITH {SMOTE}, {edited('e', 'smoted', 3, True)} {IDS} e",
+    "stratified_folds": f"""WITH {ROWS} SELECT sample_id, CAST(label AS INTEGER) AS label, CAST((row_number() OVER (PARTITION BY label
+        ORDER BY {u('sample_id', "'cv'", "'42'")}, sample_id) - 1) % 5 AS INTEGER) AS fold FROM pts""",
     "tomek": f"""WITH {ROWS}, {near('nn', 'pts', 'pts', 1)}, gone AS (SELECT a.src FROM nn a JOIN nn b ON a.dst = b.src AND b.dst = a.src
         WHERE a.label <> a.dst_label AND a.label = 1) {IDS} pts WHERE sample_id NOT IN (SELECT src FROM gone)""",
     "neighbourhood_cleaning": f"""WITH {ROWS}, {near('nn', 'pts', 'pts', 3)}, bad AS (SELECT src, label FROM nn GROUP BY ALL

@@ -476,6 +476,10 @@ def split_plain(spark, sf):
 
 # ---- models ---------------------------------------------------------------------------------------------------------
 
+def stratified_folds(spark, sf):
+    return tuning.with_folds(_labelled(spark, sf), 5).select("sample_id", F.col("label").cast("int").alias("label"), "fold")
+
+
 def grid_search(spark, sf):
     train_side, _ = _split(spark, sf)
     scores, _, _ = tuning.grid_search(train_side, "logistic", {"C": [0.1, 1.0, 10.0]})
@@ -602,7 +606,7 @@ QUERIES = {
     "model_svm_rbf": _model("svm"), "model_svm_linear": _model("svm", kernel="linear", C=1.0),
     "model_gaussian_bayes": _model("gaussian_bayes"), "model_decision_tree": _model("decision_tree"),
     "model_neural_net": _model("neural_net"),
-    "grid_search": grid_search, "grid_search_three_classes": grid_search_three_classes, "compare_methods": compare_methods,
+    "stratified_folds": stratified_folds, "grid_search": grid_search, "grid_search_three_classes": grid_search_three_classes, "compare_methods": compare_methods,
     "rfecv_scores": rfecv_scores, "line_up": line_up, "confidence_report": confidence_report,
     "confidence_histogram": confidence_histogram, "projection_sweep": projection_sweep, "embedding_sweep": embedding_sweep,
 }
