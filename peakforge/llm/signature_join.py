@@ -155,14 +155,40 @@ def _searched(live: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
              .select(F.col("c_a").alias("a"), F.col("c").alias("b")).distinct())
     links = _confirmed(pairs, classes, sets, percent)
 
+    long = sized.filter(F.col("size") > SHORT)
+    if long.isEmpty():
+        return links
+    grouped = _together(long)
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK_TEXTS, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    placed = (sized.filter(F.col("size") > SHORT).withColumn("blocks", blocks)
+    placed = (grouped.withColumn("blocks", blocks)
               .withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1),
                                                       lambda x: (x != F.col("own")) | (F.col("blocks") == 1))))
-              .select("key", "c", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+              .select("group", "c", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
     tiles = placed.join(sets.select("c", "members"), "c")
-    return links.unionByName(tiles.groupBy("key", "i", "j").applyInPandas(lambda f: _tile(f, percent), "a long, b long"))
+    return links.unionByName(tiles.groupBy("group", "i", "j").applyInPandas(lambda f: _tile(f, percent), "a long, b long"))
+
+
+def _together(long: DataFrame) -> DataFrame:
+    """Rows (``group``, c, label, size, total) within which all pairs are compared, from long keys.
+
+    Copies of one text share dozens of keys with nearly the same members. Keys connected by members are searched as one group if
+    that takes fewer pairs than key by key; either way every pair under a key is compared.
+    """
+    keys = keep(long.select("key").distinct().withColumn("node", -1 - F.monotonically_increasing_id()))
+    graph = long.join(keys, "key").select(F.col("c").alias("a"), F.col("node").alias("b"))
+    cluster = components(graph).select(F.col("node").alias("c"), F.col("label").alias("cluster"))
+    member = keep(long.join(cluster, "c"))
+    once = member.select("cluster", "c", "n", "label").distinct()
+    whole = once.groupBy("cluster").agg(F.count(F.lit(1)).alias("union"), F.sum("n").alias("union_total"))
+    whole = keep(member.groupBy("cluster").agg(F.sum("size").alias("pairs")).join(whole, "cluster"))
+    merged = F.col("union") * F.col("union") <= F.col("pairs")
+    one = (once.join(whole.filter(merged), "cluster")
+           .select(F.concat(F.lit("c"), "cluster").alias("group"), "c", "label", F.col("union").alias("size"),
+                   F.col("union_total").alias("total")))
+    each = (member.join(whole.filter(~merged).select("cluster"), "cluster")
+            .select(F.concat(F.lit("k"), "key").alias("group"), "c", "label", "size", "total"))
+    return one.unionByName(each)
 
 
 def _labelled(docs: DataFrame, id_column: str, text: str, size: int, percent: int) -> DataFrame:
@@ -230,10 +256,11 @@ def first_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     """
     found = _labelled(docs, id_column, text, size, percent)
     best = F.min(F.struct(F.col("_id").isNull(), "_id", "th")).alias("best")
-    chosen = keep(found.filter("n > 0").groupBy("label").agg(best).select("best._id", "best.th"))
+    chosen = keep(found.filter("n > 0").groupBy("label").agg(best)
+                  .select(F.col("best._id").alias("_keep_id"), F.col("best.th").alias("_keep_th")))
     body = F.col(text).cast("string")
     keyed = docs.withColumn("_th", F.xxhash64(body))
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th"))
+    same = F.col(id_column).eqNullSafe(F.col("_keep_id")) & (F.col("_th") == F.col("_keep_th"))
     out = keyed.join(maybe_broadcast(chosen, 24), same, "left_semi")
     empty = F.coalesce(F.length(F.btrim(body, F.lit(WHITE))), F.lit(0)) == 0
     repeated = keep(keyed.filter(~empty).groupBy(F.col(id_column).alias("_r"), F.col("_th").alias("_rh")).count().filter("count > 1"))
