@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 NONE = 1 << 62
 PLACE = (1 << 32) - 1
 # Pieces whose ids a worker remembers, twice: at the bound the older half goes.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 # Longer texts are cut for memory where no piece of the pattern can run across.
 LONG = 1 << 20
 SAFE_CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
