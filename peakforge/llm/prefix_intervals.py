@@ -27,7 +27,7 @@ from peakforge.llm.window_removal import _by_text, _groups, _keyed, _later, _spr
 LENGTH = 50
 GRAM = 18
 PART_BYTES = 24 << 20  # bytes of text whose keys one part compares
-PIECE_BYTES = 4 << 20  # bytes of pieces that one part compares
+PIECE_BYTES = 1 << 20  # bytes of pieces that one part compares: a transform takes some hundred times that in memory
 BROADCAST_BYTES = 64 << 20
 
 
@@ -138,21 +138,31 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
 # ---- pieces ------------------------------------------------------------------------------------------------------------
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by their first ``depth`` codes at least, by prefix doubling. Codes are positive; 0 ends a string."""
+    """Positions sorted by their first ``depth`` codes at least: by seven codes at once, then by prefix doubling.
+
+    Codes are positive and below 512; 0 ends a string, and nothing beyond it counts.
+    """
     n = len(codes)
-    rank, span = codes.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while span < min(depth, n):
+    key, alive = codes.astype(np.int64), codes > 0
+    for j in range(1, 7):
         ahead = np.zeros(n, np.int64)
-        ahead[:n - span] = rank[span:]
-        ahead[rank_ends(codes, span)] = 0
-        key = rank * (n + 300) + ahead  # a rank is a code (at most 256) or at most n
-        order = np.argsort(key, kind="stable")
+        if j < n:
+            ahead[:n - j] = codes[j:]
+        ahead[~alive] = 0
+        alive &= ahead > 0
+        key = key << 9 | ahead
+    order, span = np.argsort(key, kind="stable"), 7
+    while span < min(depth, n):
         ordered = key[order]
         new = np.ones(n, np.int64)
         new[1:] = ordered[1:] != ordered[:-1]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
+        ahead = np.zeros(n, np.int64)
+        ahead[:n - span] = rank[span:]
+        ahead[rank_ends(codes, span)] = 0
+        key = rank * (n + 1) + ahead
+        order = np.argsort(key, kind="stable")
         span *= 2
     return order
 
@@ -193,10 +203,12 @@ def equal_classes(strings: list[bytes], length: int) -> tuple[np.ndarray, np.nda
         member, owner, code = member[ahead], owner[ahead], code[ahead].astype(np.int64)
         if not len(member):
             break
-        # Within one interval, members with one code map to neighbouring suffixes: first and last give the new interval.
+        # Within one interval, members with one code map to neighbouring suffixes in their order: the first and the last
+        # give the new interval.
         target = first[code] + rank[member]
-        by = np.lexsort((target, code, owner))
-        edges = _groups(owner[by], code[by])
+        pair = owner * 512 + code
+        by = np.argsort(pair, kind="stable")
+        edges = _groups(pair[by])
         low = target[by][edges]
         high = target[by][np.concatenate([edges[1:], [len(by)]]) - 1] + 1
         fresh = border[high] < 0
