@@ -1,7 +1,7 @@
 """Repeated passages by Rabin-Karp hashes of every window of 50 words.
 
 Every window of every text is hashed. A map task sorts the hashes of its batch and sends, for each distinct one, the row with the
-smallest id: hash ranges go to parts, packed as arrays (about ten bytes a window). A part compares the smallest ids of
+smallest id: hash ranges go to parts, packed as arrays (about ten bytes a window, and the ids of its texts per part). A part compares the smallest ids of
 all batches. Windows that also start in a text with a smaller id come back as positions, overlapping windows merge into
 maximal runs, and the runs leave the text. A window that a third of all texts share is sent once per batch.
 """
@@ -46,6 +46,14 @@ def _windows(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(hashes), np.concatenate(texts), np.concatenate(places)
 
 
+def _slices(batches, limit: int = 12 << 20):
+    """Batches of about ``limit`` bytes of text (the third column) at most; one longer text is a batch of its own."""
+    for batch in batches:
+        _, offsets = bytes_of(batch.column(2))
+        for first, after in chunks(offsets, limit):
+            yield batch.slice(first, after - first)
+
+
 def _groups(*keys: np.ndarray) -> np.ndarray:
     """Where a new group begins in sorted keys."""
     new = np.ones(len(keys[0]), bool)
@@ -72,12 +80,36 @@ def _by_text(texts: np.ndarray, places: np.ndarray):
         yield int(texts[a]), places[a:b].tobytes()
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers: the first, and the steps in six bytes each if all of them fit."""
+    steps = np.diff(values)
+    if len(steps) and int(steps.max()) >= 1 << 48:
+        return b"8" + values.tobytes()
+    return b"6" + values[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if data[:1] == b"8":
+        return np.frombuffer(data, np.uint64, offset=1)
+    steps = np.frombuffer(data, np.uint8, offset=9).reshape(-1, 6)
+    wide = np.zeros((len(steps) + 1, 8), np.uint8)
+    wide[1:, :6] = steps
+    values = wide.view(np.uint64).ravel()
+    values[0] = np.frombuffer(data, np.uint64, 1, 1)[0]
+    return np.cumsum(values, dtype=np.uint64)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Two bytes a number if all of them fit, else four."""
+    return values.astype(np.uint16 if not len(values) or int(values.max()) < 1 << 16 else np.uint32).tobytes()
+
+
 PACKED = "part int, ids binary, marks binary, hashes binary, texts binary, places binary"
 
 
 def _pack(parts: int, window: int):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             ids, marks = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             hashes, texts, places = _windows(batch.column(2), window)
             order = np.lexsort((places, texts, ids[texts], hashes))
@@ -94,8 +126,8 @@ def _pack(parts: int, window: int):
                 span = slice(cuts[p], cuts[p + 1])
                 used, number = np.unique(texts[span], return_inverse=True)
                 kind = np.uint16 if len(used) < 1 << 16 else np.uint32
-                rows.append((int(p), ids[used].tobytes(), marks[used].tobytes(), hashes[span].tobytes(),
-                             number.astype(kind).tobytes(), places[span].tobytes()))
+                rows.append((int(p), ids[used].tobytes(), marks[used].tobytes(), pack_sorted(hashes[span]),
+                             number.astype(kind).tobytes(), _narrow(places[span])))
             for at in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows[at:at + 64]), [pa.int32(), *[pa.binary()] * 5])],
@@ -114,10 +146,11 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
             continue
         ids.append(own)
         marks.append(np.frombuffer(r.marks, np.int64))
-        hashes.append(np.frombuffer(r.hashes, np.uint64))
+        hashes.append(unpack_sorted(r.hashes))
         kind = np.uint16 if len(own) < 1 << 16 else np.uint32
         texts.append(np.frombuffer(r.texts, kind).astype(np.int32) + base)
-        places.append(np.frombuffer(r.places, np.int32))
+        narrow = len(r.places) == 2 * len(texts[-1])
+        places.append(np.frombuffer(r.places, np.uint16 if narrow else np.uint32).astype(np.int32))
         base += len(own)
     if hashes:
         ids, marks, hashes, texts, places = (np.concatenate(x) for x in (ids, marks, hashes, texts, places))
@@ -135,7 +168,7 @@ def _keyed(docs: DataFrame, id_column: str, text: str) -> list:
 
 def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW,
                      part_bytes: int = PART_BYTES) -> DataFrame:
-    """(``_id``, ``_mark``, ``places``): per text, first words of windows that also start under a smaller id.
+    """(``_id``, ``_mark``, ``runs``): per text, first words of windows that also start under a smaller id, as runs of them.
 
     Of equal windows inside one text the first is named. ``_mark`` is the hash of the text, so that rows which repeat an id with
     another text stay apart.
@@ -144,7 +177,20 @@ def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     parts = int(max(8, -(-total // part_bytes)))
     packed = docs.select(*_keyed(docs, id_column, text)).mapInArrow(_pack(parts, window), PACKED)
     found = packed.groupBy("part").applyInPandas(_compare, "id long, mark long, places binary")
-    return found.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list("places").alias("places"))
+    found = found.groupBy("id", "mark").agg(F.collect_list("places").alias("places"))
+    return found.mapInArrow(_runs, "_id long, _mark long, runs binary")
+
+
+def _runs(batches):
+    """Places of all parts, as runs of neighbours (first place, number)."""
+    for batch in batches:
+        out = []
+        for parts in batch.column(2).to_pylist():
+            places = np.unique(np.concatenate([np.frombuffer(p, np.int32) for p in parts]))
+            at = np.flatnonzero(np.concatenate([[True], np.diff(places) != 1]))
+            size = np.diff(np.concatenate([at, [len(places)]]))
+            out.append(np.stack([places[at], size], 1).astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["_id", "_mark", "runs"])
 
 
 def _covered(n: int, first: np.ndarray, size: int) -> np.ndarray:
@@ -165,31 +211,31 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     are not read.
     """
     found = keep(repeated_windows(docs, id_column, text, window, part_bytes))
-    size = found.agg(F.sum(F.aggregate("places", F.lit(0), lambda s, p: s + F.octet_length(p) + 32))).first()[0] or 0
+    size = found.agg(F.sum(F.octet_length("runs") + 32)).first()[0] or 0
     found = F.broadcast(found) if size <= SMALL_BYTES else found
     kind = docs.schema[id_column].dataType.simpleString()
     joined = (docs.select(F.col(id_column).alias("_own"), *_keyed(docs, id_column, text))
-              .join(found, ["_id", "_mark"], "left").select("_own", "_text", "places"))
+              .join(found, ["_id", "_mark"], "left").select("_own", "_text", "runs"))
 
     def run(batches):
         for batch in batches:
-            n_words, n_removed, runs, texts = [], [], [], []
-            for t, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            n_words, n_removed, gone_runs, texts = [], [], [], []
+            for t, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = (t or "").encode().split()
                 removed = np.zeros(len(raw), bool)
-                if places:
-                    first = np.concatenate([np.frombuffer(p, np.int32) for p in places])
+                if runs:
+                    first = _spread(*np.frombuffer(runs, np.int32).reshape(-1, 2).T)
                     hashes, _, _ = _windows(pa.array([t]), window)
                     removed = _covered(len(raw), np.flatnonzero(np.isin(hashes, hashes[first])), window)
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], removed, [False]]).astype(np.int8)))
                 n_words.append(len(raw))
                 n_removed.append(int(removed.sum()))
-                runs.append([{"first": int(a), "n": int(b - a)} for a, b in zip(edge[::2], edge[1::2])])
-                left = raw if not places else [w for w, gone in zip(raw, removed) if not gone]
+                gone_runs.append([{"first": int(a), "n": int(b - a)} for a, b in zip(edge[::2], edge[1::2])])
+                left = raw if not runs else [w for w, gone in zip(raw, removed) if not gone]
                 texts.append(b" ".join(left).decode())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                 pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))), pa.array(texts, pa.string())],
+                 pa.array(gone_runs, pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))), pa.array(texts, pa.string())],
                 [id_column, "n_words", "n_removed", "removed", "kept_text"])
     return joined.mapInArrow(run, f"`{id_column}` {kind}, n_words long, n_removed long, "
                                   "removed array<struct<first: long, n: long>>, kept_text string")
