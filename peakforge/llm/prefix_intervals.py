@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakforge.llm.common import _BYTE_WEIGHT, bytes_of, chunks, keep, window_hashes
-from peakforge.llm.window_removal import _by_text, _groups, _keyed, _later, _spread
+from peakforge.llm.window_removal import _by_text, _groups, _keyed, _later, _slices, _spread
 
 LENGTH = 50
 GRAM = 18
@@ -88,7 +88,7 @@ def _pack(parts: int, length: int, gram: int):
     kinds = [pa.int32(), *[pa.binary()] * 5]
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             ids, marks = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             keys, texts, places, *_ = runs(batch.column(2), length, gram)
             order = np.lexsort((texts, ids[texts], keys))
@@ -286,7 +286,7 @@ def _cut(parts: int, length: int, gram: int):
     names = [f.split()[0] for f in PIECES.split(", ")]
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             ids, marks = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             keys, texts, places, counts, data, offsets = runs(batch.column(2), length, gram)
             wanted = np.zeros(len(keys), bool)
