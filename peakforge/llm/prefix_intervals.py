@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakforge.llm.common import _BYTE_WEIGHT, bytes_of, chunks, keep, window_hashes
-from peakforge.llm.window_removal import _by_text, _groups, _keyed, _later, _slices, _spread
+from peakforge.llm.window_removal import (
+    REPLY, _by_text, _groups, _keyed, _later, _slices, _spread, bucketed, merged)
 
 LENGTH = 50
 GRAM = 18
@@ -113,7 +114,7 @@ def _pack(parts: int, length: int, gram: int):
     return run
 
 
-def _compare(frame: pd.DataFrame) -> pd.DataFrame:
+def _compare(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Of one part's keys: the places of those that several texts have."""
     out, ids, marks, keys, texts, places, base = [], [], [], [], [], [], 0
     for r in frame.itertuples(index=False):
@@ -132,7 +133,13 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((ids[texts], keys))
         found = order[_shared(keys[order], ids[texts[order]])]
         out += [(int(ids[t]), int(marks[t]), p) for t, p in _by_text(texts[found], places[found])]
-    return pd.DataFrame(out, columns=["id", "mark", "places"])
+    return bucketed(out, buckets)
+
+
+def _listed(frame: pd.DataFrame) -> pd.DataFrame:
+    """Places of all parts, one row per text."""
+    return pd.DataFrame([(i, mark, places.astype(np.int32).tobytes()) for i, mark, places in merged(frame)],
+                        columns=["_id", "_mark", "places"])
 
 
 # ---- pieces ------------------------------------------------------------------------------------------------------------
@@ -227,7 +234,7 @@ def _collapse(strings: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, codes[order]
 
 
-def _matched(frame: pd.DataFrame, length: int) -> pd.DataFrame:
+def _matched(frame: pd.DataFrame, length: int) -> list:
     """Spans of one part's pieces whose windows also start under a smaller id."""
     out = []
     done = frame["piece"].isna().to_numpy()
@@ -235,7 +242,7 @@ def _matched(frame: pd.DataFrame, length: int) -> pd.DataFrame:
         out.append((r.id, r.mark, r.spans))
     frame = frame[~done]
     if not len(frame):
-        return pd.DataFrame(out, columns=["id", "mark", "spans"])
+        return out
     ids, marks, keys, places = (frame[c].to_numpy() for c in ("id", "mark", "key", "place"))
     pieces = frame["piece"].to_numpy()
     order, number = _collapse(pieces, ids)
@@ -274,7 +281,7 @@ def _matched(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     edges = _groups(ids[who], marks[who]) if len(who) else []
     for a, b in zip(edges, [*edges[1:], len(who)]):
         out.append((int(ids[who[a]]), int(marks[who[a]]), np.stack([starts[a:b], ends[a:b]], 1).astype(np.int32).tobytes()))
-    return pd.DataFrame(out, columns=["id", "mark", "spans"])
+    return out
 
 
 PIECES = "part int, id long, mark long, key long, place int, piece binary, spans binary"
@@ -294,7 +301,7 @@ def _cut(parts: int, length: int, gram: int):
             for i, found in enumerate(batch.column(3).to_pylist()):
                 if found and edges[i] < edges[i + 1]:
                     span = slice(edges[i], edges[i + 1])
-                    known = np.concatenate([np.frombuffer(p, np.int32) for p in found])
+                    known = np.frombuffer(found, np.int32)
                     own = keys[span][np.searchsorted(places[span], known)]
                     wanted[span] = np.isin(keys[span], own)
             keys, texts, places, counts = keys[wanted], texts[wanted], places[wanted], counts[wanted]
@@ -320,27 +327,34 @@ def _cut(parts: int, length: int, gram: int):
     return run
 
 
-def _payload(df: DataFrame, column: str) -> int:
-    """Bytes in a column of lists of binaries."""
-    return df.agg(F.sum(F.aggregate(column, F.lit(0), lambda s, p: s + F.octet_length(p) + 16))).first()[0] or 0
-
-
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM,
                    part_bytes: int = PART_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(``_id``, ``_mark``, ``spans``): per text, byte ranges made of strings that also start under a smaller id."""
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    parts = int(max(8, -(-total // part_bytes)))
+    parts = buckets = int(max(8, -(-total // part_bytes)))
     keyed = docs.select(*_keyed(docs, id_column, text))
     found = (keyed.mapInArrow(_pack(parts, length, gram), PACKED).groupBy("part")
-             .applyInPandas(_compare, "id long, mark long, places binary"))
-    found = keep(found.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list("places").alias("places")))
-    size = _payload(found, "places")
+             .applyInPandas(lambda f: _compare(f, buckets), REPLY))
+    found = keep(found.groupBy("bucket").applyInPandas(_listed, "_id long, _mark long, places binary"))
+    size = found.agg(F.sum(F.octet_length("places") + 32)).first()[0] or 0
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found
     parts = int(max(8, -(-size // 4 * (length + 20) // piece_bytes)))  # four bytes a place
     pieces = (keyed.join(found, ["_id", "_mark"]).select("_id", "_mark", "_text", "places")
               .mapInArrow(_cut(parts, length, gram), PIECES))
-    spans = pieces.groupBy("part").applyInPandas(lambda f: _matched(f, length), "id long, mark long, spans binary")
-    return spans.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list("spans").alias("spans"))
+    spans = pieces.groupBy("part").applyInPandas(lambda f: bucketed(_matched(f, length), buckets), REPLY)
+    return spans.groupBy("bucket").applyInPandas(_spans, "_id long, _mark long, spans binary")
+
+
+def _spans(frame: pd.DataFrame) -> pd.DataFrame:
+    """Ranges of all parts, one row per text: its maximal runs (first byte, end)."""
+    found: dict = {}
+    for r in frame.itertuples(index=False):
+        sizes = np.frombuffer(r.sizes, np.int32)
+        cuts = np.concatenate([[0], np.cumsum(sizes)]) * 4
+        for i, mark, a, b in zip(np.frombuffer(r.ids, np.int64), np.frombuffer(r.marks, np.int64), cuts, cuts[1:]):
+            found.setdefault((int(i), int(mark)), []).append(r.places[a:b])
+    return pd.DataFrame([(i, mark, _union(parts).astype(np.int32).tobytes()) for (i, mark), parts in found.items()],
+                        columns=["_id", "_mark", "spans"])
 
 
 def _union(parts: list[bytes]) -> np.ndarray:
@@ -363,7 +377,8 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text: str
     bytes from one another; a row without an id comes after all others. Other columns are not read.
     """
     found = keep(repeated_spans(docs, id_column, text, length, gram, part_bytes, piece_bytes))
-    found = F.broadcast(found) if _payload(found, "spans") <= BROADCAST_BYTES else found
+    size = found.agg(F.sum(F.octet_length("spans") + 32)).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_BYTES else found
     kind = docs.schema[id_column].dataType.simpleString()
     joined = (docs.select(F.col(id_column).alias("_own"), *_keyed(docs, id_column, text))
               .join(found, ["_id", "_mark"], "left").select("_own", "_text", "spans"))
@@ -374,7 +389,7 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text: str
             for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = (t or "").encode()
                 sizes.append(len(raw))
-                cut = _union(spans) if spans else np.zeros((0, 2), np.int64)
+                cut = np.frombuffer(spans or b"", np.int32).reshape(-1, 2)
                 gone.append([{"first": int(a), "n": int(b - a)} for a, b in cut])
                 edges = [0, *cut.ravel().tolist(), len(raw)]
                 left.append(b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2])]))

@@ -135,7 +135,39 @@ def _pack(parts: int, window: int):
     return run
 
 
-def _compare(frame: pd.DataFrame) -> pd.DataFrame:
+REPLY = "bucket int, ids binary, marks binary, sizes binary, places binary"
+
+
+def bucketed(found: list, buckets: int) -> pd.DataFrame:
+    """Replies (id, mark, places) of one part, packed by buckets of texts: not a row per text and part."""
+    packed: dict = {}
+    for i, mark, places in found:
+        ids, marks, sizes, body = packed.setdefault(mark % buckets, ([], [], [], []))
+        ids.append(i)
+        marks.append(mark)
+        sizes.append(len(places) // 4)
+        body.append(places)
+    return pd.DataFrame([(b, np.array(i, np.int64).tobytes(), np.array(m, np.int64).tobytes(), np.array(s, np.int32).tobytes(), b"".join(p))
+                         for b, (i, m, s, p) in packed.items()], columns=["bucket", "ids", "marks", "sizes", "places"])
+
+
+def merged(frame: pd.DataFrame):
+    """(id, mark, ascending places) of every text of one bucket."""
+    ids, marks, places = [], [], []
+    for r in frame.itertuples(index=False):
+        sizes = np.frombuffer(r.sizes, np.int32)
+        ids.append(np.repeat(np.frombuffer(r.ids, np.int64), sizes))
+        marks.append(np.repeat(np.frombuffer(r.marks, np.int64), sizes))
+        places.append(np.frombuffer(r.places, np.int32))
+    ids, marks, places = (np.concatenate(x) for x in (ids, marks, places))
+    order = np.lexsort((places, marks, ids))
+    ids, marks, places = ids[order], marks[order], places[order]
+    edges = _groups(ids, marks) if len(ids) else []
+    for a, b in zip(edges, [*edges[1:], len(ids)]):
+        yield int(ids[a]), int(marks[a]), np.unique(places[a:b])
+
+
+def _compare(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Windows of one part that also start under a smaller id."""
     out = []
     ids, marks, hashes, texts, places, base = [], [], [], [], [], 0
@@ -158,7 +190,7 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
         late = _later(hashes[order], ids[texts[order]])
         found = order[late]
         out += [(int(ids[t]), int(marks[t]), p) for t, p in _by_text(texts[found], places[found])]
-    return pd.DataFrame(out, columns=["id", "mark", "places"])
+    return bucketed(out, buckets)
 
 
 def _keyed(docs: DataFrame, id_column: str, text: str) -> list:
@@ -176,21 +208,18 @@ def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     parts = int(max(8, -(-total // part_bytes)))
     packed = docs.select(*_keyed(docs, id_column, text)).mapInArrow(_pack(parts, window), PACKED)
-    found = packed.groupBy("part").applyInPandas(_compare, "id long, mark long, places binary")
-    found = found.groupBy("id", "mark").agg(F.collect_list("places").alias("places"))
-    return found.mapInArrow(_runs, "_id long, _mark long, runs binary")
+    found = packed.groupBy("part").applyInPandas(lambda f: _compare(f, parts), REPLY)
+    return found.groupBy("bucket").applyInPandas(_runs, "_id long, _mark long, runs binary")
 
 
-def _runs(batches):
+def _runs(frame: pd.DataFrame) -> pd.DataFrame:
     """Places of all parts, as runs of neighbours (first place, number)."""
-    for batch in batches:
-        out = []
-        for parts in batch.column(2).to_pylist():
-            places = np.unique(np.concatenate([np.frombuffer(p, np.int32) for p in parts]))
-            at = np.flatnonzero(np.concatenate([[True], np.diff(places) != 1]))
-            size = np.diff(np.concatenate([at, [len(places)]]))
-            out.append(np.stack([places[at], size], 1).astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["_id", "_mark", "runs"])
+    out = []
+    for i, mark, places in merged(frame):
+        at = np.flatnonzero(np.concatenate([[True], np.diff(places) != 1]))
+        size = np.diff(np.concatenate([at, [len(places)]]))
+        out.append((i, mark, np.stack([places[at], size], 1).astype(np.int32).tobytes()))
+    return pd.DataFrame(out, columns=["_id", "_mark", "runs"])
 
 
 def _covered(n: int, first: np.ndarray, size: int) -> np.ndarray:
