@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakforge.functions.scalars import hash_uniform
-from peakforge.operators import blocks as B
 from peakforge.operators.neighbours import knn_lists
 from peakforge.operators.ranking import lowest, quantile, ranked, smallest
 from peakforge.session import cut_lineage
