@@ -13,7 +13,6 @@ agree in 50 bytes: the classes of equal windows. Longer prefixes are never compu
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
