@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from peakforge.llm.common import _BYTE_WEIGHT, bytes_of, chunks, keep, window_hashes
 from peakforge.llm.window_removal import (
-    REPLY, _by_text, _groups, _keyed, _later, _slices, _spread, bucketed, merged)
+    REPLY, SMALL_CHUNK, _by_text, _groups, _keyed, _later, _slices, _spread, bucketed, merged)
 
 LENGTH = 50
 GRAM = 18
@@ -45,7 +45,7 @@ def runs(column: pa.Array, length: int, gram: int) -> tuple[np.ndarray, np.ndarr
     """Key, text number, first window and number of windows of every run; and the bytes with offsets, flattened last."""
     data, offsets = bytes_of(column)
     out = [[], [], [], []]
-    for first, after in chunks(offsets):
+    for first, after in chunks(offsets, SMALL_CHUNK):
         own = offsets[first:after + 1]
         counts = np.maximum(np.diff(own) - length + 1, 0)
         if not counts.any():

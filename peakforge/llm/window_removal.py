@@ -18,6 +18,7 @@ from peakforge.llm.common import SMALL_BYTES, bytes_of, chunks, keep, window_has
 
 WINDOW = 50
 PART_BYTES = 24 << 20  # bytes of text whose windows one part compares
+SMALL_CHUNK = 1 << 18  # bytes of text hashed at a time: the arrays stay in a core's cache, and small
 NO_ID = 2**63 - 1  # rows without an id come after all others
 
 
@@ -30,7 +31,7 @@ def _windows(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.
     """Hash, text number and first word of every window of a batch of texts."""
     data, offsets = bytes_of(column)
     hashes, texts, places = [], [], []
-    for first, after in chunks(offsets):
+    for first, after in chunks(offsets, SMALL_CHUNK):
         own = offsets[first:after + 1]
         part = data[own[0]:own[-1]]
         starts, ends, of = words(part, own - own[0])
@@ -46,7 +47,7 @@ def _windows(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(hashes), np.concatenate(texts), np.concatenate(places)
 
 
-def _slices(batches, limit: int = 12 << 20):
+def _slices(batches, limit: int = 4 << 20):
     """Batches of about ``limit`` bytes of text (the third column) at most; one longer text is a batch of its own."""
     for batch in batches:
         _, offsets = bytes_of(batch.column(2))
