@@ -26,7 +26,7 @@ from peakforge.llm.window_removal import (
 LENGTH = 50
 GRAM = 18
 PART_BYTES = 24 << 20  # bytes of text whose keys one part compares
-PIECE_BYTES = 1 << 20  # bytes of pieces that one part compares: a transform takes some hundred times that in memory
+PIECE_BYTES = 1 << 19  # bytes of pieces that one part compares: a transform takes some hundred times that in memory
 BROADCAST_BYTES = 64 << 20
 
 
