@@ -18,6 +18,7 @@ from peakforge.llm.common import SMALL_BYTES, bytes_of, chunks, keep, window_has
 
 WINDOW = 50
 PART_BYTES = 24 << 20  # bytes of text whose windows one part compares
+BATCH_ROWS = "2000"
 SMALL_CHUNK = 1 << 18  # bytes of text hashed at a time: the arrays stay in a core's cache, and small
 NO_ID = 2**63 - 1  # rows without an id come after all others
 
@@ -195,6 +196,8 @@ def _compare(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
 
 
 def _keyed(docs: DataFrame, id_column: str, text: str) -> list:
+    # Texts go to Python in smaller batches than usual: they are cut to slices there anyway, and a batch is held twice.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     body = F.col(text).cast("string")
     return [F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(body).alias("_mark"), body.alias("_text")]
 
