@@ -7,7 +7,8 @@ at least half of a host's pages form an equivalence class; classes are valid if
 and they nest by paths. The gaps between a template's tokens are its slots. Text nodes that belong to the template are no
 content; of the slots, the one that holds most of the other text is the article, and is extracted from every page.
 
-Elements that never hold an article (menus, forms, scripts, adverts, ...) hold no slot.
+Elements that never hold an article (menus, forms, scripts, ...) hold no slot. Nor do elements whose class, id or role names
+something beside it (adverts, sidebars, ...), unless they turn out to hold the article: see ``_Page.settle``.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}, "body": {"head"}}
 ARTICLE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}  # their ids are anchors
+STATES = {"has", "no", "with", "without"}  # has-sidebar says what a wrapper is laid out for, not what it is
 # Words in class, id and role that name what is not the article.
 SIDE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner",
         "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside", "footer", "masthead", "topbar",
@@ -55,47 +58,103 @@ def _hash(*parts) -> int:
     return xxhash.xxh64_intdigest("\0".join(map(str, parts))) - (1 << 63)
 
 
-def _aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element cannot hold article text, and the name by which pages of a host tell it from others."""
+def _aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, str, str]:
+    """Whether an element cannot hold article text; how its words mark it as beside the article ("side", "slug" or not at all);
+    and the name by which pages of a host tell it from others. A slug is a section's id of several words."""
     if tag in OUT or tag == "header" and not in_article:
-        return True, tag
-    name = tag
+        return True, "", tag
+    name, mark = tag, ""
     if attributes:
         for key, *values in NAMES.findall(attributes):
             key, value = key.lower(), next((v for v in values if v), "")
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return True, tag
+                return True, "", tag
             if key == "style":
                 if re.search(r"display\s*:\s*none", value, re.I):
-                    return True, tag
+                    return True, "", tag
                 continue
-            words = {w.lower() for w in PART.findall(value)}
-            if words & SIDE and tag not in ("html", "body") or "header" in words and not in_article and tag not in ("html", "body", "h1"):
-                return True, tag
+            if tag not in ("html", "body") and not (key == "id" and tag in HEADINGS):
+                words = set()
+                for part in value.split():
+                    found = {w.lower() for w in PART.findall(part)}
+                    words |= set() if found & STATES else found
+                if words & SIDE or "header" in words and not in_article and tag != "h1":
+                    mark = "slug" if key == "id" and tag == "section" and words - SIDE and mark != "side" else "side"
             if key == "class" and tag not in INLINE:
                 name = f"{tag}.{re.sub('[0-9]+', '', value.split()[0]) if value.split() else ''}"
-    return False, name
+    return False, mark, name
 
 
 class _Page:
     """Blocks of one page in order, each with the paths of the elements around it; and the counts of its tokens."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, slot: int = 0):
         self.blocks: list[tuple[str, tuple[int, ...]]] = []
         self.nodes: dict[int, list] = {}  # path: [parent, name, times, characters]
         self.article: int | None = None  # the first article or main element
-        self.stack: list[tuple[str, str, int, bool]] = []  # tag, name, path, aside
-        self.parts: list[str] = []
+        self.stack: list[tuple[str, str, int, bool, tuple[int, ...]]] = []  # tag, name, path, aside, marked elements around
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
         self.at: tuple[int, ...] = ()
+        self.read: list[tuple[list, tuple[int, ...]]] = []  # parts of a block, paths
+        self.opened: list[tuple[str, str, int, int, tuple[int, ...]]] = []  # tag, name, path, parent, marked elements around
+        self.marked: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = []  # mark or article tag; those around it; paths around it
         self._read(text)
+        self.settle(slot)
+
+    def settle(self, slot: int) -> None:
+        """Drop the elements that are marked, and count what is left.
+
+        A marked element stays if it holds the host's slot, a main element or more than half of the text: of the article
+        element, if one is outside all marked elements, else of the page. Without one outside, it also stays around the largest
+        article element that has half as much text as is outside. A slug marks no section inside the article.
+        """
+        sides = {i for i, (mark, *_) in enumerate(self.marked) if mark in ("side", "slug")}
+        out: set[int] = set()
+        if sides:
+            size, free, total = [0] * len(self.marked), 0, 0
+            for parts, _ in self.read:
+                for words, around in parts:
+                    n = len(words.strip())
+                    total += n
+                    free += 0 if any(i in sides for i in around) else n
+                    for i in around:
+                        size[i] += n
+            articles = [i for i in range(len(self.marked)) if i not in sides]
+            scope = next((i for i in articles if not sides.intersection(self.marked[i][1])), None)
+            whole = total if scope is None else size[scope]
+            stay = {i for i in sides if 2 * size[i] > whole and (scope is None or scope in self.marked[i][1])}
+            for i in articles:
+                if self.marked[i][0] == "main":
+                    stay.update(self.marked[i][1])
+            if scope is None and articles:
+                best = max(articles, key=lambda i: (size[i], -i))
+                if 2 * size[best] >= free:
+                    stay.update(self.marked[best][1])
+            if slot:
+                for _, _, path, _, around in self.opened:
+                    if path == slot:
+                        stay.update(around)
+            for i in sides:
+                mark, around, paths = self.marked[i]
+                if mark == "slug" and (slot and slot in paths or any(j not in sides for j in around)):
+                    stay.add(i)
+            out = sides - stay
+        for tag, name, path, parent, around in self.opened:
+            if not out or out.isdisjoint(around):
+                node = self.nodes.setdefault(path, [parent, name, 0, 0])
+                node[2] += 1
+                if tag in ARTICLE and self.article is None:
+                    self.article = path
+        for parts, at in self.read:
+            block = " ".join(html.unescape("".join(w for w, around in parts if not out or out.isdisjoint(around))).split())
+            if block:
+                self.blocks.append((block, at))
+                for path in at:
+                    self.nodes[path][3] += len(block)
 
     def _flush(self) -> None:
         if self.parts:
-            block = " ".join(html.unescape("".join(self.parts)).split())
-            if block:
-                self.blocks.append((block, self.at))
-                for path in dict.fromkeys(self.at):
-                    self.nodes[path][3] += len(block)
+            self.read.append((self.parts, self.at))
             self.parts = []
 
     def _close(self, depth: int) -> None:
@@ -114,16 +173,20 @@ class _Page:
                     if self.stack[depth][0] not in INLINE and self.stack[depth][0] not in ENDS.get(tag, ()):
                         break
         inside = any(s[0] in ARTICLE for s in self.stack)
-        aside, name = _aside(tag, attributes, inside)
+        aside, mark, name = _aside(tag, attributes, inside)
         aside = aside or bool(self.stack) and self.stack[-1][3]
         parent = self.stack[-1][2] if self.stack else 0
         path = parent if tag in INLINE else _hash(parent, name)
-        self.stack.append((tag, name, path, aside))
+        around = self.stack[-1][4] if self.stack else ()
+        if not aside and (mark or tag in ARTICLE):
+            paths = tuple(s[2] for s in self.stack)
+            for kind in (mark, tag if tag in ARTICLE else ""):
+                if kind:
+                    self.marked.append((kind, around, paths))
+                    around = (*around, len(self.marked) - 1)
+        self.stack.append((tag, name, path, aside, around))
         if not aside and tag not in INLINE:
-            node = self.nodes.setdefault(path, [parent, name, 0, 0])
-            node[2] += 1
-            if tag in ARTICLE and self.article is None:
-                self.article = path
+            self.opened.append((tag, name, path, parent, around))
 
     def _read(self, text: str) -> None:
         at, n, lower = 0, len(text), None
@@ -139,7 +202,7 @@ class _Page:
                 if self.stack and not self.stack[-1][3] or not self.stack:
                     if not self.parts:
                         self.at = tuple(dict.fromkeys(s[2] for s in self.stack if s[0] not in INLINE))
-                    self.parts.append(words)
+                    self.parts.append((words, self.stack[-1][4] if self.stack else ()))
             elif opened:
                 tag = opened.lower()
                 if tag in RAW:
@@ -150,7 +213,7 @@ class _Page:
                         at = n if close < 0 else close + 1
                 elif tag in VOID:
                     if tag == "br":
-                        self.parts.append(" ") if self.parts else None
+                        self.parts.append((" ", ())) if self.parts else None
                     elif tag == "hr":
                         self._flush()
                 elif attributes.endswith("/") and tag not in INLINE:
@@ -253,7 +316,7 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", te
         for batch in batches:
             texts = []
             for source, slot, lines in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                page = _Page(source or "")
+                page = _Page(source or "", slot or 0)
                 own = slot if slot and slot in page.nodes else page.article
                 if page.article is not None and own != page.article and not any(
                         own in around and page.article in around for _, around in page.blocks):

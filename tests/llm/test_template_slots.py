@@ -76,3 +76,28 @@ def test_odd_pages(spark):
     assert got[1] == got[2] == got[None] == [""] and got[3] == ["plain text & more"] and got[4] == ["one\n\ntwo"] * 2
     assert got[5] == ["deep"] and got[8] == ["a boldword < 3 © x"] and len(got[7][0]) == 1_999_999
     assert main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("frame", [
+    "<body><div class='content has-sidebar'>{a}</div><div class=bottom>{m}</div></body>",
+    "<body><div id=page class='no-sidebar'><div class=search-result>{a}</div></div><div class=sidebar>{m}</div></body>",
+    "<body><div class='search-result'><article>{a}</article></div><div class=bottom>{m}</div></body>",
+    "<body><article><div class=widget>{a}</div><div class=share>{m}</div></article></body>",
+    "<body><span class=overlay>{a}</span><span class=ad>{m}</span></body>",
+    "<body><div class=wrap><div class='comment-box'><main>{a}</main></div></div><div class=related>{m}</div></body>"])
+def test_words_do_not_mark_what_holds_the_article(spark, frame):
+    pages = [(i, f"http://h.example/{i}", frame.format(a=f"<h1>Title {i}</h1>" + f"<p>Long text of its own {i}, {'word ' * i}end</p>" * 2, m="tell"))
+             for i in range(8)] + [(99, "http://alone.example/", frame.format(a="<h1>Title</h1><p>Only text of its host</p>", m="tell"))]
+    got = {r.page_id: r.text.split("\n\n") for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[99][:2] == ["Title", "Only text of its host"]
+    assert all(got[i][:2] == [f"Title {i}", " ".join(f"Long text of its own {i}, {'word ' * i}end".split())] for i in range(8))
+
+
+def test_ids_of_headings_and_sections(spark):
+    inner = ("<h1>One {i}</h1><p>First text {i}</p><h2 id='related-work'>Related work {i}</h2><p>Second text {i}</p>"
+             "<section id='side-effects'><p>Third text {i}</p></section><div class=ad>buy</div>")
+    rows = [(i, f"http://h{i % 2}.example/{i}", ("<article>{}</article>" if i % 2 else "<div class=post>{}</div>").format(inner.format(i=i)))
+            for i in range(8)]
+    for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r.page_id
+        assert r.text.split("\n\n") == [f"One {i}", f"First text {i}", f"Related work {i}", f"Second text {i}", f"Third text {i}"]
