@@ -4,8 +4,10 @@ Tokens are elements, told apart by the path that leads to them, and text nodes u
 template give its tokens the same occurrence vector (how often per page). Vectors are compared by a fingerprint that is
 summed over pages in Spark, so a host with a third of all pages is never gathered. Tokens with equal vectors that occur on
 at least half of a host's pages form an equivalence class; classes are valid if their elements occur once in their parent,
-and they nest by paths. The gaps between a template's tokens are its slots. Text nodes that belong to the template are no
-content; of the slots, the one that holds most of the other text is the article, and is extracted from every page.
+and they nest by paths. The gaps between a template's tokens are its slots; the one that holds most of the text is the article,
+and is extracted from every page. Frequent text nodes may be the template's or those of one article in many copies or revisions.
+Only pages whose article is for the larger part other text are witnesses, and witnesses with the same other text are one:
+what stands on enough distinct witnesses is the template's and no content. Pages with equal bytes count as one throughout.
 
 Elements that never hold an article (menus, forms, scripts, ...) hold no slot. Nor do elements whose class, id or role names
 something beside it (adverts, sidebars, ...), unless they turn out to hold the article: see ``_Page.settle``.
@@ -22,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakforge.llm.common import SMALL_BYTES, keep
+from peakforge.llm.common import SMALL_BYTES, keep, maybe_broadcast
 
 LEAST_PAGES = 3  # a host with fewer pages has no template
 ELEMENT_SHARE = 0.5  # pages of a host that an element of its template is on
-TEXT_SHARE = 0.8  # pages of a host that a text node of its template is on
+TEXT_SHARE = 0.8  # pages of a host, and distinct witnesses, that a text node of its template is on
 
 # HTML element names, by how they are treated.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -234,30 +236,61 @@ def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/:?#\s]*)", 1)), F.lit(""))
 
 
-TOKENS = "host string, path long, parent long, name string, line long, times int, characters long, vector long"
+TOKENS = "host string, path long, parent long, name string, line long, times int, characters double, vector long, weight double"
+WITNESSES = "host string, rest long, line long"
 
 
 def _tokens(batches):
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.float64()]
     for batch in batches:
         rows = []
-        for host, page, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            seen = _Page(text or "")
-            rows.append((host, 0, 0, "", 0, 1, 0, _hash(page, 1)))
+        for host, page, text, copies in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            seen, weight = _Page(text or ""), 1 / copies
+            rows.append((host, 0, 0, "", 0, 1, 0.0, _hash(page, 1), weight))
             for path, (parent, name, times, characters) in seen.nodes.items():
-                rows.append((host, path, parent, name, 0, times, characters, _hash(page, times)))
+                rows.append((host, path, parent, name, 0, times, characters * weight, _hash(page, times), weight))
             counts: dict = {}
             for block, around in seen.blocks:
                 key = around[-1] if around else 0, _hash(block)
                 counts[key] = counts.get(key, 0) + 1
             for (path, line), times in counts.items():
-                rows.append((host, path, 0, None, line or 1, times, 0, _hash(page, times)))
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-        columns = list(zip(*rows)) if rows else [[]] * 8
+                rows.append((host, path, 0, None, line or 1, times, 0.0, _hash(page, times), weight))
+        columns = list(zip(*rows)) if rows else [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split()[0] for f in TOKENS.split(", ")])
 
 
+def _article(text: str | None, slot: int | None) -> list[str]:
+    """Blocks of a page under its host's slot, or else of its article or main element, or else all."""
+    page = _Page(text or "", slot or 0)
+    own = slot if slot and slot in page.nodes else page.article
+    if page.article is not None and own != page.article and not any(own in around and page.article in around for _, around in page.blocks):
+        own = page.article
+    return [block for block, around in page.blocks if own is None or own in around]
+
+
+def _witnesses(batches):
+    """Per witness a row with line 0 and one per frequent line in its article."""
+    for batch in batches:
+        rows = []
+        for host, text, slot, lines in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            lines, found, rest, held = set(lines), set(), [], 0
+            for block in _article(text, slot):
+                line = _hash(block) or 1
+                if line in lines:
+                    found.add(line)
+                    held += len(block)
+                else:
+                    rest.append(block)
+            if sum(map(len, rest)) > held:
+                mark = _hash(*rest)
+                rows += [(host, mark, 0), *((host, mark, line) for line in found)]
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))],
+                                         ["host", "rest", "line"])
+
+
 def _template(frame: pd.DataFrame) -> pd.DataFrame:
-    """The slot that holds the article, and the template's text nodes, from the classes of one host."""
+    """The slot that holds the article, and the frequent text nodes, from the classes of one host."""
     elements = frame[(frame["line"] == 0) & (frame["path"] != 0) & (frame["most"] == 1)]
     children: dict = {}
     for r in elements.itertuples(index=False):
@@ -274,17 +307,26 @@ def _template(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(frame["host"].iloc[0], slot, lines)], columns=["host", "slot", "lines"])
 
 
+def _sent(found: DataFrame) -> DataFrame:
+    size = found.agg(F.sum(64 + F.char_length("host") + 8 * F.size("lines"))).first()[0] or 0
+    return F.broadcast(found) if size <= SMALL_BYTES else found
+
+
 def templates(pages: DataFrame, url: str = "url", text: str = "html") -> DataFrame:
     """(``host``, ``slot``, ``lines``): per host with enough pages, the path of its article and the texts of its template."""
     body = F.col(text).cast("string")
-    address = F.col(url).cast("string")
-    uid = F.concat_ws(":", F.xxhash64(address, body), F.xxhash64(F.lit(1), address, body))
-    tokens = pages.select(_host(address).alias("host"), uid.alias("page"), body.alias("_html")).mapInArrow(_tokens, TOKENS)
-    # Equal vectors have equal fingerprints: every page adds a number drawn from the page and its count. Pages that occur twice
-    # cancel out for all tokens alike.
+    marked = pages.select(_host(F.col(url).cast("string")).alias("host"), F.coalesce(body, F.lit("")).alias("_html"))
+    marked = marked.withColumns({"m0": F.xxhash64("host", "_html"), "m1": F.xxhash64(F.lit(1), "host", "_html")})
+    copies = keep(marked.groupBy("m0", "m1").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    tokens = (marked.join(maybe_broadcast(copies, 64), ["m0", "m1"], "left")
+              .select("host", F.concat_ws(":", "m0", "m1").alias("page"), "_html", F.coalesce("copies", F.lit(1)).alias("copies"))
+              .mapInArrow(_tokens, TOKENS))
+    # Equal vectors have equal fingerprints: every page adds a number drawn from the page and its count. Copies of a page have
+    # one page's weight in all; their numbers cancel out, or not, for all tokens alike.
     counted = tokens.groupBy("host", "path", "line").agg(
-        F.first("parent").alias("parent"), F.first("name").alias("name"), F.count(F.lit(1)).alias("pages"),
-        F.max("times").alias("most"), F.sum("characters").alias("characters"), F.bit_xor("vector").alias("vector"))
+        F.first("parent").alias("parent"), F.first("name").alias("name"), F.round(F.sum("weight")).cast("long").alias("pages"),
+        F.max("times").alias("most"), F.round(F.sum("characters")).cast("long").alias("characters"),
+        F.bit_xor("vector").alias("vector"))
     counted = keep(counted.filter((F.col("line") == 0) | (F.col("pages") >= LEAST_PAGES)))
     total = counted.filter("path = 0 and line = 0").select("host", F.col("pages").alias("total")).filter(F.col("total") >= LEAST_PAGES)
     share = F.when(F.col("line") == 0, ELEMENT_SHARE).otherwise(TEXT_SHARE)
@@ -293,8 +335,15 @@ def templates(pages: DataFrame, url: str = "url", text: str = "html") -> DataFra
     # A class of one token that is not on every page is chance, unless it holds the text of its host.
     valid = frequent.join(size, ["host", "vector", "pages"]).filter(
         (F.col("size") > 1) | (F.col("pages") == F.col("total")) | (F.col("line") == 0))
-    return valid.select("host", "path", "parent", "name", "line", "most", "characters").groupBy("host").applyInPandas(
-        _template, "host string, slot long, lines array<long>")
+    found = keep(valid.select("host", "path", "parent", "name", "line", "most", "characters").groupBy("host").applyInPandas(
+        _template, "host string, slot long, lines array<long>"))
+    seen = (marked.select("host", "_html").join(_sent(found.filter(F.size("lines") > 0)), "host").select("host", "_html", "slot", "lines")
+            .mapInArrow(_witnesses, WITNESSES))
+    seen = keep(seen.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")))
+    total = seen.filter("line = 0").select("host", F.col("pages").alias("total")).filter(F.col("total") >= LEAST_PAGES)
+    lines = (seen.filter("line <> 0").join(total, "host").filter(F.col("pages") >= TEXT_SHARE * F.col("total"))
+             .groupBy("host").agg(F.collect_list("line").alias("own")))
+    return found.join(lines, "host", "left").select("host", "slot", F.coalesce("own", F.array().cast("array<long>")).alias("lines"))
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
@@ -306,24 +355,16 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", te
     a host share one template. Other columns are not read.
     """
     found = keep(templates(pages, url, text))
-    size = found.agg(F.sum(64 + F.char_length("host") + 8 * F.size("lines"))).first()[0] or 0
-    found = F.broadcast(found) if size <= SMALL_BYTES else found
     body, address = F.col(text).cast("string"), F.col(url).cast("string")
     joined = (pages.select(F.col(id_column).alias("_id"), F.col(url).alias("_url"), body.alias("_html"), _host(address).alias("host"))
-              .join(found, "host", "left").select("_id", "_url", "_html", "slot", "lines"))
+              .join(_sent(found), "host", "left").select("_id", "_url", "_html", "slot", "lines"))
 
     def run(batches):
         for batch in batches:
             texts = []
             for source, slot, lines in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                page = _Page(source or "", slot or 0)
-                own = slot if slot and slot in page.nodes else page.article
-                if page.article is not None and own != page.article and not any(
-                        own in around and page.article in around for _, around in page.blocks):
-                    own = page.article
                 lines = set(lines or ())
-                texts.append("\n\n".join(block for block, around in page.blocks
-                                         if (own is None or own in around) and not (lines and _hash(block) in lines)))
+                texts.append("\n\n".join(b for b in _article(source, slot) if not (lines and (_hash(b) or 1) in lines)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 [id_column, url, "text", "n_chars"])

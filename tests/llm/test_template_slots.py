@@ -101,3 +101,38 @@ def test_ids_of_headings_and_sections(spark):
     for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         i = r.page_id
         assert r.text.split("\n\n") == [f"One {i}", f"First text {i}", f"Related work {i}", f"Second text {i}", f"Third text {i}"]
+
+
+def test_copies_and_revisions_of_one_article_keep_it(spark):
+    frame = "<body><div class=top>Site</div><div class=post><p>Line in every post</p>{}</div></body>"
+    article = [f"Block {j} of the article that is copied" for j in range(6)]
+    want, rows = {}, []
+
+    def add(host, blocks, tail=""):
+        want[len(rows)] = blocks
+        rows.append((len(rows), f"http://{host}.example/{len(rows)}", frame.format("".join(f"<p>{b}</p>" for b in blocks)) + tail))
+    for i in range(12):
+        add("same", article)
+    for i in range(12):
+        add("revised", [*article[:5], f"Revision {i}"])
+    for i in range(40):
+        add("mixed", article if i % 8 else [f"Other words of {i} that stand here", f"More of {i} that stands here alone"], f"<!-- {i} -->")
+    for i in range(12):
+        add("rows", [f"Own words of {i} and a few more", f"Again words of {i} alone"])
+    rows += [(1000 + i, *rows[-1][1:]) for i in range(100)]
+    got = {r.page_id: r.text.split("\n\n") for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")
+                                                              .repartition(4)).collect()}
+    line = "Line in every post"
+    hosts = {i: rows[i][1].split("//")[1].split(".")[0] for i in want}
+    for i, blocks in want.items():
+        kept = {"same": ["Site", line], "revised": [line]}.get(hosts[i], [])  # one page in 12 rows has no template
+        assert got[i] == [*kept, *blocks], hosts[i]
+    assert all(got[1000 + i] == want[75] for i in range(100))
+
+
+def test_copied_rows_do_not_hide_the_template(spark):
+    def page(i, fixed):
+        return f"<div class=post><p>Words of page {i} and some more of them</p>{'<p>Fixed line</p><p>Fixed too</p>' if fixed else ''}<p>End of {i}</p></div>"
+    rows = [(i, f"http://h.example/{i}", page(i, i < 9)) for i in range(10)] + [(100 + i, "http://h.example/9", page(9, False)) for i in range(90)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Words of page {i} and some more of them\n\nEnd of {i}" for i in range(10))
