@@ -2,7 +2,8 @@
 
 Two equal strings of 50 bytes have the same minimal hash among their 18-byte substrings, their key. Runs of neighbouring windows
 with one key are a piece of text of at most 82 bytes, and pieces with the same key meet in one task: whatever can be
-equal is compared there, and nothing else is sent. Keys of one text only are left out first.
+equal is compared there, and nothing else is sent. Keys of one text only are left out first. The pieces of a key that has
+too many for one task are cut into their 50-byte windows, which meet by a hash of their own.
 
 A task collapses equal pieces, and builds the Burrows-Wheeler transform of the pieces that differ under a key. Breadth-first
 backward extension of intervals then yields common prefixes by increasing length: an interval of all suffixes that begin
@@ -16,6 +17,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -325,6 +328,59 @@ def _cut(parts: int, length: int, gram: int):
     return run
 
 
+def _windows(parts: int, wide: int, length: int):
+    """Rows of ``PIECES``, those with a hot key as windows in parts of their own; of equal windows in a batch only that with the
+    smallest id is sent."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    names = [f.split()[0] for f in PIECES.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            hot = batch.column(len(kinds)).is_valid()
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.compute.invert(hot)) for i in range(len(kinds))], names)
+            rows = batch.filter(hot)
+            for at in range(0, rows.num_rows, 5000):
+                own = rows.slice(at, 5000)
+                ids, marks, places = (own.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 4))
+                pieces = own.column(5).to_pylist()
+                counts = np.array([len(p) - length + 1 for p in pieces])
+                of = np.repeat(np.arange(len(pieces)), counts)
+                places = _spread(places.astype(np.int64), counts)
+                windows = np.array([p[i:i + length] for p in pieces for i in range(len(p) - length + 1)], object)
+                order, number = _collapse(windows, ids[of])
+                late = _later(number, ids[of][order])
+                gone = order[late]
+                gone = gone[np.lexsort((places[gone], marks[of[gone]], ids[of[gone]]))]
+                edges = _groups(ids[of[gone]], marks[of[gone]]) if len(gone) else []
+                for i, (a, b) in enumerate(zip(edges, [*edges[1:], len(gone)])):
+                    spans = np.stack([places[gone[a:b]], places[gone[a:b]] + length], 1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([c], k) for c, k in zip((i % parts, ids[of[gone[a]]], marks[of[gone[a]]], 0, 0, None, spans.tobytes()),
+                                                          kinds)], names)
+                sent = order[~late]
+                keys = np.array([xxhash.xxh64_intdigest(w) for w in windows[sent]], np.uint64)
+                part = parts + ((keys >> np.uint64(32)) * np.uint64(wide) >> np.uint64(32)).astype(np.int32)
+                columns = [part, ids[of[sent]], marks[of[sent]], keys.view(np.int64), places[sent], windows[sent], np.full(len(sent), None)]
+                for a in range(0, len(sent), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a:a + 20_000], k) for c, k in zip(columns, kinds)], names)
+    return run
+
+
+def _without_hot(pieces: DataFrame, parts: int, length: int, piece_bytes: int) -> DataFrame:
+    """``pieces`` (a kept table) in which no key has more than ``piece_bytes`` of pieces that may differ."""
+    hot = keep(pieces.filter("piece is not null").groupBy("key")
+               .agg(F.sum(F.octet_length("piece")).alias("size"), F.sum(F.octet_length("piece") - length + 1).alias("n"))
+               .filter(F.col("size") > piece_bytes))
+    windows, keys = hot.agg(F.sum("n"), F.count(F.lit(1))).first()
+    if not keys:
+        return pieces
+    hot = hot.select("key", F.lit(True).alias("hot"))
+    hot = F.broadcast(hot) if 16 * keys <= BROADCAST_BYTES else hot
+    wide = int(max(8, -(-windows * length // (8 * piece_bytes))))  # windows need no transform
+    return (pieces.join(hot, "key", "left").select(*pieces.columns, F.when(F.col("piece").isNotNull(), F.col("hot")).alias("hot"))
+            .mapInArrow(_windows(parts, wide, length), PIECES))
+
+
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM,
                    part_bytes: int = PART_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(``_id``, ``_mark``, ``spans``): per text, byte ranges made of strings that also start under a smaller id."""
@@ -339,6 +395,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     parts = int(max(8, -(-size // 4 * (length + 20) // piece_bytes)))  # four bytes a place
     pieces = (keyed.join(found, ["_id", "_mark"]).select("_id", "_mark", "_text", "places")
               .mapInArrow(_cut(parts, length, gram), PIECES))
+    pieces = _without_hot(keep(pieces), parts, length, piece_bytes)
     spans = pieces.groupBy("part").applyInPandas(lambda f: bucketed(_matched(f, length), buckets), REPLY)
     return spans.groupBy("bucket").applyInPandas(_spans, "_id long, _mark long, spans binary")
 

@@ -84,3 +84,29 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert remove_repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_key_is_one_group(spark):
+    from peakforge.llm.common import keep
+    from peakforge.llm.prefix_intervals import PIECES, _without_hot
+    rng = random.Random(8)
+    line = "The line that stands in every text, and is long enough."
+
+    def words(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, f"{words(60)}{line}{words(60)}") for i in range(300)] + [(None, line), (3, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(LAST if r.doc_id is None else r.doc_id, r.n_bytes, [tuple(x) for x in r.removed], bytes(r.kept))
+           for r in remove_repeated_bytes(docs, piece_bytes=2000).collect()]
+    assert sorted(((None if d == LAST else d, *x) for d, *x in got), key=repr) == sorted(
+        ((None if d == LAST else d, *x) for d, *x in brute(rows, 50)), key=repr)
+    raw = [(0, i, i, 7 if i < 300 else 8, 0, t.encode()[40:122], None) for i, (_, t) in enumerate(rows)] + [(1, 5, 5, 0, 0, None, b"x" * 8)]
+    out = _without_hot(keep(spark.createDataFrame(raw, PIECES).repartition(4)), 4, 50, 2000).collect()
+    size = {}
+    for r in out:
+        if r.piece is not None:
+            size.setdefault(r.key, set()).add(bytes(r.piece))
+    assert max(sum(map(len, x)) for x in size.values()) <= 2000
+    assert {p for r in raw if r[5] for p in (r[5][i:i + 50] for i in range(len(r[5]) - 49))} == {
+        p for x in size.values() for w in x for p in (w[i:i + 50] for i in range(len(w) - 49))}
+    assert any(r.spans == b"x" * 8 for r in out)
