@@ -13,9 +13,11 @@ from peakforge.llm.common import table
 from peakforge.llm.language_bits import predict_languages
 from peakforge.llm.line_spread import without_spread_lines
 from peakforge.llm.prefix_intervals import remove_repeated_bytes
+from peakforge.llm.run_grammar import periodic_runs
 from peakforge.llm.signature_join import near_duplicates
 from peakforge.llm.simhash_leaks import leaks
 from peakforge.llm.template_slots import main_text
+from peakforge.llm.token_lengths import token_counts
 from peakforge.llm.window_removal import remove_repeated
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,6 +70,34 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """The texts with the repeats that the contract of op12 plants: a tenth of them, by the checksum of the id."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    planted = (docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+               .withColumn("w", F.when(F.col("h") % 10 == 0, words))
+               .withColumn("n", F.size("w")).withColumn("g", F.expr("h div 10")))
+    planted = planted.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    planted = planted.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)")
+    again = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return planted.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_with_repeats(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"), F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
@@ -79,6 +109,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_minhash": op10_minhash,
+    "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE = {
