@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from peakforge.llm.attention_quality import classify
 from peakforge.llm.block_names import exact_duplicates
 from peakforge.llm.bpe import fingerprints
-from peakforge.llm.common import table
+from peakforge.llm.common import keep, table
 from peakforge.llm.language_bits import predict_languages
 from peakforge.llm.line_spread import without_spread_lines
 from peakforge.llm.prefix_intervals import remove_repeated_bytes
+from peakforge.llm.prefix_trie import numbered, prefix_trie
 from peakforge.llm.run_grammar import periodic_runs
 from peakforge.llm.signature_join import near_duplicates
 from peakforge.llm.simhash_leaks import leaks
@@ -98,6 +99,25 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
 
 
+def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The conversations that the contract of op13 rebuilds, (conv_id, turn, role, text), and the ids of all of them."""
+    role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
+    own = turns.filter("conv_id is not null").select("conv_id", "turn", role, text)
+    head = F.substring(F.concat("role", F.lit("\0"), F.col("text")), 1, 24)
+    own = keep(numbered(own, "conv_id", [F.col("turn"), F.col("role"), F.col("text")], [F.col("turn"), head])
+               .select("conv_id", "pos", "role", "text", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).alias("h")))
+    ids = keep(own.groupBy("conv_id").agg(F.first("h").alias("h")))
+    heads = own.filter("pos < 8").select(F.col("conv_id").alias("base"), "pos", "role", "text")
+    taken = (ids.withColumn("base", F.col("conv_id") - F.col("conv_id") % 5).join(heads, "base").filter("pos < h")
+             .select("conv_id", F.col("pos").alias("turn"), "role", "text"))
+    left = own.filter("pos >= h").select("conv_id", (F.col("pos") + 8).alias("turn"), "role", "text")
+    return taken.unionByName(left), ids.select("conv_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*_rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
@@ -111,9 +131,32 @@ QUERIES = {
     "op10_minhash": op10_minhash,
     "op11_token_counts": op11_token_counts,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE = {
+    "op13_prefix_trie": r"""
+        WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+                     FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT c, c - c % 5 AS base, xor(list_reduce(
+                    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                    lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))),
+                    4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM own)),
+        rebuilt AS (SELECT ids.c, pos, role, text FROM ids JOIN own ON own.c = ids.base AND pos < h
+                    UNION ALL SELECT ids.c, pos + 8, role, text FROM ids JOIN own USING (c) WHERE pos >= h),
+        listed AS (SELECT c, list(struct_pack(r := role, t := text) ORDER BY pos) AS turns FROM rebuilt GROUP BY c),
+        convs AS (SELECT ids.c, coalesce(turns, []) AS turns FROM ids LEFT JOIN listed USING (c)),
+        starts AS (SELECT c, len(turns) AS n, d, turns[1:d] AS k FROM convs, unnest(range(0, len(turns) + 1)) AS u(d)),
+        node AS (SELECT d, k, min(c) AS low, count(*) AS n, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d) AS ends FROM starts GROUP BY d, k),
+        kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+        full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children,
+                             CASE WHEN d = 0 THEN 0 ELSE (n - 1) * strlen(k[d].t) END AS saved FROM node LEFT JOIN kids USING (d, k)),
+        up AS (SELECT a.d, f.k[1:a.d] AS k, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+               FROM full_node f, unnest(range(0, f.d + 1)) AS a(d) GROUP BY 1, 2)
+        SELECT f.low AS conv_id, f.d AS depth, p.low AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, saved_tokens,
+               sha256(coalesce(f.ends, '')) AS ends_sha256
+        FROM full_node f JOIN up USING (d, k) LEFT JOIN node p ON p.d = f.d - 1 AND p.k = f.k[1:f.d - 1] AND f.d > 0""",
     "op10_minhash": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
