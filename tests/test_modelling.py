@@ -257,8 +257,8 @@ def test_boosting_weights_match_a_direct_loop(blobs):
     ids, x, y = local(blobs)
     w = np.ones(len(y))
     votes = np.zeros((len(y), 2))
-    for model, alpha in fitted.model:
-        out = model.setPredictionCol("_q").transform(models.with_vector(blobs)).select("sample_id", "_q").collect()
+    for guess, alpha in fitted.model:
+        out = blobs.select("sample_id", guess.alias("_q")).collect()
         p = np.array([q for _, q in sorted((r["sample_id"], r["_q"]) for r in out)])
         error = (w * (p != y)).sum() / w.sum()
         assert np.isclose(alpha, 0.5 * np.log((1 - error) / error))

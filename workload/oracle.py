@@ -440,7 +440,7 @@ ORACLE = {
     "reject_curve": """SELECT t AS threshold, round(avg(CASE WHEN value / 500 < t THEN 1 ELSE 0 END), 6) AS reject_rate,
         round(avg(CASE WHEN value / 500 >= t THEN CASE WHEN (value > 50) = (event_type = 'click') THEN 1 ELSE 0 END END), 6) AS accepted_accuracy
         FROM events, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) v(t) GROUP BY t""",
-    "append_results": f"""WITH {SCORES} SELECT 'Original' AS method, round((SELECT sum(n) FILTER (l = p) / sum(n) FROM c), 6) AS accuracy,
+    "append_results": f"""WITH {SCORES} SELECT 'none' AS method, round((SELECT sum(n) FILTER (l = p) / sum(n) FROM c), 6) AS accuracy,
         CAST(NULL AS DOUBLE) AS macro_f1 UNION ALL SELECT 'Macro', NULL, round(avg(f1), 6) FROM m""",
     "tof_calibration": """WITH r AS (SELECT *, 2.5e6::DOUBLE + l_quantity AS ml1, 100 + l_tax AS ml2,
           CASE WHEN l_linenumber > 3 THEN 0 ELSE l_discount / 1000 END AS ml3 FROM lineitem),
