@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from peakforge.llm.common import SMALL_BYTES, WHITE, keep, maybe_broadcast
 
 SITES = 10
-LEAST_WORDS = 3  # shorter lines are phrases that texts share by chance
 SKETCH_BITS = 12  # standard error 1.6 %
 MARGIN = 0.1  # estimates within this share of the threshold are counted exactly: six standard errors
 
@@ -27,19 +26,14 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(WHITE))
 
 
-def _eligible(line: Column, least_words: int) -> Column:
-    return line.rlike(r"[^\x20\x09-\x0D]" + r"[\x20\x09-\x0D]+[^\x20\x09-\x0D]+" * (least_words - 1)) if least_words > 1 else line != ""
-
-
-def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", sites: int = SITES,
-                 least_words: int = LEAST_WORDS) -> DataFrame:
+def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
     """(``h``): hash of every line, without white space around it, that occurs on ``sites`` distinct sites or more.
 
-    A null site is a site of its own. Lines with fewer than ``least_words`` words never count.
+    A null site is a site of its own. Every line that is more than white space counts, however short.
     """
     where = F.coalesce(F.col(site).cast("string"), F.lit("\0"))
     lines = (docs.select(where.alias("site"), F.explode(F.split(F.col(text).cast("string"), "\n")).alias("line"))
-             .select("site", _trimmed(F.col("line")).alias("line")).filter(_eligible(F.col("line"), least_words)))
+             .select("site", _trimmed(F.col("line")).alias("line")).filter("line <> ''"))
     hashed = lines.select("site", F.xxhash64("line").alias("h"))
     margin = max(1.0, sites * MARGIN)
     # A copy of a line on its own site adds nothing: pairs are distinct within a task before they are sketched.
@@ -52,20 +46,19 @@ def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", site
     return keep(spread.filter(F.col("spread") > sites + margin).select("h").unionByName(exact))
 
 
-def without_spread_lines(docs: DataFrame, text: str = "text", site: str = "source", sites: int = SITES,
-                         least_words: int = LEAST_WORDS) -> DataFrame:
+def without_spread_lines(docs: DataFrame, text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
     """``docs``, all columns, with widespread lines cut from ``text``; adds ``_n_lines`` and ``_n_cut``.
 
     A text is cut if the widespread lines hold less than half of its characters (without white space around lines). Null
     stays null, with 0 lines; empty texts have one line. Repeated rows are treated alike.
     """
-    found = spread_lines(docs, text, site, sites, least_words)
+    found = spread_lines(docs, text, site, sites)
     body = F.col(text).cast("string")
     lines = F.split(body, "\n")
     # Decisions are made once per distinct text, whatever the number of its copies.
     placed = (docs.select(*_marks(body), F.posexplode(lines).alias("at", "line"))
               .select("m0", "m1", "at", _trimmed(F.col("line")).alias("line"))
-              .filter(_eligible(F.col("line"), least_words)).select("m0", "m1", "at", F.xxhash64("line").alias("h")))
+              .filter("line <> ''").select("m0", "m1", "at", F.xxhash64("line").alias("h")))
     hits = (placed.join(maybe_broadcast(found, 16), "h").groupBy("m0", "m1").agg(F.collect_set("at").alias("cut")))
     hits = keep(hits)
     size = hits.agg(F.sum(32 + 4 * F.size("cut"))).first()[0] or 0

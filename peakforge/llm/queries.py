@@ -176,7 +176,7 @@ ORACLE = {
         WITH l AS (SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS raw,
                           unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
         t AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
-        wide AS (SELECT line FROM t WHERE regexp_matches(line, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]')
+        wide AS (SELECT line FROM t WHERE line <> ''
                  GROUP BY line HAVING count(DISTINCT site) >= 10),
         m AS (SELECT t.*, wide.line IS NOT NULL AS cut FROM t LEFT JOIN wide USING (line)),
         d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (cut) AS n_cut,
