@@ -179,7 +179,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 
     kind = docs.schema[id_column].dataType.simpleString()
     encoded = picked.select("_id", "_y", "_text").mapInArrow(encode, f"_id {kind}, _y int, _x binary")
-    found = encoded.coalesce(1).mapInPandas(train, "name string, shape array<int>, value array<double>").collect()
+    # A shuffle: scan, join and encoding stay spread; one task gets the bounded sample only.
+    found = encoded.repartition(1).mapInPandas(train, "name string, shape array<int>, value array<double>").collect()
     return {r["name"]: np.array(r["value"]).reshape(r["shape"]) for r in found} or None
 
 
