@@ -173,12 +173,15 @@ def _together(long: DataFrame) -> DataFrame:
     """Rows (``group``, c, label, size, total) within which all pairs are compared, from long keys.
 
     Copies of one text share dozens of keys with nearly the same members. Keys connected by members are searched as one group if
-    that takes fewer pairs than key by key; either way every pair under a key is compared.
+    that takes fewer pairs than key by key; either way every pair under a key is compared. The connections are contracted before
+    components are sought: a text only links its keys (a bounded prefix) in one common order, and texts with the same keys give the same links.
     """
-    keys = keep(long.select("key").distinct().withColumn("node", -1 - F.monotonically_increasing_id()))
-    graph = long.join(keys, "key").select(F.col("c").alias("a"), F.col("node").alias("b"))
-    cluster = components(graph).select(F.col("node").alias("c"), F.col("label").alias("cluster"))
-    member = keep(long.join(cluster, "c"))
+    listed = long.groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("keys")).filter(F.size("keys") > 1).select("keys").distinct()
+    rest = F.size("keys") - 1
+    steps = F.explode(F.arrays_zip(F.slice("keys", F.lit(1), rest).alias("a"), F.slice("keys", F.lit(2), rest).alias("b")))
+    chains = listed.select(steps.alias("s")).select("s.a", "s.b").distinct()
+    cluster = components(chains).select(F.col("node").alias("key"), F.col("label").alias("cluster"))
+    member = keep(long.join(cluster, "key", "left").withColumn("cluster", F.coalesce("cluster", "key")))
     once = member.select("cluster", "c", "n", "label").distinct()
     whole = once.groupBy("cluster").agg(F.count(F.lit(1)).alias("union"), F.sum("n").alias("union_total"))
     whole = keep(member.groupBy("cluster").agg(F.sum("size").alias("pairs")).join(whole, "cluster"))
