@@ -28,7 +28,7 @@ from peakforge.llm.window_removal import (
 
 LENGTH = 50
 GRAM = 18
-PART_BYTES = 24 << 20  # bytes of text whose keys one part compares
+PART_BYTES = 8 << 20  # bytes of text whose keys one part compares
 PIECE_BYTES = 1 << 19  # bytes of pieces that one part compares: a transform takes some hundred times that in memory
 BROADCAST_BYTES = 64 << 20
 
@@ -131,8 +131,15 @@ def _compare(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
         base += len(own)
     if keys:
         ids, marks, keys, texts, places = (np.concatenate(x) for x in (ids, marks, keys, texts, places))
-        order = np.lexsort((ids[texts], keys))
-        found = order[_shared(keys[order], ids[texts[order]])]
+        order = np.argsort(keys).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+        keys = keys[order]
+        edges = _groups(keys)
+        size = np.diff(np.concatenate([edges, [len(keys)]]))
+        del keys
+        owner = ids[texts[order]]
+        several = np.minimum.reduceat(owner, edges) != np.maximum.reduceat(owner, edges)
+        del owner
+        found = order[np.repeat(several, size)]
         out += [(int(ids[t]), int(marks[t]), p) for t, p in _by_text(texts[found], places[found])]
     return bucketed(out, buckets)
 
