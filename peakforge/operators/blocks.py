@@ -1,4 +1,4 @@
-"""Vectors packed into bounded blocks, and joins of block pairs.
+"""Vectors packed into bounded blocks.
 
 A block is one row with at most ``BLOCK_BYTES`` of vectors. Rows are range-partitioned by where they lie (nearest pivots
 in order, distance to the first, id) and packed partition by partition, so a crowded region is cut into many blocks and no group is ever
@@ -138,29 +138,3 @@ def vectors_of(data: pa.Scalar, n: int) -> np.ndarray:
 def numbers_of(values: pa.Scalar) -> np.ndarray:
     """A list of numbers as an array, NULL as NaN."""
     return values.values.to_numpy(zero_copy_only=False).astype(np.float64)
-
-
-def join_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, schema: str, evaluate, left_columns,
-               right_columns) -> DataFrame:
-    """Evaluate ``evaluate(row) -> RecordBatch`` for every (lblock, rblock) row of ``pairs``.
-
-    ``row`` maps the wanted columns, with the prefix l or r, to Arrow scalars. The pairs meet their blocks in two
-    equi-joins, so the work spreads over the pairs and not over the points.
-    """
-    def side(blocks, letter, columns):
-        return blocks.select(*[F.col(c).alias(f"{letter}{c}") for c in ("block", "n", *columns)])
-
-    def run(batches):
-        for batch in batches:
-            names = batch.schema.names
-            for i in range(batch.num_rows):
-                yield evaluate({c: batch.column(j)[i] for j, c in enumerate(names)})
-
-    joined = (pairs.select("lblock", "rblock").join(side(left, "l", left_columns), "lblock")
-              .join(side(right, "r", right_columns), "rblock"))
-    return joined.mapInArrow(run, schema)
-
-
-def vectors(row: dict, letter: str, column: str = "data") -> np.ndarray:
-    """The matrix a block of a joined row holds."""
-    return vectors_of(row[f"{letter}{column}"], row[f"{letter}n"].as_py())

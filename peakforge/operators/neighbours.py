@@ -1,9 +1,9 @@
 """Exact k-nearest-neighbour join and what stands on it: classification and neighbourhood graphs.
 
 A right side of checked small size is broadcast, and the left side is only mapped over. Beyond that size both sides are
-packed into bounded blocks and joined block by block. Blocks whose distance bound exceeds the k-th distance already found
-are never paired. Copies of a vector are reduced to the k+1 smallest ids first, which is all that ties can ever use.
-Only the best k rows of a block pair leave a task.
+packed into bounded blocks that meet on a grid of tiles. A left block first meets the group of right blocks nearest to it; then only
+groups whose distance bound does not exceed the k-th distance that one of its rows has found. Copies of a vector are reduced to the k+1 smallest ids first, which is all that ties can ever use.
+Only the best k of each row leave a tile.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from peakforge.functions import distances, kernels
 from peakforge.operators import blocks as B
+from peakforge.operators.tiles import in_groups, meet
 from peakforge.session import BROADCAST_BYTES, cut_lineage, once
 
 NN = "array<struct<id:string,dist:double,label:double>>"
@@ -58,13 +59,14 @@ def _by_broadcast(left: DataFrame, right: DataFrame, k: int, metric: str, exclud
     @F.arrow_udf(NN)
     def run(own: pa.Array, features: pa.Array) -> pa.Array:
         ids, s, labels = shared.value
-        q = kernels.to_matrix(features)
-        if not len(q) or not len(s):
-            return _lists(len(q), [], [], [], [])
-        rows, cols, dist = distances.nearest(q, s, k + exclude_self, metric)
+        place = np.flatnonzero(features.is_valid().to_numpy(zero_copy_only=False))
+        if not len(place) or not len(s):
+            return _lists(len(features), [], [], [], [])
+        rows, cols, dist = distances.nearest(kernels.to_matrix(features.drop_null()), s, k + exclude_self, metric)
+        rows = place[rows]
         if exclude_self:
             rows, cols, dist = _without_self(rows, cols, dist, np.array(own.to_pylist(), dtype=object), ids, k)
-        return _lists(len(q), rows, ids[cols], dist, labels[cols])
+        return _lists(len(features), rows, ids[cols], dist, labels[cols])
     return left.withColumn("nn", once(run)(F.col("sample_id").cast("string"), F.col("features").cast("array<double>")))
 
 
@@ -152,43 +154,71 @@ def _close_pairs(left: DataFrame, table: dict) -> DataFrame:
 def _by_blocks(left: DataFrame, right: DataFrame, k: int, metric: str, exclude_self: bool,
                block_bytes: int | None) -> DataFrame:
     need = k + int(exclude_self)
+    valid = left.filter(F.col("features").isNotNull())
     right = cut_lineage(_few_copies(right, need))
+    if right.isEmpty():
+        return left.withColumn("nn", F.array().cast(NN))
     pivots = B.pick_pivots(right, metric)
-    rblocks = B.pack(right, pivots, metric, block_bytes)
-    lblocks = B.pack(left, pivots, metric, block_bytes)
+    rblocks, lblocks = (in_groups(B.pack(side, pivots, metric, block_bytes)) for side in (right, valid))
 
-    # The table of block intervals goes to the tasks in parts of bounded size.
-    per_block = (2 * len(pivots) + 2) * 8
-    parts = max(1, math.ceil(rblocks.count() * per_block / BROADCAST_BYTES))
+    def edge(best, name):
+        return F.array(*[best(F.get(name, F.lit(i))) for i in range(len(pivots))]).alias(name)
+    groups = cut_lineage(rblocks.groupBy(F.col("group").alias("block")).agg(F.sum("n").alias("n"), edge(F.min, "lo"), edge(F.max, "hi")))
 
-    def table(i):
-        return _block_table(rblocks.filter(F.pmod(F.xxhash64("block"), F.lit(parts)) == i))
+    # The table of group intervals goes to the tasks in parts of bounded size.
+    per_group = (2 * len(pivots) + 2) * 8
+    parts = max(1, math.ceil(groups.count() * per_group / BROADCAST_BYTES))
 
-    def evaluate(row):
-        q, s = B.vectors(row, "l"), B.vectors(row, "r")
-        at, limit = np.arange(len(q)), None
-        if "lreach" in row:
+    def table(i):
+        return _block_table(groups.filter(F.pmod(F.xxhash64("block"), F.lit(parts)) == i))
+
+    def evaluate(row, held):
+        """The best of each left row among the right blocks of a tile, nearest blocks first."""
+        q, p = B.vectors_of(row["data"], row["n"].as_py()), B.vectors_of(row["places"], row["n"].as_py())
+        limit = np.full(len(q), np.inf)
+        if "reach" in row:
+            limit = B.numbers_of(row["reach"]) * (1 + 1e-9) + 1e-12
+        gaps = [np.maximum(p - B.numbers_of(r["hi"]), B.numbers_of(r["lo"]) - p).max(1) for r in held]
+        best, found = np.full((len(q), need), np.inf), []
+        for n in np.argsort([g.min() for g in gaps], kind="stable"):
             # Only rows that this block may improve, and of those only what is no farther than they have found.
-            limit = B.numbers_of(row["lreach"]) * (1 + 1e-9) + 1e-12
-            p = B.vectors(row, "l", "places")
-            gap = np.maximum(p - B.numbers_of(row["rhi"]), B.numbers_of(row["rlo"]) - p).max(1)
-            at = np.flatnonzero(gap <= limit)
-        rows, cols, dist = distances.nearest(q[at], s, need, metric)
-        rows = at[rows]
-        if limit is not None:
+            at = np.flatnonzero(gaps[n] <= limit)
+            if not len(at):
+                continue
+            rows, cols, dist = distances.nearest(q[at], B.vectors_of(held[n]["data"], held[n]["n"].as_py()), need, metric)
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+            rows = at[rows]
+            wider = np.full((len(q), need), np.inf)
+            wider[rows, rank] = dist
+            best = np.partition(np.concatenate([best, wider], axis=1), need - 1, axis=1)[:, :need]
+            limit = np.minimum(limit, best.max(1) * (1 + 1e-9) + 1e-12)
+            found.append((rows, dist, np.full(len(rows), n), cols))
+        if found:
+            rows, dist, block, cols = (np.concatenate(c) for c in zip(*found))
             keep = dist <= limit[rows]
-            rows, cols, dist = rows[keep], cols[keep], dist[keep]
-        rows, cols = pa.array(rows, pa.int64()), pa.array(cols, pa.int64())
+            rows, dist, block, cols = rows[keep], dist[keep], block[keep], cols[keep]
+        else:
+            rows, dist, block, cols = (np.zeros(0, t) for t in (int, float, int, int))
+        sizes = [r["n"].as_py() for r in held]
+        at = pa.array(cols + (np.cumsum(sizes) - sizes)[block], pa.int64())
+        ids = pa.chunked_array([r["ids"].values for r in held], pa.string()).combine_chunks().take(at)
+        labels = pa.chunked_array([r["labels"].values for r in held], pa.float64()).combine_chunks().take(at)
+        order = np.lexsort((np.array(ids.to_pylist(), dtype=str), dist, rows)) if len(rows) else np.zeros(0, int)
+        order = order[np.arange(len(order)) - np.searchsorted(rows[order], rows[order], side="left") < need]
+        pick = pa.array(order, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(dist), row["lblock"].as_py(), dtype=np.int64)), row["lids"].values.take(rows),
-             row["rids"].values.take(cols), pa.array(dist, pa.float64()), row["rlabels"].values.take(cols)],
+            [pa.array(np.full(len(order), row["block"].as_py(), dtype=np.int64)),
+             row["ids"].values.take(pa.array(rows[order], pa.int64())), ids.take(pick), pa.array(dist[order], pa.float64()), labels.take(pick)],
             ["lblock", "sample_id", "id", "dist", "label"])
 
     order = Window.partitionBy("sample_id").orderBy("dist", "id")
     start = table(0)
-    first = cut_lineage(_first_pairs(lblocks, start, need))
     right_columns = ["ids", "labels", "data", "lo", "hi"]
-    near = cut_lineage(B.join_pairs(first, lblocks, rblocks, ROWS, evaluate, ["ids", "data"], right_columns))
+
+    def met(blocks, pairs, *more):
+        return meet(blocks, rblocks, ROWS, evaluate, ["ids", "data", "places", *more], right_columns, pairs.withColumnRenamed("rblock", "rgroup"))
+    first = cut_lineage(_first_pairs(lblocks, start, need))
+    near = cut_lineage(met(lblocks, first))
     kth = (near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= need)
            .groupBy("lblock", "sample_id").agg(F.max("dist").alias("d"), F.count(F.lit(1)).alias("c"))
            .withColumn("d", F.when(F.col("c") < need, float("inf")).otherwise(F.col("d")))
@@ -200,9 +230,8 @@ def _by_blocks(left: DataFrame, right: DataFrame, k: int, metric: str, exclude_s
     for i in range(parts):
         pairs = _close_pairs(reached, start if i == 0 else table(i))
         more = pairs if more is None else more.unionByName(pairs)
-    more = more.join(first, ["lblock", "rblock"], "left_anti")
-    found = near.unionByName(B.join_pairs(more, reached, rblocks, ROWS, evaluate, ["ids", "data", "places", "reach"],
-                                          right_columns))
+    more = cut_lineage(more.join(first, ["lblock", "rblock"], "left_anti"))
+    found = near if more.isEmpty() else near.unionByName(met(reached, more, "reach"))
     if exclude_self:
         found = found.filter(F.col("id") != F.col("sample_id"))
     best = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k)
@@ -216,8 +245,10 @@ def knn_lists(left: DataFrame, right: DataFrame, k: int, metric: str = "euclidea
               strategy: str = "auto", block_bytes: int | None = None) -> DataFrame:
     """``left`` plus ``nn``: its k nearest rows of ``right`` as (id, dist, label), by distance, then id.
 
-    Both sides have a unique text ``sample_id`` and ``features``; ``label`` of the right side is carried if present.
+    Both sides have a unique text ``sample_id`` and ``features``; ``label`` of the right side is carried if present. A row without
+    a vector has no neighbours and is none; an empty right side gives empty lists.
     """
+    right = right.filter(F.col("features").isNotNull())
     if strategy == "auto":
         strategy = "broadcast" if B.fits(*B.shape(right)) else "blocks"
     if strategy == "broadcast":

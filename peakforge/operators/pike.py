@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from peakforge.functions import kernels
 from peakforge.operators import blocks as B
+from peakforge.operators.tiles import in_groups, meet
 from peakforge.schema import DOUBLES
-from peakforge.session import array_lit, once
+from peakforge.session import once
 
 
 ENTRIES = "id_x string, id_y string, k double"
@@ -67,10 +68,10 @@ def pike_kernel(x: DataFrame, y: DataFrame | None, mz, t: float = 1.0, cut: floa
                 block_bytes: int | None = None) -> DataFrame:
     """The kernel matrix, one row per entry: (id_x, id_y, k).
 
-    A Y side that fits is broadcast; beyond that, blocks of both sides meet. Both ways give the same rows. ``pike_pairs``
-    evaluates listed pairs only.
+    A Y side that fits is broadcast; beyond that, blocks of both sides meet on a grid of tiles. Both ways give the same rows;
+    spectra without a vector have no entries, and an empty side gives none. ``pike_pairs`` evaluates listed pairs only.
     """
-    y = x if y is None else y
+    x, y = (side.filter(F.col("features").isNotNull()) for side in (x, x if y is None else y))
     z = pike_project(x, mz, t=t, cut=cut).select("sample_id", F.col("projected").alias("features"))
     if strategy == "auto":
         strategy = "broadcast" if B.fits(*B.shape(y)) else "blocks"
@@ -80,7 +81,7 @@ def pike_kernel(x: DataFrame, y: DataFrame | None, mz, t: float = 1.0, cut: floa
 
         def rows(batches):
             names, columns = shared.value
-            for batch in batches:
+            for batch in batches if names else ():
                 q = kernels.to_matrix(batch.column(1))
                 for i, row in zip(batch.column(0).to_pylist(), q):
                     yield pa.RecordBatch.from_arrays(
@@ -88,15 +89,16 @@ def pike_kernel(x: DataFrame, y: DataFrame | None, mz, t: float = 1.0, cut: floa
                         ["id_x", "id_y", "k"])
         return z.select(F.col("sample_id").cast("string"), "features").mapInArrow(rows, ENTRIES)
 
+    if y.isEmpty():
+        return x.sparkSession.createDataFrame([], ENTRIES)
     pivots = B.pick_pivots(y, "euclidean")
-    lblocks = B.pack(z, pivots, "euclidean", block_bytes)
-    rblocks = B.pack(y, pivots, "euclidean", block_bytes)
-    others = array_lit([r[0] for r in rblocks.select("block").collect()], "long")
-    pairs = lblocks.select(F.col("block").alias("lblock"), F.explode(others).alias("rblock"))
-
-    def evaluate(row):
-        k = B.vectors(row, "l") @ B.vectors(row, "r").T
-        left, right = row["lids"].values.to_pylist(), row["rids"].values.to_pylist()
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(left, object), len(right)), pa.string()),
-                                           pa.array(right * len(left), pa.string()), pa.array(k.ravel())], ["id_x", "id_y", "k"])
-    return B.join_pairs(pairs, lblocks, rblocks, ENTRIES, evaluate, ["ids", "data"], ["ids", "data"])
+    lblocks, rblocks = (in_groups(B.pack(side, pivots, "euclidean", block_bytes)) for side in (z, y))
+
+    def evaluate(row, held):
+        x_rows, left = B.vectors_of(row["data"], row["n"].as_py()), np.array(row["ids"].values.to_pylist(), object)
+        found = [(B.vectors_of(r["data"], r["n"].as_py()), r["ids"].values.to_pylist()) for r in held]
+        right = [i for _, ids in found for i in ids]
+        k = np.concatenate([x_rows @ v.T for v, _ in found], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(left, len(right)), pa.string()), pa.array(right * len(left), pa.string()),
+                                           pa.array(k.ravel())], ["id_x", "id_y", "k"])
+    return meet(lblocks, rblocks, ENTRIES, evaluate, ["ids", "data"], ["ids", "data"])

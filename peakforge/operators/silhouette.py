@@ -1,7 +1,7 @@
 """Mean silhouette of labelled points on plain Euclidean distances.
 
-The value needs the distance of every point to every class, so the exact form looks at all block pairs; a task turns a
-block pair into per-class sums and never emits a pair of points. Copies are merged into weighted points first. The fast
+The value needs the distance of every point to every class, so the exact form looks at all pairs of blocks, on a grid of tiles;
+a tile gives each of its points one row of per-class sums and never emits a pair of points. Copies are merged into weighted points first. The fast
 form is the built-in evaluator on squared distances, linear in the rows, and not the same number.
 """
 
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from peakforge.functions import distances, kernels
 from peakforge.operators import blocks as B
+from peakforge.operators.tiles import in_groups, meet
 from peakforge.schema import DOUBLES
-from peakforge.session import array_lit, once
+from peakforge.session import once
 
 
 def _weighted(df: DataFrame) -> DataFrame:
@@ -50,17 +51,16 @@ def distance_sums(df: DataFrame, classes, metric: str = "euclidean", strategy: s
         return df.select("sample_id", "label", once(run)("features").alias("sums"))
 
     pivots = B.pick_pivots(right, metric)
-    lblocks, rblocks = B.pack(df, pivots, metric, block_bytes), B.pack(right, pivots, metric, block_bytes)
-    others = array_lit([r[0] for r in rblocks.select("block").collect()], "long")
-    pairs = lblocks.select(F.col("block").alias("lblock"), F.explode(others).alias("rblock"))
-
-    def evaluate(row):
-        sums = _class_sums(B.vectors(row, "l"), B.vectors(row, "r"), B.numbers_of(row["rlabels"]),
-                           B.numbers_of(row["rweights"]), classes, metric)
-        return pa.RecordBatch.from_arrays([row["lids"].values, row["llabels"].values, kernels.from_matrix(sums)],
+    lblocks, rblocks = (in_groups(B.pack(side, pivots, metric, block_bytes)) for side in (df, right))
+
+    def evaluate(row, held):
+        q = B.vectors_of(row["data"], row["n"].as_py())
+        sums = sum(_class_sums(q, B.vectors_of(r["data"], r["n"].as_py()), B.numbers_of(r["labels"]), B.numbers_of(r["weights"]),
+                               classes, metric) for r in held)
+        return pa.RecordBatch.from_arrays([row["ids"].values, row["labels"].values, kernels.from_matrix(sums)],
                                           ["sample_id", "label", "sums"])
-    parts = B.join_pairs(pairs, lblocks, rblocks, "sample_id string, label double, sums array<double>", evaluate,
-                         ["ids", "labels", "data"], ["labels", "weights", "data"])
+    parts = meet(lblocks, rblocks, "sample_id string, label double, sums array<double>", evaluate,
+                 ["ids", "labels", "data"], ["labels", "weights", "data"])
     summed = parts.groupBy("sample_id", "label").agg(
         *[F.sum(F.get("sums", F.lit(i))).alias(f"_s{i}") for i in range(len(classes))])
     return summed.select("sample_id", "label", F.array(*[f"_s{i}" for i in range(len(classes))]).alias("sums"))
@@ -68,7 +68,11 @@ def distance_sums(df: DataFrame, classes, metric: str = "euclidean", strategy: s
 
 def silhouette_samples(df: DataFrame, metric: str = "euclidean", strategy: str = "auto",
                        block_bytes: int | None = None) -> DataFrame:
-    """(sample_id, label, silhouette); points alone in their class get 0, a single class gives NaN."""
+    """(sample_id, label, silhouette); points alone in their class get 0, a single class gives NaN.
+
+    Rows without a vector or a label are no points and get no row.
+    """
+    df = df.filter(F.col("features").isNotNull() & F.col("label").isNotNull())
     counts = {float(r["label"]): r["n"] for r in df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     classes = sorted(counts)
     if len(classes) < 2:

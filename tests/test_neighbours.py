@@ -124,3 +124,41 @@ def test_peak_kernel_of_listed_pairs(points, spark):
 def test_peak_kernel_needs_a_cut(points):
     with pytest.raises(ValueError):
         pike.pike_kernel(points, None, np.arange(6) * 0.001)
+
+
+@pytest.fixture
+def small_groups(monkeypatch):
+    monkeypatch.setattr("peakforge.operators.tiles.GROUP_BLOCKS", 2)
+
+
+def test_many_tiles(points, small_groups):
+    """Several groups on both sides: neighbours, class sums and kernel entries as by broadcast."""
+    size = 5 * 48
+    a, b = (N.knn_lists(points, points, 4, strategy=s, block_bytes=size) for s in ("broadcast", "blocks"))
+    ids = {r["sample_id"]: [n["id"] for n in r["nn"]] for r in a.collect()}
+    assert {r["sample_id"]: [n["id"] for n in r["nn"]] for r in b.collect()} == ids
+    a, b = (S.silhouette_samples(points, strategy=s, block_bytes=size) for s in ("broadcast", "blocks"))
+    one, two = ({r["sample_id"]: r["silhouette"] for r in x.collect()} for x in (a, b))
+    assert one.keys() == two.keys() and np.allclose([one[i] for i in one], [two[i] for i in one])
+    mz = [2000.0 + 4 * i for i in range(6)]
+    a, b = (pike.pike_kernel(points, None, mz, t=1.0, strategy=s, block_bytes=size) for s in ("broadcast", "blocks"))
+    one, two = ({(r["id_x"], r["id_y"]): r["k"] for r in x.collect()} for x in (a, b))
+    assert one.keys() == two.keys() and len(one) == 150 * 150 and np.allclose([one[i] for i in one], [two[i] for i in one])
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "blocks"])
+def test_empty_sides_and_rows_without_a_vector(points, spark, strategy):
+    schema = points.schema
+    odd = spark.createDataFrame([("null1", None, 1.0), ("null2", None, 0.0)], schema)
+    both = points.unionByName(odd)
+    got = {r["sample_id"]: [n["id"] for n in r["nn"]] for r in N.knn_lists(both, both, 3, strategy=strategy, block_bytes=480).collect()}
+    want = {r["sample_id"]: [n["id"] for n in r["nn"]] for r in N.knn_lists(points, points, 3).collect()}
+    assert got == {**want, "null1": [], "null2": []}
+    none = points.limit(0)
+    assert all(r["nn"] == [] for r in N.knn_lists(points, none, 3, strategy=strategy).collect())
+    assert N.knn_lists(none, points, 3, strategy=strategy, block_bytes=480).count() == 0
+    mz = [2000.0 + 4 * i for i in range(6)]
+    for x, y, n in ((points, none, 0), (none, points, 0), (both, both.limit(152), 150 * 150)):
+        assert pike.pike_kernel(x, y, mz, strategy=strategy, block_bytes=480).count() == n
+    assert S.silhouette_samples(both, strategy=strategy, block_bytes=480).count() == 150
+    assert S.silhouette_samples(none, strategy=strategy).count() == 0

@@ -617,3 +617,5 @@ ORACLE = {
         SELECT (SELECT sum(n) FILTER (l = p) / sum(n) FROM c) AS accuracy,
         {', '.join(f"max({e}) FILTER (cls = {i}) AS {n}_{c}" for i, c in ((0, 'R'), (1, 'S')) for e, n in (('pr', 'precision'), ('re', 'recall'), ('f1', 'f1')))} FROM m""",
 }
+# The block paths answer the same questions.
+ORACLE |= {f"{name}_blocks": ORACLE[name] for name in ("silhouette_samples", "pike_kernel")}

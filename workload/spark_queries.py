@@ -444,6 +444,12 @@ def silhouette_samples(spark, sf):
     return out.select("sample_id", F.col("label").cast("int").alias("label"), _r("silhouette").alias("silhouette"))
 
 
+def silhouette_samples_blocks(spark, sf):
+    """The same through the block path, with blocks small enough to have many tiles."""
+    out = silhouette.silhouette_samples(_labelled(spark, sf), strategy="blocks", block_bytes=8 * 1024)
+    return out.select("sample_id", F.col("label").cast("int").alias("label"), _r("silhouette").alias("silhouette"))
+
+
 def mean_silhouette(spark, sf):
     return silhouette.silhouette(_labelled(spark, sf)).select(_r("silhouette").alias("silhouette"))
 
@@ -452,16 +458,25 @@ def squared_silhouette(spark, sf):
     return silhouette.silhouette(_labelled(spark, sf), exact=False).select(_r("silhouette").alias("silhouette"))
 
 
-def pike_kernel(spark, sf):
-    """Kernel of every spectrum with the mean spectrum of each group."""
+def _peak_kernel(spark, sf, **way):
     rows = V.features(spark, sf)
     mean = (rows.select("group", F.posexplode("features").alias("i", "v")).groupBy("group", "i").agg(F.avg("v").alias("v"))
             .groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("features"))
             .select(F.concat(F.lit("g"), F.col("group")).alias("sample_id"), "features"))
-    out = pike.pike_kernel(rows, mean, [2000 + 281.25 * i for i in range(64)], t=1e4)
+    out = pike.pike_kernel(rows, mean, [2000 + 281.25 * i for i in range(64)], t=1e4, **way)
     return out.select("id_x", "id_y", _r("k", 9).alias("k"))
 
 
+def pike_kernel(spark, sf):
+    """Kernel of every spectrum with the mean spectrum of each group."""
+    return _peak_kernel(spark, sf)
+
+
+def pike_kernel_blocks(spark, sf):
+    """The same through the block path, with blocks small enough to have many tiles."""
+    return _peak_kernel(spark, sf, strategy="blocks", block_bytes=4 * 1024)
+
+
 # ---- split and rebalancing ------------------------------------------------------------------------------------------
 
 def split_stratified(spark, sf):
@@ -583,6 +598,7 @@ QUERIES = {
     # neighbours
     "knn_join": _knn("euclidean"), "knn_join_manhattan": _knn("manhattan"), "knn_join_blocks": knn_join_blocks,
     "neighbour_graph": neighbour_graph, "knn_classify": knn_classify, "silhouette_samples": silhouette_samples,
+    "silhouette_samples_blocks": silhouette_samples_blocks, "pike_kernel_blocks": pike_kernel_blocks,
     "mean_silhouette": mean_silhouette, "squared_silhouette": squared_silhouette, "pike_kernel": pike_kernel,
     # split and rebalancing
     "split_stratified": split_stratified, "split_plain": split_plain,
