@@ -7,13 +7,16 @@ all partitions. Selection happens on the small per-feature table; wide rows are
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakforge.session import array_lit, require_small
+from peakforge.functions import kernels
+from peakforge.schema import DOUBLES
+from peakforge.session import BROADCAST_BYTES, array_lit, once, require_small
 
 SALTS = 64
 
@@ -45,18 +48,20 @@ def feature_moments(df: DataFrame, keys=()) -> DataFrame:
     return parts.groupBy(*keys, "feature").agg(*_merge(keys))
 
 
-def feature_stats(df: DataFrame, label: str = "label", positive=0) -> DataFrame:
+def feature_stats(df: DataFrame, label: str = "label", positive=0, keys=()) -> DataFrame:
     """Moments of every feature and ``corr``, its correlation with the indicator label == positive (NULL if undefined).
 
-    r = (mean of the class - mean of the rest) * sqrt(p (1 - p)) / population deviation, from one pass.
+    r = (mean of the class - mean of the rest) * sqrt(p (1 - p)) / population deviation, from one pass. With ``keys`` (such as the
+    target a row's label belongs to) all of this per value of the keys, still in the one pass.
     """
+    keys = list(keys)
     flagged = df.withColumn("_one", (F.col(label) == positive).cast("int"))
-    per_side = feature_moments(flagged, ["_one"])
+    per_side = feature_moments(flagged, [*keys, "_one"])
     n, mean = F.col("n"), F.col("mean")
     total, one = F.sum(n), F.col("_one") == 1
     centre = F.sum(n * mean) / total
     spread = F.sum(n * F.col("var_pop")) + F.sum(n * mean * mean) - total * centre * centre
-    sides = per_side.groupBy("feature").agg(
+    sides = per_side.groupBy(*keys, "feature").agg(
         total.alias("n"), centre.alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"),
         F.greatest(F.when(F.min("min") < F.max("max"), spread / total).otherwise(0.0), F.lit(0.0)).alias("var_pop"),
         F.max(F.when(one, mean)).alias("_m1"), F.max(F.when(~one, mean)).alias("_m0"),
@@ -114,19 +119,79 @@ def standardise(df: DataFrame, fit: DataFrame | None = None) -> DataFrame:
                                              1.0 / np.where(std == 0, 1.0, std)))
 
 
-def pca_project(df: DataFrame, k: int) -> DataFrame:
+def _times_covariance(df: DataFrame, mean: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """C @ block for the covariance C of the features: one pass, partial products per task, summed per feature by Spark."""
+    require_small(block.size, "projection block")
+    shared = df.sparkSession.sparkContext.broadcast((mean, block))
+
+    def run(batches):
+        centre, w = shared.value
+        total, n = np.zeros_like(w), 0
+        for batch in batches:
+            x = kernels.to_matrix(batch.column(0))
+            if len(x):
+                x = x - centre
+                total += x.T @ (x @ w)
+                n += len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(np.full(len(total), n)), kernels.from_matrix(total)],
+                                             ["feature", "n", "row"])
+    parts = df.select(F.col("features").cast("array<double>").alias("features")).mapInArrow(run, "feature long, n long, row array<double>")
+    summed = parts.groupBy("feature").agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("row")).alias("row"))
+    rows = summed.orderBy("feature").collect()  # as many values as the block has, checked above
+    return np.array([r["row"].toArray() for r in rows]) / max(rows[0]["n"], 1)
+
+
+def principal_axes(df: DataFrame, k: int, extra: int = 10, passes: int = 4, seed: int = 42) -> np.ndarray:
+    """Loadings (d x k) of the first ``k`` principal components by a randomised range finder.
+
+    A drawn d x (k + extra) block goes through the covariance ``passes`` times, made orthonormal in between; the components are those of
+    the covariance inside the range found. The driver holds d x (k + extra) values, never a d x d matrix. With k + extra at
+    least d the range is everything and the result exact.
+    """
+    mean = _small(feature_moments(df), "mean")["mean"].to_numpy()
+    d = len(mean)
+    width = min(d, k + extra)
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    for _ in range(passes if width < d else 0):
+        block = np.linalg.qr(_times_covariance(df, mean, block))[0]
+    inner = block.T @ _times_covariance(df, mean, block)
+    _, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    return block @ vectors[:, ::-1][:, :k]
+
+
+def project(df: DataFrame, loads: np.ndarray, mean=None) -> DataFrame:
+    """Scores ``(features - mean) @ loads`` in ``features``."""
+    loads = np.asarray(loads, np.float64)
+    require_small(loads.size, "loadings")
+    shift = (np.zeros(len(loads)) if mean is None else np.asarray(mean, np.float64)) @ loads
+    shared = df.sparkSession.sparkContext.broadcast((loads, shift))
+
+    @F.arrow_udf(DOUBLES)
+    def run(features: pa.Array) -> pa.Array:
+        w, s = shared.value
+        x = kernels.to_matrix(features)
+        return kernels.from_matrix(x @ w - s if len(x) else np.zeros((0, w.shape[1])))
+    return df.withColumn("features", once(run)(F.col("features").cast("array<double>")))
+
+
+def pca_project(df: DataFrame, k: int, method: str = "auto", **finding) -> DataFrame:
     """Centred scores on the first ``k`` components in ``features``; the largest loading of a component is positive.
 
-    Scores of fewer components are the leading positions, so a sweep fits once.
+    Scores of fewer components are the leading positions, so a sweep fits once. ``exact`` solves the d x d covariance, which the
+    driver must hold; ``randomised`` never builds it (``principal_axes``, whose settings ``finding`` gives). ``auto`` is exact
+    while the matrix is below the driver's limit.
     """
-    ready = df.withColumn("_v", array_to_vector(F.col("features").cast("array<double>")))
-    model = PCA(k=k, inputCol="_v", outputCol="_y").fit(ready.select("_v"))
-    loads = model.pc.toArray()
-    sign = np.sign(loads[np.abs(loads).argmax(0), np.arange(loads.shape[1])])
     mean = _small(feature_moments(df), "mean")["mean"].to_numpy()
-    scores = vector_to_array(F.col("_y"))
-    return (model.transform(ready).withColumn("features", _affine(scores, mean @ loads, np.where(sign == 0, 1.0, sign)))
-            .drop("_v", "_y"))
+    if method == "auto":
+        method = "exact" if len(mean) ** 2 * 8 <= BROADCAST_BYTES else "randomised"
+    if method == "exact":
+        ready = df.select(array_to_vector(F.col("features").cast("array<double>")).alias("_v"))
+        loads = PCA(k=k, inputCol="_v", outputCol="_y").fit(ready).pc.toArray()
+    else:
+        loads = principal_axes(df, k, **finding)
+    sign = np.sign(loads[np.abs(loads).argmax(0), np.arange(loads.shape[1])])
+    return project(df, loads * np.where(sign == 0, 1.0, sign), mean)
 
 
 def leading(df: DataFrame, n: int) -> DataFrame:

@@ -265,10 +265,18 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, metric: str = "euclidean
                     F.col("n.dist").alias("dist")))
 
 
-def neighbour_graph(df: DataFrame, k: int, metric: str = "euclidean", n_rows: int | None = None) -> DataFrame:
-    """Directed neighbourhood graph; ``k`` is lowered to one less than the number of rows."""
-    n = B.shape(df)[0] if n_rows is None else n_rows
-    return knn_join(df, df, max(1, min(k, n - 1)), metric)
+def bounded_neighbourhood(n_rows: int, top: int = 30, divisor: int | None = None) -> int | None:
+    """Neighbourhood size lowered to what ``n_rows`` allow: n - 1, or n // divisor. None when nothing can be projected."""
+    if n_rows <= 1:
+        return None
+    return max(1, min(top, n_rows - 1 if divisor is None else n_rows // divisor))
+
+
+def neighbour_graph(df: DataFrame, k: int, metric: str = "euclidean", n_rows: int | None = None,
+                    divisor: int | None = None) -> DataFrame:
+    """Directed neighbourhood graph; ``k`` is lowered to what the number of rows allows. One row or none: no edge."""
+    k = bounded_neighbourhood(B.shape(df)[0] if n_rows is None else n_rows, k, divisor)
+    return knn_join(df, df, k or 1, metric)
 
 
 def at_most(graph: DataFrame, k: int) -> DataFrame:

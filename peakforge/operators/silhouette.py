@@ -92,6 +92,58 @@ def silhouette_samples(df: DataFrame, metric: str = "euclidean", strategy: str =
     return out.select("sample_id", "label", value.alias("silhouette"))
 
 
+def silhouette_by(df: DataFrame, keys: list[str], metric: str = "euclidean", **options) -> DataFrame:
+    """(keys, ``n``, ``silhouette``): the mean silhouette of the points of every value of ``keys``, vectors of equal length per value.
+
+    All values are scored in one pass while their points together can be broadcast, one after the other beyond that. One class only: NaN.
+    """
+    df = df.filter(F.col("features").isNotNull() & F.col("label").isNotNull())
+    n, d = B.shape(df)
+    if not B.fits(n, d):
+        points = [tuple(r) for r in df.select(*keys).distinct().orderBy(*keys).collect()]
+        out = None
+        for point in points:
+            own = F.lit(True)
+            for k, v in zip(keys, point):
+                own = own & F.col(k).eqNullSafe(F.lit(v))
+            one = silhouette_samples(df.filter(own), metric, **options).agg(F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette"))
+            one = one.select(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, point)], "n", "silhouette")
+            out = one if out is None else out.unionByName(one)
+        return out
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    slim = df.select(key.alias("key"), F.col("label").cast("double").alias("label"), F.col("features").cast("array<double>").alias("features"))
+    sides = {}
+    table = slim.toArrow().sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()  # a checked size
+    names, first = np.unique(np.array(table["key"].to_pylist(), dtype=str), return_index=True)
+    for name, a, b in zip(names, first, [*first[1:], table.num_rows]):
+        part = table.slice(a, b - a).combine_chunks()
+        labels = part["label"].to_numpy()
+        vectors = kernels.to_matrix(part["features"].chunk(0))
+        sides[str(name)] = (vectors, labels, np.unique(labels))
+    shared = df.sparkSession.sparkContext.broadcast(sides)
+
+    @F.arrow_udf("double")
+    def run(keys: pa.Array, label: pa.Array, features: pa.Array) -> pa.Array:
+        own, mine = np.array(keys.to_pylist(), dtype=str), label.to_numpy(zero_copy_only=False)
+        out = np.full(len(own), np.nan)
+        for name in np.unique(own):
+            at = np.flatnonzero(own == name)
+            vectors, labels, classes = shared.value[str(name)]
+            if len(classes) < 2:
+                continue
+            sums = _class_sums(kernels.to_matrix(features.take(pa.array(at))), vectors, labels, np.ones(len(labels)), classes, metric)
+            sizes = (labels[:, None] == classes).sum(0)
+            inside = mine[at][:, None] == classes
+            alone = sizes[inside.argmax(1)] < 2
+            a = (sums * inside).sum(1) / np.maximum(sizes[inside.argmax(1)] - 1, 1)
+            b = np.where(inside, np.inf, sums / sizes).min(1)
+            top = np.maximum(a, b)
+            out[at] = np.where(alone | (top == 0), 0.0, (b - a) / np.where(top == 0, 1.0, top))
+        return pa.array(out)
+    scored = df.select(*keys, once(run)(key, F.col("label").cast("double"), F.col("features").cast("array<double>")).alias("s"))
+    return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("silhouette"))
+
+
 def silhouette(df: DataFrame, exact: bool = True, **options) -> DataFrame:
     """One row with the mean silhouette. ``exact=False`` uses squared distances (linear time, another value)."""
     if exact:

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from peakforge.operators import features as X
 from peakforge.operators.blocks import shape
-from peakforge.operators.silhouette import silhouette
+from peakforge.operators.features import project
+from peakforge.operators.neighbours import bounded_neighbourhood
+from peakforge.operators.silhouette import silhouette, silhouette_by
 from peakforge.session import cut_lineage
 
+SWEEP = "target string, threshold double, n_features int, n_components int, silhouette double"
+
 
 def sweep_pca(df: DataFrame, thresholds, sizes, by: str = "corr", positive=0, exact: bool = True) -> DataFrame:
     """(threshold, n_features, n_components, silhouette). Statistics are computed once, the projection is fitted once per
@@ -44,8 +48,51 @@ def sweep_embeddings(embeddings: DataFrame, keys: list[str], exact: bool = True)
     return embeddings.sparkSession.createDataFrame(rows, schema)
 
 
-def bounded_neighbourhood(n_rows: int, top: int = 30, divisor: int | None = None) -> int | None:
-    """Neighbourhood size lowered to what ``n_rows`` allow: n - 1, or n // divisor. None when nothing can be projected."""
-    if n_rows <= 1:
-        return None
-    return max(1, min(top, n_rows - 1 if divisor is None else n_rows // divisor))
+def with_targets(df: DataFrame, letters: DataFrame) -> DataFrame:
+    """Rows (``target``, sample_id, features, label): every vector once per target that has a letter for it."""
+    return df.select("sample_id", "features").join(letters.filter("label is not null").select("sample_id", "target", "label"), "sample_id")
+
+
+def project_targets(df: DataFrame, letters: DataFrame, loads, sizes) -> DataFrame:
+    """(target, n_components, n, silhouette) on given loadings: the first positions of one projection, scored in one pass."""
+    scores = with_targets(project(df, loads), letters)
+    n = F.explode(F.array(*[F.lit(int(s)) for s in sizes]))
+    points = scores.withColumn("n_components", n).withColumn("features", F.slice("features", F.lit(1), F.col("n_components")))
+    return silhouette_by(points, ["target", "n_components"])
+
+
+def sweep_targets(df: DataFrame, letters: DataFrame, thresholds, sizes, positive=0, method: str = "auto") -> DataFrame:
+    """(target, threshold, n_features, n_components, silhouette) for every target, as ``letters`` (sample_id, target, label) has them.
+
+    The correlations of all targets come from one pass over the joined rows, and their class sizes from the same table. A target
+    with one row, and sizes beyond what its rows and kept features allow, are skipped; one class only gives NaN. A projection is fitted
+    per target and set of kept features; thresholds that keep the same features share it.
+    """
+    joined = cut_lineage(with_targets(X.min_max(df), letters))
+    stats = cut_lineage(X.feature_stats(joined, positive=positive, keys=["target"]))
+    rows = {r["target"]: r["n"] for r in stats.groupBy("target").agg(F.max("n").alias("n")).collect()}
+    points, shape_of = None, {}
+    for target in sorted(rows):
+        own = joined.filter(F.col("target") == target)
+        fits: dict[tuple, list] = {}
+        for t in thresholds:
+            kept = tuple(X.select_correlation(stats.filter(F.col("target") == target), t))
+            if len(kept) >= 2:
+                fits.setdefault(kept, []).append(float(t))
+        for kept, same in fits.items():
+            most = bounded_neighbourhood(int(rows[target]) + 1, len(kept))
+            usable = [int(s) for s in sizes if s <= (most or 0)]
+            if not usable:
+                continue
+            scores = X.pca_project(X.take_features(own, list(kept)), max(usable), method)
+            each = scores.withColumn("n_components", F.explode(F.array(*[F.lit(s) for s in usable]))).withColumn(
+                "features", F.slice("features", F.lit(1), F.col("n_components"))).withColumn("threshold", F.lit(same[0]))
+            points = each if points is None else points.unionByName(each)
+            shape_of.update({(target, t): (len(kept), same[0]) for t in same})
+    if points is None:
+        return df.sparkSession.createDataFrame([], SWEEP)
+    scored = silhouette_by(cut_lineage(points), ["target", "threshold", "n_components"])
+    grid = df.sparkSession.createDataFrame([(a, t, n, first) for (a, t), (n, first) in shape_of.items()],
+                                           "target string, asked double, n_features int, threshold double")
+    return grid.join(scored, ["target", "threshold"]).select(
+        "target", F.col("asked").alias("threshold"), "n_features", "n_components", "silhouette")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from peakforge.operators.amr import labelled
 from peakforge.operators import features as X, metrics, models, resample as R, tuning
+from peakforge.operators import neighbours as N, silhouette as S
 from peakforge.operators.neighbours import knn_lists
 from peakforge.operators.ranking import quantile, ranked, smallest
 from peakforge.plans import sweep, train
@@ -228,12 +229,48 @@ def test_pca(blobs):
     assert np.allclose(local(X.leading(full, 2))[1], (centred @ v.T)[:, :2])
 
 
+def test_randomised_components(spark):
+    """Never a d x d matrix: the same scores as the exact fit, on a spectrum that falls."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 40)) * 0.7 ** np.arange(40) @ np.linalg.qr(rng.normal(size=(40, 40)))[0] + 3
+    df = spark.createDataFrame([(str(i), [float(v) for v in r], 0) for i, r in enumerate(x)], SCHEMA).repartition(4)
+    one, two = (local(X.pca_project(df, 6, method=m))[1] for m in ("exact", "randomised"))
+    assert np.allclose(one, two, atol=1e-6)
+    loads = X.principal_axes(df, 6)
+    assert np.allclose(loads.T @ loads, np.eye(6))
+
+
+def test_targets(spark):
+    """One pass for all targets equals target by target; one class gives NaN, one row nothing."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 5))
+    x[:30, 0] += 4
+    df = spark.createDataFrame([(str(i), [float(v) for v in r], 0) for i, r in enumerate(x)], SCHEMA).repartition(4)
+    letters = [(str(i), "split", int(i >= 30)) for i in range(90)] + [(str(i), "three", i % 3) for i in range(60)] + [
+        (str(i), "same", 1) for i in range(9)] + [("3", "lonely", 0), ("4", "none", None)]
+    table = spark.createDataFrame(letters, "sample_id string, target string, label int")
+    stats = {(r["target"], r["feature"]): r["corr"] for r in X.feature_stats(sweep.with_targets(df, table), keys=["target"]).collect()}
+    y = np.arange(90) >= 30
+    assert np.isclose(stats["split", 0], np.corrcoef(x[:, 0], ~y)[0, 1]) and stats["same", 0] is None and ("none", 0) not in stats
+    got = {(r["target"], r["threshold"], r["n_components"]): r for r in sweep.sweep_targets(df, table, (0.0, 0.0001, 0.9), (2, 3, 9)).collect()}
+    assert {(t, c) for t, c, _ in got if t in ("split", "three")} == {(t, c) for t in ("split", "three") for c in (0.0, 0.0001)}
+    for target, upto in (("split", 90), ("three", 60)):
+        own = df.filter(F.col("sample_id").cast("int") < upto).drop("label").join(table.filter(F.col("target") == target), "sample_id")
+        scaled = X.min_max(df).select("sample_id", "features").join(own.select("sample_id", "label"), "sample_id")
+        scores = X.leading(X.pca_project(scaled, 3), 2)
+        assert np.isclose(got[target, 0.0, 2]["silhouette"], S.silhouette(scores).first()[0])
+    assert not any(t in ("lonely", "none") for t, _, _ in got)
+    points = sweep.with_targets(df, table)
+    by = {r["target"]: r["silhouette"] for r in S.silhouette_by(points, ["target"]).collect()}
+    assert np.isnan(by["same"]) and np.isnan(by["lonely"])
+
+
 def test_sweep(apart):
     rows = sweep.sweep_pca(apart, (0.3, 2.0), (1, 2, 50)).collect()
     assert {(r["threshold"], r["n_components"]) for r in rows} == {(0.3, 1), (0.3, 2)}
     assert all(r["silhouette"] > 0.5 and r["n_features"] == 3 for r in rows)
-    assert [sweep.bounded_neighbourhood(n) for n in (1, 5, 100)] == [None, 4, 30]
-    assert sweep.bounded_neighbourhood(12, top=10, divisor=3) == 4
+    assert [N.bounded_neighbourhood(n) for n in (1, 5, 100)] == [None, 4, 30]
+    assert N.bounded_neighbourhood(12, top=10, divisor=3) == 4
 
 
 # ---- models ---------------------------------------------------------------------------------------------------------

@@ -619,3 +619,20 @@ ORACLE = {
 }
 # The block paths answer the same questions.
 ORACLE |= {f"{name}_blocks": ORACLE[name] for name in ("silhouette_samples", "pike_kernel")}
+
+TARGETS = """letters AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, unnest(['first', 'second', 'third']) AS target,
+    unnest([CASE WHEN label < 3 THEN 0 ELSE 1 END, label % 3, CASE WHEN label % 4 < 3 THEN label % 4 END]) AS letter FROM embeddings)"""
+ORACLE |= {
+    "target_stats": f"""WITH {ROWS}, {CELLS}, {TARGETS}
+        SELECT target, CAST(feature AS BIGINT) AS feature, count(*) AS n, round(corr(v, CASE WHEN letter = 0 THEN 1 ELSE 0 END), 6) AS corr
+        FROM cells JOIN letters USING (sample_id) WHERE letter IS NOT NULL GROUP BY target, feature""",
+    "target_projection": f"""WITH {ROWS}, {TARGETS},
+        s AS (SELECT sample_id, [list_sum([f[i] * cos(i * (j + 2)) FOR i IN range(1, 65)]) FOR j IN range(0, 5)] AS y FROM pts),
+        p AS (SELECT sample_id, target, letter AS label, c AS n_components, y[1:c] AS f FROM s JOIN letters USING (sample_id),
+              (VALUES (2), (3), (5)) v(c) WHERE letter IS NOT NULL),
+        d AS (SELECT a.target, a.n_components, a.sample_id, a.label, b.label AS other, avg({EUCLID}) AS dist FROM p a JOIN p b
+              ON a.target = b.target AND a.n_components = b.n_components AND a.sample_id <> b.sample_id GROUP BY ALL),
+        m AS (SELECT target, n_components, sample_id, max(dist) FILTER (label = other) AS a, min(dist) FILTER (label <> other) AS b FROM d GROUP BY ALL)
+        SELECT target, n_components, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM m GROUP BY ALL""",
+    "pca_components": "SELECT true AS uncorrelated, true AS ordered, true AS above_features",
+}

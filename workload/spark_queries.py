@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -543,6 +545,39 @@ def projection_sweep(spark, sf):
     return sweep.sweep_pca(_labelled(spark, sf), thresholds=(0.0, 0.05, 0.1), sizes=(2, 5, 10))
 
 
+def target_stats(spark, sf):
+    """Correlation of every feature with the first letter of every target, all targets in one pass."""
+    stats = X.feature_stats(sweep.with_targets(_labelled(spark, sf), V.target_letters(spark, sf)), keys=["target"])
+    return stats.select("target", F.col("feature").cast("bigint").alias("feature"), F.col("n").cast("bigint").alias("n"),
+                        _r("corr").alias("corr"))
+
+
+def target_projection(spark, sf):
+    """Silhouettes of every target on fixed loadings, for two, three and five components."""
+    loads = [[math.cos((i + 1) * (j + 2)) for j in range(5)] for i in range(64)]
+    out = sweep.project_targets(_labelled(spark, sf), V.target_letters(spark, sf), loads, (2, 3, 5))
+    return out.select("target", "n_components", "n", _r("silhouette").alias("silhouette"))
+
+
+def target_sweep(spark, sf):
+    return sweep.sweep_targets(_labelled(spark, sf), V.target_letters(spark, sf), (0.0, 0.05, 0.1), (2, 5, 10))
+
+
+def pca_components(spark, sf):
+    """What principal components must be, of the randomised fit: uncorrelated, spreads in order, the first above any feature's."""
+    rows = _labelled(spark, sf)
+    scores = X.pca_project(rows, 8, method="randomised", extra=16, passes=12)
+    at = [F.get("features", F.lit(i)) for i in range(8)]
+    spread = scores.agg(*[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(at)], *[
+        F.covar_pop(at[i], at[j]).alias(f"c{i}{j}") for i in range(8) for j in range(i)])
+    most = X.feature_moments(rows).agg(F.max("var_pop").alias("most"))
+    off = F.greatest(*[F.abs(F.col(f"c{i}{j}")) for i in range(8) for j in range(i)])
+    order = F.least(*[F.col(f"v{i}") - F.col(f"v{i + 1}") for i in range(7)])
+    return spread.crossJoin(F.broadcast(most)).select(
+        (off < 1e-6 * F.col("v0")).alias("uncorrelated"), (order >= -1e-9 * F.col("v0")).alias("ordered"),
+        (F.col("v0") >= F.col("most")).alias("above_features"))
+
+
 def embedding_sweep(spark, sf):
     """Supplied two-dimensional embeddings: the first positions of every vector, once plain and once doubled."""
     rows = _labelled(spark, sf).withColumn("features", F.slice("features", 1, 2))
@@ -598,7 +633,8 @@ QUERIES = {
     # neighbours
     "knn_join": _knn("euclidean"), "knn_join_manhattan": _knn("manhattan"), "knn_join_blocks": knn_join_blocks,
     "neighbour_graph": neighbour_graph, "knn_classify": knn_classify, "silhouette_samples": silhouette_samples,
-    "silhouette_samples_blocks": silhouette_samples_blocks, "pike_kernel_blocks": pike_kernel_blocks,
+    "silhouette_samples_blocks": silhouette_samples_blocks, "target_stats": target_stats,
+    "target_projection": target_projection, "target_sweep": target_sweep, "pca_components": pca_components, "pike_kernel_blocks": pike_kernel_blocks,
     "mean_silhouette": mean_silhouette, "squared_silhouette": squared_silhouette, "pike_kernel": pike_kernel,
     # split and rebalancing
     "split_stratified": split_stratified, "split_plain": split_plain,

@@ -36,6 +36,16 @@ def features(spark, sf) -> DataFrame:
         F.col("label").alias("group"))
 
 
+def target_letters(spark, sf) -> DataFrame:
+    """Letters (0, 1, 2) of three targets per vector; the third has none for some of them."""
+    group = F.col("label")
+    of = {"first": F.when(group < 3, 0).otherwise(1), "second": (group % 3).cast("int"),
+          "third": F.when(group % 4 < 3, (group % 4).cast("int"))}
+    of = F.array(*[F.struct(F.lit(t).alias("target"), x.alias("label")) for t, x in of.items()])
+    return table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), F.explode(of).alias("t")).select(
+        "sample_id", "t.target", "t.label")
+
+
 def letters(spark, sf) -> DataFrame:
     """Raw letters per order, with the codes that are no class mixed in by price."""
     price, status = F.col("o_totalprice"), F.col("o_orderstatus")
