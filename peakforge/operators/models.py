@@ -1,7 +1,7 @@
 """Classifiers on (sample_id, features, label): fit, then predict as a DataFrame.
 
 Nearly all are ``pyspark.ml`` learners. The neighbour vote is the neighbour join, AdaBoost is a loop of weighted stumps,
-and the kernel machine is a random cosine map followed by a linear separator.
+and the kernel machine is a map of its kernel followed by a linear separator.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from peakforge.functions import kernels
 from peakforge.operators import blocks as B
-from peakforge.operators.features import feature_moments
+from peakforge.operators.kernel_map import gamma_of, kernel_map
 from peakforge.operators.neighbours import knn_classify
 from peakforge.operators.resample import class_sizes
 from peakforge.schema import DOUBLES
@@ -189,19 +189,18 @@ def cosine_map(width: int, gamma: float, size: int = 500, seed: int = 42):
     return lambda df: df.withColumn("features", once(run)(F.col("features").cast("array<double>")))
 
 
-def svm(train: DataFrame, kernel: str = "rbf", C: float = 3.0, gamma: float | str = 0.1, size: int = 500,
-        max_iter: int = 100, seed: int = 42, **_) -> Fitted:
+def svm(train: DataFrame, kernel: str = "rbf", C: float = 3.0, gamma: float | str = 0.1, degree: int = 3, size: int = 500,
+        mapping: str = "cosine", max_iter: int = 100, seed: int = 42, **_) -> Fitted:
+    """Kernel machine: a map of the kernel with ``size`` features, then a linear separator.
+
+    ``rbf`` has a random cosine map or, with ``mapping="landmarks"``, that of ``kernel_map``, which ``poly`` and ``sigmoid`` always use.
+    """
     n, width = B.shape(train)
     prepare = (lambda df: df)
-    if kernel == "rbf":
-        if gamma == "auto":
-            gamma = 1.0 / width
-        elif gamma == "scale":
-            m = feature_moments(train).agg(F.avg("mean"), F.avg("var_pop"), F.avg(F.col("mean") * F.col("mean"))).first()
-            gamma = 1.0 / (width * max(m[1] + m[2] - m[0] ** 2, 1e-12))
-        prepare = cosine_map(width, float(gamma), size, seed)
+    if kernel == "rbf" and mapping == "cosine":
+        prepare = cosine_map(width, gamma_of(train, gamma), size, seed)
     elif kernel != "linear":
-        raise ValueError(f"kernel {kernel!r} has no counterpart; use 'rbf' or 'linear'")
+        prepare = kernel_map(train, kernel, gamma, degree, landmarks=size, seed=seed)
     est = LinearSVC(**_cols(regParam=1.0 / (C * n), maxIter=max_iter))
     if len(class_sizes(train)) > 2:
         est = OneVsRest(classifier=est, featuresCol=VECTOR, labelCol="label")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakforge.functions.scalars import hash_uniform
+from peakforge.operators.kernel_map import LANDMARKS, kernel_map
 from peakforge.operators.neighbours import knn_lists
 from peakforge.operators.ranking import lowest, quantile, ranked, smallest
 from peakforge.session import cut_lineage
@@ -177,18 +178,29 @@ def borderline_smote(df: DataFrame, seed: int = SEED, k: int = 5, m: int = 10) -
     return out
 
 
+def margin_rows(df: DataFrame, positive, C: float = 1.0, gamma: float | str = "scale", landmarks: int = LANDMARKS, seed: int = SEED) -> DataFrame:
+    """(sample_id) of class rows on or inside the margin of the kernel machine between ``positive`` and all other classes.
+
+    The margin is that of the exact machine if every row is a landmark, and of its restriction to the landmarks' span beyond that.
+    """
+    n = df.count()
+    mapped = kernel_map(df, "rbf", gamma, landmarks=landmarks, seed=seed)(df)
+    ready = cut_lineage(mapped.select("sample_id", array_to_vector("features").alias("_v"), (F.col("label") == positive).cast("double").alias("_y")))
+    model = LinearSVC(featuresCol="_v", labelCol="_y", maxIter=300, tol=1e-8, regParam=1.0 / (C * n), standardization=False).fit(ready)
+    return (model.transform(ready.filter("_y = 1")).filter(F.get(vector_to_array("rawPrediction"), F.lit(1)) <= 1 + 1e-3)
+            .select("sample_id"))
+
+
 def svm_smote(df: DataFrame, seed: int = SEED, k: int = 5, m: int = 10, share: float = 0.5,
               out_step: float = 0.5) -> DataFrame:
-    """Starts from class rows inside the margin of a linear separator, without those that have only foreign neighbours.
+    """Starts from the support vectors of a class: its rows inside the margin of an RBF kernel machine (``margin_rows``), without
+    those that have only foreign neighbours.
 
     Where the neighbourhood is mostly foreign the point lies towards a neighbour, elsewhere it moves away from it.
     """
     out = df.select(*COLUMNS)
     for c, n in _targets(df):
-        ready = df.select("sample_id", array_to_vector("features").alias("_v"), (F.col("label") == c).cast("double").alias("_y"))
-        model = LinearSVC(featuresCol="_v", labelCol="_y", maxIter=50, regParam=0.01).fit(ready)
-        inside = (model.transform(ready.filter("_y = 1")).filter(F.get(vector_to_array("rawPrediction"), F.lit(1)) <= 1)
-                  .select("sample_id"))
+        inside = margin_rows(df, c, seed=seed)
         rows = df.filter(F.col("label") == c).select(*COLUMNS)
         support = rows.join(inside, "sample_id", "left_semi")
         placed = cut_lineage(knn_lists(support, df, m).filter(_foreign(c) < F.size("nn"))

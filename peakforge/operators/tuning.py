@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,23 +35,33 @@ def expand(grid: dict) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
-def grid_search(train: DataFrame, model: str, grid: dict, folds: int = 3, seed: int = 42) -> tuple[DataFrame, dict, Fitted]:
+def grid_search(train: DataFrame, model: str, grid: dict, folds: int = 3, seed: int = 42, at_once: int = 4,
+                refit: bool = True) -> tuple[DataFrame, dict, Fitted | None]:
     """(scores, best parameters, model refitted on all rows) by mean macro F1 over stratified folds.
 
-    ``scores`` has a row per parameter set and fold. The folds of a parameter set are scored on the cluster; the grid is
-    walked by the driver, as the learners themselves are distributed.
+    ``scores`` has a row per parameter set and fold, all fitted on one stored table of folds. ``at_once`` of them run side by side, so that the
+    small jobs of one fit fill the gaps of another; the answer does not depend on it. Ties go to the first parameter set. Without ``refit``
+    no model is fitted on all rows.
     """
     data = cut_lineage(with_folds(train, folds, seed))
-    points, rows = expand(grid), []
-    for i, params in enumerate(points):
-        for f in range(folds):
-            fitted = fit(model, data.filter(F.col("fold") != f).drop("fold"), **params)
-            score = metrics.macro_f1(fitted.predict(data.filter(F.col("fold") == f))).first()[0]
-            rows.append((i, f, str(params), float(score or 0.0)))
+    points = expand(grid)
+
+    def score(task):
+        i, f = task
+        fitted = fit(model, data.filter(F.col("fold") != f).drop("fold"), **points[i])
+        value = metrics.macro_f1(fitted.predict(data.filter(F.col("fold") == f))).first()[0]
+        return i, f, str(points[i]), float(value or 0.0)
+
+    tasks = [(i, f) for i in range(len(points)) for f in range(folds)]
+    if at_once > 1:
+        with ThreadPoolExecutor(at_once) as pool:
+            rows = list(pool.map(inheritable_thread_target(train.sparkSession)(score), tasks))
+    else:
+        rows = [score(t) for t in tasks]
     means = [np.mean([r[3] for r in rows if r[0] == i]) for i in range(len(points))]
     best = points[int(np.argmax(means))]
     scores = train.sparkSession.createDataFrame(rows, "point int, fold int, params string, macro_f1 double")
-    return scores, best, fit(model, train, **best)
+    return scores, best, fit(model, train, **best) if refit else None
 
 
 def _ranked_forest(train: DataFrame, trees: int, seed: int):

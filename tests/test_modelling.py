@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakforge.operators.amr import labelled
-from peakforge.operators import features as X, metrics, models, resample as R, tuning
+from peakforge.operators import features as X, kernel_map, metrics, models, resample as R, tuning
 from peakforge.operators import neighbours as N, silhouette as S
 from peakforge.operators.neighbours import knn_lists
 from peakforge.operators.ranking import quantile, ranked, smallest
@@ -288,6 +288,58 @@ def test_models_separate_classes(apart, name):
     assert row["accuracy"] > 0.9 and row["f1_R"] > 0.85 and row["f1_S"] > 0.9
 
 
+@pytest.mark.parametrize("kernel", kernel_map.KERNELS)
+def test_kernel_maps(blobs, kernel):
+    """Every row a landmark: dot products are the kernel, of a sigmoid its positive part."""
+    ids, x, _ = local(kernel_map.kernel_map(blobs, kernel, 0.3, degree=3, offset=0.5, landmarks=100)(blobs))
+    _, raw, _ = local(blobs)
+    want = kernel_map.values(raw, raw, kernel, 0.3, 3, 0.5)
+    if kernel == "sigmoid":
+        sizes, vectors = np.linalg.eigh(want)
+        want = vectors * np.maximum(sizes, 0) @ vectors.T
+    assert np.allclose(x @ x.T, want, atol=1e-6 * np.abs(want).max())
+
+
+def test_curved_kernels_separate_rings(spark):
+    rng = np.random.default_rng(2)
+    angle, radius = rng.uniform(0, 2 * np.pi, 160), np.repeat([1.0, 3.0], 80) + rng.normal(0, 0.1, 160)
+    rows = [(f"p{i}", [float(r * np.cos(a)), float(r * np.sin(a))], int(i >= 80)) for i, (a, r) in enumerate(zip(angle, radius))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
+    for params in ({"kernel": "poly", "degree": 2}, {"kernel": "rbf", "mapping": "landmarks"}):
+        fitted = models.fit("svm", df, gamma="scale", size=60, **params)
+        assert metrics.evaluate(fitted.predict(df)).first()["accuracy"] > 0.97
+    with pytest.raises(ValueError):
+        models.fit("svm", df, kernel="unknown")
+
+
+def test_margin_rows_against_an_exact_machine(blobs):
+    """The dual of the hinge loss solved by coordinate steps over pairs; rows clearly inside the margin are seeds, rows clearly outside are not."""
+    ids, x, y = local(blobs)
+    sign = np.where(y == 0, 1.0, -1.0)
+    gamma = 1 / (x.shape[1] * x.var())
+    k = kernel_map.values(x, x, "rbf", gamma)
+    a, rng = np.zeros(len(y)), np.random.default_rng(0)
+    for _ in range(60000):
+        i, j = rng.choice(len(y), 2, replace=False)
+        f = k @ (a * sign)
+        bend = k[i, i] + k[j, j] - 2 * k[i, j]
+        if bend < 1e-12:
+            continue
+        step = ((f[j] - sign[j]) - (f[i] - sign[i])) / bend * sign[i]  # a_i moves by step, a_j against it
+        new_i = np.clip(a[i] + step, 0, 1)
+        new_j = a[j] - (new_i - a[i]) * sign[i] * sign[j]
+        if new_j < 0 or new_j > 1:
+            new_j = np.clip(new_j, 0, 1)
+            new_i = a[i] - (new_j - a[j]) * sign[i] * sign[j]
+        a[i], a[j] = np.clip(new_i, 0, 1), new_j
+    f = k @ (a * sign)
+    free = (a > 1e-4) & (a < 1 - 1e-4)
+    margin = sign * (f + np.mean(sign[free] - f[free]))
+    seeds = {r[0] for r in R.margin_rows(blobs, 0, landmarks=100).collect()}
+    own = [i for i in range(len(y)) if y[i] == 0]
+    assert {ids[i] for i in own if margin[i] < 0.95} <= seeds <= {ids[i] for i in own if margin[i] < 1.05}
+
+
 def test_boosting_weights_match_a_direct_loop(blobs):
     """Three stumps against the same rule computed by hand from their own predictions."""
     fitted = models.fit("adaboost", blobs, rounds=3, rate=0.5)

@@ -635,4 +635,7 @@ ORACLE |= {
         m AS (SELECT target, n_components, sample_id, max(dist) FILTER (label = other) AS a, min(dist) FILTER (label <> other) AS b FROM d GROUP BY ALL)
         SELECT target, n_components, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM m GROUP BY ALL""",
     "pca_components": "SELECT true AS uncorrelated, true AS ordered, true AS above_features",
+    "kernel_products": f"""WITH {ROWS}, l AS (SELECT sample_id, f FROM pts ORDER BY {u('sample_id', "'landmark'", "'42'")}, sample_id LIMIT 40)
+        SELECT a.sample_id AS a, b.sample_id AS b, round(pow(0.05 * list_dot_product(a.f, b.f) + 1, 2), 4) AS k
+        FROM l a JOIN l b ON a.sample_id <= b.sample_id""",
 }

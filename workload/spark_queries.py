@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from peakforge.functions.arrays import tof_to_mz
 from peakforge.functions.scalars import canonical_id, recode
 from peakforge.operators import (
-    amr, binning, catalog, features as X, identification, metrics, models, neighbours, pike, resample, silhouette,
+    amr, binning, catalog, features as X, identification, kernel_map, metrics, models, neighbours, pike, resample, silhouette,
     spectra as S, tuning,
 )
 from peakforge.plans import sweep, train
@@ -499,7 +499,7 @@ def stratified_folds(spark, sf):
 
 def grid_search(spark, sf):
     train_side, _ = _split(spark, sf)
-    scores, _, _ = tuning.grid_search(train_side, "logistic", {"C": [0.1, 1.0, 10.0]})
+    scores, _, _ = tuning.grid_search(train_side, "logistic", {"C": [0.1, 1.0, 10.0]}, refit=False)
     return scores
 
 
@@ -507,10 +507,28 @@ def grid_search_three_classes(spark, sf):
     rows = V.features(spark, sf).select("sample_id", "features", F.when(F.col("group") < 3, 0).when(
         F.col("group") < 7, 1).otherwise(2).alias("label"))
     train_side, _ = resample.split(cut_lineage(rows), stratify=False)
-    scores, _, _ = tuning.grid_search(train_side, "gradient_boosting", {"trees": [3], "depth": [2, 3]})
+    scores, _, _ = tuning.grid_search(train_side, "gradient_boosting", {"trees": [3], "depth": [2, 3]}, refit=False)
     return scores
 
 
+def grid_search_svm(spark, sf):
+    """All 32 settings of the kernel machine: four costs, four kernels, two widths."""
+    train_side, _ = _split(spark, sf)
+    grid = {"C": [0.1, 1.0, 10.0, 100.0], "kernel": ["linear", "rbf", "poly", "sigmoid"], "gamma": ["scale", "auto"], "size": [100]}
+    return tuning.grid_search(train_side, "svm", grid, refit=False)[0]
+
+
+def kernel_products(spark, sf):
+    """Dot products of mapped landmarks: the polynomial kernel between them."""
+    rows = _labelled(spark, sf)
+    mapped = kernel_map.kernel_map(rows, "poly", 0.05, degree=2, offset=1.0, landmarks=40)
+    own = cut_lineage(mapped(kernel_map.landmark_rows(rows, 40)).select("sample_id", "features"))
+    other = own.select(F.col("sample_id").alias("b"), F.col("features").alias("g"))
+    pairs = own.select(F.col("sample_id").alias("a"), "features").join(other, F.col("a") <= F.col("b"))
+    dot = F.aggregate(F.zip_with("features", "g", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return pairs.select("a", "b", _r(dot, 4).alias("k"))
+
+
 def compare_methods(spark, sf):
     train_side, test_side = _split(spark, sf)
     return tuning.compare(train_side, test_side, {"logistic": {}, "knn": {}},
@@ -634,7 +652,7 @@ QUERIES = {
     "knn_join": _knn("euclidean"), "knn_join_manhattan": _knn("manhattan"), "knn_join_blocks": knn_join_blocks,
     "neighbour_graph": neighbour_graph, "knn_classify": knn_classify, "silhouette_samples": silhouette_samples,
     "silhouette_samples_blocks": silhouette_samples_blocks, "target_stats": target_stats,
-    "target_projection": target_projection, "target_sweep": target_sweep, "pca_components": pca_components, "pike_kernel_blocks": pike_kernel_blocks,
+    "target_projection": target_projection, "kernel_products": kernel_products, "grid_search_svm": grid_search_svm, "target_sweep": target_sweep, "pca_components": pca_components, "pike_kernel_blocks": pike_kernel_blocks,
     "mean_silhouette": mean_silhouette, "squared_silhouette": squared_silhouette, "pike_kernel": pike_kernel,
     # split and rebalancing
     "split_stratified": split_stratified, "split_plain": split_plain,
