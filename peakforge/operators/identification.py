@@ -65,9 +65,16 @@ def validate_matches(df: DataFrame, threshold: float = 1.7, top: int = 3) -> Dat
 
 
 def accepted(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Accepted rows; ``limit`` is the trial mode that stops after that many."""
+    """Accepted rows; ``limit`` is the trial mode that takes so many, the first by sample id and target position.
+
+    The order is total up to rows that are equal in every plain column, so a trial gives the same rows again.
+    """
     out = df.filter(F.col("status") == "accepted")
-    return out if limit is None else out.limit(limit)
+    if limit is None:
+        return out
+    plain = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct")]
+    first = [c for c in ("extern_id", "target_position") if c in plain]
+    return out.orderBy(*first, *[c for c in plain if c not in first]).limit(limit)
 
 
 def normalise_species(df: DataFrame, column: str = "species") -> DataFrame:

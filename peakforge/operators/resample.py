@@ -311,19 +311,27 @@ def condensed(df: DataFrame, seed: int = SEED) -> DataFrame:
     """Grow a store until its nearest row judges every left-over row right.
 
     Each round adds a drawn half of the misjudged rows at once instead of one row after the other, and at least one, so the
-    rounds end.
+    rounds end. Every left-over row carries its nearest stored row so far; a round compares it with the rows added in that
+    round only, so all rounds together compare each row with each stored row once.
     """
     state = _first_store(df, seed)
+
+    def nearest(rows, store):
+        found = knn_lists(rows, store, 1, exclude_self=False)
+        best = F.get("nn", F.lit(0))
+        return found.withColumn("_found", F.struct(best["dist"].alias("dist"), best["id"].alias("id"), best["label"].alias("label"))).drop("nn")
+    stored = state.filter("stored").select(*COLUMNS)
+    left = cut_lineage(nearest(state.filter("not stored").select(*COLUMNS), stored).withColumnRenamed("_found", "_best"))
     for i in itertools.count():
-        wrong = cut_lineage(_misjudged(state.filter("not stored"), state.filter("stored"))
-                            .select("sample_id", _draw(f"add{i}", seed).alias("u")))
+        wrong = cut_lineage(left.filter(F.col("_best.label") != F.col("label")).select("sample_id", _draw(f"add{i}", seed).alias("u")))
         low = wrong.agg(F.min("u")).first()[0]
         if low is None:
             break
-        added = wrong.filter((F.col("u") < 0.5) | (F.col("u") <= low)).select("sample_id", F.lit(True).alias("_new"))
-        state = cut_lineage(state.join(added, "sample_id", "left")
-                            .withColumn("stored", F.col("stored") | F.coalesce("_new", F.lit(False))).drop("_new"))
-    return state.filter("stored").select(*COLUMNS)
+        chosen = wrong.filter((F.col("u") < 0.5) | (F.col("u") <= low)).select("sample_id")
+        added = cut_lineage(left.join(chosen, "sample_id", "left_semi").select(*COLUMNS))
+        rest = left.join(chosen, "sample_id", "left_anti")
+        left = cut_lineage(nearest(rest, added).withColumn("_best", F.least("_best", "_found")).drop("_found"))
+    return df.select(*COLUMNS).join(left.select("sample_id"), "sample_id", "left_anti")
 
 
 def one_sided(df: DataFrame, seed: int = SEED) -> DataFrame:

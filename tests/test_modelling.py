@@ -169,6 +169,20 @@ def test_centroids(blobs):
         assert np.allclose(centres[i], big[near == i].mean(0), atol=1e-6)
 
 
+def test_condensed_equals_comparing_with_the_whole_store(blobs):
+    """Round by round with the whole store, as the rule reads."""
+    state = R._first_store(blobs, R.SEED)
+    for i in range(50):
+        wrong = R._misjudged(state.filter("not stored"), state.filter("stored")).select("sample_id", R._draw(f"add{i}", R.SEED).alias("u")).collect()
+        if not wrong:
+            break
+        low = min(r["u"] for r in wrong)
+        new = [r["sample_id"] for r in wrong if r["u"] < 0.5 or r["u"] <= low]
+        state = state.withColumn("stored", F.col("stored") | F.col("sample_id").isin(new))
+    want = {r["sample_id"] for r in state.filter("stored").collect()}
+    assert {r["sample_id"] for r in R.condensed(blobs).collect()} == want
+
+
 def test_condensed_judges_every_row_right(blobs):
     kept, x, y = local(R.condensed(blobs))
     ids, all_x, all_y = local(blobs)

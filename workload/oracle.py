@@ -350,7 +350,7 @@ valid AS (SELECT DISTINCT extern_id, target_position FROM catalog)
 
 
 def points_stat(agg: str) -> str:
-    return f"WITH {POINTS}, {log_edges_cte(20)} {log_binned('points', agg)}"
+    return f"WITH {POINTS}, {log_edges_cte(100)} {log_binned('points', agg)}"
 
 
 def model_free_histogram() -> str:
@@ -638,4 +638,7 @@ ORACLE |= {
     "kernel_products": f"""WITH {ROWS}, l AS (SELECT sample_id, f FROM pts ORDER BY {u('sample_id', "'landmark'", "'42'")}, sample_id LIMIT 40)
         SELECT a.sample_id AS a, b.sample_id AS b, round(pow(0.05 * list_dot_product(a.f, b.f) + 1, 2), 4) AS k
         FROM l a JOIN l b ON a.sample_id <= b.sample_id""",
+    "trial_matches": f"""WITH {CHECKED} SELECT extern_id, target_position, g1 AS genus, {cap('sp1')} AS species FROM checked
+        WHERE reason IS NULL ORDER BY extern_id, target_position LIMIT 100""",
+    "confidence": """SELECT event_id, round(greatest(value / 500 / 2, 1 - value / 500), 6) AS confidence FROM events""",
 }

@@ -92,6 +92,12 @@ def validate_matches(spark, sf):
         "extern_id", "target_position", "genus", "species", "status", "reason", "warning")
 
 
+def trial_matches(spark, sf):
+    """Trial mode: the first 100 accepted identifications."""
+    found = identification.accepted(identification.validate_matches(V.matches(spark, sf)), limit=100)
+    return found.select("extern_id", "target_position", "genus", "species")
+
+
 def _accepted(spark, sf):
     return identification.accepted(identification.validate_matches(V.matches(spark, sf)))
 
@@ -305,6 +311,13 @@ def reject_curve(spark, sf):
     return out.select("threshold", _r("reject_rate").alias("reject_rate"), _r("accepted_accuracy").alias("accepted_accuracy"))
 
 
+def confidence(spark, sf):
+    """Largest class probability of every event."""
+    p = F.col("value") / 500
+    rows = V.table(spark, sf, "events").select("event_id", F.array(p / 2, 1 - p, p / 2).alias("probability"))
+    return metrics.confidence(rows).select("event_id", _r("confidence").alias("confidence"))
+
+
 def append_results(spark, sf):
     """Score rows of two prediction sets in one table with a column only one of them has."""
     a = evaluate(spark, sf).withColumn("method", F.lit("none"))
@@ -371,7 +384,7 @@ def densify(spark, sf):
 
 
 def _points_stat(agg):
-    return lambda spark, sf: _bins(binning.bin_points_log(V.points(spark, sf), n=20, agg=agg))
+    return lambda spark, sf: _bins(binning.bin_points_log(V.points(spark, sf), n=100, agg=agg))
 
 
 # ---- features -------------------------------------------------------------------------------------------------------
@@ -606,7 +619,7 @@ def embedding_sweep(spark, sf):
 
 QUERIES = {
     # cleaning and counting
-    "validate_matches": validate_matches, "species_report": species_report, "nested_report": nested_report,
+    "validate_matches": validate_matches, "trial_matches": trial_matches, "species_report": species_report, "nested_report": nested_report,
     "parse_analyte_documents": parse_analyte_documents, "normalise_species": normalise_species,
     "counts_with_total": counts_with_total, "species_counts": species_counts, "dataset_totals": dataset_totals,
     "top_species": top_species, "global_stats": global_stats, "keep_known": keep_known, "not_found": not_found,
@@ -620,7 +633,7 @@ QUERIES = {
     **{f"joined_{m}_sizes": _joined_sizes(m) for m in ("random_over", "random_under", "smote")},
     # scores
     "evaluate": evaluate, "per_class": per_class, "macro_f1": macro_f1, "prediction_dump": prediction_dump,
-    "run_summary": run_summary, "histogram": histogram, "reject_curve": reject_curve, "append_results": append_results,
+    "run_summary": run_summary, "histogram": histogram, "confidence": confidence, "reject_curve": reject_curve, "append_results": append_results,
     # spectra
     "tof_calibration": tof_calibration, "decode_signals": decode_signals,
     "stabilise_sqrt": _spectrum_query(S.stabilise("sqrt")), "stabilise_log": _spectrum_query(S.stabilise("log")),
