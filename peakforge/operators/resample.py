@@ -11,6 +11,7 @@ import itertools
 
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -408,9 +409,9 @@ def _centroids(rows: DataFrame, k: int, seed: int, moved: float) -> DataFrame:
     centres = cut_lineage(smallest(rows.select("sample_id", "features"), [_draw("centre", seed), "sample_id"], k))
     while True:
         near = knn_lists(rows.select("sample_id", "features"), centres, 1, exclude_self=False)
-        each = near.select(F.get("nn", F.lit(0))["id"].alias("sample_id"), F.posexplode("features").alias("i", "v"))
-        mean = each.groupBy("sample_id", "i").agg(F.avg("v").alias("v")).groupBy("sample_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("_mean"))
+        # One vector per task and centre crosses the shuffle.
+        mean = (near.select(F.get("nn", F.lit(0))["id"].alias("sample_id"), array_to_vector("features").alias("_v"))
+                .groupBy("sample_id").agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("_mean")))
         step = F.aggregate(F.zip_with("features", "_mean", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, v: F.greatest(a, v))
         new = cut_lineage(centres.join(mean, "sample_id", "left")
                           .withColumn("_step", F.coalesce(step, F.lit(0.0)))

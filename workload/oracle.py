@@ -567,9 +567,9 @@ ORACLE = {
         k AS (SELECT src FROM m QUALIFY row_number() OVER (ORDER BY d, src) <= (SELECT count(*) FROM lo))
         {IDS} pts WHERE label = 0 OR sample_id IN (SELECT src FROM k)""",
     "decode_signals": """WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS path, hex(encode(text)) AS h FROM documents),
-        n AS (SELECT *, least(20000, length(h) // 8) AS points FROM b),
+        n AS (SELECT *, length(h) // 8 AS points FROM b),
         s AS (SELECT path, points, [CAST('0x' || w[7:8] || w[5:6] || w[3:4] || w[1:2] AS UBIGINT)
-              FOR w IN regexp_extract_all(h, '.{8}')[1:20000]] AS v FROM n),
+              FOR w IN regexp_extract_all(h, '.{8}')] AS v FROM n),
         q AS (SELECT sqrt(1e12::DOUBLE / 2.5e6) AS b, 100.0::DOUBLE - 19000 AS c, 0.001::DOUBLE AS a)
         SELECT path, CAST(points AS BIGINT) AS points,
           round(coalesce(list_sum([CASE WHEN x >= 2147483648 THEN 0.0::DOUBLE ELSE CAST(x AS DOUBLE) END FOR x IN v]), 0), 0) AS total,

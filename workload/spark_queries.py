@@ -337,10 +337,11 @@ def tof_calibration(spark, sf):
 
 
 def decode_signals(spark, sf):
-    """Document bytes read as signals with a fixed header."""
-    header = "\n".join(["##$TD= 20000", "##$DELAY= 19000", "##$DW= 0.5", "##$ML1= 2500000.0", "##$ML2= 100.0",
+    """Document bytes read as whole signals: the header's number of points is that of the bytes."""
+    header = "\n".join(["##$DELAY= 19000", "##$DW= 0.5", "##$ML1= 2500000.0", "##$ML2= 100.0",
                         "##$ML3= 0.001", "##$BYTORDA= 0"])
-    raw = V.blobs(spark, sf).select("path", F.lit(header).alias("acqu"), "fid")
+    points = F.expr("octet_length(fid) div 4").cast("string")
+    raw = V.blobs(spark, sf).select("path", F.concat(F.lit("##$TD= "), F.coalesce(points, F.lit("0")), F.lit("\n" + header)).alias("acqu"), "fid")
     return decode_acquisition(raw).select(
         "path", F.size("mz").cast("bigint").alias("points"),
         _r(F.aggregate("intensity", F.lit(0.0), lambda a, v: a + v), 0).alias("total"),
