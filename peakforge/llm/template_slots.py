@@ -3,14 +3,16 @@
 Tokens are elements, told apart by the path that leads to them, and text nodes under a path. The pages of one host that share a
 template give its tokens the same occurrence vector (how often per page). Vectors are compared by a fingerprint that is
 summed over pages in Spark, so a host with a third of all pages is never gathered. Tokens with equal vectors that occur on
-at least half of a host's pages form an equivalence class; classes are valid if their elements occur once in their parent,
-and they nest by paths. The gaps between a template's tokens are its slots; the one that holds most of the text is the article,
-and is extracted from every page. Frequent text nodes may be the template's or those of one article in many copies or revisions.
+at least half of a host's pages form an equivalence class; the page itself is a token, so what is once on every page is of its
+class. A class is valid if it has several tokens and its elements occur once in their parent; an element of no such class is
+no part of the template. Valid classes nest by paths. The gaps between a template's tokens are its slots; the one that holds
+most of the text is the article, and is extracted from every page. Frequent text nodes may be the template's or those of one article in many copies or revisions.
 Only pages whose article is for the larger part other text are witnesses, and witnesses with the same other text are one:
 what stands on enough distinct witnesses is the template's and no content. Pages with equal bytes count as one throughout.
 
 Elements that never hold an article (menus, forms, scripts, ...) hold no slot. Nor do elements whose class, id or role names
-something beside it (adverts, sidebars, ...), unless they turn out to hold the article: see ``_Page.settle``.
+something beside it (adverts, sidebars, ...), unless they turn out to hold the article: see ``_Page.settle``. Such words mark
+an inline element only if it is a block of its own or an advert, and inside the article neither a heading nor an anchor.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 ARTICLE = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}  # their ids are anchors
 STATES = {"has", "no", "with", "without"}  # has-sidebar says what a wrapper is laid out for, not what it is
+# Words that also name parts of an article: an id of such words only may be an anchor in it.
+ANCHORS = {"side", "search", "form", "skip", "promotion"}
+# Words that name adverts, also in the midst of a sentence.
+ADVERTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "popup", "hidden"}
 # Words in class, id and role that name what is not the article.
 SIDE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner",
         "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside", "footer", "masthead", "topbar",
@@ -53,6 +59,8 @@ SIDE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising",
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][\w:-]*)[^>]*>|<[!?/][^>]*>|([^<]+|<)",
                    re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# Letters outside ASCII are never folded: some change their number in lower case.
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
@@ -62,7 +70,8 @@ def _hash(*parts) -> int:
 
 def _aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, str, str]:
     """Whether an element cannot hold article text; how its words mark it as beside the article ("side", "slug" or not at all);
-    and the name by which pages of a host tell it from others. A slug is a section's id of several words."""
+    and the name by which pages of a host tell it from others. A slug is a heading, a section's id of several words, or an id
+    of words that also name parts of an article. An inline element is "inline" unless its words name an advert."""
     if tag in OUT or tag == "header" and not in_article:
         return True, "", tag
     name, mark = tag, ""
@@ -81,7 +90,9 @@ def _aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, str, str]
                     found = {w.lower() for w in PART.findall(part)}
                     words |= set() if found & STATES else found
                 if words & SIDE or "header" in words and not in_article and tag != "h1":
-                    mark = "slug" if key == "id" and tag == "section" and words - SIDE and mark != "side" else "side"
+                    named = key == "id" and (tag == "section" and words - SIDE or words & SIDE and words & SIDE <= ANCHORS)
+                    kind = "inline" if tag in INLINE and not words & ADVERTS else "slug" if tag in HEADINGS or named else "side"
+                    mark = kind if not mark or kind == "side" else mark
             if key == "class" and tag not in INLINE:
                 name = f"{tag}.{re.sub('[0-9]+', '', value.split()[0]) if value.split() else ''}"
     return False, mark, name
@@ -108,9 +119,16 @@ class _Page:
 
         A marked element stays if it holds the host's slot, a main element or more than half of the text: of the article
         element, if one is outside all marked elements, else of the page. Without one outside, it also stays around the largest
-        article element that has half as much text as is outside. A slug marks no section inside the article.
+        article element that has half as much text as is outside. A slug marks no element inside the article, and words mark
+        no inline element that stands in a block with other text.
         """
-        sides = {i for i, (mark, *_) in enumerate(self.marked) if mark in ("side", "slug")}
+        sides = {i for i, (mark, *_) in enumerate(self.marked) if mark in ("side", "slug", "inline")}
+        if sides:
+            within = set()
+            for parts, _ in self.read:
+                inline = [{i for i in around if self.marked[i][0] == "inline"} for words, around in parts if words.strip()]
+                within.update(*(inline if set() in inline else ()))
+            sides -= within
         out: set[int] = set()
         if sides:
             size, free, total = [0] * len(self.marked), 0, 0
@@ -121,7 +139,7 @@ class _Page:
                     free += 0 if any(i in sides for i in around) else n
                     for i in around:
                         size[i] += n
-            articles = [i for i in range(len(self.marked)) if i not in sides]
+            articles = [i for i in range(len(self.marked)) if self.marked[i][0] in ARTICLE]
             scope = next((i for i in articles if not sides.intersection(self.marked[i][1])), None)
             whole = total if scope is None else size[scope]
             stay = {i for i in sides if 2 * size[i] > whole and (scope is None or scope in self.marked[i][1])}
@@ -138,7 +156,7 @@ class _Page:
                         stay.update(around)
             for i in sides:
                 mark, around, paths = self.marked[i]
-                if mark == "slug" and (slot and slot in paths or any(j not in sides for j in around)):
+                if mark == "slug" and (slot and slot in paths or any(self.marked[j][0] in ARTICLE for j in around)):
                     stay.add(i)
             out = sides - stay
         for tag, name, path, parent, around in self.opened:
@@ -191,7 +209,7 @@ class _Page:
             self.opened.append((tag, name, path, parent, around))
 
     def _read(self, text: str) -> None:
-        at, n, lower = 0, len(text), None
+        at, n = 0, len(text)
         while at < n:
             found = TOKEN.match(text, at)
             if found is None:  # an unclosed quote: the tag ends at the next bracket
@@ -209,9 +227,8 @@ class _Page:
                 tag = opened.lower()
                 if tag in RAW:
                     if not attributes.endswith("/"):
-                        lower = text.lower() if lower is None else lower
-                        end = lower.find(f"</{tag}", at)
-                        close = text.find(">", end) if end >= 0 else -1
+                        end = RAW_ENDS[tag].search(text, at)
+                        close = text.find(">", end.end()) if end else -1
                         at = n if close < 0 else close + 1
                 elif tag in VOID:
                     if tag == "br":
@@ -290,7 +307,7 @@ def _witnesses(batches):
 
 
 def _template(frame: pd.DataFrame) -> pd.DataFrame:
-    """The slot that holds the article, and the frequent text nodes, from the classes of one host."""
+    """The slot that holds the article, and the frequent text nodes, from the valid classes of one host."""
     elements = frame[(frame["line"] == 0) & (frame["path"] != 0) & (frame["most"] == 1)]
     children: dict = {}
     for r in elements.itertuples(index=False):
@@ -332,9 +349,9 @@ def templates(pages: DataFrame, url: str = "url", text: str = "html") -> DataFra
     share = F.when(F.col("line") == 0, ELEMENT_SHARE).otherwise(TEXT_SHARE)
     frequent = counted.join(total, "host").filter(F.col("pages") >= share * F.col("total"))
     size = frequent.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("size"))
-    # A class of one token that is not on every page is chance, unless it holds the text of its host.
+    # A class of one token is chance, unless it is a text on every page, several times on some.
     valid = frequent.join(size, ["host", "vector", "pages"]).filter(
-        (F.col("size") > 1) | (F.col("pages") == F.col("total")) | (F.col("line") == 0))
+        (F.col("size") > 1) | (F.col("line") != 0) & (F.col("pages") == F.col("total")))
     found = keep(valid.select("host", "path", "parent", "name", "line", "most", "characters").groupBy("host").applyInPandas(
         _template, "host string, slot long, lines array<long>"))
     seen = (marked.select("host", "_html").join(_sent(found.filter(F.size("lines") > 0)), "host").select("host", "_html", "slot", "lines")

@@ -4,10 +4,12 @@ import html
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
+from peakforge.llm import template_slots
 from peakforge.llm.common import table
-from peakforge.llm.template_slots import main_text
+from peakforge.llm.template_slots import main_text, templates
 
 FRAMES = [
     "<html><head><title>{t}</title><script>var a='</p><article>';</script></head><body><header><h2>Site {m}</h2></header><nav><ul><li>Home</li>"
@@ -136,3 +138,51 @@ def test_copied_rows_do_not_hide_the_template(spark):
     rows = [(i, f"http://h.example/{i}", page(i, i < 9)) for i in range(10)] + [(100 + i, "http://h.example/9", page(9, False)) for i in range(90)]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Words of page {i} and some more of them\n\nEnd of {i}" for i in range(10))
+
+
+def test_slot_comes_from_equal_vectors(spark, made, monkeypatch):
+    """With numbers that have nothing to do with one another in place of the vectors no class and no slot is left."""
+    df = spark.createDataFrame(made[0], "page_id long, url string, html string")
+    assert templates(df).filter("slot <> 0").count() == 3
+    real = template_slots._tokens
+
+    def unrelated(batches):
+        for batch in real(batches):
+            at = batch.schema.get_field_index("vector")
+            mixed = [hash((p, n, v)) for p, n, v in zip(*(batch.column(c).to_pylist() for c in ("path", "line", "vector")))]
+            yield batch.set_column(at, "vector", pa.array(mixed, pa.int64()))
+    monkeypatch.setattr(template_slots, "_tokens", unrelated)
+    assert templates(df).filter("slot <> 0").count() == 0
+
+
+def test_single_element_on_some_pages_is_no_class(spark):
+    """The wrapper of seven in ten pages has a partner of the same vector; that of eight in ten has none."""
+    def page(i):
+        inner = f"<p>Text of page {i} that is long enough</p>" + f"<p>More {i}</p>" * (i % 3)
+        return f"<div class=post><h1>Title {i}</h1>{inner}</div>" if i % 10 < 7 else f"<div class=other>{inner}</div><p>Outside {i}</p>"
+
+    def alone(i):
+        inner = f"<p>Text of page {i} that is long enough</p>" + f"<p>More {i}</p>" * (i % 3)
+        return f"<div class=post>{inner}</div>" if i % 10 < 8 else f"<section>{inner}</section>"
+    rows = [(i, "http://pair.example/", page(i)) for i in range(20)] + [(100 + i, "http://alone.example/", alone(i)) for i in range(20)]
+    slots = {r.host: r.slot for r in templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert slots["pair.example"] != 0 and not slots.get("alone.example")
+
+
+def test_letters_that_grow_in_lower_case(spark):
+    body = "<p>" + "\u0130" * 40 + "</p><SCRIPT>var a = '</scripts>';</Script ><p>After the script</p><style>x</STYLE><p>End</p>"
+    rows = [(1, "http://h.example/", f"<article>{body}</article>")]
+    text = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).first().text
+    assert text == "\u0130" * 40 + "\n\nAfter the script\n\nEnd"
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<body><div class=top>x</div><div class=post>{}</div></body>"])
+def test_words_inside_the_article(spark, around):
+    inner = ("<h1>Title {i}</h1><p>Find the <mark class=search>needle</mark> in page {i}, see <a class='related'>this</a>.</p>"
+             "<h2 class=social>Social life {i}</h2><p>Text {i}</p><div id=side>On the side {i}</div><p>Buy <b class=ad>soap</b> end {i}</p>"
+             "<p><a class=related>One</a> <a class=related>two</a></p><div id=sidebar>Bar {i}</div><p><span class=share>tell</span></p>")
+    rows = [(i, "http://h.example/", around.format(inner.format(i=i))) for i in range(8)]
+    for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r.page_id
+        assert r.text.split("\n\n") == [f"Title {i}", f"Find the needle in page {i}, see this.", f"Social life {i}", f"Text {i}",
+                                        f"On the side {i}", f"Buy end {i}"]
