@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakforge.llm.common import bytes_of, chunks, held_out, word_hashes, words
+from peakforge.llm.common import bytes_of, chunks, free_names, held_out, word_hashes, words
 
 PASSAGE_WORDS = 48
 BUCKETS = 48
@@ -212,7 +212,7 @@ def accepted(docs: DataFrame, model: dict | None, text: str = "text", threshold:
             for first, after, x, starts in _bags(batch.column(batch.num_columns - 1)):
                 good[first:after] = _forward(shared.value, x, starts)["p"] >= threshold
             yield batch.filter(pa.array(good)).select(range(batch.num_columns - 1))
-    return docs.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn(free_names(docs, "_text")[0], F.col(text).cast("string")).mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality",

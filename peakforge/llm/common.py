@@ -45,6 +45,22 @@ def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df
 
 
+def sized_broadcast(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df`` (a kept table) marked for broadcast if ``row_bytes``, summed over all rows, fit in ``SMALL_BYTES``."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= SMALL_BYTES else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores before them until none is a column of ``df``, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakforge.llm.common import SMALL_BYTES, WHITE, keep, maybe_broadcast
+from peakforge.llm.common import SMALL_BYTES, WHITE, free_names, keep, maybe_broadcast
 
 SITES = 10
 SKETCH_BITS = 12  # standard error 1.6 %
@@ -50,7 +50,8 @@ def without_spread_lines(docs: DataFrame, text: str = "text", site: str = "sourc
     """``docs``, all columns, with widespread lines cut from ``text``; adds ``_n_lines`` and ``_n_cut``.
 
     A text is cut if the widespread lines hold less than half of its characters (without white space around lines). Null
-    stays null, with 0 lines; empty texts have one line. Repeated rows are treated alike.
+    stays null, with 0 lines; empty texts have one line. Repeated rows are treated alike. Other columns of any name are
+    returned as they are, but for two of the added names, which are replaced.
     """
     found = spread_lines(docs, text, site, sites)
     body = F.col(text).cast("string")
@@ -64,16 +65,18 @@ def without_spread_lines(docs: DataFrame, text: str = "text", site: str = "sourc
     size = hits.agg(F.sum(32 + 4 * F.size("cut"))).first()[0] or 0
     hits = F.broadcast(hits) if size <= SMALL_BYTES else hits
     m0, m1 = _marks(body)
-    joined = docs.withColumns({"m0_": m0, "m1_": m1}).join(
-        hits.select(F.col("m0").alias("m0_"), F.col("m1").alias("m1_"), F.col("cut").alias("_cut")), ["m0_", "m1_"], "left")
+    docs = docs.drop("_n_lines", "_n_cut")
+    k0, k1, cut_at, do, new = free_names(docs, "_k0", "_k1", "_cut", "_do", "_new")
+    joined = docs.withColumns({k0: m0, k1: m1}).join(
+        hits.select(F.col("m0").alias(k0), F.col("m1").alias(k1), F.col("cut").alias(cut_at)), [k0, k1], "left")
 
     def chars(chosen: Column) -> Column:
         return F.aggregate(chosen, F.lit(0), lambda s, line: s + F.char_length(_trimmed(line)))
-    cut_lines = F.filter(lines, lambda line, i: F.array_contains("_cut", i))
-    left_lines = F.filter(lines, lambda line, i: ~F.array_contains("_cut", i))
-    cut = F.col("_cut").isNotNull() & (2 * chars(cut_lines) < chars(lines))
-    out = joined.withColumn("_do", F.coalesce(cut, F.lit(False)))
+    cut_lines = F.filter(lines, lambda line, i: F.array_contains(cut_at, i))
+    left_lines = F.filter(lines, lambda line, i: ~F.array_contains(cut_at, i))
+    cut = F.col(cut_at).isNotNull() & (2 * chars(cut_lines) < chars(lines))
+    out = joined.withColumn(do, F.coalesce(cut, F.lit(False)))
     out = out.withColumns({"_n_lines": F.when(body.isNull(), 0).otherwise(F.size(lines)),
-                           "_n_cut": F.when(F.col("_do"), F.size("_cut")).otherwise(0),
-                           "_new": F.when(F.col("_do"), F.array_join(left_lines, "\n")).otherwise(body)})
-    return out.select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in docs.columns], "_n_lines", "_n_cut")
+                           "_n_cut": F.when(F.col(do), F.size(cut_at)).otherwise(0),
+                           new: F.when(F.col(do), F.array_join(left_lines, "\n")).otherwise(body)})
+    return out.select(*[F.col(new).alias(c) if c == text else F.col(c) for c in docs.columns], "_n_lines", "_n_cut")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakforge.llm.common import WHITE, keep, maybe_broadcast, mix
+from peakforge.llm.common import WHITE, free_names, keep, maybe_broadcast, mix
 from peakforge.llm.components import components
 from peakforge.llm.shingles import shingle_sets
 
@@ -258,18 +258,20 @@ def first_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     Texts without shingles are no copies of anything and all stay. Of rows that repeat an id and text one stays.
     """
     found = _labelled(docs, id_column, text, size, percent)
+    th, keep_id, keep_th, r, rh = free_names(docs, "_th", "_keep_id", "_keep_th", "_r", "_rh")
     best = F.min(F.struct(F.col("_id").isNull(), "_id", "th")).alias("best")
     chosen = keep(found.filter("n > 0").groupBy("label").agg(best)
-                  .select(F.col("best._id").alias("_keep_id"), F.col("best.th").alias("_keep_th")))
+                  .select(F.col("best._id").alias(keep_id), F.col("best.th").alias(keep_th)))
     body = F.col(text).cast("string")
-    keyed = docs.withColumn("_th", F.xxhash64(body))
-    same = F.col(id_column).eqNullSafe(F.col("_keep_id")) & (F.col("_th") == F.col("_keep_th"))
+    keyed = docs.withColumn(th, F.xxhash64(body))
+    same = F.col(id_column).eqNullSafe(F.col(keep_id)) & (F.col(th) == F.col(keep_th))
     out = keyed.join(maybe_broadcast(chosen, 24), same, "left_semi")
     empty = F.coalesce(F.length(F.btrim(body, F.lit(WHITE))), F.lit(0)) == 0
-    repeated = keep(keyed.filter(~empty).groupBy(F.col(id_column).alias("_r"), F.col("_th").alias("_rh")).count().filter("count > 1"))
+    repeated = keep(keyed.filter(~empty).select(F.col(id_column).alias(r), F.col(th).alias(rh)).groupBy(r, rh)
+                    .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(r, rh))
     if not repeated.isEmpty():
-        again = F.col(id_column).eqNullSafe(F.col("_r")) & (F.col("_th") == F.col("_rh"))
+        again = F.col(id_column).eqNullSafe(F.col(r)) & (F.col(th) == F.col(rh))
         copies = maybe_broadcast(repeated, 24)
         out = out.join(copies, again, "left_anti").unionByName(
-            out.join(copies, again, "left_semi").dropDuplicates([id_column, "_th"]))
-    return out.unionByName(keyed.filter(empty)).drop("_th")
+            out.join(copies, again, "left_semi").dropDuplicates([id_column, th]))
+    return out.unionByName(keyed.filter(empty)).drop(th)

@@ -17,13 +17,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakforge.llm.common import WHITE, keep, maybe_broadcast
+from peakforge.llm.common import WHITE, free_names, keep, maybe_broadcast, sized_broadcast
 
 SIZE = 5
 RADIUS = 23
 BLOCKS, BLOCK_BITS = 8, 8
 SLACK = 2
-_LANES = 0x0001000100010001  # bits 0, 16, 32 and 48
 
 
 def _words(text: Column) -> Column:
@@ -41,27 +40,45 @@ def _marks(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("m0"), F.xxhash64(F.lit(1), text).alias("m1")]
 
 
-def _numbered(shingles: Column) -> Column:
-    """A set that stands for the multiset: the j-th occurrence of a shingle is a member of its own."""
-    ordered = F.array_sort(shingles)
-    return F.transform(ordered, lambda x, i: F.xxhash64(x, i - F.array_position(ordered, x)))
+def _common(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """``rows`` with ``common``: the size of the intersection of two multisets (arrays).
+
+    Each becomes a set in which the j-th occurrence of a shingle is a member of its own. Sorted arrays and repeats are columns
+    first, as a lambda would evaluate them per element.
+    """
+    rows = rows.withColumns({f"{x}_sorted": F.array_sort(x) for x in (a, b)})
+
+    def repeats(x: str) -> Column:
+        return F.filter(f"{x}_sorted", lambda s, i: (i > 0) & (F.get(f"{x}_sorted", i - 1) == s))
+
+    def members(x: str) -> Column:
+        again = F.transform(f"{x}_again", lambda s, i: F.xxhash64(s, i - F.array_position(f"{x}_again", s) + 2))
+        return F.concat(F.transform(F.array_distinct(f"{x}_sorted"), lambda s: F.xxhash64(s, F.lit(0))), again)
+    rows = rows.withColumns({f"{x}_again": repeats(x) for x in (a, b)})
+    return rows.withColumn("common", F.size(F.array_intersect(members(a), members(b)))).drop(
+        *[x + end for x in (a, b) for end in ("_sorted", "_again")])
 
 
-def _fingerprints(rows: DataFrame, keys: list[str], shingles: str) -> DataFrame:
-    """``keys`` and the majority bits of the shingle hashes.
+def _fingerprints(rows: DataFrame, keys: list[str], shingles: str, most: int) -> DataFrame:
+    """``keys`` and the majority bits of the shingle hashes, of which a row of ``shingles`` has at most ``most``.
 
-    Sixteen sums hold four 16-bit counters each (items have less than 65,536 words); rows are summed before the shuffle.
+    Each sum holds several counters: four of 16 bits where ``most`` is below 2^15, else two of 32 bits (no array has 2^31
+    elements). Rows are summed before the shuffle.
     """
     one = rows.select(*keys, F.explode(shingles).alias("h"))
+    width = 16 if most < 1 << 15 else 32
+    per = 64 // width
     sums = []
-    for q in range(16):
-        four = F.shiftrightunsigned("h", 4 * q).bitwiseAND(F.lit(15))
-        lanes = four.bitwiseOR(F.shiftleft(four, 15)).bitwiseOR(F.shiftleft(four, 30)).bitwiseOR(F.shiftleft(four, 45))
-        sums.append(F.sum(lanes.bitwiseAND(F.lit(_LANES))).alias(f"s{q}"))
+    for q in range(width):
+        few = F.shiftrightunsigned("h", per * q).bitwiseAND(F.lit((1 << per) - 1))
+        lanes = few  # the j-th bit goes to the j-th counter
+        for j in range(1, per):
+            lanes = lanes.bitwiseOR(F.shiftleft(few, (width - 1) * j))
+        sums.append(F.sum(lanes.bitwiseAND(F.lit(sum(1 << width * j for j in range(per))))).alias(f"s{q}"))
     counted = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
     bits = F.lit(0).cast("long")
     for b in range(64):
-        ones = F.shiftrightunsigned(f"s{b // 4}", 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF))
+        ones = F.shiftrightunsigned(f"s{b // per}", width * (b % per)).bitwiseAND(F.lit((1 << width) - 1))
         bits = bits.bitwiseOR(F.when(2 * ones > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
     return counted.select(*keys, bits.alias("print"))
 
@@ -90,12 +107,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **search) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no benchmark item."""
+    """The rows of ``docs``, all columns, whose text holds no benchmark item. Null and empty texts hold none; repeated rows
+    are kept or dropped alike; columns of any name are returned as they are."""
     found = keep(_found(docs, benchmark, text, **search).select("m0", "m1").distinct())
-    m0, m1 = _marks(F.col(text).cast("string"))
-    found = maybe_broadcast(found.select(F.col("m0").alias("_m0"), F.col("m1").alias("_m1")), 16)
-    return (docs.withColumns({"_n0": m0, "_n1": m1})
-            .join(found, (F.col("_n0") == F.col("_m0")) & (F.col("_n1") == F.col("_m1")), "left_anti").drop("_n0", "_n1"))
+    own = free_names(docs, "_n0", "_n1")
+    marked = docs.withColumns(dict(zip(own, _marks(F.col(text).cast("string")))))
+    other = free_names(marked, "_m0", "_m1")
+    found = maybe_broadcast(found.toDF(*other), 16)
+    same = (F.col(own[0]) == F.col(other[0])) & (F.col(own[1]) == F.col(other[1]))
+    return marked.join(found, same, "left_anti").drop(*own)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_column: str = "item_id", item_text: str = "text",
@@ -122,7 +142,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_colum
         places = keep(starts.select("m0", "m1", "size", first.alias("first")).distinct()
                       .groupBy("m0", "m1").agg(F.collect_list(F.struct("size", "first")).alias("places")))
         long = F.col("place.size") - F.lit(k - 1)
-        own = (texts.join(maybe_broadcast(places, 256), ["m0", "m1"])
+        own = (texts.join(sized_broadcast(places, 48 + 8 * F.size("places")), ["m0", "m1"])
                .select("m0", "m1", _shingles(F.col("words"), k).alias("all"), "places")
                .select("m0", "m1", "all", F.explode("places").alias("place"))
                .select("m0", "m1", "place.size", "place.first", F.slice("all", F.col("place.first") + 1, long).alias("shingles"))
@@ -133,8 +153,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_colum
         return docs.sparkSession.createDataFrame(
             [], f"m0 long, m1 long, {item_column} {kind}, similarity double, first_word int, n_words int")
     windows = keep(windows)
-    prints = _fingerprints(windows, ["m0", "m1", "size", "first"], "shingles")
-    item_prints = _fingerprints(items, ["number", "size"], "shingles").withColumnRenamed("print", "item_print")
+    longest = items.agg(F.max(F.size("shingles"))).first()[0]
+    prints = _fingerprints(windows, ["m0", "m1", "size", "first"], "shingles", longest)
+    item_prints = _fingerprints(items, ["number", "size"], "shingles", longest).withColumnRenamed("print", "item_print")
     block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
     flips = F.explode(F.array(*[F.lit(f).cast("long") for f in _flips(radius // BLOCKS)])).alias("flip")
     probes = keep(item_prints.select("*", block).select("*", flips).select(
@@ -144,9 +165,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_colum
             .filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
             .select("m0", "m1", "size", "first", "number").distinct())
     exact = (near.join(windows, ["m0", "m1", "size", "first"])
-             .join(maybe_broadcast(items.select("number", "item", F.col("shingles").alias("other")), 1024), "number"))
-    common = F.size(F.array_intersect(_numbered(F.col("shingles")), _numbered(F.col("other"))))
-    exact = exact.withColumn("common", common).withColumn("all", F.size("shingles") + F.size("other") - F.col("common"))
+             .join(sized_broadcast(items.select("number", "item", F.col("shingles").alias("other")),
+                                   64 + F.octet_length(F.coalesce(F.col("item").cast("string"), F.lit(""))) + 8 * F.size("other")), "number"))
+    # Written before it is filtered: a filter would carry the sorting below into its lambdas.
+    exact = keep(_common(exact, "shingles", "other").select(
+        "m0", "m1", "item", "first", "size", "common", (F.size("shingles") + F.size("other") - F.col("common")).alias("all")))
     best = (exact.filter(100 * F.col("common") >= percent * F.col("all"))
             .withColumn("similarity", F.col("common") / F.col("all"))
             .groupBy("m0", "m1", "item").agg(F.min(F.struct(-F.col("similarity"), F.col("first"), F.col("size"))).alias("best")))

@@ -5,6 +5,7 @@ import hashlib
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from peakforge.llm.bpe import read_ranks
@@ -113,3 +114,16 @@ def test_odd_documents(spark, tmp_path):
             table(spark, SF, name).write.parquet(f"{folder}/{name}.parquet")
         count = corpus_pipeline.run(spark, folder).count()
         assert count > 0 if n == "odd" else count == 0
+
+
+def test_columns_of_any_name_come_back(spark):
+    """Names that the operators use themselves, on all rows that every stage keeps."""
+    extra = ["_text", "_cut", "_do", "_new", "_k0", "_k1", "m0", "m1", "_n0", "_n1", "_m0", "_m1", "_th", "_keep_id", "_keep_th", "_r", "_rh",
+             "_id", "n", "mark", "count", "line", "h", "words", "label", "score", "places", "TH"]
+    docs = table(spark, SF, "documents").withColumns({c: F.concat(F.lit(c + ":"), "doc_id") for c in extra})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        new = keep(stage(spark, docs, SF))
+        assert new.columns == docs.columns, name
+        wrong = [c for c in extra if new.filter(~F.col(c).eqNullSafe(F.concat(F.lit(c + ":"), "doc_id"))).count()]
+        assert not wrong and new.count() > 0, (name, wrong)
+        docs = new

@@ -88,3 +88,33 @@ def test_no_python_on_the_main_path(spark):
     d = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     plan = leaks(d, d.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_several_cuts_and_insertions(spark):
+    """Items with one to three changes of up to 14 words each, against every window."""
+    rng = random.Random(8)
+
+    def some(n):
+        return [f"w{rng.randrange(400)}" for _ in range(n)]
+    items = [(i, " ".join(some(rng.choice([40, 80, 120])))) for i in range(8)]
+    docs = []
+    for i in range(40):
+        q = rng.choice(items)[1].split()
+        for _ in range(rng.randint(1, 3)):
+            at, n = rng.randrange(len(q)), rng.randint(1, 14)
+            q = q[:at] + q[at + n:] if rng.random() < 0.5 else q[:at] + some(n) + q[at:]
+        docs.append((i, " ".join(some(rng.randint(0, 60)) + q + some(rng.randint(0, 60)))))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id, round(r.similarity, 9)) for r in leaks(d, b).collect()}
+    assert found == brute(docs, items) and len(found) > 10
+
+
+def test_items_longer_than_a_small_counter(spark):
+    rng = random.Random(9)
+    q = [f"w{rng.randrange(30_000)}" for _ in range(40_000)]
+    docs = [(1, " ".join(["x"] * 9 + q + ["y"] * 5)), (2, " ".join(q[:30_000] + ["new"] + q[30_001:])), (3, " ".join(q[:10_000])), (4, "w1 w2")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = leaks(d, spark.createDataFrame([(1, " ".join(q)), (2, "w5 w6 w7 w8 w9")], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.first_word) for r in sorted(rows)] == [(1, 1, 9), (2, 1, 0)]
+    assert {r.doc_id: r.similarity for r in rows} == {1: 1.0, 2: (39_996 - 5) / (39_996 + 5)}
