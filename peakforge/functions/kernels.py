@@ -159,31 +159,29 @@ def ls_baseline(y: np.ndarray, kind: str = "ALS", lam: float = 1e8, p: float = 0
 def persistence(y: np.ndarray) -> np.ndarray:
     """Persistence of each local maximum when the level sinks from the top; other points get 0.
 
-    A peak ends where its component meets a higher one; the highest peak lasts down to the minimum.
+    A peak ends where its component meets a higher one (of equal ones the left lasts); the highest lasts down to the minimum. A flat top
+    counts at its first point. Only tops and the valleys between them are looked at: in each round every top ends whose higher valley
+    leads to a higher top, and its lower valley goes on between the neighbours.
     """
-    n = len(y)
-    out, owner = np.zeros(n), np.full(n, -1)
-
-    def top(i):
-        while owner[i] != i:
-            owner[i] = owner[owner[i]]
-            i = owner[i]
-        return i
-
-    for i in np.argsort(-y, kind="stable"):
-        sides = [top(j) for j in (i - 1, i + 1) if 0 <= j < n and owner[j] >= 0]
-        if not sides:
-            owner[i] = i
-            continue
-        best = max(sides, key=lambda r: (y[r], -r))
-        owner[i] = best
-        for root in sides:
-            if root != best:
-                out[root] = y[root] - y[i]
-                owner[root] = best
-    if n:
-        root = top(int(np.argmax(y)))
-        out[root] = y[root] - y.min()
+    out = np.zeros(len(y))
+    if not len(y):
+        return out
+    at = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
+    rising = np.r_[True, y[at][1:] > y[at][:-1], False]
+    top = at[rising[:-1] & ~rising[1:]]
+    low = np.minimum.reduceat(y, top)[:-1]
+    while len(top) > 1:
+        height = y[top]
+        left, right = np.r_[-np.inf, low], np.r_[low, -np.inf]
+        over_left = (left >= right) & np.r_[False, height[:-1] >= height[1:]]
+        over_right = ~over_left & (right >= left) & np.r_[height[1:] > height[:-1], False]
+        ends = over_left | over_right
+        if not ends.any():
+            break
+        out[top[ends]] = (height - np.maximum(left, right))[ends]
+        low = low[~(over_right[:-1] | over_left[1:])]
+        top = top[~ends]
+    out[top[0]] = y[top[0]] - y.min()
     return out
 
 

@@ -103,6 +103,29 @@ def test_persistence(spark):
     assert mz.tolist() == [1, 3, 5] and kept.tolist() == [4, 2, 9]
 
 
+def sinking_level(y):
+    """Components of points above a sinking level, point by point."""
+    out, parts = np.zeros(len(y)), {}
+    for i in sorted(range(len(y)), key=lambda i: (-y[i], i)):
+        near = sorted({parts[j] for j in (i - 1, i + 1) if j in parts}, key=lambda r: (-y[r], r))
+        parts[i] = near[0] if near else i
+        for loser in near[1:]:
+            out[loser] = y[loser] - y[i]
+            parts = {p: near[0] if r == loser else r for p, r in parts.items()}
+    if len(y):
+        out[parts[int(np.argmax(y))]] = y.max() - y.min()
+    return out
+
+
+def test_persistence_of_any_line():
+    """Flat tops, equal tops and valleys, staircases both ways, short lines."""
+    rng = np.random.default_rng(8)
+    lines = [rng.integers(0, high, n).astype(float) for high in (2, 4, 50) for n in (1, 2, 3, 7, 40, 90) for _ in range(8)]
+    funnel = np.ravel([[i, -i] for i in range(30)]).astype(float)
+    for y in (*lines, rng.normal(size=200), funnel, funnel[::-1], np.arange(9.0), np.zeros(5), np.zeros(0)):
+        assert kernels.persistence(y).tolist() == sinking_level(y).tolist()
+
+
 def test_resample(spark):
     mz, y = run(frame(spark, [0, 10, 20], [0, 1, 3]), S.resample_grid(4))
     assert mz.tolist() == [0, 1, 2, 3] and y.tolist() == [0, 10, 15, 20]

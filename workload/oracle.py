@@ -126,6 +126,17 @@ def spectrum_rows(body: str, source: str = "done", digits: int = 6) -> str:
     FROM (SELECT spectrum_id, unnest(range(len(mz))) AS pos, unnest(mz) AS mz, unnest(y) AS y FROM {source})"""
 
 
+def boosting_round(i: int) -> str:
+    """Best split of round i (b<i>) by gradients and hessians of the margins m<i>, and the margins after it."""
+    return f"""g{i} AS MATERIALIZED (SELECT sample_id, p - label AS g, p * (1 - p) AS h FROM (SELECT *, 1 / (1 + exp(-m)) AS p FROM m{i})),
+        s{i} AS (SELECT feature, cut, sum(g) FILTER (v <= cut) AS gl, sum(h) FILTER (v <= cut) AS hl, count(*) FILTER (v <= cut) AS nl,
+            sum(g) AS gt, sum(h) AS ht, count(*) AS nt FROM cells JOIN g{i} USING (sample_id), cuts GROUP BY ALL),
+        b{i} AS MATERIALIZED (SELECT *, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain,
+            -0.1 * gl / (hl + 1) AS lw, -0.1 * (gt - gl) / (ht - hl + 1) AS rw FROM s{i}
+            WHERE nl BETWEEN 1 AND nt - 1 AND least(hl, ht - hl) >= 1 ORDER BY gain DESC, feature, cut LIMIT 1),
+        m{i + 1} AS MATERIALIZED (SELECT sample_id, f, label, m + CASE WHEN f[feature + 1] <= cut THEN lw ELSE rw END AS m FROM m{i}, b{i})"""
+
+
 def pointwise(expression: str, digits: int = 6) -> str:
     return spectrum_rows(f"done AS (SELECT spectrum_id, mz, {expression} AS y FROM spectra)", digits=digits)
 
@@ -641,4 +652,10 @@ ORACLE |= {
     "trial_matches": f"""WITH {CHECKED} SELECT extern_id, target_position, g1 AS genus, {cap('sp1')} AS species FROM checked
         WHERE reason IS NULL ORDER BY extern_id, target_position LIMIT 100""",
     "confidence": """SELECT event_id, round(greatest(value / 500 / 2, 1 - value / 500), 6) AS confidence FROM events""",
+    "boosting_rounds": f"""WITH {ROWS}, cells AS MATERIALIZED (SELECT sample_id, unnest(range(len(f))) AS feature, unnest(f) AS v FROM pts),
+        cuts AS (SELECT unnest([-0.2, -0.1, 0.0, 0.1, 0.2]) AS cut), m0 AS (SELECT sample_id, f, label, 0.0::DOUBLE AS m FROM pts),
+        {", ".join(boosting_round(i) for i in range(3))}
+        {" UNION ALL ".join(f"""SELECT CAST({i} AS INTEGER) AS round, CAST(feature AS INTEGER) AS feature, CAST(cut AS DOUBLE) AS cut,
+        round(gain, 6) AS gain, nl AS left_rows, nt - nl AS right_rows, round(lw, 6) AS left_value, round(rw, 6) AS right_value
+        FROM b{i}""" for i in range(3))}""",
 }

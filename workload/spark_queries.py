@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from peakforge.functions.arrays import tof_to_mz
 from peakforge.functions.scalars import canonical_id, recode
 from peakforge.operators import (
-    amr, binning, catalog, features as X, identification, kernel_map, metrics, models, neighbours, pike, resample, silhouette,
+    amr, binning, boosting, catalog, features as X, identification, kernel_map, metrics, models, neighbours, pike, resample, silhouette,
     spectra as S, tuning,
 )
 from peakforge.plans import sweep, train
@@ -618,6 +618,15 @@ def embedding_sweep(spark, sf):
     return sweep.sweep_embeddings(both, ["scale"]).select("scale", _r("silhouette").alias("silhouette"))
 
 
+def boosting_rounds(spark, sf):
+    """Three rounds of one-split trees on given borders: the split, its gain and the worth of both leaves."""
+    nodes = boosting.fit(_labelled(spark, sf), trees=3, depth=1, cuts=[-0.2, -0.1, 0.0, 0.1, 0.2]).splits(spark)
+    side = {s: nodes.select("round", F.col("node").alias(s), F.col("rows").cast("bigint").alias(f"{s}_rows"),
+                            _r("value").alias(f"{s}_value")) for s in ("left", "right")}
+    split = nodes.filter(F.col("feature") >= 0).join(side["left"], ["round", "left"]).join(side["right"], ["round", "right"])
+    return split.select("round", "feature", "cut", _r("gain").alias("gain"), "left_rows", "right_rows", "left_value", "right_value")
+
+
 QUERIES = {
     # cleaning and counting
     "validate_matches": validate_matches, "trial_matches": trial_matches, "species_report": species_report, "nested_report": nested_report,
@@ -666,7 +675,7 @@ QUERIES = {
     "knn_join": _knn("euclidean"), "knn_join_manhattan": _knn("manhattan"), "knn_join_blocks": knn_join_blocks,
     "neighbour_graph": neighbour_graph, "knn_classify": knn_classify, "silhouette_samples": silhouette_samples,
     "silhouette_samples_blocks": silhouette_samples_blocks, "target_stats": target_stats,
-    "target_projection": target_projection, "kernel_products": kernel_products, "grid_search_svm": grid_search_svm, "target_sweep": target_sweep, "pca_components": pca_components, "pike_kernel_blocks": pike_kernel_blocks,
+    "target_projection": target_projection, "kernel_products": kernel_products, "grid_search_svm": grid_search_svm, "target_sweep": target_sweep, "boosting_rounds": boosting_rounds, "pca_components": pca_components, "pike_kernel_blocks": pike_kernel_blocks,
     "mean_silhouette": mean_silhouette, "squared_silhouette": squared_silhouette, "pike_kernel": pike_kernel,
     # split and rebalancing
     "split_stratified": split_stratified, "split_plain": split_plain,
