@@ -11,7 +11,7 @@ from peakforge.sources.readers import decode_acquisition, scan_spectra
 
 
 def preprocess(spark: SparkSession, root: str, years=None, species=None) -> DataFrame:
-    """(sample_id, keys, features): scan, decode, standard chain; the folder path is the sample id.
+    """(sample_id, keys, status, features): scan, decode, standard chain; the folder path is the sample id.
 
     The only shuffle pairs the two files of a folder.
     """

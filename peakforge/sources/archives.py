@@ -14,6 +14,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Contents of members leave a task in frames of about this size.
+FRAME_BYTES, FRAME_ROWS = 4 * 1024 * 1024, 1000
+
 
 def _open_zip(path: str) -> zipfile.ZipFile:
     system, inner = (fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:")
@@ -41,6 +44,7 @@ def read_members(members: DataFrame, tasks: int | None = None) -> DataFrame:
     """Content of the given (archive, member) rows; a damaged entry gives NULL content and the error text."""
     def reading(batches):
         opened: dict[str, zipfile.ZipFile] = {}
+        names, rows, held = ["archive", "member", "content", "error"], [], 0
         for batch in batches:
             for archive, member in zip(batch["archive"], batch["member"]):
                 content, error = None, None
@@ -50,7 +54,13 @@ def read_members(members: DataFrame, tasks: int | None = None) -> DataFrame:
                     content = opened[archive].read(member)
                 except (zipfile.BadZipFile, OSError, KeyError, EOFError, RuntimeError) as problem:
                     error = f"{type(problem).__name__}: {problem}"
-                yield pd.DataFrame({"archive": [archive], "member": [member], "content": [content], "error": [error]})
+                rows.append((archive, member, content, error))
+                held += len(content or b"")
+                if held >= FRAME_BYTES or len(rows) >= FRAME_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
     keys = [F.col("archive"), F.xxhash64("member")]
     spread = members.select("archive", "member")
     spread = spread.repartition(tasks, *keys) if tasks else spread.repartition(*keys)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,29 +32,44 @@ def read_analytes(spark: SparkSession, path: str, limit: int | None = None) -> D
     return out if limit is None else out.limit(limit)
 
 
+def _year_folders(root: str, years) -> str:
+    """``root`` with the given years, or any folder of four digits, in the place of ``{year}``."""
+    wanted = "[0-9][0-9][0-9][0-9]" if years is None else "{" + ",".join(str(int(y)) for y in years) + "}"
+    return root.replace("{year}", wanted)
+
+
 def scan_spectra(spark: SparkSession, root: str, years=None, species=None) -> DataFrame:
     """Acquisition folders below ``root`` that hold both files: keys from the path, header text and signal bytes.
 
-    The two files of a folder are paired by their folder, never by listing order.
+    Each kind of file has one scan of its own, so no content is read twice; the two files of a folder are paired by their folder, never
+    by listing order. Where ``root`` has ``{year}`` in it, only the folders of the wanted years are listed; without it all files are
+    listed and read, and ``years`` filters them. No years, or none of them there, give no rows.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "{acqu,fid}").load(root)
-             .filter(F.col("path").rlike(TREE)))
     names = ["genus", "species", "extern_id", "target_position", "replicate"]
-    files = files.select(
-        F.regexp_extract("path", r"^(.*)/(acqu|fid)$", 1).alias("path"),
-        F.regexp_extract("path", r"/(acqu|fid)$", 1).alias("part"),
-        F.regexp_extract("path", r"/([0-9]{4})/(?:matched_bacteria/)?[^/]+/[^/]+/[^/]+/[^/]+/[^/]+/1SLin/", 1)
-        .try_cast("int").alias("year"),
-        *[F.regexp_extract("path", TREE, i + 1).alias(n) for i, n in enumerate(names)], "content")
-    if years is not None:
-        files = files.filter(F.col("year").isin(list(years)))
-    if species is not None:
-        files = files.filter(F.concat_ws(" ", "genus", "species").isin(list(species)))
-    acqu = files.filter(F.col("part") == "acqu").select("path", F.decode("content", "ISO-8859-1").alias("acqu"))
-    fid = files.filter(F.col("part") == "fid").drop("part").withColumnRenamed("content", "fid")
-    return (acqu.join(fid, "path", "inner")
-            .withColumn("label", F.concat_ws("_", "genus", "species", "extern_id")))
+    found = True
+    if "{year}" in root:
+        found = years is None or len(list(years)) > 0
+        root = _year_folders(root, years if found else None)
+
+    def kind(name: str) -> DataFrame:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+        try:
+            files = reader.load(root)
+        except AnalysisException as problem:
+            if "{" not in root or problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            files = spark.createDataFrame([], "path string, content binary")
+        files = files.filter(F.col("path").rlike(TREE)).select(
+            F.regexp_extract("path", rf"^(.*)/{name}$", 1).alias("path"),
+            F.regexp_extract("path", r"/([0-9]{4})/(?:matched_bacteria/)?[^/]+/[^/]+/[^/]+/[^/]+/[^/]+/1SLin/", 1)
+            .try_cast("int").alias("year"),
+            *[F.regexp_extract("path", TREE, i + 1).alias(n) for i, n in enumerate(names)], F.col("content").alias(name))
+        if years is not None:
+            files = files.filter(F.col("year").isin(list(years)) if found else F.lit(False))
+        return files if species is None else files.filter(F.concat_ws(" ", "genus", "species").isin(list(species)))
+
+    acqu = kind("acqu").select("path", F.decode("acqu", "ISO-8859-1").alias("acqu"))
+    return acqu.join(kind("fid"), "path", "inner").withColumn("label", F.concat_ws("_", "genus", "species", "extern_id"))
 
 
 def parse_header(df: DataFrame) -> DataFrame:
@@ -75,7 +91,11 @@ def _samples(fid: pa.Array, big_endian: pa.Array) -> pa.Array:
 
 
 def decode_acquisition(df: DataFrame) -> DataFrame:
-    """(acqu, fid) to (mz, intensity): int32 samples, at most TD of them, negatives set to 0, calibrated masses."""
+    """(acqu, fid) to (mz, intensity): int32 samples, at most TD of them, negatives set to 0, calibrated masses.
+
+    ``status`` says ``ok``, ``no calibration`` (a constant of the masses is missing or no number: NULL masses), ``no length`` (the same
+    of TD, or no signal bytes: an empty spectrum) or ``short signal`` (fewer samples than TD: those that are there).
+    """
     df = parse_header(df).withColumn("_raw", once(_samples)("fid", F.col("bytorda") == 1))
     df = df.withColumn("_n", F.greatest(F.least(F.col("td"), F.size("_raw")), F.lit(0)))
     at = F.filter(F.sequence(F.lit(0), F.col("_n")), lambda i: i < F.col("_n"))
@@ -83,6 +103,9 @@ def decode_acquisition(df: DataFrame) -> DataFrame:
         "mz": F.transform(at, lambda i: arrays.tof_to_mz(F.col("ml1"), F.col("ml2"), F.col("ml3"),
                                                          F.col("delay") + i * F.col("dw"))),
         "intensity": F.transform(F.slice("_raw", 1, F.col("_n")), lambda v: F.greatest(v, F.lit(0.0))),
+        "status": F.when(F.col("td").isNull() | (F.col("_n") == 0), "no length").when(F.greatest(*[
+            F.col(c).isNull() for c in ("ml1", "ml2", "ml3", "delay", "dw")]), "no calibration").when(
+            F.col("_n") < F.col("td"), "short signal").otherwise("ok"),
     }).drop("_n")
     return out.drop("_raw", "acqu", "fid", "td", "delay", "dw", "ml1", "ml2", "ml3", "bytorda")
 

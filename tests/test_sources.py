@@ -121,6 +121,43 @@ def test_clean_year(spark, tmp_path):
     assert {(r["member"][-4:], r["content"]) for r in archives.read_members(own).collect()} == {("/fid", b"data"), ("acqu", b"data")}
 
 
+def test_year_folders_are_pruned(spark, tmp_path):
+    """Only wanted years are listed, one scan per kind; years without a folder and no years give no rows."""
+    write_tree(tmp_path, [((year, "Escherichia", "Coli", f"1{year}", "0_A1", "1"), header(), blob(range(60)))
+                          for year in ("2017", "2018", "2019")])
+    root = str(tmp_path / "{year}")
+    df = readers.scan_spectra(spark, root, years=[2018, 2030])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert [r["year"] for r in df.collect()] == [2018]
+    assert plan.count("FileScan binaryFile") == 2 and "2017" not in plan and len(df.inputFiles()) == 2
+    assert readers.scan_spectra(spark, root).count() == 3
+    assert readers.scan_spectra(spark, root, years=[2030]).count() == readers.scan_spectra(spark, root, years=[]).count() == 0
+    assert readers.scan_spectra(spark, str(tmp_path), years=[]).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.scan_spectra(spark, str(tmp_path / "nowhere"))
+
+
+def test_malformed_acquisitions_say_so(spark):
+    cut = "\n".join(line for line in header().splitlines() if "ML1" not in line)
+    no_td = "\n".join(line for line in header().splitlines() if "$TD" not in line)
+    rows = [("a", header(), blob(range(60))), ("b", cut, blob(range(60))), ("c", no_td, blob(range(60))), ("d", header(), blob(range(9))),
+            ("e", header(), b""), ("f", "", None), ("g", header(), blob(range(3)) + b"xx")]
+    df = readers.decode_acquisition(spark.createDataFrame(rows, "path string, acqu string, fid binary"))
+    got = {r["path"]: (r["status"], r["intensity"] and len(r["intensity"])) for r in df.collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": "ok", "b": "no calibration", "c": "no length", "d": "short signal", "e": "no length",
+                                               "f": "no length", "g": "short signal"}
+    assert got["a"][1] == 60 and got["d"][1] == 9 and got["g"][1] == 3
+
+
+def test_members_leave_in_frames(spark, tmp_path):
+    path = tmp_path / "many.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(2500):
+            z.writestr(f"2019/{i}/fid", b"" if i % 7 == 0 else b"x" * i)
+    got = {r["member"]: r["content"] for r in archives.scan_archives(spark, [str(path)], 2019, "fid").collect()}
+    assert len(got) == 2500 and all(len(got[f"2019/{i}/fid"]) == (0 if i % 7 == 0 else i) for i in range(2500))
+
+
 def test_damaged_member_is_reported(spark, tmp_path):
     path = tmp_path / "bad.zip"
     with zipfile.ZipFile(path, "w") as z:

@@ -658,4 +658,12 @@ ORACLE |= {
         {" UNION ALL ".join(f"""SELECT CAST({i} AS INTEGER) AS round, CAST(feature AS INTEGER) AS feature, CAST(cut AS DOUBLE) AS cut,
         round(gain, 6) AS gain, nl AS left_rows, nt - nl AS right_rows, round(lw, 6) AS left_value, round(rw, 6) AS right_value
         FROM b{i}""" for i in range(3))}""",
+    "bayes_predictions": f"""WITH {ROWS}, cells AS MATERIALIZED (SELECT sample_id, label, unnest(range(len(f))) AS feature, unnest(f) AS v FROM pts),
+        floor AS (SELECT 1e-9 * max(s) AS e FROM (SELECT var_pop(v) AS s FROM cells GROUP BY feature)),
+        fitted AS (SELECT label AS c, feature, avg(v) AS mu, var_pop(v) + any_value(e) AS s FROM cells, floor GROUP BY label, feature),
+        prior AS (SELECT label AS c, ln(count(*) / (SELECT count(*) FROM pts)) AS w FROM pts GROUP BY label),
+        score AS (SELECT sample_id, c, any_value(w) - 0.5 * sum(ln(2 * pi() * s) + (v - mu) * (v - mu) / s) AS l
+            FROM cells JOIN fitted USING (feature) JOIN prior USING (c) GROUP BY sample_id, c),
+        both_sides AS (SELECT sample_id, max(l) FILTER (c = 1) - max(l) FILTER (c = 0) AS d FROM score GROUP BY sample_id)
+        SELECT sample_id, CAST(CASE WHEN d > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction, round(1 / (1 + exp(-d)), 5) AS p FROM both_sides""",
 }

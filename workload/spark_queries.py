@@ -618,6 +618,13 @@ def embedding_sweep(spark, sf):
     return sweep.sweep_embeddings(both, ["scale"]).select("scale", _r("silhouette").alias("silhouette"))
 
 
+def bayes_predictions(spark, sf):
+    """Class and probability of every row under the Gaussian model of all rows."""
+    rows = cut_lineage(_labelled(spark, sf))
+    out = models.fit("gaussian_bayes", rows).predict(rows)
+    return out.select("sample_id", F.col("prediction").cast("int").alias("prediction"), _r(F.get("probability", F.lit(1)), 5).alias("p"))
+
+
 def boosting_rounds(spark, sf):
     """Three rounds of one-split trees on given borders: the split, its gain and the worth of both leaves."""
     nodes = boosting.fit(_labelled(spark, sf), trees=3, depth=1, cuts=[-0.2, -0.1, 0.0, 0.1, 0.2]).splits(spark)
@@ -675,7 +682,7 @@ QUERIES = {
     "knn_join": _knn("euclidean"), "knn_join_manhattan": _knn("manhattan"), "knn_join_blocks": knn_join_blocks,
     "neighbour_graph": neighbour_graph, "knn_classify": knn_classify, "silhouette_samples": silhouette_samples,
     "silhouette_samples_blocks": silhouette_samples_blocks, "target_stats": target_stats,
-    "target_projection": target_projection, "kernel_products": kernel_products, "grid_search_svm": grid_search_svm, "target_sweep": target_sweep, "boosting_rounds": boosting_rounds, "pca_components": pca_components, "pike_kernel_blocks": pike_kernel_blocks,
+    "target_projection": target_projection, "kernel_products": kernel_products, "grid_search_svm": grid_search_svm, "target_sweep": target_sweep, "boosting_rounds": boosting_rounds, "bayes_predictions": bayes_predictions, "pca_components": pca_components, "pike_kernel_blocks": pike_kernel_blocks,
     "mean_silhouette": mean_silhouette, "squared_silhouette": squared_silhouette, "pike_kernel": pike_kernel,
     # split and rebalancing
     "split_stratified": split_stratified, "split_plain": split_plain,
