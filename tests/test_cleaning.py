@@ -117,3 +117,15 @@ def test_one_per_sample(spark):
     rows = [("s", "A2", "1"), ("s", "A1", "1"), ("s", "A1", "2"), ("t", "B1", "2")]
     df = spark.createDataFrame(rows, "extern_id string, target_position string, replicate string")
     assert [tuple(r) for r in catalog.one_per_sample(df).collect()] == [("s", "A1", "1")]
+
+
+def test_emptied_folders(spark):
+    """Folders of all three levels; a folder that still has rows stays; an empty right side empties all."""
+    schema = "genus string, species string, extern_id string, path string"
+    before = spark.createDataFrame([("g", "s", "1", "a"), ("g", "s", "1", "b"), ("g", "s", "2", "c"), ("g", "t", "3", "d"),
+                                    ("h", "s", "1", "e"), ("k", None, "4", "f")], schema)
+    def left(*paths):
+        return {tuple(r) for r in catalog.pruned_levels(before, before.filter(before.path.isin(*paths))).select("level", "name").collect()}
+    assert left("b", "d", "f") == {("sample", "g/s/2"), ("genus", "h"), ("species", "h/s"), ("sample", "h/s/1")}
+    assert left("a", "b", "c", "d", "e", "f") == set()
+    assert len(left("")) == 3 + 4 + 5
