@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-# Entries of a distance block held at once (8 bytes each).
-CELLS = 4_000_000
+# Entries of a distance block held at once (8 bytes each): what stays near the processor.
+CELLS = 262_144
 
 
 def chunks(n_rows: int, n_columns: int, depth: int = 1):
@@ -17,8 +17,11 @@ def chunks(n_rows: int, n_columns: int, depth: int = 1):
 def full(q: np.ndarray, s: np.ndarray, metric: str) -> np.ndarray:
     """All distances of a block pair; the Euclidean form is the matrix product, so it is rounded near zero."""
     if metric == "euclidean":
-        square = (q * q).sum(1)[:, None] + (s * s).sum(1)[None, :] - 2.0 * (q @ s.T)
-        return np.sqrt(np.maximum(square, 0.0))
+        square = (-2.0 * q) @ s.T
+        square += (s * s).sum(1)[None, :]
+        square += (q * q).sum(1)[:, None]
+        np.maximum(square, 0.0, out=square)
+        return np.sqrt(square, out=square)
     out = np.empty((len(q), len(s)))
     for part in chunks(len(q), len(s), q.shape[1]):
         out[part] = np.abs(q[part, None, :] - s[None, :, :]).sum(2)
@@ -31,15 +34,9 @@ def exact(q: np.ndarray, s: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", gap, gap)) if metric == "euclidean" else np.abs(gap).sum(1)
 
 
-def nearest(q: np.ndarray, s: np.ndarray, k: int, metric: str = "euclidean"):
-    """For each row of q its k nearest rows of s, ties to the earlier row: (row, column, distance), sorted.
-
-    A matrix product shortlists every column that can be among the k; the shortlist is ranked on exact distances.
-    """
+def _ranked(q, s, k, metric):
+    """``nearest`` on full distances: for vectors with values that are no numbers."""
     rows, cols, dist = [], [], []
-    k = min(k, len(s))
-    if k == 0 or len(q) == 0:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     size = np.sqrt((s * s).sum(1).max())
     for part in chunks(len(q), len(s)):
         block = q[part]
@@ -54,9 +51,118 @@ def nearest(q: np.ndarray, s: np.ndarray, k: int, metric: str = "euclidean"):
         e = exact(block[i], s[j], metric)
         order = np.lexsort((j, e, i))
         i, j, e = i[order], j[order], e[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-        keep = rank < k
+        keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
         rows.append(i[keep] + part.start)
         cols.append(j[keep])
         dist.append(e[keep])
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+
+
+class _Squares:
+    """Rough squared distances in single precision by matrix product, less the row's own square; vectors moved to the middle and scaled."""
+    rows, columns = 512, 1024
+
+    def __init__(self, q, s):
+        middle = s.mean(0)
+        q, s = q - middle, s - middle
+        self.unit = max(np.sqrt((q * q).sum(1).max()), np.sqrt((s * s).sum(1).max())) or 1.0
+        q, s = q / self.unit, s / self.unit
+        self.own = (q * q).sum(1)
+        self.q = np.concatenate([-2.0 * q, np.ones((len(q), 1))], axis=1).astype(np.float32)
+        self.s = np.ascontiguousarray(np.concatenate([s, (s * s).sum(1)[:, None]], axis=1).astype(np.float32).T)
+        # No entry of a vector is above 1 and no rough value above 4.
+        self.error = 16.0 * (q.shape[1] + 8) * 2.0 ** -24
+
+    def rough(self, rows, cols):
+        return self.q[rows] @ self.s[:, cols]
+
+    def bound(self, rows, reach):
+        """Rough value up to which an exact distance of ``reach`` may have come out."""
+        return (reach / self.unit) ** 2 - self.own[rows] + self.error
+
+
+class _Sums:
+    """Rough sums of differences in small whole numbers; vectors moved to the middle and scaled."""
+    rows, columns = 64, 4096
+
+    def __init__(self, q, s):
+        d = max(q.shape[1], 1)
+        low, high = np.minimum(q.min(0), s.min(0)), np.maximum(q.max(0), s.max(0))
+        middle = low / 2 + high / 2
+        kind, most = (np.int16, 16_000 // d) if d <= 1000 else (np.int32, 1_000_000_000 // d)
+        self.unit = (np.abs(high / 2 - low / 2).max(initial=0.0) / most) or 1.0
+        self.q, s = (np.rint((x - middle) / self.unit).astype(kind) for x in (q, s))
+        self.s = np.ascontiguousarray(s.T)
+        self.error = d + 2.0  # half a unit of each value
+
+    def rough(self, rows, cols):
+        q, s = self.q[rows], self.s[:, cols]
+        out = np.zeros((len(q), s.shape[1]), s.dtype)
+        one = np.empty_like(out)
+        for j in range(q.shape[1]):
+            np.subtract(s[j], q[:, j, None], out=one)
+            np.abs(one, out=one)
+            out += one
+        return out
+
+    def bound(self, rows, reach):
+        return np.minimum(reach / self.unit + self.error, np.iinfo(self.s.dtype).max)
+
+
+def nearest(q: np.ndarray, s: np.ndarray, k: int, metric: str = "euclidean", limit: np.ndarray | None = None):
+    """For each row of q its k nearest rows of s, ties to the earlier row: (row, column, distance), sorted.
+
+    ``limit``: only columns up to that distance of a row are wanted. Rough distances with a bound of their error shortlist every
+    column that can be among the k, in parts: what a row has found in one part limits the next. The shortlist is ranked on
+    exact distances.
+    """
+    k = min(k, len(s))
+    if k == 0 or len(q) == 0:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    size = max(np.abs(q).max(initial=0.0), np.abs(s).max(initial=0.0))
+    if not size < 1e150:  # NaN or infinite, or squares would be
+        return _ranked(q, s, k, metric)
+    sketch = (_Squares if metric == "euclidean" else _Sums)(q, s)
+    rows, cols, dist = [], [], []
+    for lo in range(0, len(q), sketch.rows):
+        part = slice(lo, min(lo + sketch.rows, len(q)))
+        block, n = q[part], part.stop - lo
+        reach = np.full(n, np.inf) if limit is None else np.array(limit[part], dtype=np.float64)
+        best, found = np.full((n, k), np.inf), []
+        for left in range(0, len(s), sketch.columns):
+            rough = sketch.rough(part, slice(left, left + sketch.columns))
+            top = sketch.bound(part, reach)
+            free = np.flatnonzero(np.isinf(reach))
+            if len(free) and k <= rough.shape[1]:
+                # twice the error: once for the k that are nearest by rough value, once for all that may be nearer
+                top[free] = np.partition(rough[free], k - 1, axis=1)[:, k - 1] + 2 * sketch.error
+            # rounded up to the kind of the rough values
+            top = np.ceil(np.minimum(top, np.iinfo(rough.dtype).max)) if rough.dtype.kind == "i" else np.nextafter(top.astype(rough.dtype), np.float32(np.inf))
+            i, j = np.divmod(np.flatnonzero(rough <= top.astype(rough.dtype)[:, None]), rough.shape[1])
+            if not len(i):
+                continue
+            j += left
+            e = exact(block[i], s[j], metric)
+            found.append((i, j, e))
+            order = np.lexsort((e, i))
+            i, e = i[order], e[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+            some, at = np.unique(i, return_inverse=True)
+            wider = np.full((len(some), k), np.inf)
+            wider[at[rank < k], rank[rank < k]] = e[rank < k]
+            best[some] = np.partition(np.concatenate([best[some], wider], axis=1), k - 1, axis=1)[:, :k]
+            reach[some] = np.minimum(reach[some], best[some].max(1) * (1 + 1e-9))
+        if not found:
+            continue
+        i, j, e = (np.concatenate(c) for c in zip(*found))
+        keep = e <= reach[i]
+        i, j, e = i[keep], j[keep], e[keep]
+        order = np.lexsort((j, e, i))
+        i, j, e = i[order], j[order], e[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+        rows.append(i[keep] + lo)
+        cols.append(j[keep])
+        dist.append(e[keep])
+    if not rows:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)

@@ -92,7 +92,9 @@ def select_correlation(stats: DataFrame, threshold: float) -> list[int]:
 
 
 def take_features(df: DataFrame, positions: list[int]) -> DataFrame:
-    """Vectors reduced to the given positions, in the given order."""
+    """Vectors reduced to the given positions, in the given order; without positions every vector becomes empty."""
+    if not positions:
+        return df.withColumn("features", F.slice(F.col("features").cast("array<double>"), 1, 0))
     cut = VectorSlicer(inputCol="_v", outputCol="_cut", indices=[int(i) for i in positions])
     ready = df.withColumn("_v", array_to_vector(F.col("features").cast("array<double>")))
     return cut.transform(ready).withColumn("features", vector_to_array("_cut")).drop("_v", "_cut")

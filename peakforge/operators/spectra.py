@@ -6,7 +6,7 @@ standard chain is fused into one Arrow function, so a spectrum crosses to Python
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,9 @@ from peakforge.session import once
 
 Step = Callable[[DataFrame], DataFrame]
 
+# Spectra whose results are held at once: an Arrow batch comes with thousands of spectra, and bins make a spectrum far longer.
+SLICE = 128
+
 # The 69 mass boundaries of the table-driven binning. The literal list has 1250 where 12250 is meant.
 MASS_TABLE = [
     2000, 2050, 2100, 2250, 2300, 2500, 2750, 3000, 3250, 3500, 3750, 4000, 4250, 4500, 4750, 5000, 5250, 5500, 5750,
@@ -144,13 +147,23 @@ def _rows(mz: pa.Array, y: pa.Array):
         yield fx[ox[i]:ox[i + 1]], fy[oy[i]:oy[i + 1]]
 
 
+def _in_slices(make):
+    """Arrow function of (mz, intensity) that makes and hands on the results of ``SLICE`` spectra at a time."""
+    @F.arrow_udf(SPECTRUM)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for mz, y in batches:
+            for at in range(0, len(mz), SLICE):
+                yield make(mz.slice(at, SLICE), y.slice(at, SLICE))
+    return run
+
+
 def _pairwise(kernel) -> Step:
     """Step whose kernel maps one (mz, intensity) to a new pair."""
-    @F.arrow_udf(SPECTRUM)
-    def run(mz: pa.Array, y: pa.Array) -> pa.Array:
+    def make(mz: pa.Array, y: pa.Array) -> pa.Array:
         done = [kernel(a, b) if len(a) else (a, b) for a, b in _rows(mz, y)]
         return pa.StructArray.from_arrays(
             [kernels.from_rows([d[0] for d in done]), kernels.from_rows([d[1] for d in done])], ["mz", "intensity"])
+    run = _in_slices(make)
 
     def step(df: DataFrame) -> DataFrame:
         return (df.withColumn("_s", once(run)("mz", "intensity"))
@@ -212,8 +225,7 @@ def standard_chain(binned: bool = True) -> Step:
     centres = edges[:-1] + 1.5
     stages = [fn for _, fn in _stage_kernels()]
 
-    @F.arrow_udf(SPECTRUM)
-    def run(mz: pa.Array, y: pa.Array) -> pa.Array:
+    def make(mz: pa.Array, y: pa.Array) -> pa.Array:
         def prepare(block):
             for fn in stages:
                 block = None if block is None else fn(block)
@@ -231,6 +243,7 @@ def standard_chain(binned: bool = True) -> Step:
             out_mz.append(a)
             out_y.append(b)
         return pa.StructArray.from_arrays([kernels.from_rows(out_mz), kernels.from_rows(out_y)], ["mz", "intensity"])
+    run = _in_slices(make)
 
     return lambda df: (df.withColumn("_s", once(run)("mz", "intensity"))
                        .withColumns({"mz": F.col("_s.mz"), "intensity": F.col("_s.intensity")}).drop("_s"))
