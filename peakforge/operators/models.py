@@ -10,12 +10,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
-    OneVsRest, RandomForestClassifier,
+    OneVsRest, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -182,9 +183,49 @@ def lightgbm_like(train, trees: int = 500, leaves: int = 31, depth: int = 8, rat
         average_start=True, multi_curvature=k / max(k - 1, 1)) | more)
 
 
+# Nodes of the trees that one forest may grow at once on the driver, some 0.5 KB each with their statistics.
+NODES_AT_ONCE = 1_000_000
+
+
+def _stored_forests(name: str, groups: int, forest, train: DataFrame) -> Fitted:
+    """A forest grown, stored in ``spark.checkpoint.dir`` and read back in parts, so that the driver holds one part at a time.
+
+    ``forest(i)`` is the learner of part i. The classes' weights in the leaves are added over all trees, as one forest does.
+    """
+    ready = cut_lineage(with_vector(train).select(VECTOR, F.col("label").cast("double").alias("label")))
+    folder = f"{train.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    for i in range(groups):
+        forest(i).fit(ready).write().save(f"{folder}/{i}")
+
+    def predict(df: DataFrame) -> DataFrame:
+        rows = cut_lineage(with_vector(df.drop("prediction", "probability")).withColumn("_row", F.monotonically_increasing_id()))
+        votes = None
+        for i in range(groups):
+            model = RandomForestClassificationModel.load(f"{folder}/{i}")
+            part = cut_lineage(model.transform(rows.select("_row", VECTOR)).select(
+                "_row", F.lit(i).alias("i"), vector_to_array("rawPrediction").alias("raw")))
+            votes = part if votes is None else votes.unionByName(part)
+        each = F.transform(F.array_sort(F.collect_list(F.struct("i", "raw"))), lambda r: r["raw"])  # always added in one order
+        total = F.aggregate("_each", F.transform(F.get("_each", F.lit(0)), lambda v: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+        summed = votes.groupBy("_row").agg(each.alias("_each")).select("_row", total.alias("_raw"))
+        sum_of = F.aggregate("_raw", F.lit(0.0), lambda s, v: s + v)
+        kept = [F.col(c) for c in df.columns if c not in ("features", "prediction", "probability")]
+        return rows.join(summed, "_row").withColumn("_all", sum_of).select(
+            *kept, (F.array_position("_raw", F.array_max("_raw")) - 1).cast("double").alias("prediction"),
+            F.transform("_raw", lambda v: v / F.col("_all")).alias("probability"))
+    return Fitted(name, predict, folder)
+
+
 def extra_trees(train: DataFrame, trees: int = 100, max_depth: int = 30, seed: int = 42, **_) -> Fitted:
-    return _ml("extra_trees", RandomForestClassifier(**_cols(
-        numTrees=trees, maxDepth=max_depth, bootstrap=False, featureSubsetStrategy="sqrt", seed=seed)), train)
+    """Trees on all rows. A fully grown tree has up to two nodes a row, so on many rows the trees are grown in parts (``_stored_forests``)."""
+    at_once = max(1, NODES_AT_ONCE // max(2 * train.count(), 1))
+
+    def forest(i: int, n: int):
+        return RandomForestClassifier(**_cols(numTrees=n, maxDepth=max_depth, bootstrap=False, featureSubsetStrategy="sqrt", seed=seed + i,
+                                              cacheNodeIds=True))
+    if at_once >= trees:
+        return _ml("extra_trees", forest(0, trees), train)
+    return _stored_forests("extra_trees", -(-trees // at_once), lambda i: forest(i, min(at_once, trees - i * at_once)), train)
 
 
 def cosine_map(width: int, gamma: float, size: int = 500, seed: int = 42):
