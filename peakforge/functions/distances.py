@@ -28,6 +28,30 @@ def full(q: np.ndarray, s: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+class Sums:
+    """Weighted sums of the distances to the rows of s, for the columns of ``weights`` (rows of s x sums), in parts of bounded size."""
+
+    def __init__(self, s: np.ndarray, weights: np.ndarray, metric: str):
+        self.metric, self.weights, self.s = metric, weights, s
+        if metric == "euclidean":
+            self.s = np.concatenate([s, (s * s).sum(1)[:, None], np.ones((len(s), 1))], axis=1)
+
+    def of(self, q: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(q), self.weights.shape[1]))
+        if self.metric == "euclidean":
+            q = np.concatenate([-2.0 * q, np.ones((len(q), 1)), (q * q).sum(1)[:, None]], axis=1)
+        for rows in (slice(i, i + 512) for i in range(0, len(q), 512)):
+            for columns in (slice(i, i + 512) for i in range(0, len(self.s), 512)):
+                if self.metric == "euclidean":
+                    d = q[rows] @ self.s[columns].T
+                    np.maximum(d, 0.0, out=d)
+                    np.sqrt(d, out=d)
+                else:
+                    d = full(q[rows], self.s[columns], self.metric)
+                out[rows] += d @ self.weights[columns]
+        return out
+
+
 def exact(q: np.ndarray, s: np.ndarray, metric: str) -> np.ndarray:
     """Distances of paired rows from their differences."""
     gap = q - s

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from peakforge.functions import distances, kernels
 from peakforge.operators import blocks as B
 from peakforge.operators.tiles import in_groups, meet
-from peakforge.session import BROADCAST_BYTES, cut_lineage, once
+from peakforge.session import BROADCAST_BYTES, cut_lineage, once, spread
 
 NN = "array<struct<id:string,dist:double,label:double>>"
+# Right rows that a left block meets at once; smaller blocks are taken together.
+RUN_ROWS = 2048
 ROWS = "lblock long, sample_id string, id string, dist double, label double"
 
 
@@ -67,7 +69,40 @@ def _by_broadcast(left: DataFrame, right: DataFrame, k: int, metric: str, exclud
         if exclude_self:
             rows, cols, dist = _without_self(rows, cols, dist, np.array(own.to_pylist(), dtype=object), ids, k)
         return _lists(len(features), rows, ids[cols], dist, labels[cols])
-    return left.withColumn("nn", once(run)(F.col("sample_id").cast("string"), F.col("features").cast("array<double>")))
+    return spread(left, len(ids)).withColumn("nn", once(run)(F.col("sample_id").cast("string"), F.col("features").cast("array<double>")))
+
+
+def _by_vector(left: DataFrame, right: DataFrame, k: int, metric: str, exclude_self: bool, block_bytes: int | None) -> DataFrame:
+    """``_by_blocks`` between the distinct vectors of both sides, for sides with many copies.
+
+    Of the rows in order (distance, id), the first n lie on the first n vectors in order (distance, smallest id): a vector before
+    another one has a row before all of the other's.
+    """
+    need = k + int(exclude_self)
+    key = [F.xxhash64("features").alias("_a"), F.xxhash64(F.lit("copy"), "features").alias("_b")]
+    own = left.withColumns({"_a": key[0], "_b": key[1]})
+    label = (F.col("label") if "label" in right.columns else F.lit(None)).cast("double").alias("label")
+    copies = (_few_copies(right, need).select(*key, F.col("sample_id").cast("string").alias("id"), label, "features").groupBy("_a", "_b")
+              .agg(F.min("id").alias("sample_id"), F.any_value("features").alias("features"),
+                   F.array_sort(F.collect_list(F.struct("id", "label"))).alias("copies")))
+    copies = cut_lineage(copies.drop("_a", "_b"))
+    vectors = cut_lineage(own.filter(F.col("features").isNotNull()).groupBy("_a", "_b").agg(F.any_value("features").alias("features"))
+                          .withColumn("sample_id", F.concat_ws(":", "_a", "_b")))
+    near = _by_blocks(vectors.select("sample_id", "features"), copies.select("sample_id", "features"), need, metric, False, block_bytes)
+    at = near.select(F.col("sample_id").alias("_v"), F.explode("nn").alias("n")).select("_v", F.col("n.id").alias("sample_id"), F.col("n.dist").alias("dist"))
+    rows = at.join(copies.select("sample_id", "copies"), "sample_id").select(
+        "_v", F.transform("copies", lambda c: F.struct(F.col("dist").alias("dist"), c["id"].alias("id"), c["label"].alias("label"))).alias("c"))
+    lists = rows.groupBy("_v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, need).alias("_nn"))
+    nn = F.filter("_nn", lambda r: r["id"] != F.col("sample_id").cast("string")) if exclude_self else F.col("_nn")
+    nn = F.transform(F.slice(nn, 1, k), lambda r: F.struct(r["id"], r["dist"], r["label"])).cast(NN)
+    return (own.withColumn("_v", F.when(F.col("features").isNotNull(), F.concat_ws(":", "_a", "_b"))).join(lists, "_v", "left")
+            .withColumn("nn", F.coalesce(nn, F.array().cast(NN))).drop("_v", "_a", "_b", "_nn"))
+
+
+def _many_copies(df: DataFrame) -> bool:
+    """Whether there are, by estimate, less than two vectors for three rows."""
+    n, vectors = df.agg(F.count("features"), F.approx_count_distinct(F.xxhash64("features"), 0.03)).first()
+    return 3 * vectors < 2 * n
 
 
 def _few_copies(right: DataFrame, need: int) -> DataFrame:
@@ -172,37 +207,49 @@ def _by_blocks(left: DataFrame, right: DataFrame, k: int, metric: str, exclude_s
     def table(i):
         return _block_table(groups.filter(F.pmod(F.xxhash64("block"), F.lit(parts)) == i))
 
-    def evaluate(row, held):
+    def prepare(held):
+        """The right blocks of a tile in runs of at least ``RUN_ROWS`` rows: (first row, vectors, lo, hi); and all ids and labels."""
+        runs, run, at, first = [], [], 0, 0
+        for n, r in enumerate(held):
+            run.append(r)
+            at += r["n"].as_py()
+            if at - first >= RUN_ROWS or n == len(held) - 1:
+                runs.append((first, np.concatenate([B.vectors_of(x["data"], x["n"].as_py()) for x in run]),
+                             np.min([B.numbers_of(x["lo"]) for x in run], axis=0), np.max([B.numbers_of(x["hi"]) for x in run], axis=0)))
+                run, first = [], at
+        return (runs, pa.chunked_array([r["ids"].values for r in held], pa.string()).combine_chunks(),
+                pa.chunked_array([r["labels"].values for r in held], pa.float64()).combine_chunks())
+
+    def evaluate(row, ready):
         """The best of each left row among the right blocks of a tile, nearest blocks first."""
+        runs, ids, labels = ready
         q, p = B.vectors_of(row["data"], row["n"].as_py()), B.vectors_of(row["places"], row["n"].as_py())
         limit = np.full(len(q), np.inf)
         if "reach" in row:
             limit = B.numbers_of(row["reach"]) * (1 + 1e-9) + 1e-12
-        gaps = [np.maximum(p - B.numbers_of(r["hi"]), B.numbers_of(r["lo"]) - p).max(1) for r in held]
+        gaps = [np.maximum(p - hi, lo - p).max(1) for _, _, lo, hi in runs]
         best, found = np.full((len(q), need), np.inf), []
         for n in np.argsort([g.min() for g in gaps], kind="stable"):
-            # Only rows that this block may improve, and of those only what is no farther than they have found.
+            # Only rows that this run may improve, and of those only what is no farther than they have found.
             at = np.flatnonzero(gaps[n] <= limit)
             if not len(at):
                 continue
-            rows, cols, dist = distances.nearest(q[at], B.vectors_of(held[n]["data"], held[n]["n"].as_py()), need, metric)
+            rows, cols, dist = distances.nearest(q[at], runs[n][1], need, metric, limit[at])
             rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
             rows = at[rows]
             wider = np.full((len(q), need), np.inf)
             wider[rows, rank] = dist
             best = np.partition(np.concatenate([best, wider], axis=1), need - 1, axis=1)[:, :need]
             limit = np.minimum(limit, best.max(1) * (1 + 1e-9) + 1e-12)
-            found.append((rows, dist, np.full(len(rows), n), cols))
+            found.append((rows, dist, cols + runs[n][0]))
         if found:
-            rows, dist, block, cols = (np.concatenate(c) for c in zip(*found))
+            rows, dist, cols = (np.concatenate(c) for c in zip(*found))
             keep = dist <= limit[rows]
-            rows, dist, block, cols = rows[keep], dist[keep], block[keep], cols[keep]
+            rows, dist, cols = rows[keep], dist[keep], cols[keep]
         else:
-            rows, dist, block, cols = (np.zeros(0, t) for t in (int, float, int, int))
-        sizes = [r["n"].as_py() for r in held]
-        at = pa.array(cols + (np.cumsum(sizes) - sizes)[block], pa.int64())
-        ids = pa.chunked_array([r["ids"].values for r in held], pa.string()).combine_chunks().take(at)
-        labels = pa.chunked_array([r["labels"].values for r in held], pa.float64()).combine_chunks().take(at)
+            rows, dist, cols = (np.zeros(0, t) for t in (int, float, int))
+        at = pa.array(cols, pa.int64())
+        ids, labels = ids.take(at), labels.take(at)
         order = np.lexsort((np.array(ids.to_pylist(), dtype=str), dist, rows)) if len(rows) else np.zeros(0, int)
         order = order[np.arange(len(order)) - np.searchsorted(rows[order], rows[order], side="left") < need]
         pick = pa.array(order, pa.int64())
@@ -216,7 +263,7 @@ def _by_blocks(left: DataFrame, right: DataFrame, k: int, metric: str, exclude_s
     right_columns = ["ids", "labels", "data", "lo", "hi"]
 
     def met(blocks, pairs, *more):
-        return meet(blocks, rblocks, ROWS, evaluate, ["ids", "data", "places", *more], right_columns, pairs.withColumnRenamed("rblock", "rgroup"))
+        return meet(blocks, rblocks, ROWS, evaluate, ["ids", "data", "places", *more], right_columns, pairs.withColumnRenamed("rblock", "rgroup"), prepare)
     first = cut_lineage(_first_pairs(lblocks, start, need))
     near = cut_lineage(met(lblocks, first))
     kth = (near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= need)
@@ -253,6 +300,8 @@ def knn_lists(left: DataFrame, right: DataFrame, k: int, metric: str = "euclidea
         strategy = "broadcast" if B.fits(*B.shape(right)) else "blocks"
     if strategy == "broadcast":
         return _by_broadcast(left, right, k, metric, exclude_self)
+    if _many_copies(left) or _many_copies(right):
+        return _by_vector(left, right, k, metric, exclude_self, block_bytes)
     return _by_blocks(left, right, k, metric, exclude_self, block_bytes)
 
 

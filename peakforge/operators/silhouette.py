@@ -18,7 +18,7 @@ from peakforge.functions import distances, kernels
 from peakforge.operators import blocks as B
 from peakforge.operators.tiles import in_groups, meet
 from peakforge.schema import DOUBLES
-from peakforge.session import once
+from peakforge.session import cut_lineage, once, spread
 
 
 def _weighted(df: DataFrame) -> DataFrame:
@@ -27,12 +27,8 @@ def _weighted(df: DataFrame) -> DataFrame:
                  F.any_value("features").alias("features")).drop("_a", "_b"))
 
 
-def _class_sums(q, s, labels, weights, classes, metric) -> np.ndarray:
-    onehot = (labels[:, None] == np.asarray(classes, dtype=np.float64)[None, :]) * weights[:, None]
-    out = np.empty((len(q), len(classes)))
-    for part in distances.chunks(len(q), len(s)):
-        out[part] = distances.full(q[part], s, metric) @ onehot
-    return out
+def _class_sums(s, labels, weights, classes, metric) -> distances.Sums:
+    return distances.Sums(s, (labels[:, None] == np.asarray(classes, dtype=np.float64)[None, :]) * weights[:, None], metric)
 
 
 def distance_sums(df: DataFrame, classes, metric: str = "euclidean", strategy: str = "auto",
@@ -47,20 +43,22 @@ def distance_sums(df: DataFrame, classes, metric: str = "euclidean", strategy: s
 
         @F.arrow_udf(DOUBLES)
         def run(features: pa.Array) -> pa.Array:
-            return kernels.from_matrix(_class_sums(kernels.to_matrix(features), *shared.value, classes, metric))
-        return df.select("sample_id", "label", once(run)("features").alias("sums"))
+            return kernels.from_matrix(_class_sums(*shared.value, classes, metric).of(kernels.to_matrix(features)))
+        return spread(df.select("sample_id", "label", "features"), len(vectors)).select("sample_id", "label", once(run)("features").alias("sums"))
 
     pivots = B.pick_pivots(right, metric)
     lblocks, rblocks = (in_groups(B.pack(side, pivots, metric, block_bytes)) for side in (df, right))
 
-    def evaluate(row, held):
-        q = B.vectors_of(row["data"], row["n"].as_py())
-        sums = sum(_class_sums(q, B.vectors_of(r["data"], r["n"].as_py()), B.numbers_of(r["labels"]), B.numbers_of(r["weights"]),
-                               classes, metric) for r in held)
-        return pa.RecordBatch.from_arrays([row["ids"].values, row["labels"].values, kernels.from_matrix(sums)],
-                                          ["sample_id", "label", "sums"])
+    def prepare(held):
+        return _class_sums(np.concatenate([B.vectors_of(r["data"], r["n"].as_py()) for r in held]),
+                           *(np.concatenate([B.numbers_of(r[c]) for r in held]) for c in ("labels", "weights")), classes, metric)
+
+    def evaluate(row, sums):
+        return pa.RecordBatch.from_arrays(
+            [row["ids"].values, row["labels"].values, kernels.from_matrix(sums.of(B.vectors_of(row["data"], row["n"].as_py())))],
+            ["sample_id", "label", "sums"])
     parts = meet(lblocks, rblocks, "sample_id string, label double, sums array<double>", evaluate,
-                 ["ids", "labels", "data"], ["labels", "weights", "data"])
+                 ["ids", "labels", "data"], ["labels", "weights", "data"], prepare=prepare)
     summed = parts.groupBy("sample_id", "label").agg(
         *[F.sum(F.get("sums", F.lit(i))).alias(f"_s{i}") for i in range(len(classes))])
     return summed.select("sample_id", "label", F.array(*[f"_s{i}" for i in range(len(classes))]).alias("sums"))
@@ -100,6 +98,7 @@ def silhouette_by(df: DataFrame, keys: list[str], metric: str = "euclidean", **o
     df = df.filter(F.col("features").isNotNull() & F.col("label").isNotNull())
     n, d = B.shape(df)
     if not B.fits(n, d):
+        df = cut_lineage(df.select(*keys, "sample_id", "label", "features"))  # read several times per value
         points = [tuple(r) for r in df.select(*keys).distinct().orderBy(*keys).collect()]
         out = None
         for point in points:
@@ -131,7 +130,7 @@ def silhouette_by(df: DataFrame, keys: list[str], metric: str = "euclidean", **o
             vectors, labels, classes = shared.value[str(name)]
             if len(classes) < 2:
                 continue
-            sums = _class_sums(kernels.to_matrix(features.take(pa.array(at))), vectors, labels, np.ones(len(labels)), classes, metric)
+            sums = _class_sums(vectors, labels, np.ones(len(labels)), classes, metric).of(kernels.to_matrix(features.take(pa.array(at))))
             sizes = (labels[:, None] == classes).sum(0)
             inside = mine[at][:, None] == classes
             alone = sizes[inside.argmax(1)] < 2
@@ -140,7 +139,7 @@ def silhouette_by(df: DataFrame, keys: list[str], metric: str = "euclidean", **o
             top = np.maximum(a, b)
             out[at] = np.where(alone | (top == 0), 0.0, (b - a) / np.where(top == 0, 1.0, top))
         return pa.array(out)
-    scored = df.select(*keys, once(run)(key, F.col("label").cast("double"), F.col("features").cast("array<double>")).alias("s"))
+    scored = spread(df.select(*keys, "label", "features"), n).select(*keys, once(run)(key, F.col("label").cast("double"), F.col("features").cast("array<double>")).alias("s"))
     return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("silhouette"))
 
 

@@ -13,14 +13,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakforge.operators.blocks import BLOCK_BYTES
 from peakforge.operators.ranking import ranked
 
-GROUP_BLOCKS = 32  # blocks of a group: at most so many are held by a task
+GROUP_BLOCKS = 32  # blocks of a group, if they are full ones: at most so many bytes are held by a task
+SIDE = 16  # groups of a side, while groups are below that bound: enough tiles for all cores, few copies
+
+
+def _group_size(blocks: DataFrame) -> int:
+    """A ``SIDE``th of the blocks, as far as a task may hold them. So smaller blocks do not mean more copies."""
+    n, largest = blocks.agg(F.count(F.lit(1)), F.max(F.octet_length("data"))).first()
+    return max(1, min(-(-n // SIDE), GROUP_BLOCKS * BLOCK_BYTES // max(largest or 1, 1)))
 
 
 def in_groups(blocks: DataFrame, size: int | None = None) -> DataFrame:
     """``blocks`` with ``group``: consecutive blocks, ``size`` of them."""
-    at = ranked(blocks.select("block"), ["block"]).select("block", F.expr(f"rank div {size or GROUP_BLOCKS}").alias("group"))
+    at = ranked(blocks.select("block"), ["block"]).select("block", F.expr(f"rank div {size or _group_size(blocks)}").alias("group"))
     return blocks.join(at, "block")
 
 
@@ -43,11 +51,12 @@ def _sides(left: DataFrame, right: DataFrame, wanted: DataFrame | None) -> tuple
 
 
 def meet(left: DataFrame, right: DataFrame, schema: str, evaluate, left_columns: list[str], right_columns: list[str],
-         wanted: DataFrame | None = None) -> DataFrame:
+         wanted: DataFrame | None = None, prepare=lambda held: held) -> DataFrame:
     """``evaluate(left block, right blocks)`` gives a RecordBatch, for every left block and every right group it meets.
 
     Blocks are passed as dicts of Arrow scalars (``block``, ``n`` and the columns asked for). ``wanted`` limits the tiles to its rows
-    (``lblock``, ``rgroup``); without it every left block meets every right group.
+    (``lblock``, ``rgroup``); without it every left block meets every right group. ``prepare(right blocks)`` is called once a tile,
+    and ``evaluate`` gets what it returns.
     """
     kinds = {f.name: f.dataType for f in [*left.schema, *right.schema]}
     columns = ["block", "n", *dict.fromkeys([*left_columns, *right_columns])]
@@ -60,17 +69,20 @@ def meet(left: DataFrame, right: DataFrame, schema: str, evaluate, left_columns:
     placed = both.repartition("i", "j").sortWithinPartitions("i", "j", "side", "block")
 
     def run(batches):
-        tile, held = None, []
+        tile, held, ready = None, [], None
         for batch in batches:
             at = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             for r in range(batch.num_rows):
                 here = (at["i"][r].as_py(), at["j"][r].as_py())
                 if here != tile:
-                    tile, held = here, []
+                    tile, held, ready = here, [], None
                 row = {c: at[c][r] for c in columns}
                 if at["side"][r].as_py() == 0:
                     # a copy: a slice would keep the whole batch it came in
                     held.append({c: pa.scalar(v.as_py(), v.type) if c in right_columns else v for c, v in row.items()})
-                elif held:
-                    yield evaluate(row, held)
+                    continue
+                if held:  # the tile's last right block has come
+                    ready, held = prepare(held), []
+                if ready is not None:
+                    yield evaluate(row, ready)
     return placed.mapInArrow(run, schema)

@@ -37,6 +37,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, n_other: int) -> DataFrame:
+    """Rows dealt anew for work that is a row's number times ``n_other``, where that is much more than moving the row.
+
+    The given partitions follow the bytes of the input, and a table of few bytes would keep one core busy.
+    """
+    if n_other < 4096:
+        return df
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def require_small(n_values: int, what: str, limit: int = BROADCAST_BYTES) -> None:
     """Guard for what is about to be held by the driver and every task."""
     if n_values * 8 > limit:
