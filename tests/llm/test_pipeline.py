@@ -46,7 +46,7 @@ def test_quality(spark, stages):
 
 def test_lines(stages):
     rows = [(r.doc_id, r.text, r.source) for r in stages[1][0].collect()]
-    want = {d: t for d, t, *_ in plain_lines(rows, 10, 3)}
+    want = {d: t for d, t, *_ in plain_lines(rows, 10)}
     assert pairs(stages[1][1]) == want
     assert all(r.n_chars == len(r.text) for r in stages[1][1].collect())
 
