@@ -1,4 +1,4 @@
-"""Byte-level BPE with a segment tree over byte positions.
+"""Byte-level BPE with a segment tree over byte positions; short pieces are merged in a plain list.
 
 Leaf i of the tree holds the rank of the pair that starts at byte i, its position in the low bits, so that the root is the leftmost
 minimum. A merge changes three leaves: the pair that went, the grown token's pair and the pair before it. Every change
@@ -22,6 +22,8 @@ NONE = 1 << 62
 PLACE = (1 << 32) - 1
 # Pieces whose ids a worker remembers, twice: at the bound the older half goes.
 REMEMBERED = 300_000
+# Bytes up to which a list of parts is faster than the tree.
+SHORT = 64
 # Longer texts are cut for memory where no piece of the pattern can run across.
 LONG = 1 << 20
 SAFE_CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
@@ -33,11 +35,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """``merge`` with the ranks of all pairs in a list: a step costs the length of the piece."""
+    get = ranks.get
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    pairs = [get(piece[i:i + 2], NONE) for i in range(len(piece) - 1)]
+    while pairs:
+        low = min(pairs)
+        if low == NONE:
+            break
+        i = pairs.index(low)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], NONE)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], NONE)
+    return [ranks[part] for part in parts]
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: always merge the leftmost pair of the lowest rank."""
     n = len(piece)
     if n == 1:
         return [ranks[piece]]
+    if n <= SHORT:
+        return _merge_short(piece, ranks)
     get = ranks.get
     leaves = 1 << (n - 1).bit_length()
     tree = [NONE] * (2 * leaves)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakforge.functions import distances, kernels
+from peakforge.llm import bpe
 from peakforge.operators import features as X, models as M, neighbours as N, spectra
 from peakforge.operators.tiles import in_groups
 
@@ -83,3 +84,19 @@ def test_bins_come_in_slices(spark, monkeypatch):
     df = spark.range(300).coalesce(1).select(F.col("id").alias("spectrum_id"), F.array(F.lit(2000.0) + F.col("id")).alias("mz"), F.array(F.lit(1.0) + F.col("id")).alias("intensity"))
     got = {r[0]: r[1] for r in df.transform(spectra.bin_equal()).select("spectrum_id", F.aggregate("intensity", F.lit(0.0), lambda a, v: a + v)).collect()}
     assert got == {i: 1.0 + i for i in range(300)}
+
+
+def test_short_pieces_merge_as_in_the_tree(monkeypatch):
+    """op9: the list of a short piece and the tree give the same ids."""
+    rng = np.random.default_rng(4)
+    ranks = {bytes([b]): b for b in range(4)}
+    tokens = list(ranks)
+    while len(ranks) < 60:
+        token = tokens[rng.integers(len(tokens))] + tokens[rng.integers(len(tokens))]
+        if token not in ranks:
+            ranks[token] = len(ranks)
+            tokens.append(token)
+    pieces = [rng.integers(0, 4, n).astype(np.uint8).tobytes() for n in range(2, 65) for _ in range(20)]
+    short = [bpe.merge(p, ranks) for p in pieces]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert short == [bpe.merge(p, ranks) for p in pieces]
