@@ -22,7 +22,7 @@ from peakforge.session import BROADCAST_BYTES, cut_lineage, once, spread
 
 NN = "array<struct<id:string,dist:double,label:double>>"
 # Right rows that a left block meets at once; smaller blocks are taken together.
-RUN_ROWS = 2048
+RUN_ROWS = 4096
 ROWS = "lblock long, sample_id string, id string, dist double, label double"
 
 
@@ -214,7 +214,8 @@ def _by_blocks(left: DataFrame, right: DataFrame, k: int, metric: str, exclude_s
             run.append(r)
             at += r["n"].as_py()
             if at - first >= RUN_ROWS or n == len(held) - 1:
-                runs.append((first, np.concatenate([B.vectors_of(x["data"], x["n"].as_py()) for x in run]),
+                vectors = np.concatenate([B.vectors_of(x["data"], x["n"].as_py()) for x in run])
+                runs.append((first, distances.Side(vectors, metric),
                              np.min([B.numbers_of(x["lo"]) for x in run], axis=0), np.max([B.numbers_of(x["hi"]) for x in run], axis=0)))
                 run, first = [], at
         return (runs, pa.chunked_array([r["ids"].values for r in held], pa.string()).combine_chunks(),
