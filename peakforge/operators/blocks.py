@@ -54,8 +54,9 @@ def collect_matrix(df: DataFrame):
 def _columns(df: DataFrame):
     def optional(name):
         return (F.col(name).cast("double") if name in df.columns else F.lit(None).cast("double")).alias(name)
+    weight = F.col("weights").cast("array<double>").alias("weight") if "weights" in df.columns else optional("weight")
     return [F.col("sample_id").cast("string").alias("sample_id"), F.col("features").cast("array<double>").alias("features"),
-            optional("label"), optional("weight")]
+            optional("label"), weight]
 
 
 def pick_pivots(df: DataFrame, metric: str) -> np.ndarray:
@@ -90,7 +91,10 @@ def with_pivot_distances(df: DataFrame, pivots: np.ndarray, metric: str) -> Data
 
 
 def pack(df: DataFrame, pivots: np.ndarray, metric: str = "euclidean", block_bytes: int | None = None) -> DataFrame:
-    """Blocks of (sample_id, features[, label, weight]) as checkpointed rows of ``BLOCK_SCHEMA``."""
+    """Blocks of (sample_id, features[, label, weight or weights]) as checkpointed rows of ``BLOCK_SCHEMA``.
+
+    With ``weights``, lists of one length, a block holds them row after row.
+    """
     block_bytes = block_bytes or BLOCK_BYTES
     placed = with_pivot_distances(df.select(*_columns(df)), pivots, metric)
     placed = placed.withColumn("_d", F.array_min("_p"))
@@ -103,11 +107,14 @@ def pack(df: DataFrame, pivots: np.ndarray, metric: str = "euclidean", block_byt
             t = pa.Table.from_batches(parts).combine_chunks()
             done = t.slice(0, size).sort_by("sample_id")
             p, x = kernels.to_matrix(done["_p"].combine_chunks()), kernels.to_matrix(done["features"].combine_chunks())
+            if pa.types.is_list(done["weight"].type):
+                weight = pa.array([done["weight"].combine_chunks().flatten().to_pylist()], pa.list_(pa.float64()))
+            else:
+                weight = pa.array([done["weight"].to_pylist()], pa.list_(pa.float64()))
             lists = [pa.array([done[c].to_pylist()], kind) for c, kind in
-                     (("sample_id", pa.list_(pa.string())), ("label", pa.list_(pa.float64())),
-                      ("weight", pa.list_(pa.float64())))]
+                     (("sample_id", pa.list_(pa.string())), ("label", pa.list_(pa.float64())))]
             block = pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([size], pa.int32()), *lists, pa.array([x.tobytes()], pa.binary()),
+                [pa.array([number], pa.int64()), pa.array([size], pa.int32()), *lists, weight, pa.array([x.tobytes()], pa.binary()),
                  pa.array([p.tobytes()], pa.binary()),
                  pa.array([p.min(0)], pa.list_(pa.float64())), pa.array([p.max(0)], pa.list_(pa.float64()))],
                 ["block", "n", "ids", "labels", "weights", "data", "places", "lo", "hi"])

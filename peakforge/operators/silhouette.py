@@ -20,6 +20,9 @@ from peakforge.operators.tiles import in_groups, meet
 from peakforge.schema import DOUBLES
 from peakforge.session import cut_lineage, once, spread
 
+# Sums of a vector (a class of a value of the keys each) that are made at once.
+COLUMNS_AT_ONCE = 64
+
 
 def _weighted(df: DataFrame) -> DataFrame:
     return (df.groupBy(F.xxhash64("features").alias("_a"), F.xxhash64(F.lit("copy"), "features").alias("_b"), "label")
@@ -90,23 +93,100 @@ def silhouette_samples(df: DataFrame, metric: str = "euclidean", strategy: str =
     return out.select("sample_id", "label", value.alias("silhouette"))
 
 
-def silhouette_by(df: DataFrame, keys: list[str], metric: str = "euclidean", **options) -> DataFrame:
+def _sums_to(points: DataFrame, metric: str, block_bytes: int | None = None) -> DataFrame:
+    """(sample_id, sums) of (sample_id, features, weights): the distances to all points, added up once per position of ``weights``."""
+    n, d = B.shape(points)
+    m = points.select(F.size("weights")).first()[0] if n else 0
+    if B.fits(n, d + m):
+        table = points.select("features", "weights").toArrow().combine_chunks()  # a checked size
+        shared = points.sparkSession.sparkContext.broadcast(tuple(kernels.to_matrix(table[c].chunk(0)) for c in ("features", "weights")) if n else None)
+
+        @F.arrow_udf(DOUBLES)
+        def run(features: pa.Array) -> pa.Array:
+            return kernels.from_matrix(distances.Sums(*shared.value, metric).of(kernels.to_matrix(features)))
+        return spread(points.select("sample_id", F.col("features").cast("array<double>").alias("features")), n).select(
+            "sample_id", once(run)("features").alias("sums"))
+    pivots = B.pick_pivots(points, metric)
+    blocks = in_groups(B.pack(points, pivots, metric, block_bytes))
+
+    def prepare(held):
+        weights = [B.numbers_of(r["weights"]).reshape(r["n"].as_py(), -1) for r in held]
+        return distances.Sums(np.concatenate([B.vectors_of(r["data"], r["n"].as_py()) for r in held]), np.concatenate(weights), metric)
+
+    def evaluate(row, sums):
+        return pa.RecordBatch.from_arrays(
+            [row["ids"].values, kernels.from_matrix(sums.of(B.vectors_of(row["data"], row["n"].as_py())))], ["sample_id", "sums"])
+    parts = meet(blocks, blocks, "sample_id string, sums array<double>", evaluate, ["ids", "data"], ["weights", "data"], prepare=prepare)
+    return parts.groupBy("sample_id").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(m)]).alias("sums"))
+
+
+def _shared_silhouettes(df: DataFrame, rest: list[str], metric: str, block_bytes: int | None = None) -> DataFrame:
+    """(rest, ``n``, ``silhouette``): for every value of ``rest``, whose points may be the same vectors under other labels.
+
+    The distance of two vectors is computed once for all values: a vector carries how many points of every (value, class) lie on it.
+    """
+    sizes: dict[tuple, dict] = {}
+    for r in df.groupBy(*rest, "label").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes.setdefault(tuple(r[k] for k in rest), {})[r["label"]] = r["n"]
+    out, values = None, sorted(sizes, key=str)
+    while values:
+        some = [values.pop()]
+        while values and sum(len(sizes[v]) for v in [*some, values[-1]]) <= COLUMNS_AT_ONCE:
+            some.append(values.pop())
+        columns = [(v, c) for v in some for c in sizes[v]]
+
+        def is_value(v):
+            own = F.lit(True)
+            for k, x in zip(rest, v):
+                own = own & F.col(k).eqNullSafe(F.lit(x))
+            return own
+        counts = F.array(*[F.count_if(is_value(v) & (F.col("label") == c)).cast("double") for v, c in columns])
+        points = cut_lineage(df.groupBy(F.xxhash64("features").alias("_a"), F.xxhash64(F.lit("copy"), "features").alias("_b"))
+                             .agg(F.any_value("features").cast("array<double>").alias("features"), counts.alias("weights"))
+                             .select(F.concat_ws(":", "_a", "_b").alias("sample_id"), "features", "weights"))
+        scored = _sums_to(points, metric, block_bytes).join(points.select("sample_id", "weights"), "sample_id")
+        totals = []
+        for v in some:
+            mean = {c: F.get("sums", F.lit(columns.index((v, c)))) for c in sizes[v]}
+            total = F.lit(0.0) if len(sizes[v]) > 1 else F.lit(float("nan"))
+            for c, n in sizes[v].items():
+                if len(sizes[v]) == 1 or n == 1:  # no other class; alone: 0
+                    continue
+                a = mean[c] / (n - 1)
+                b = F.array_min(F.array(*[mean[o] / m for o, m in sizes[v].items() if o != c]))
+                one = F.when(F.greatest(a, b) == 0, 0.0).otherwise((b - a) / F.greatest(a, b))
+                # a vector without a point of the class has no say, whatever its value is
+                held = F.get("weights", F.lit(columns.index((v, c))))
+                total = total + F.when(held > 0, held * one).otherwise(0.0)
+            totals.append(F.sum(total) / sum(sizes[v].values()))
+        kinds = df.schema
+        rows = F.array(*[F.struct(*[F.lit(x).cast(kinds[k].dataType).alias(k) for k, x in zip(rest, v)],
+                                  F.lit(sum(sizes[v].values())).cast("long").alias("n"), s.alias("silhouette")) for v, s in zip(some, totals)])
+        one = scored.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def silhouette_by(df: DataFrame, keys: list[str], metric: str = "euclidean", shared: list[str] | None = None, **options) -> DataFrame:
     """(keys, ``n``, ``silhouette``): the mean silhouette of the points of every value of ``keys``, vectors of equal length per value.
 
-    All values are scored in one pass while their points together can be broadcast, one after the other beyond that. One class only: NaN.
+    All values are scored in one pass while their points together can be broadcast. Beyond that the values of the columns ``shared``
+    (``keys`` without it) follow one another, and what has the same value there shares its distances: name columns that fix a point's
+    vector. One class only: NaN.
     """
     df = df.filter(F.col("features").isNotNull() & F.col("label").isNotNull())
     n, d = B.shape(df)
     if not B.fits(n, d):
-        df = cut_lineage(df.select(*keys, "sample_id", "label", "features"))  # read several times per value
-        points = [tuple(r) for r in df.select(*keys).distinct().orderBy(*keys).collect()]
+        shared = keys if shared is None else shared
+        rest = [k for k in keys if k not in shared]
+        df = cut_lineage(df.select(*dict.fromkeys([*shared, *keys]), "sample_id", "label", "features"))  # read several times per value
         out = None
-        for point in points:
+        for point in [tuple(r) for r in df.select(*shared).distinct().orderBy(*shared).collect()]:
             own = F.lit(True)
-            for k, v in zip(keys, point):
+            for k, v in zip(shared, point):
                 own = own & F.col(k).eqNullSafe(F.lit(v))
-            one = silhouette_samples(df.filter(own), metric, **options).agg(F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette"))
-            one = one.select(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, point)], "n", "silhouette")
+            one = _shared_silhouettes(df.filter(own), rest, metric, **options)
+            one = one.withColumns({k: F.lit(v).cast(df.schema[k].dataType) for k, v in zip(shared, point)}).select(*keys, "n", "silhouette")
             out = one if out is None else out.unionByName(one)
         return out
     key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})

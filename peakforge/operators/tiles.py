@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from peakforge.operators.blocks import BLOCK_BYTES
 from peakforge.operators.ranking import ranked
+from peakforge.session import n_parts
 
 GROUP_BLOCKS = 32  # blocks of a group, if they are full ones: at most so many bytes are held by a task
 SIDE = 16  # groups of a side, while groups are below that bound: enough tiles for all cores, few copies
@@ -66,7 +67,8 @@ def meet(left: DataFrame, right: DataFrame, schema: str, evaluate, left_columns:
             F.col(c) if c in ("block", "n", *own) else F.lit(None).cast(kinds[c]).alias(c) for c in columns])
     a, b = _sides(left, right, wanted)
     both = side(b, 0, right_columns).unionByName(side(a, 1, left_columns))
-    placed = both.repartition("i", "j").sortWithinPartitions("i", "j", "side", "block")
+    # A fixed number: merged by their few bytes, tiles would leave cores without work.
+    placed = both.repartition(n_parts(left.sparkSession), "i", "j").sortWithinPartitions("i", "j", "side", "block")
 
     def run(batches):
         tile, held, ready = None, [], None

@@ -54,11 +54,11 @@ def with_targets(df: DataFrame, letters: DataFrame) -> DataFrame:
 
 
 def project_targets(df: DataFrame, letters: DataFrame, loads, sizes) -> DataFrame:
-    """(target, n_components, n, silhouette) on given loadings: the first positions of one projection, scored in one pass."""
+    """(target, n_components, n, silhouette) on given loadings: the first positions of one projection, whose distances all targets share."""
     scores = with_targets(project(df, loads), letters)
     n = F.explode(F.array(*[F.lit(int(s)) for s in sizes]))
     points = scores.withColumn("n_components", n).withColumn("features", F.slice("features", F.lit(1), F.col("n_components")))
-    return silhouette_by(points, ["target", "n_components"])
+    return silhouette_by(points, ["target", "n_components"], shared=["n_components"])
 
 
 def sweep_targets(df: DataFrame, letters: DataFrame, thresholds, sizes, positive=0, method: str = "auto") -> DataFrame:

@@ -37,6 +37,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def n_parts(spark: SparkSession) -> int:
+    """Partitions for work that is not in proportion to the bytes of its input."""
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, n_other: int) -> DataFrame:
     """Rows dealt anew for work that is a row's number times ``n_other``, where that is much more than moving the row.
 
@@ -44,8 +49,7 @@ def spread(df: DataFrame, n_other: int) -> DataFrame:
     """
     if n_other < 4096:
         return df
-    spark = df.sparkSession
-    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(n_parts(df.sparkSession))
 
 
 def require_small(n_values: int, what: str, limit: int = BROADCAST_BYTES) -> None:
