@@ -66,32 +66,40 @@ def sweep_targets(df: DataFrame, letters: DataFrame, thresholds, sizes, positive
 
     The correlations of all targets come from one pass over the joined rows, and their class sizes from the same table. A target
     with one row, and sizes beyond what its rows and kept features allow, are skipped; one class only gives NaN. A projection is fitted
-    per target and set of kept features; thresholds that keep the same features share it.
+    per target and set of kept features; thresholds that keep the same features share it, and so do targets with letters for the same rows.
     """
     joined = cut_lineage(with_targets(X.min_max(df), letters))
     stats = cut_lineage(X.feature_stats(joined, positive=positive, keys=["target"]))
     rows = {r["target"]: r["n"] for r in stats.groupBy("target").agg(F.max("n").alias("n")).collect()}
-    points, shape_of = None, {}
+    mark = F.struct(*[F.sum(F.xxhash64(F.lit(i), "sample_id", "features").cast("decimal(38,0)")) for i in range(2)])
+    same_rows = {r["target"]: tuple(r["mark"]) if r["n"] == r["ids"] else r["target"] for r in joined.groupBy("target").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("ids"), mark.alias("mark")).collect()}
+    fits: dict[tuple, dict[str, list]] = {}
     for target in sorted(rows):
-        own = joined.filter(F.col("target") == target)
-        fits: dict[tuple, list] = {}
         for t in thresholds:
             kept = tuple(X.select_correlation(stats.filter(F.col("target") == target), t))
             if len(kept) >= 2:
-                fits.setdefault(kept, []).append(float(t))
-        for kept, same in fits.items():
-            most = bounded_neighbourhood(int(rows[target]) + 1, len(kept))
-            usable = [int(s) for s in sizes if s <= (most or 0)]
-            if not usable:
-                continue
-            scores = X.pca_project(X.take_features(own, list(kept)), max(usable), method)
-            each = scores.withColumn("n_components", F.explode(F.array(*[F.lit(s) for s in usable]))).withColumn(
-                "features", F.slice("features", F.lit(1), F.col("n_components"))).withColumn("threshold", F.lit(same[0]))
-            points = each if points is None else points.unionByName(each)
-            shape_of.update({(target, t): (len(kept), same[0]) for t in same})
+                fits.setdefault((kept, same_rows[target]), {}).setdefault(target, []).append(float(t))
+    points, shape_of = None, {}
+    for number, ((kept, _), members) in enumerate(fits.items()):
+        first = next(iter(members))
+        most = bounded_neighbourhood(int(rows[first]) + 1, len(kept))
+        usable = [int(s) for s in sizes if s <= (most or 0)]
+        if not usable:
+            continue
+        scores = X.pca_project(X.take_features(joined.filter(F.col("target") == first), list(kept)), max(usable), method)
+        if len(members) > 1:
+            letters_of = joined.filter(F.col("target").isin(list(members))).select("sample_id", "target", "label")
+            scores = scores.select("sample_id", "features").join(letters_of, "sample_id")
+        asked = F.coalesce(*[F.when(F.col("target") == a, F.lit(same[0])) for a, same in members.items()])
+        each = scores.withColumn("n_components", F.explode(F.array(*[F.lit(s) for s in usable]))).withColumn(
+            "features", F.slice("features", F.lit(1), F.col("n_components"))).withColumn("threshold", asked).withColumn("fit", F.lit(number))
+        each = each.select("sample_id", "target", "label", "features", "n_components", "threshold", "fit")
+        points = each if points is None else points.unionByName(each)
+        shape_of.update({(a, t): (len(kept), same[0]) for a, same in members.items() for t in same})
     if points is None:
         return df.sparkSession.createDataFrame([], SWEEP)
-    scored = silhouette_by(cut_lineage(points), ["target", "threshold", "n_components"])
+    scored = silhouette_by(cut_lineage(points), ["target", "threshold", "n_components"], shared=["fit", "n_components"])
     grid = df.sparkSession.createDataFrame([(a, t, n, first) for (a, t), (n, first) in shape_of.items()],
                                            "target string, asked double, n_features int, threshold double")
     return grid.join(scored, ["target", "threshold"]).select(
