@@ -26,8 +26,11 @@ def _named(keys: DataFrame) -> DataFrame:
             .withColumn("name", F.monotonically_increasing_id()))
 
 
-def _blocks(text, block_bytes: int):
-    data = without_white(text).cast("binary")
+def _stripped(text):
+    return without_white(text).cast("binary")
+
+
+def _blocks(data, block_bytes: int):
     last = F.greatest(F.ceil(F.octet_length(data) / F.lit(block_bytes)), F.lit(1)) - 1
     return F.transform(F.sequence(F.lit(0), last.cast("int")),
                        lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
@@ -37,7 +40,7 @@ def _mark(block, seed: int):
     return F.struct(F.xxhash64(F.lit(seed), block).alias("m0"), F.xxhash64(F.lit(seed + 1), block).alias("m1"))
 
 
-def _block_level(docs: DataFrame, text: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _block_level(docs: DataFrame, data: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Rows with the marks of their blocks, and the name of each mark.
 
     Names are sorted over the blocks themselves. Occurrences are joined to them by a 128-bit mark, so that texts are moved
@@ -45,12 +48,12 @@ def _block_level(docs: DataFrame, text: str, block_bytes: int) -> tuple[DataFram
     """
     seed = 0
     while True:
-        blocks = docs.select(F.explode(_blocks(F.col(text), block_bytes)).alias("block"))
+        blocks = docs.select(F.explode(_blocks(F.col(data), block_bytes)).alias("block"))
         names = keep(_named(blocks).select(_mark(F.col("block"), seed).alias("mark"), "name").select("mark.*", "name"))
         if names.groupBy("m0", "m1").count().filter("count > 1").isEmpty():
             break
         seed += 2
-    rows = docs.withColumn("_marks", F.transform(_blocks(F.col(text), block_bytes), lambda b: _mark(b, seed)))
+    rows = docs.withColumn("_marks", F.transform(_blocks(F.col(data), block_bytes), lambda b: _mark(b, seed)))
     return rows, names
 
 
@@ -59,8 +62,16 @@ def identities(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYT
 
     Null and empty texts are one empty block. Repeated rows get the same identity. A row number ``_row`` is added.
     """
-    rows, names = _block_level(docs, text, block_bytes)
-    rows = keep(rows.drop(text).withColumn("_row", F.monotonically_increasing_id()))
+    return _identities(docs.withColumn(text, _stripped(F.col(text))), text, block_bytes)
+
+
+def _identities(docs: DataFrame, data: str, block_bytes: int) -> DataFrame:
+    """``identities`` of rows whose ``data`` holds the text without white space, as bytes.
+
+    A column, so that the white space is taken out once per row: the function of an array has its argument computed per block.
+    """
+    rows, names = _block_level(docs, data, block_bytes)
+    rows = keep(rows.drop(data).withColumn("_row", F.monotonically_increasing_id()))
     longest = rows.agg(F.max(F.size("_marks"))).first()[0] or 0
     spread = rows.select("_row", F.size("_marks").alias("n"), F.posexplode("_marks").alias("i", "mark"))
     current = (spread.select("_row", "n", "i", "mark.*").join(names, ["m0", "m1"]).select("_row", "n", "i", "name"))
@@ -90,10 +101,10 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     identity (``level``, ``name``). Null texts count as empty; rows without an id come after all others; rows that repeat an
     id and text are all kept or all dropped. Other columns of ``docs`` are not read.
     """
-    slim = docs.select(F.col(id_column).alias("_id"), F.col(text).cast("string").alias("_text"),
-                       F.coalesce(F.char_length(F.col(text).cast("string")), F.lit(0)).alias("_points"),
-                       F.sha2(without_white(F.col(text).cast("string")).cast("binary"), 256).alias("text_sha256"))
-    rows = keep(identities(slim, "_text", block_bytes))
+    slim = docs.select(F.col(id_column).alias("_id"), _stripped(F.col(text).cast("string")).alias("_data"),
+                       F.coalesce(F.char_length(F.col(text).cast("string")), F.lit(0)).alias("_points"))
+    slim = slim.withColumn("text_sha256", F.sha2("_data", 256))
+    rows = keep(_identities(slim, "_data", block_bytes))
     best = rows.groupBy("level", "name").agg(
         F.min(F.struct(-F.col("_points"), F.col("_id").isNull(), F.col("_id"))).alias("best"),
         F.count(F.lit(1)).alias("group_size"))

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from peakforge.llm import block_names
 from peakforge.llm.block_names import exact_duplicates
 from peakforge.llm.queries import ORACLE, QUERIES
 
@@ -41,3 +42,17 @@ def test_empty_table(spark):
 
 def test_query_has_sql():
     assert "op8_exact_dedup" in QUERIES and "op8_exact_dedup" in ORACLE
+
+
+def test_white_space_is_taken_out_once_per_row(spark, monkeypatch):
+    """A text of many blocks was stripped anew for every block."""
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df)
+    stored = block_names.keep
+    monkeypatch.setattr(block_names, "keep", keep)
+    docs = spark.createDataFrame([(1, LONG), (2, "a b"), (None, None)], "doc_id long, text string")
+    assert exact_duplicates(docs, block_bytes=4096).count() == 3
+    assert [p.count("replace(") for p in plans if "replace(" in p] == [6, 6]  # one for each white space character
