@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakforge.llm.common import _BYTE_WEIGHT, bytes_of, chunks, keep, window_hashes
+from peakforge.llm.common import _BYTE_WEIGHT, bytes_of, chunks, keep, mix, window_hashes
 from peakforge.llm.window_removal import (
     REPLY, SMALL_CHUNK, _by_text, _groups, _keyed, _later, _slices, _spread, bucketed, merged)
 
@@ -45,7 +45,10 @@ def _sliding_min(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def runs(column: pa.Array, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key, text number, first window and number of windows of every run; and the bytes with offsets, flattened last."""
+    """Key, text number, first window and number of windows of every run; and the bytes with offsets, flattened last.
+
+    A key is a minimum, so most are small numbers: mixed, they spread evenly over the parts.
+    """
     data, offsets = bytes_of(column)
     out = [[], [], [], []]
     for first, after in chunks(offsets, SMALL_CHUNK):
@@ -58,7 +61,7 @@ def runs(column: pa.Array, length: int, gram: int) -> tuple[np.ndarray, np.ndarr
         at = _spread(own[:-1] - own[0], counts)
         keys, text = low[at], np.repeat(np.arange(first, after), counts)
         edges = _groups(keys, text)
-        out[0].append(keys[edges])
+        out[0].append(mix(keys[edges]))
         out[1].append(text[edges].astype(np.int32))
         out[2].append((at[edges] + own[0] - offsets[text[edges]]).astype(np.int32))
         out[3].append(np.diff(np.concatenate([edges, [len(keys)]])).astype(np.int32))
@@ -166,31 +169,30 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         ahead[~alive] = 0
         alive &= ahead > 0
         key = key << 9 | ahead
-    order, span = np.argsort(key, kind="stable"), 7
+    order, span = np.argsort(key), 7
+    ends = np.flatnonzero(codes == 0)
+    reach = np.full(n, n)  # codes before the end of the own string
+    inside = np.repeat(ends, np.diff(ends, prepend=-1))
+    reach[:len(inside)] = inside - np.arange(len(inside))
     while span < min(depth, n):
         ordered = key[order]
-        new = np.ones(n, np.int64)
-        new[1:] = ordered[1:] != ordered[:-1]
+        new = np.ones(n + 1, bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:n])
+        tied = np.flatnonzero(~(new[:-1] & new[1:]))  # the others have their place
+        if not len(tied):
+            break
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        rank[order] = np.cumsum(new[:-1])
         ahead = np.zeros(n, np.int64)
         ahead[:n - span] = rank[span:]
-        ahead[rank_ends(codes, span)] = 0
+        ahead[reach < span] = 0
         key = rank * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
+        open_ = order[tied]
+        order[tied] = open_[np.argsort(key[open_])]
         span *= 2
     return order
 
 
-def rank_ends(codes: np.ndarray, span: int) -> np.ndarray:
-    """Positions whose string ends within the next ``span`` codes: what follows belongs to another string."""
-    n = len(codes)
-    ends = np.flatnonzero(codes == 0)
-    nearest = np.searchsorted(ends, np.arange(n))
-    distance = np.where(nearest < len(ends), ends[np.minimum(nearest, max(len(ends) - 1, 0))] - np.arange(n), n) if len(ends) else np.full(n, n)
-    return np.flatnonzero(distance < span)
-
-
 def equal_classes(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """For every position of the strings (one separator after each): a class number, equal where the next ``length`` bytes
     are; and whether the position has that many bytes. By bounded breadth-first interval expansion on the transform."""
@@ -201,10 +203,10 @@ def equal_classes(strings: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     n = len(data)
     order = suffix_array(data, length)
     transform = data[order - 1]  # the code before every suffix; the first string follows the last separator
-    first = np.searchsorted(data[order], np.arange(258))  # where suffixes that begin with a code start
+    begins = data[order]  # the code every suffix begins with
     place = np.argsort(transform, kind="stable")
-    rank = np.empty(n, np.int64)  # among equal codes of the transform, how many come before
-    rank[place] = np.arange(n) - np.searchsorted(transform[place], transform[place])
+    ahead_of = np.empty(n, np.int64)  # where the suffix with its preceding code is: codes in order, equal ones in theirs
+    ahead_of[place] = np.arange(n)
     border = np.full(n + 1, -1, np.int32)  # length of the common prefix with the suffix before, once known
     border[0] = 0
     left, right = np.array([0]), np.array([n])
@@ -213,19 +215,18 @@ def equal_classes(strings: list[bytes], length: int) -> tuple[np.ndarray, np.nda
         counts = right - left
         member = _spread(left, counts)
         owner = np.repeat(np.arange(len(left)), counts)
-        code = transform[member]
-        ahead = code > 0
-        member, owner, code = member[ahead], owner[ahead], code[ahead].astype(np.int64)
+        ahead = transform[member] > 0
+        member, owner = member[ahead], owner[ahead]
         if not len(member):
             break
         # Within one interval, members with one code map to neighbouring suffixes in their order: the first and the last
         # give the new interval.
-        target = first[code] + rank[member]
-        pair = owner * 512 + code
-        by = np.argsort(pair, kind="stable")
-        edges = _groups(pair[by])
-        low = target[by][edges]
-        high = target[by][np.concatenate([edges[1:], [len(by)]]) - 1] + 1
+        target = np.sort(ahead_of[member] << 32 | owner)
+        owner = target & 0xFFFFFFFF
+        target >>= 32
+        edges = _groups(owner, begins[target])
+        low = target[edges]
+        high = target[np.concatenate([edges[1:], [len(target)]]) - 1] + 1
         fresh = border[high] < 0
         border[high[fresh]] = reached - 1
         left, right = low[fresh], high[fresh]
@@ -286,9 +287,11 @@ def _matched(frame: pd.DataFrame, length: int) -> list:
     starts, ends, who = np.concatenate(starts), np.concatenate(ends), np.concatenate(who)
     by = np.lexsort((starts, marks[who], ids[who]))
     starts, ends, who = starts[by], ends[by], who[by]
-    edges = _groups(ids[who], marks[who]) if len(who) else []
-    for a, b in zip(edges, [*edges[1:], len(who)]):
-        out.append((int(ids[who[a]]), int(marks[who[a]]), np.stack([starts[a:b], ends[a:b]], 1).astype(np.int32).tobytes()))
+    edges = _groups(ids[who], marks[who]) if len(who) else np.zeros(0, np.int64)
+    spans = np.stack([starts, ends], 1).astype(np.int32).tobytes()
+    cuts = 8 * np.append(edges, len(who))  # bytes
+    first = who[edges]
+    out += [(i, mark, spans[a:b]) for i, mark, a, b in zip(ids[first].tolist(), marks[first].tolist(), cuts.tolist(), cuts[1:].tolist())]
     return out
 
 

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from peakforge.llm.prefix_intervals import equal_classes, remove_repeated_bytes
+from peakforge.llm.prefix_intervals import equal_classes, remove_repeated_bytes, runs, suffix_array
 
 LAST = 2**63 - 1
 
@@ -110,3 +111,23 @@ def test_no_key_is_one_group(spark):
     assert {p for r in raw if r[5] for p in (r[5][i:i + 50] for i in range(len(r[5]) - 49))} == {
         p for x in size.values() for w in x for p in (w[i:i + 50] for i in range(len(w) - 49))}
     assert any(r.spans == b"x" * 8 for r in out)
+
+
+def test_keys_spread_over_the_parts():
+    """Keys are minimal hashes: as they were, the first of 64 parts got a third of them."""
+    rng = np.random.default_rng(5)
+    texts = pa.array(["".join(map(chr, rng.integers(97, 123, 5000))) for _ in range(20)])
+    keys, *_ = runs(texts, 50, 18)
+    parts = np.bincount((keys >> np.uint64(58)).astype(np.int64), minlength=64)
+    assert len(keys) > 4000 and parts.max() < 2 * len(keys) / 64 and parts.min() > 0
+
+
+def test_suffixes_in_order():
+    rng = np.random.default_rng(6)
+    for alphabet, n in ((2, 300), (3, 60), (200, 50), (1, 120)):
+        codes = rng.integers(1, alphabet + 1, n)
+        codes[rng.integers(0, n, n // 25)] = 0
+        own = [codes[i:].tolist() for i in range(n)]
+        own = [s[:s.index(0)] if 0 in s else s for s in own]
+        found = suffix_array(codes, 56).tolist()
+        assert sorted(found) == list(range(n)) and [own[i][:56] for i in found] == sorted(s[:56] for s in own)
