@@ -2,12 +2,15 @@
 
 Texts of an Arrow batch are cut into segments of bounded size at places no token can cross, the segments are dealt into
 encoder batches of equal bytes, and only the lengths of the id lists come back, added up per text. So neither a long text nor a batch of
-many long texts ever has more than one encoder batch of ids in memory.
+many long texts ever has more than one encoder batch of ids in memory. A byte-level vocabulary gets words, and each of them once:
+a bounded memory of the Python worker holds their lengths.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 
 import numpy as np
@@ -18,10 +21,14 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 1 << 19  # bytes of text handed to the encoder at once
 SEGMENT_CHARS = 1 << 14  # longer texts are cut
+KNOWN_WORDS = 1 << 18  # words whose lengths a Python worker holds
+KNOWN_CHARS = 64  # longer words are not held
 
 # A piece of the byte-level and the word vocabularies never runs from a character that is no white space into white space,
 # nor from a letter into a mark outside ASCII; the special strings hold neither.
 _PIECE_CUT = regex.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n\r\t])|(?<=\p{L})(?=[^\x00-\x7F\s\x1c-\x1f\p{L}\p{N}\p{M}])")
+# The same places but those within a word: every match begins at one. Other white space than these four is no place to cut.
+_WORDS = re.compile(r"\s*(?:\S+(?:[^\S \n\r\t]\s*)?)+|\s+")
 # A sentence piece starts with the mark that a blank becomes; the blank itself is left out, as every text gets that mark in front.
 _BLANK_CUT = regex.compile(r"(?<=[a-zA-Z,.]) (?=[a-zA-Z])")
 
@@ -38,6 +45,15 @@ def segments(text: str, limit: int = SEGMENT_CHARS, blank: bool = False):
     yield text[first:]
 
 
+def _by_word(vocabulary: dict) -> bool:
+    """Whether words may be encoded one by one: byte-level pieces of the text as it is, special strings without white space."""
+    before = vocabulary.get("pre_tokenizer") or {}
+    return (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+            and not vocabulary.get("normalizer")
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])
+                        for t in vocabulary.get("added_tokens") or []))
+
+
 class _ByTokenizers:
     """Lengths by a ``.json`` vocabulary; special strings inside a text count as the library's default has it."""
     blank = False
@@ -47,6 +63,7 @@ class _ByTokenizers:
         self.model = Tokenizer.from_str(source.decode())
         self.model.no_truncation()
         self.model.no_padding()
+        self.known: dict[str, int] | None = {} if _by_word(json.loads(source)) else None
 
     def lengths(self, texts: list[str]) -> list[int]:
         encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
@@ -56,6 +73,7 @@ class _ByTokenizers:
 class _BySentencePiece:
     """Lengths by a ``.model`` vocabulary."""
     blank = True
+    known = None
 
     def __init__(self, source: bytes):
         import sentencepiece
@@ -78,27 +96,43 @@ def _encoder(name: str, shared):
     return _ENCODERS[name]
 
 
-def count_batch(encoder, column, batch_bytes: int = BATCH_BYTES, segment_chars: int = SEGMENT_CHARS) -> np.ndarray:
+def count_batch(encoder, column, batch_bytes: int = BATCH_BYTES, segment_chars: int = SEGMENT_CHARS,
+                known_words: int = KNOWN_WORDS) -> np.ndarray:
     """Tokens of every text of an Arrow column (null: none)."""
     n_tokens = np.zeros(len(column), np.int64)
-    waiting, owners, held = [], [], 0
+    known = encoder.known
+    waiting, owners, held = [], [], 0  # lists of parts, and whose they are
 
     def flush():
-        if waiting:
-            np.add.at(n_tokens, owners, encoder.lengths(waiting))
-            waiting.clear()
-            owners.clear()
+        distinct = list(dict.fromkeys(part for parts in waiting for part in parts))
+        size = dict(zip(distinct, encoder.lengths(distinct))) if distinct else {}
+        for i, parts in zip(owners, waiting):
+            n_tokens[i] += sum(map(size.__getitem__, parts))
+        if known is not None:
+            known.update((w, n) for w, n in size.items() if len(w) <= KNOWN_CHARS)
+            if len(known) > known_words:
+                known.clear()
+        waiting.clear()
+        owners.clear()
 
     for i, value in enumerate(column):
         text = value.as_py()
         if not text:
             continue
         for part in segments(text, segment_chars, encoder.blank):
-            size = len(part.encode())
+            parts = [part]
+            if known is not None:
+                parts = _WORDS.findall(part)
+                sizes = list(map(known.get, parts))
+                parts = [w for w, n in zip(parts, sizes) if n is None] if None in sizes else []
+                n_tokens[i] += sum(filter(None, sizes))
+            if not parts:
+                continue
+            size = sum(len(p.encode()) for p in parts)
             if held + size > batch_bytes:
                 flush()
                 held = 0
-            waiting.append(part)
+            waiting.append(parts)
             owners.append(i)
             held += size
     flush()

@@ -1,12 +1,13 @@
 """Counts against the public libraries on whole texts."""
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from peakforge.llm.token_lengths import _BySentencePiece, _ByTokenizers, segments, token_counts
+from peakforge.llm.token_lengths import _BySentencePiece, _ByTokenizers, count_batch, segments, token_counts
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"]
 PIECES = ["Some words, don't we'll", " ", "  ", "\n\n", "\t", "12 345", "éàü ñ", "中文，字。", "😀😀", "<|endoftext|>", "a<|endoftext|> b", "x" * 90,
@@ -61,3 +62,24 @@ def test_special_strings_are_one_token():
     model = Tokenizer.from_file(public_tokenizers.path(FILES[0]))
     assert len(model.encode("a<|endoftext|>b", add_special_tokens=False)) == 3
     assert ENCODERS[FILES[0]].lengths(["a<|endoftext|>b"]) == [3]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=6)), max_size=12), st.integers(1, 12), st.integers(0, 9))
+def test_words_lose_no_token(parts, limit, known_words):
+    texts = ["".join(parts), " ".join(parts), None]
+    for name in FILES[:2]:
+        found = count_batch(ENCODERS[name], pa.array(texts, pa.string()), 40, limit, known_words)
+        assert found.tolist() == [*ENCODERS[name].lengths(texts[:2]), 0]
+
+
+def test_a_word_is_encoded_once(monkeypatch):
+    """Every word of an encoder batch was encoded wherever it stood."""
+    encoder, asked = library(FILES[0]), []
+    lengths = encoder.lengths
+    monkeypatch.setattr(encoder, "lengths", lambda texts: asked.extend(texts) or lengths(texts))
+    texts = ["the old words and the new words " * 50, "and the new words", "the" * 40 + " words"]
+    found = count_batch(encoder, pa.array(texts), batch_bytes=10_000)
+    assert found.tolist() == lengths(texts)
+    assert max(map(asked.count, asked)) == 1 and sum(map(len, asked)) < 200
+    assert max(map(len, encoder.known)) <= 64  # a long word is not held
