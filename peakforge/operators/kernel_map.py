@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakforge.functions import kernels
+from peakforge.functions import distances, kernels
 from peakforge.functions.scalars import hash_uniform
 from peakforge.operators import blocks as B
 from peakforge.operators.features import feature_moments
@@ -49,6 +49,14 @@ def values(x: np.ndarray, y: np.ndarray, kernel: str, gamma: float, degree: int
     raise ValueError(f"kernel {kernel!r} is none of {KERNELS}")
 
 
+def mapped(x: np.ndarray, points: np.ndarray, turn: np.ndarray, *kernel) -> np.ndarray:
+    """``values`` with the landmarks times ``turn``, in parts of bounded size: a whole batch of kernel values has several copies on its way."""
+    out = np.empty((len(x), turn.shape[1]))
+    for part in distances.chunks(len(x), len(points)):
+        out[part] = values(x[part], points, *kernel) @ turn
+    return out
+
+
 def landmark_rows(df: DataFrame, n: int = LANDMARKS, seed: int = 42) -> DataFrame:
     """The ``n`` rows with the lowest draws."""
     draw = hash_uniform(F.col("sample_id"), F.lit("landmark"), F.lit(seed))
@@ -71,6 +79,5 @@ def kernel_map(df: DataFrame, kernel: str = "rbf", gamma: float | str = "scale",
     @F.arrow_udf(DOUBLES)
     def run(features: pa.Array) -> pa.Array:
         points, turn = shared.value
-        x = kernels.to_matrix(features)
-        return kernels.from_matrix(values(x, points, kernel, gamma, degree, offset) @ turn if len(x) else np.zeros((0, turn.shape[1])))
+        return kernels.from_matrix(mapped(kernels.to_matrix(features), points, turn, kernel, gamma, degree, offset))
     return lambda other: other.withColumn("features", once(run)(F.col("features").cast("array<double>")))

@@ -381,6 +381,19 @@ def test_grid_search_and_compare(apart):
         (m, n) for m in ("none", "random_under") for n in ("gaussian_bayes", "knn")}
 
 
+def test_kernel_values_of_a_batch_are_not_held_at_once():
+    import tracemalloc
+    rng = np.random.default_rng(4)
+    x, points, turn = rng.normal(size=(10_000, 4)), rng.normal(size=(300, 4)), rng.normal(size=(300, 2))
+    tracemalloc.start()
+    got = kernel_map.mapped(x, points, turn, "rbf", 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000  # 24 MB a copy for the whole batch
+    assert np.allclose(got, kernel_map.values(x, points, "rbf", 0.5) @ turn)
+    assert kernel_map.mapped(x[:0], points, turn, "rbf", 0.5).shape == (0, 2)
+
+
 def test_elimination_keeps_the_informative_positions(apart):
     kept, scores = tuning.rfecv(apart, step=0.2, folds=2, min_features=2, trees=10)
     assert set(kept) & {0, 1, 2} and {r["n_features"] for r in scores.collect()} == {6, 5, 4, 3, 2}
