@@ -241,19 +241,30 @@ def cosine_map(width: int, gamma: float, size: int = 500, seed: int = 42):
     return lambda df: df.withColumn("features", once(run)(F.col("features").cast("array<double>")))
 
 
+def svm_map(train: DataFrame, kernel: str = "rbf", gamma: float | str = 0.1, degree: int = 3, size: int = 500, mapping: str = "cosine",
+            seed: int = 42, **_):
+    """The map of the kernel that ``svm`` has before its separator: a function of a DataFrame, made from the rows of ``train``."""
+    if kernel == "linear":
+        return lambda df: df
+    if kernel == "rbf" and mapping == "cosine":
+        return cosine_map(B.shape(train)[1], gamma_of(train, gamma), size, seed)
+    return kernel_map(train, kernel, gamma, degree, landmarks=size, seed=seed)
+
+
+def svm_map_key(kernel: str = "rbf", gamma: float | str = 0.1, degree: int = 3, size: int = 500, mapping: str = "cosine", seed: int = 42,
+                **_) -> tuple:
+    """What ``svm_map`` depends on besides its rows: settings with one key share a map."""
+    return (kernel,) if kernel == "linear" else (kernel, gamma, degree, size, mapping, seed)
+
+
 def svm(train: DataFrame, kernel: str = "rbf", C: float = 3.0, gamma: float | str = 0.1, degree: int = 3, size: int = 500,
         mapping: str = "cosine", max_iter: int = 100, seed: int = 42, **_) -> Fitted:
     """Kernel machine: a map of the kernel with ``size`` features, then a linear separator.
 
     ``rbf`` has a random cosine map or, with ``mapping="landmarks"``, that of ``kernel_map``, which ``poly`` and ``sigmoid`` always use.
     """
-    n, width = B.shape(train)
-    prepare = (lambda df: df)
-    if kernel == "rbf" and mapping == "cosine":
-        prepare = cosine_map(width, gamma_of(train, gamma), size, seed)
-    elif kernel != "linear":
-        prepare = kernel_map(train, kernel, gamma, degree, landmarks=size, seed=seed)
-    est = LinearSVC(**_cols(regParam=1.0 / (C * n), maxIter=max_iter))
+    prepare = svm_map(train, kernel, gamma, degree, size, mapping, seed)
+    est = LinearSVC(**_cols(regParam=1.0 / (C * B.shape(train)[0]), maxIter=max_iter))
     if len(class_sizes(train)) > 2:
         est = OneVsRest(classifier=est, featuresCol=VECTOR, labelCol="label")
     return _ml("svm", est, train, prepare)

@@ -381,6 +381,21 @@ def test_grid_search_and_compare(apart):
         (m, n) for m in ("none", "random_under") for n in ("gaussian_bayes", "knn")}
 
 
+def test_kernel_machines_of_a_grid_share_their_maps(apart, monkeypatch):
+    """One map per kernel, width and fold, whatever the costs; every score is that of a fit of its own."""
+    made, real = [], models.kernel_map
+    monkeypatch.setattr(models, "kernel_map", lambda *a, **k: made.append(a[1:3]) or real(*a, **k))
+    grid = {"C": [0.1, 10.0], "kernel": ["linear", "poly"], "gamma": ["scale", "auto"], "size": [20], "max_iter": [5]}
+    rows = tuning.grid_search(apart, "svm", grid, folds=2, refit=False)[0].collect()
+    assert len(made) == 4 and len(rows) == 16
+    data, points = tuning.with_folds(apart, 2).cache(), tuning.expand(grid)
+    for row in rows:
+        if row["fold"] == 0 and row["point"] in (0, 2, 6):
+            fitted = models.fit("svm", data.filter("fold <> 0").drop("fold"), **points[row["point"]])
+            want = metrics.macro_f1(fitted.predict(data.filter("fold = 0"))).first()[0]
+            assert row["params"] == str(points[row["point"]]) and np.isclose(row["macro_f1"], want, atol=0.03)
+
+
 def test_kernel_values_of_a_batch_are_not_held_at_once():
     import tracemalloc
     rng = np.random.default_rng(4)
