@@ -72,6 +72,40 @@ def _by_broadcast(left: DataFrame, right: DataFrame, k: int, metric: str, exclud
     return spread(left, len(ids)).withColumn("nn", once(run)(F.col("sample_id").cast("string"), F.col("features").cast("array<double>")))
 
 
+def _by_few(left: DataFrame, right: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    """A left side of few rows goes to the tasks, and the right side is read once where it lies: a task leaves the best of its rows."""
+    need = k + int(exclude_self)
+    ids, vectors, _, _ = B.collect_matrix(left.select("sample_id", "features").filter(F.col("features").isNotNull()))
+    shared = left.sparkSession.sparkContext.broadcast((ids, vectors))
+    label = (F.col("label") if "label" in right.columns else F.lit(None)).cast("double").alias("label")
+
+    def run(batches):
+        own, q = shared.value
+        best = [np.zeros(0, int), np.zeros(0), np.zeros(0, str), np.zeros(0)]
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            t = pa.Table.from_batches([batch]).sort_by("id").combine_chunks()
+            rows, cols, dist = distances.nearest(q, kernels.to_matrix(t["features"].combine_chunks()), need, metric)
+            names, labels = np.array(t["id"].to_pylist(), dtype=str), t["label"].to_numpy().astype(np.float64)
+            best = [np.concatenate(c) for c in zip(best, (rows, dist, names[cols], labels[cols]))]
+            order = np.lexsort((best[2], best[1], best[0]))
+            rows = best[0][order]
+            order = order[np.arange(len(order)) - np.searchsorted(rows, rows, side="left") < need]
+            best = [c[order] for c in best]
+        rows, dist, names, labels = best
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own[rows] if len(rows) else [], pa.string()), pa.array(names.tolist(), pa.string()), pa.array(dist), pa.array(labels, pa.float64(), from_pandas=True)],
+            ["sample_id", "id", "dist", "label"])
+    found = (right.select(F.col("sample_id").cast("string").alias("id"), F.col("features").cast("array<double>").alias("features"), label)
+             .mapInArrow(run, "sample_id string, id string, dist double, label double"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("dist", "id", "label"))), 1, need)
+    lists = found.groupBy("sample_id").agg(first.alias("nn"))
+    nn = F.filter("nn", lambda r: r["id"] != F.col("sample_id")) if exclude_self else F.col("nn")
+    lists = lists.select("sample_id", F.transform(F.slice(nn, 1, k), lambda r: F.struct(r["id"], r["dist"], r["label"])).cast(NN).alias("nn"))
+    return left.join(lists, "sample_id", "left").withColumn("nn", F.coalesce("nn", F.array().cast(NN)))
+
+
 def _by_vector(left: DataFrame, right: DataFrame, k: int, metric: str, exclude_self: bool, block_bytes: int | None) -> DataFrame:
     """``_by_blocks`` between the distinct vectors of both sides, for sides with many copies.
 
@@ -294,13 +328,16 @@ def knn_lists(left: DataFrame, right: DataFrame, k: int, metric: str = "euclidea
     """``left`` plus ``nn``: its k nearest rows of ``right`` as (id, dist, label), by distance, then id.
 
     Both sides have a unique text ``sample_id`` and ``features``; ``label`` of the right side is carried if present. A row without
-    a vector has no neighbours and is none; an empty right side gives empty lists.
+    a vector has no neighbours and is none; an empty right side gives empty lists. ``strategy="few"`` is for a left side that fits
+    a broadcast and a right side that does not.
     """
     right = right.filter(F.col("features").isNotNull())
     if strategy == "auto":
         strategy = "broadcast" if B.fits(*B.shape(right)) else "blocks"
     if strategy == "broadcast":
         return _by_broadcast(left, right, k, metric, exclude_self)
+    if strategy == "few":
+        return _by_few(left, right, k, metric, exclude_self)
     if _many_copies(left) or _many_copies(right):
         return _by_vector(left, right, k, metric, exclude_self, block_bytes)
     return _by_blocks(left, right, k, metric, exclude_self, block_bytes)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakforge.functions.scalars import hash_uniform
+from peakforge.operators.blocks import fits, shape
 from peakforge.operators.kernel_map import LANDMARKS, kernel_map
 from peakforge.operators.neighbours import knn_lists
 from peakforge.operators.ranking import lowest, quantile, ranked, smallest
@@ -23,6 +24,11 @@ from peakforge.session import cut_lineage
 
 COLUMNS = ["sample_id", "features", "label"]
 SEED = 42
+# Neighbours that ``repeated_edited`` lists beyond those a round asks for, so that few lists run out.
+SPARE = 12
+# Rows that are joined with a large table by a single pass over it.
+FEW = 1024
+LIST = "array<struct<id:string,label:double>>"
 
 
 def class_sizes(df: DataFrame) -> dict:
@@ -243,21 +249,74 @@ def _shrunk(before: dict, after: dict) -> bool:
     return len(after) < len(before) or any(n < before[low] for c, n in after.items() if c != low)
 
 
+def _numbered(df: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with ``row``, a text of their own that sorts as their id does (NULL last), and the length of the part of it that rows
+    of the same id share."""
+    rows = ranked(df.select(*COLUMNS), [F.col("sample_id").isNull(), F.col("sample_id").cast("string"), F.xxhash64("features", "label")])
+    width = len(str(rows.count()))
+    rows = rows.withColumn("row", F.lpad(F.col("rank").cast("string"), width, "0"))
+    twice = (rows.groupBy(F.col("sample_id").alias("_id")).agg(F.min("row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+             .filter("_n > 1").drop("_n"))
+    rows = rows.join(twice, F.col("sample_id").eqNullSafe(F.col("_id")), "left")
+    return cut_lineage(rows.select(F.concat(F.coalesce("_first", "row"), "row").alias("row"), *COLUMNS)), width
+
+
+def _judged(state: DataFrame, k: int, low, width: int) -> DataFrame:
+    """``state`` with ``ok``, whether ``edited`` keeps the row, and ``open``, whether its list has become too short to say so."""
+    near = F.filter(F.slice("list", 1, k + 1), lambda x: F.left(x["id"], F.lit(width)) != F.left("row", F.lit(width)))
+    spared, agrees = F.col("label") == low, _agrees("all")
+    open_ = F.col("more") & (F.size("list") <= k) & agrees & ~F.coalesce(spared, F.lit(False))
+    return state.withColumn("nn", F.slice(near, 1, k)).withColumns(
+        {"ok": F.coalesce(agrees | spared, F.lit(False)), "open": F.coalesce(open_, F.lit(False))}).drop("nn")
+
+
+def _listed(rows: DataFrame, state: DataFrame, wanted: DataFrame, n_wanted: int, n: int) -> DataFrame:
+    """The first ``n`` rows of ``state``, the row itself among them, for every row of ``wanted``; ``more``: there may be others."""
+    right = rows.select(F.col("row").alias("sample_id"), "features", "label").join(state.select(F.col("row").alias("sample_id")), "sample_id", "left_semi")
+    size, width = shape(right)
+    few = n_wanted <= FEW and fits(n_wanted, width) and not fits(size, width)
+    right = right if few else cut_lineage(right)
+    left = right.join(wanted.select(F.col("row").alias("sample_id")), "sample_id", "left_semi")
+    found = knn_lists(left, right, n, exclude_self=False, strategy="few" if few else "auto")
+    return found.select(F.col("sample_id").alias("row"), "label", F.transform("nn", lambda x: F.struct(x["id"], x["label"])).cast(LIST).alias("list"),
+                        (F.size("nn") >= n).alias("more"))
+
+
+def _without(state: DataFrame, gone: DataFrame) -> DataFrame:
+    """``state`` with the rows of ``gone`` taken out of the lists."""
+    hit = (state.select("row", F.explode("list.id").alias("_id")).join(gone.select(F.col("row").alias("_id")), "_id", "left_semi")
+           .groupBy("row").agg(F.collect_list("_id").alias("_hit")))
+    left = F.when(F.col("_hit").isNull(), F.col("list")).otherwise(F.filter("list", lambda x: ~F.array_contains("_hit", x["id"])))
+    return state.join(hit, "row", "left").withColumn("list", left).drop("_hit")
+
+
 def repeated_edited(df: DataFrame, seed: int = SEED, k: int = 3) -> DataFrame:
     """``edited`` until nothing changes, or until the next round would lose a class or make another class the smallest.
 
     That round is not taken: the rows of the round before it are returned. Every round but the last drops a row.
+
+    Distances do not change from round to round, so the rows are joined once with ``SPARE`` more neighbours than a round asks for: the
+    neighbours of a round are the first of the list that are left. Only a row whose list runs out is joined again, with the rows left
+    by then; a row of the smallest class has no list until another class is the smallest. Rows that repeat an id are judged one by
+    one, and are no neighbours of each other.
     """
-    out = cut_lineage(df.select(*COLUMNS))
-    start = sizes = class_sizes(out)
+    rows, width = _numbered(df)
+    start = sizes = class_sizes(rows)
+    state = cut_lineage(rows.select("row", "label", F.array().cast(LIST).alias("list"), F.lit(True).alias("more")))
+    columns = state.columns
     while True:
-        after = cut_lineage(edited(out, k=k))
-        new = class_sizes(after)
-        if _shrunk(start, new):
-            return out
-        out = after
-        if new == sizes:
-            return out
+        judged = _judged(state, k, minority(sizes), width)
+        found = judged.groupBy("label").agg(F.count_if("ok").alias("n"), F.count_if("open").alias("open")).collect()
+        n_open = sum(r["open"] for r in found)
+        if n_open:
+            again = _listed(rows, state, judged.filter("open"), n_open, k + 1 + SPARE)
+            state = cut_lineage(judged.filter("not open").select(*columns).unionByName(again))
+            continue
+        new = {r["label"]: r["n"] for r in found if r["n"]}
+        if _shrunk(start, new) or new == sizes:
+            return rows.join(state.select("row"), "row", "left_semi").select(*COLUMNS)
+        gone = cut_lineage(judged.filter("not ok").select("row"))
+        state = cut_lineage(_without(judged.filter("ok").select(*columns), gone))
         sizes = new
 
 
